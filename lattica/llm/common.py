@@ -11,7 +11,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,22 @@ def remove(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lattica_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    holder = tempfile.TemporaryDirectory(prefix="lattica-")  # executors that join later fetch it as well
+    atexit.register(holder.cleanup)
+    archive = f"{holder.name}/{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(archive)
+    sc._lattica_shipped = True
+
+
 def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: a cut of lineage that survives executors."""
     spark = df.sparkSession

@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import huffman, line_dedup, quality_rules, sentencepiece_bpe, token_counts, url_filter
+from . import huffman, jaccard_join, line_dedup, quality_rules, sentencepiece_bpe, token_counts, url_filter
+from .common import ship
 
 TOKENIZER = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,6 +42,10 @@ def op6_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.round_trip(_table(spark, sf_dir, "documents"), _vocabulary(TOKENIZER))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(_table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(_table(spark, sf_dir, "documents"), _vocabulary(PIECES))
 
@@ -50,10 +56,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op3_url_filter, op5_token_counts, op6_huffman, op9_sentencepiece, op10_quality_rules)
+    f.__name__: f for f in (op1_line_dedup, op3_url_filter, op5_token_counts, op6_huffman, op8_jaccard_join, op9_sentencepiece, op10_quality_rules)
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op3_url_filter": url_filter.ORACLE_SQL,
+    "op8_jaccard_join": jaccard_join.ORACLE_SQL,
 }
