@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import huffman, jaccard_join, line_dedup, quality_rules, sentencepiece_bpe, token_counts, url_filter
+from . import decontaminate, html_blocks, huffman, jaccard_join, line_dedup, quality_rules, sentencepiece_bpe, substring_dedup, token_counts, url_filter
 from .common import ship
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -19,7 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -30,16 +30,29 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.md5("text").alias("text_md5"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("score", 3).alias("score"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.default_list(spark))
 
 
+def op4_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(_table(spark, sf_dir, "documents"), _vocabulary(TOKENIZER))
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary(TOKENIZER))
 
 
 def op6_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return huffman.round_trip(_table(spark, sf_dir, "documents"), _vocabulary(TOKENIZER))
+    return huffman.round_trip(_table(spark, sf_dir, "documents"), vocabulary(TOKENIZER))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(_table(spark, sf_dir, "documents"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +60,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_bpe.digests(_table(spark, sf_dir, "documents"), _vocabulary(PIECES))
+    return sentencepiece_bpe.digests(_table(spark, sf_dir, "documents"), vocabulary(PIECES))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +69,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op3_url_filter, op5_token_counts, op6_huffman, op8_jaccard_join, op9_sentencepiece, op10_quality_rules)
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_decontaminate,
+        op3_url_filter,
+        op4_html_blocks,
+        op5_token_counts,
+        op6_huffman,
+        op7_substring_dedup,
+        op8_jaccard_join,
+        op9_sentencepiece,
+        op10_quality_rules,
+    )
 }
 
 ORACLES: dict[str, str] = {
