@@ -1,10 +1,517 @@
-"""Queries over the driver's tables, by operator, and their SQL."""
+"""Queries over the driver's tables, by operator of the survey, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from lattica import views
+from lattica.functions import text as T
+from lattica.operators import analytics, derive, filters, govern, merge, search
+from lattica.plans import context, sparql
+from lattica.schema import Graph
+from lattica.views import DIALOG_SQL, STAR_SMALL_SQL, STAR_SQL, dialog, star, star_small, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+DEGREE_SQL = """degree AS (
+  SELECT n.id, n.label, n.type, count(e.id) AS degree FROM nodes n LEFT JOIN (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) e ON e.id = n.id GROUP BY ALL
+)"""
+SPACES = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+
+
+# --- aggregates -----------------------------------------------------------------
+
+
+@query(f"WITH {STAR_SQL}, {DEGREE_SQL} SELECT * FROM degree ORDER BY degree DESC, id LIMIT 10")
+def a1_top_hubs(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.top_hubs(star(spark, d))
+
+
+@query(f"WITH {STAR_SQL} SELECT type, count(*) AS n FROM nodes GROUP BY type")
+def a1_nodes_by_type(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.counts(star(spark, d).nodes, "type")
+
+
+@query(f"WITH {STAR_SQL} SELECT rel, count(*) AS n FROM edges GROUP BY rel")
+def a1_edges_by_relation(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.counts(star(spark, d).edges, "rel")
+
+
+@query(
+    f"""WITH {STAR_SQL}, {DEGREE_SQL}, r AS (SELECT CAST(degree AS DOUBLE) AS x, row_number() OVER (ORDER BY degree) AS i, count(*) OVER () AS n FROM degree)
+SELECT round(2 * sum(i * x) / (max(n) * sum(x)) - (max(n) + 1.0) / max(n), 6) AS gini FROM r"""
+)
+def a4_gini(spark: SparkSession, d: str) -> DataFrame:
+    g = star(spark, d)
+    return analytics.gini(merge.with_degree(g.nodes, g.edges)).select(F.round("gini", 6).alias("gini"))
+
+
+@query(f"WITH {STAR_SQL} SELECT round(avg(coalesce(confidence, 1.0)), 4) AS mean, count(*) FILTER (coalesce(confidence, 1.0) < 0.92) AS low FROM edges")
+def a5_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.confidence_stats(star(spark, d).edges, 0.92).select(F.round("mean", 4).alias("mean"), "low")
+
+
+@query(
+    """WITH e AS (SELECT user_id AS src, 'etype:' || event_type AS rel, CAST(ts AS DATE) AS dst FROM events)
+SELECT src, strftime(dst, '%Y-%m-%d') AS dst, string_agg(DISTINCT rel, ',' ORDER BY rel) AS rels, count(DISTINCT rel) AS n FROM e GROUP BY ALL HAVING count(DISTINCT rel) > 1"""
+)
+def a6_contradictions(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(F.col("user_id").alias("src"), F.concat(F.lit("etype:"), "event_type").alias("rel"), F.date_format("ts", "yyyy-MM-dd").alias("dst"))
+    return analytics.contradictions(e)
+
+
+@query(f"WITH {STAR_SQL} SELECT n AS nodes, e AS edges, round(e / (n * (n - 1.0)), 4) AS density, round(2.0 * e / n, 2) AS avg_degree FROM (SELECT count(*) AS n FROM nodes), (SELECT count(*) AS e FROM edges)")
+def a8_density(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.density(star(spark, d))
+
+
+@query(f"WITH {STAR_SQL}, both_ways AS (SELECT src AS u, dst AS v, confidence AS w FROM edges UNION ALL SELECT dst, src, confidence FROM edges) SELECT u, v, round(sum(w), 4) AS w FROM both_ways GROUP BY u, v")
+def a17_pair_weights(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.weights(star(spark, d).edges).select("u", "v", F.round("w", 4).alias("w"))
+
+
+@query(f"WITH {STAR_SQL} SELECT n.type, e.tier, count(*) AS n FROM nodes n JOIN edges e ON e.src = n.id GROUP BY CUBE (n.type, e.tier)")
+def a1_type_tier_cube(spark: SparkSession, d: str) -> DataFrame:
+    g = star(spark, d)
+    return g.nodes.select(F.col("id").alias("src"), "type").join(g.edges.select("src", "tier"), "src").cube("type", "tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- filters and subgraphs ------------------------------------------------------------
+
+
+@query(
+    f"""WITH {STAR_SQL}, n AS (SELECT * FROM nodes WHERE valid_from IS NULL OR valid_from <= '1997-01-01'),
+e AS (SELECT * FROM edges WHERE (valid_from IS NULL OR valid_from <= '1997-01-01') AND src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n))
+SELECT 'node' AS kind, type AS name, count(*) AS n FROM n GROUP BY ALL UNION ALL SELECT 'edge', rel, count(*) FROM e GROUP BY ALL"""
+)
+def p9_as_of(spark: SparkSession, d: str) -> DataFrame:
+    g = filters.as_of(star(spark, d), "1997-01-01")
+    n = g.nodes.groupBy(F.lit("node").alias("kind"), F.col("type").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return n.unionByName(g.edges.groupBy(F.lit("edge").alias("kind"), F.col("rel").alias("name")).agg(F.count(F.lit(1)).alias("n")))
+
+
+@query(
+    f"""WITH {STAR_SMALL_SQL}, n AS (SELECT * FROM nodes WHERE coalesce(visibility, 'internal') = 'public')
+SELECT id, type, segment FROM n"""
+)
+def p11_redact_nodes(spark: SparkSession, d: str) -> DataFrame:
+    g = filters.redact(star_small(spark, d), "public")
+    return g.nodes.select("id", "type", F.try_element_at("meta", F.lit("segment")).alias("segment"))
+
+
+@query(
+    f"""WITH {STAR_SMALL_SQL}, n AS (SELECT id FROM nodes WHERE coalesce(visibility, 'internal') IN ('public', 'internal')),
+e AS (SELECT * FROM edges WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n))
+SELECT 'node' AS kind, a AS initial, b AS retained, a - b AS redacted FROM (SELECT count(*) AS a FROM nodes), (SELECT count(*) AS b FROM n)
+UNION ALL SELECT 'edge', a, b, a - b FROM (SELECT count(*) AS a FROM edges), (SELECT count(*) AS b FROM e)"""
+)
+def p11_redaction_audit(spark: SparkSession, d: str) -> DataFrame:
+    g = star_small(spark, d)
+    return filters.redaction_audit(g, filters.redact(g, "internal")).select("kind", "initial", "retained", "redacted")
+
+
+@query(
+    f"""WITH {STAR_SMALL_SQL}, n AS (SELECT id, CASE WHEN type = 'Customer' THEN 'Client' WHEN type = 'Region' THEN CASE id WHEN 'region:0' THEN 'Home' ELSE 'Abroad' END ELSE type END AS type FROM nodes WHERE type <> 'Supplier'),
+e AS (SELECT src, CASE rel WHEN 'IN_NATION' THEN 'LIVES_IN' ELSE rel END AS rel, dst FROM edges WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n))
+SELECT n.id, n.type, count(e.src) AS degree FROM n JOIN (SELECT src AS id, src FROM e UNION ALL SELECT dst, src FROM e) e ON e.id = n.id GROUP BY ALL"""
+)
+def p12_migrate(spark: SparkSession, d: str) -> DataFrame:
+    steps = [
+        {"op": "rename_type", "from": "Customer", "to": "Client"},
+        {"op": "rename_relation", "from": "IN_NATION", "to": "LIVES_IN"},
+        {"op": "drop_type", "name": "Supplier"},
+        {"op": "split_type", "from": "Region", "map": {"region:0": "Home"}, "default": "Abroad"},
+    ]
+    g = filters.migrate(star_small(spark, d), steps)
+    return merge.with_degree(g.nodes, g.edges).select("id", "type", "degree")
+
+
+@query("SELECT 'part:' || p_partkey AS id, p_name AS label FROM part WHERE contains(lower('part:' || p_partkey), '1') OR contains(lower(p_name), '1') ORDER BY p_partkey LIMIT 20 OFFSET 10")
+def p13_search_nodes(spark: SparkSession, d: str) -> DataFrame:
+    nodes = star(spark, d).nodes.where("type = 'Part'")
+    return filters.search_nodes(nodes, "1", limit=20, offset=10).select("id", "label")
+
+
+@query(f"WITH {STAR_SQL} SELECT src, rel, dst FROM edges WHERE rel = 'PLACED' AND src = 'customer:1'")
+def p14_filter_edges(spark: SparkSession, d: str) -> DataFrame:
+    return filters.filter_edges(star(spark, d).edges, src="customer:1", rel="PLACED").select("src", "rel", "dst")
+
+
+@query(f"WITH {STAR_SMALL_SQL} SELECT 'out' AS direction, rel, dst AS other FROM edges WHERE src = 'nation:3' UNION ALL SELECT 'in', rel, src FROM edges WHERE dst = 'nation:3'")
+def p16_node_detail(spark: SparkSession, d: str) -> DataFrame:
+    return filters.node_detail(star_small(spark, d), "nation:3")
+
+
+@query(f"WITH {STAR_SQL} SELECT rel, count(*) AS n FROM edges WHERE tier IN ('curated', 'extracted') AND confidence >= 0.95 GROUP BY rel")
+def p17_viewer_filter(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.counts(filters.viewer(star(spark, d), tiers=("curated", "extracted"), least=0.95).edges, "rel")
+
+
+@query(f"WITH {STAR_SMALL_SQL} SELECT src AS id, rel, dst AS other FROM edges UNION ALL SELECT dst, CASE rel WHEN 'IN_NATION' THEN 'HOME_OF' ELSE rel END, src FROM edges")
+def q14_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return filters.neighbours(star_small(spark, d), {"IN_NATION": "HOME_OF"})
+
+
+@query(r"SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)) AS head, regexp_replace(trim(regexp_replace(lower(url), '[^\p{L}\p{N}]+', '-', 'g'), '-'), '^-+|-+$', '', 'g') AS slug FROM pages")
+def x4_slug(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.regexp_extract(T.normal_url(F.col("url")), r"^([a-z]+://[^/?#]*)", 1).alias("head"), T.slug(F.col("url")).alias("slug"))
+
+
+@query(
+    """SELECT conv_id, turn, CASE WHEN lower(trim(text)) = 'the' THEN 1.0 WHEN trim(text) = '' THEN 0.0 WHEN contains(lower(trim(text)), 'the') OR contains('the', lower(trim(text))) THEN 0.8
+ELSE 0.5 * len(list_intersect(string_split_regex(lower(trim(text)), '\\s+'), ['the'])) END AS score FROM conversations"""
+)
+def p20_question_score(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", T.question_score("the", F.col("text")).alias("score"))
+
+
+# --- joins, sets, windows -------------------------------------------------------------
+
+
+@query(f"WITH {STAR_SQL} SELECT o.id FROM nodes o WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = o.id OR e.dst = o.id)")
+def j6_orphans(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.orphans(star(spark, d))
+
+
+@query(
+    f"""WITH {STAR_SQL}, live AS (SELECT 'order:' || o_orderkey AS id FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'tables'),
+doc AS (SELECT *, CASE rel WHEN 'PLACED' THEN dst WHEN 'CONTAINS' THEN src ELSE 'tables' END AS doc FROM edges)
+SELECT rel, count(*) AS n FROM doc WHERE doc IN (SELECT id FROM live) GROUP BY rel"""
+)
+def j4_retract(spark: SparkSession, d: str) -> DataFrame:
+    live = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("order:"), "o_orderkey").alias("id")).union(spark.createDataFrame([("tables",)], "id string"))
+    return analytics.counts(merge.retract(star(spark, d).edges, live), "rel")
+
+
+@query(
+    f"""WITH {STAR_SMALL_SQL}, twice AS (SELECT src, rel, dst, confidence, ord FROM edges UNION ALL SELECT src, rel, dst, 0.5, ord + 1000000 FROM edges WHERE ord % 3 = 0
+UNION ALL SELECT src, rel, dst, 0.25, ord - 1000000 FROM edges WHERE ord % 5 = 0)
+SELECT src, rel, dst, CAST(arg_min(confidence, ord) AS DOUBLE) AS confidence FROM twice GROUP BY ALL"""
+)
+def x6_first_edges(spark: SparkSession, d: str) -> DataFrame:
+    e = star_small(spark, d).edges
+    late = e.where("ord % 3 = 0").withColumns({"confidence": F.lit(0.5), "ord": F.col("ord") + 1000000})
+    early = e.where("ord % 5 = 0").withColumns({"confidence": F.lit(0.25), "ord": F.col("ord") - 1000000})
+    return merge.first_edges(e.unionByName(late).unionByName(early)).select("src", "rel", "dst", "confidence")
+
+
+@query(
+    f"""WITH {STAR_SMALL_SQL}, later AS (SELECT id, upper(label) AS alias FROM nodes WHERE type = 'Nation')
+SELECT n.id, n.label, n.type, coalesce(n.segment, CASE WHEN n.type = 'Nation' THEN 'none' END) AS segment, a.alias AS alias FROM nodes n LEFT JOIN later a ON a.id = n.id"""
+)
+def x6_merge_nodes(spark: SparkSession, d: str) -> DataFrame:
+    n = star_small(spark, d).nodes
+    again = n.where("type = 'Nation'").withColumns({"aliases": F.array(F.upper("label")), "label": F.lit("later"), "meta": F.create_map(F.lit("segment"), F.lit("none")), "ord": F.col("ord") + 1000000})
+    other = n.where("type = 'Nation'").withColumns({"aliases": F.array(F.lit("ignored")), "type": F.lit("Other"), "ord": F.col("ord") + 2000000})
+    m = merge.merge_nodes(n.unionByName(again).unionByName(other))
+    return m.select("id", "label", "type", F.try_element_at("meta", F.lit("segment")).alias("segment"), F.array_join("aliases", ",").alias("alias"))
+
+
+@query(f"WITH {STAR_SQL}, {DEGREE_SQL} SELECT id, degree FROM degree")
+def x8_degree(spark: SparkSession, d: str) -> DataFrame:
+    g = star(spark, d)
+    return merge.with_degree(g.nodes, g.edges).select("id", "degree")
+
+
+@query(
+    f"""WITH {STAR_SQL} SELECT 'unknown type' AS problem, count(*) AS n FROM nodes WHERE type NOT IN ('Region', 'Nation', 'Customer', 'Supplier', 'Part')
+UNION ALL SELECT 'isolated node', count(*) FROM nodes WHERE id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges) HAVING count(*) > 0"""
+)
+def x10_validate(spark: SparkSession, d: str) -> DataFrame:
+    g = star(spark, d)
+    return analytics.counts(merge.problems(g.nodes, g.edges, ["Region", "Nation", "Customer", "Supplier", "Part"]), "problem")
+
+
+@query(
+    f"""WITH {STAR_SMALL_SQL}, new AS (SELECT id, CASE WHEN ord % 7 = 0 THEN label || '!' ELSE label END AS label FROM nodes WHERE ord % 11 <> 1 UNION ALL SELECT 'extra:1', 'extra')
+SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' WHEN o.label <> n.label THEN 'changed' ELSE 'same' END AS change FROM nodes o FULL JOIN new n ON o.id = n.id"""
+)
+def r3_diff_nodes(spark: SparkSession, d: str) -> DataFrame:
+    old = star_small(spark, d).nodes
+    new = old.where("ord % 11 <> 1").withColumn("label", F.when(F.col("ord") % 7 == 0, F.concat("label", F.lit("!"))).otherwise(F.col("label")))
+    extra = spark.createDataFrame([("extra:1", "extra")], "id string, label string")
+    return govern.diff_nodes(old, new.unionByName(extra, allowMissingColumns=True))
+
+
+@query(
+    f"""WITH {STAR_SMALL_SQL}, new AS (SELECT src, rel, dst FROM edges WHERE ord % 4 <> 1)
+SELECT change, count(*) AS n FROM (SELECT CASE WHEN n.src IS NULL THEN 'removed' ELSE 'same' END AS change FROM edges o LEFT JOIN new n ON o.src = n.src AND o.rel = n.rel AND o.dst = n.dst) GROUP BY change"""
+)
+def a21_diff_summary(spark: SparkSession, d: str) -> DataFrame:
+    g = star_small(spark, d)
+    return govern.diff_summary(g, Graph(g.nodes, g.edges.where("ord % 4 <> 1"))).where("kind = 'edge'").select("change", "n")
+
+
+@query(
+    f"""WITH {STAR_SMALL_SQL}, {DEGREE_SQL}, delta AS (SELECT id, sum(d) AS d FROM (SELECT src AS id, 1 AS d FROM edges WHERE ord % 2 = 0 UNION ALL SELECT dst, 1 FROM edges WHERE ord % 2 = 0
+UNION ALL SELECT src, -1 FROM edges WHERE ord % 3 = 0 UNION ALL SELECT dst, -1 FROM edges WHERE ord % 3 = 0) GROUP BY id)
+SELECT g.id, CAST(greatest(0, g.degree + coalesce(delta.d, 0)) AS BIGINT) AS degree FROM degree g LEFT JOIN delta ON delta.id = g.id"""
+)
+def g18_degree_delta(spark: SparkSession, d: str) -> DataFrame:
+    g = star_small(spark, d)
+    return govern.updated_degrees(merge.with_degree(g.nodes, g.edges), g.edges.where("ord % 2 = 0"), g.edges.where("ord % 3 = 0"))
+
+
+@query(
+    f"""WITH {STAR_SMALL_SQL}, {DEGREE_SQL}, r AS (SELECT id, degree, row_number() OVER (ORDER BY degree DESC, id) AS r, count(*) OVER () AS n FROM degree)
+SELECT id, CASE WHEN r <= greatest(1, CAST(floor(0.15 * n) AS INT)) THEN 0 WHEN r <= greatest(greatest(1, CAST(floor(0.15 * n) AS INT)) + 1, CAST(floor(0.5 * n) AS INT)) THEN 1 ELSE 2 END AS lod FROM r"""
+)
+def w4_lod(spark: SparkSession, d: str) -> DataFrame:
+    from lattica.operators import layout
+
+    g = star_small(spark, d)
+    return layout.lod(merge.with_degree(g.nodes, g.edges)).select("id", "lod")
+
+
+# --- graph queries ---------------------------------------------------------------------
+
+
+@query(
+    """SELECT DISTINCT 'customer:' || c_custkey AS c, 'nation:' || n_nationkey AS n, r_name AS r FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+)
+def q1_sparql(spark: SparkSession, d: str) -> DataFrame:
+    return sparql.execute(star_small(spark, d), "SELECT ?c ?n ?r WHERE { ?c a :Customer . ?c :IN_NATION ?n . ?n :IN_REGION ?g . ?g rdfs:label ?r . }")
+
+
+@query("SELECT DISTINCT 'order:' || o_orderkey AS o, 'supplier:' || l_suppkey AS s FROM orders JOIN lineitem l ON l.l_orderkey = o_orderkey JOIN (SELECT DISTINCT l_partkey AS p, l_suppkey AS k FROM lineitem) x ON x.p = l.l_partkey WHERE o_custkey = 7 AND x.k = l_suppkey UNION SELECT DISTINCT 'order:' || o_orderkey, 'supplier:' || x.l_suppkey FROM orders JOIN lineitem l ON l.l_orderkey = o_orderkey JOIN lineitem x ON x.l_partkey = l.l_partkey WHERE o_custkey = 7")
+def q1_sparql_star(spark: SparkSession, d: str) -> DataFrame:
+    return sparql.execute(star(spark, d), "SELECT ?o ?s WHERE { :customer:7 PLACED ?o . ?o CONTAINS ?p . ?p SUPPLIED_BY ?s }")
+
+
+@query(f"WITH {STAR_SMALL_SQL} SELECT id, label, type FROM nodes WHERE id IN (SELECT dst FROM edges WHERE src = 'nation:5' UNION SELECT src FROM edges WHERE dst = 'nation:5')")
+def q5_neighbours_of(spark: SparkSession, d: str) -> DataFrame:
+    return context.neighbours_of(star_small(spark, d), "nation:5")
+
+
+@query(
+    f"""WITH RECURSIVE {STAR_SMALL_SQL}, adj AS (SELECT src AS u, dst AS v FROM edges UNION SELECT dst, src FROM edges), walk(id, distance) AS (
+SELECT 'customer:1', 0 UNION SELECT v, distance + 1 FROM walk JOIN adj ON id = u WHERE distance < 4) SELECT id, min(distance) AS distance FROM walk GROUP BY id"""
+)
+def q9_distances(spark: SparkSession, d: str) -> DataFrame:
+    adj = analytics.undirected(star_small(spark, d).edges)
+    return analytics.distances(adj, spark.createDataFrame([("c", "customer:1")], "source string, id string"), 4).select("id", "distance")
+
+
+@query(f"WITH {STAR_SMALL_SQL}, d AS (SELECT (SELECT dst FROM edges WHERE src = 'customer:1') AS a, (SELECT dst FROM edges WHERE src = 'customer:2') AS b) SELECT CASE WHEN a = b THEN 2 WHEN (SELECT dst FROM edges WHERE src = a) = (SELECT dst FROM edges WHERE src = b) THEN 4 END AS hops FROM d WHERE hops IS NOT NULL")
+def q9_shortest_path(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.shortest_path_edges(star_small(spark, d), "customer:1", "customer:2").select("hops").distinct()
+
+
+def _pagerank_sql(rounds: int) -> str:
+    steps = ["p0 AS (SELECT 'nation:1' AS id, CAST(1.0 AS DOUBLE) AS score)"]
+    for k in range(1, rounds + 1):
+        steps.append(f"p{k} AS (SELECT id, sum(score) AS score FROM (SELECT v AS id, score * p * 0.85 AS score FROM p{k - 1} JOIN step ON id = u UNION ALL SELECT 'nation:1', 0.15) GROUP BY id)")
+    body = ", ".join(steps)
+    return f"""WITH {STAR_SMALL_SQL}, both_ways AS (SELECT src AS u, dst AS v FROM edges UNION ALL SELECT dst, src FROM edges), step AS (SELECT u, v, 1.0 / count(*) OVER (PARTITION BY u) AS p FROM both_ways), {body}
+SELECT id, round(score, 6) AS score FROM p{rounds}"""
+
+
+@query(_pagerank_sql(8))
+def q10_pagerank(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.pagerank(star_small(spark, d), ["nation:1"], rounds=8, tol=0.0).select("id", F.round("score", 6).alias("score"))
+
+
+BM25_SQL = f"""WITH toks AS (SELECT doc_id AS id, {SPACES} AS ws FROM documents), st AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM toks),
+tf AS (SELECT id, len(ws) AS l, w, count(*) AS tf FROM (SELECT id, ws, unnest(ws) AS w FROM toks) WHERE w IN ('energy', 'the', 'licensed', 'under') GROUP BY ALL), df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+s AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / mean)) * CASE w WHEN 'licensed' THEN 2 ELSE 1 END) AS score FROM tf JOIN df USING (w), st GROUP BY id)
+"""
+
+
+@query(BM25_SQL + "SELECT id, round(score, 5) AS score FROM s WHERE score > 0 ORDER BY s.score DESC, id LIMIT 100")
+def q11_bm25(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return search.bm25(docs, "Licensed under the energy licensed", limit=100).select("id", F.round("score", 5).alias("score"))
+
+
+@query(
+    """WITH a AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders), b AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders)
+SELECT id, round(sum(1.0 / (60 + r)), 8) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id"""
+)
+def q12_rank_fusion(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql.window import Window as W
+
+    o = table(spark, d, "orders")
+    ranks = [o.select(F.col("o_orderkey").alias("id"), F.row_number().over(W.orderBy(F.desc(c), "o_orderkey")).alias("rank")) for c in ("o_totalprice", "o_orderdate")]
+    return search.fuse(ranks).select("id", F.round("score", 8).alias("score"))
+
+
+@query()
+def q13_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    return search.hybrid(star_small(spark, d), "supplier FRANCE")[0]
+
+
+@query()
+def q6_retrieve(spark: SparkSession, d: str) -> DataFrame:
+    return context.retrieve(star_small(spark, d), "FRANCE", hops=2, budget=200)
+
+
+@query()
+def q7_ego(spark: SparkSession, d: str) -> DataFrame:
+    return context.ego(star_small(spark, d), "nation:2").edges.select("src", "rel", "dst")
+
+
+# --- analytics -----------------------------------------------------------------------
+
+
+@query(
+    f"""WITH RECURSIVE {DIALOG_SQL}, adj AS (SELECT src AS u, dst AS v FROM edges UNION SELECT dst, src FROM edges), reach(u, v) AS (
+SELECT id, id FROM nodes UNION SELECT reach.u, adj.v FROM reach JOIN adj ON reach.v = adj.u) SELECT u AS id, min(v) AS component FROM reach GROUP BY u"""
+)
+def g4_components(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.components(dialog(spark, d))
+
+
+@query(f"WITH {DIALOG_SQL}, n AS (SELECT src AS id FROM edges INTERSECT SELECT dst FROM edges) SELECT id FROM n")
+def g1_articulation(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.articulation_points(dialog(spark, d))
+
+
+@query(f"WITH {DIALOG_SQL} SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM edges")
+def g3_bridges(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.bridges(dialog(spark, d))
+
+
+@query(f"WITH {STAR_SMALL_SQL} SELECT id FROM nodes WHERE false")
+def g5_cycle_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.nodes_in_cycles(star_small(spark, d).edges)
+
+
+@query()
+def g2_topology(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.topology(dialog(spark, d))
+
+
+@query()
+def g6_audit(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.audit(dialog(spark, d))
+
+
+@query(
+    f"""WITH {STAR_SMALL_SQL}, w AS (SELECT u, v, sum(c) AS w FROM (SELECT src AS u, dst AS v, confidence AS c FROM edges UNION ALL SELECT dst, src, confidence FROM edges) GROUP BY ALL), dg AS (SELECT u, sum(w) AS d FROM w GROUP BY u), m AS (SELECT sum(w) AS m2 FROM w),
+a AS (SELECT id, type AS community FROM nodes)
+SELECT round(coalesce(sum((w.w - x.d * y.d / m2) / m2), 0), 6) AS modularity FROM w JOIN dg x ON x.u = w.u JOIN dg y ON y.u = w.v JOIN a p ON p.id = w.u JOIN a q ON q.id = w.v AND p.community = q.community, m"""
+)
+def g7_modularity(spark: SparkSession, d: str) -> DataFrame:
+    g = star_small(spark, d)
+    return analytics.modularity(g, g.nodes.select("id", F.col("type").alias("community"))).select(F.round("modularity", 6).alias("modularity"))
+
+
+@query()
+def g8_louvain(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.louvain(dialog(spark, d))
+
+
+@query()
+def g9_label_propagation(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.label_propagation(dialog(spark, d))
+
+
+@query(
+    f"""WITH {DIALOG_SQL}, c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, g ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id, g) AS n FROM (SELECT *, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM turns))
+SELECT 'turn:' || conv_id || ':' || turn AS id, CAST(2 * (i - 1) * (n - i) AS DOUBLE) AS score FROM c WHERE n > 1"""
+)
+def g10_betweenness(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.betweenness(dialog(spark, d))
+
+
+# --- derivation and similarity ----------------------------------------------------------
+
+
+@query(
+    f"""WITH RECURSIVE {DIALOG_SQL}, reach(s, t) AS (SELECT src, dst FROM edges UNION SELECT reach.s, edges.dst FROM reach JOIN edges ON reach.t = edges.src) SELECT s AS src, 'REPLIES_TO' AS rel, t AS dst FROM reach WHERE s <> t"""
+)
+def d1_transitive(spark: SparkSession, d: str) -> DataFrame:
+    return derive.infer(dialog(spark, d).edges, [derive.Rule("transitive", "REPLIES_TO")]).select("src", "rel", "dst")
+
+
+@query(
+    f"""WITH {STAR_SMALL_SQL} SELECT src, rel, dst, CAST(confidence AS DOUBLE) AS confidence FROM edges UNION ALL SELECT dst, 'HAS_NATION', src, 0.9 FROM edges WHERE rel = 'IN_REGION'
+UNION ALL SELECT a.src, 'LIVES_IN_REGION', b.dst, 0.8 FROM edges a JOIN edges b ON a.dst = b.src WHERE a.rel = 'IN_NATION' AND b.rel = 'IN_REGION'"""
+)
+def d1_rules(spark: SparkSession, d: str) -> DataFrame:
+    rules = [derive.Rule("inverse", "IN_REGION", "HAS_NATION"), derive.Rule("composition", "IN_NATION", "LIVES_IN_REGION", "IN_REGION", 0.8)]
+    return derive.infer(star_small(spark, d).edges, rules).select("src", "rel", "dst", "confidence")
+
+
+@query(
+    """WITH m AS (SELECT DISTINCT l_suppkey AS entity, l_partkey AS doc FROM lineitem), n AS (SELECT entity, count(*) AS n FROM m GROUP BY entity),
+s AS (SELECT a.entity AS a, b.entity AS b, count(*) AS shared FROM m a JOIN m b ON a.doc = b.doc AND a.entity < b.entity GROUP BY ALL HAVING count(*) >= 2)
+SELECT 'supplier:' || a AS a, 'supplier:' || b AS b, shared, round(shared / (x.n + y.n - shared), 2) AS confidence FROM s JOIN n x ON x.entity = a JOIN n y ON y.entity = b WHERE shared / (x.n + y.n - shared) >= 0.15 AND length(CAST(a AS VARCHAR)) = length(CAST(b AS VARCHAR))"""
+)
+def d2_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem").select(F.concat(F.lit("supplier:"), "l_suppkey").alias("entity"), F.col("l_partkey").cast("string").alias("doc"))
+    return derive.cooccurrence(li, threshold=0.15).where(F.length("a") == F.length("b"))
+
+
+COSINE = "list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: CAST(p[1] AS DOUBLE) * p[2])) / (sqrt(list_sum(list_transform(x.embedding, lambda p: CAST(p AS DOUBLE) * p))) * sqrt(list_sum(list_transform(y.embedding, lambda p: CAST(p AS DOUBLE) * p))))"
+
+
+@query(f"SELECT y.vec_id, round({COSINE}, 5) AS score FROM embeddings x, embeddings y WHERE x.vec_id = 0 AND {COSINE} >= 0 ORDER BY {COSINE} DESC, y.vec_id LIMIT 10")
+def d3_nearest(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    first = e.where("vec_id = 0").first()["embedding"]
+    return search.nearest(e, first, 10).select("vec_id", F.round("score", 5).alias("score"))
+
+
+@query(f"SELECT x.vec_id AS a, y.vec_id AS b, round({COSINE}, 3) AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE {COSINE} >= 0.4")
+def d4_similar_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return search.similar_pairs(table(spark, d, "embeddings"), 0.4).select("a", "b", F.round("similarity", 3).alias("similarity"))
+
+
+@query()
+def d5_minhash(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", F.array_join(T.minhash(F.col("p_name")).cast("array<string>"), ",").alias("signature"))
+
+
+@query()
+def d6_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return search.duplicate_candidates(star_small(spark, d).nodes.where("type in ('Nation', 'Supplier')"))
+
+
+@query(
+    f"""WITH {STAR_SMALL_SQL}, t AS (SELECT id, CASE WHEN type = 'Nation' AND ord % 2 = 1 THEN 'nation:' || (ord - 1) ELSE id END AS into_ FROM nodes)
+SELECT DISTINCT a.into_ AS src, rel, b.into_ AS dst FROM edges JOIN t a ON a.id = src JOIN t b ON b.id = dst WHERE a.into_ <> b.into_"""
+)
+def d7_merge_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    g = star_small(spark, d)
+    pairs = g.nodes.where("type = 'Nation' and ord % 2 = 1").select(F.concat(F.lit("nation:"), F.col("ord") - 1).alias("canonical"), F.col("id").alias("duplicate"))
+    return search.merge_duplicates(g, pairs).edges.select("src", "rel", "dst")
+
+
+# --- governance -------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {STAR_SMALL_SQL} SELECT src || ' IN_NATION ' || dst AS subject, 'wrong domain' AS problem FROM edges WHERE rel = 'IN_NATION' AND src LIKE 'supplier:%'
+UNION ALL SELECT id, 'label does not match' FROM nodes WHERE type = 'Nation' AND NOT regexp_matches(label, '^[A-Z]+$') UNION ALL SELECT dst, 'degree too large' FROM edges WHERE dst LIKE 'nation:%' GROUP BY dst HAVING count(*) + 1 > 60"""
+)
+def r1_shapes(spark: SparkSession, d: str) -> DataFrame:
+    return govern.validate_shapes(
+        star_small(spark, d),
+        [govern.NodeShape("Nation", required=("label",), most_degree=60, patterns=(("label", "^[A-Z]+$"),))],
+        [govern.EdgeShape("IN_NATION", domain=("Customer",), range=("Nation",), least_confidence=0.5, most_count=1)],
+    )
+
+
+@query(
+    f"""WITH {STAR_SMALL_SQL}, {DEGREE_SQL} SELECT 'error' AS severity, 'forbidden edge' AS rule, src || ' ' || rel || ' ' || dst AS subject FROM edges WHERE src LIKE 'supplier:%' AND rel = 'IN_NATION'
+UNION ALL SELECT 'error', 'required segment', id FROM nodes WHERE type = 'Supplier' UNION ALL SELECT 'warning', 'degree', id FROM degree WHERE degree > 50"""
+)
+def r2_lint(spark: SparkSession, d: str) -> DataFrame:
+    return govern.lint(star_small(spark, d), forbidden=[("Supplier", "IN_NATION", None)], required=[("Supplier", "segment")], acyclic=["IN_REGION"], max_degree=50)
