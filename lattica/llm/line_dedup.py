@@ -113,7 +113,8 @@ def drop_copies(docs: DataFrame, min_lines: int = MIN_LINES, text: str = "text",
     drops, _ = materialize(dropped_lines(docs, min_lines, text, key), "dropped")
     drops = drops.dropDuplicates(["_key", "th"])
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_id"), F.col(text).alias("_whole"))
-    joined = packed.withColumn("_th", _identity("_whole")).join(drops, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_th") == F.col("th")), "left")
+    # by hash at every size: the list of deletions grows with the corpus, so it is not broadcast where it happens to be small
+    joined = packed.withColumn("_th", _identity("_whole")).join(drops.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_th") == F.col("th")), "left")
     lines = F.split("_whole", "\n")
     numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
     left = F.when(F.col("dropped").isNull(), F.col("_whole")).otherwise(
