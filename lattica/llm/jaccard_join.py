@@ -43,7 +43,8 @@ from .components import connected_components
 from .shingles import set_digests, shingle_sets
 
 WIDTH, SIMILAR = 5, 80
-FRAGMENT_BYTES = 48 << 20
+FRAGMENT_BYTES = 24 << 20
+PARTS = 8
 LEADERS = 8
 VERIFY_FRAGMENTS = 4
 
@@ -129,9 +130,17 @@ def _frequent(blocks: DataFrame, name_size: int, name_type: str, with_hashes: bo
 
     def one(data: list[bytes]) -> Iterator[pa.RecordBatch]:
         name, size, length, hashes = _unpack(data, name_size)
-        _, at, df = np.unique(hashes, return_inverse=True, return_counts=True)
-        df = df[at]
-        shared = df > 1
+        shared = np.zeros(len(hashes), bool)
+        often = np.zeros(len(hashes), np.uint8)
+        part = ((hashes >> np.uint64(16)) % np.uint64(PARTS)).astype(np.uint8)
+        for p in range(PARTS):  # equal hashes fall in one part; a part's sort is small
+            here = np.flatnonzero(part == p)
+            by = here[np.argsort(hashes[here], kind="stable")]
+            h = hashes[by]
+            heads = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+            df = np.diff(np.append(heads, len(h)))
+            often[by] = np.repeat(np.minimum(df, 255), df)
+        np.greater(often, 1, out=shared)
         owner = np.repeat(np.arange(len(name)), length)[shared]
         count = np.bincount(owner, minlength=len(name))
         has = np.flatnonzero(count)
@@ -140,8 +149,7 @@ def _frequent(blocks: DataFrame, name_size: int, name_type: str, with_hashes: bo
         columns = [names, pa.array(size[has].astype(np.int64)), pa.array(count[has].astype(np.int64))]
         if with_hashes:
             offsets = np.append(0, np.cumsum(count[has]))
-            flat, often = hashes[shared], np.minimum(df[shared], 255).astype(np.uint8)
-            hb, fb = flat.tobytes(), often.tobytes()
+            hb, fb = hashes[shared].tobytes(), often[shared].tobytes()
             columns += [pa.array([hb[8 * a : 8 * b] for a, b in zip(offsets, offsets[1:])], pa.binary()), pa.array([fb[a:b] for a, b in zip(offsets, offsets[1:])], pa.binary())]
         for a in range(0, len(has), 20_000):
             yield pa.RecordBatch.from_arrays([c.slice(a, 20_000) for c in columns], ["name", "n", "shared", "hashes", "often"][: len(columns)])
@@ -259,7 +267,7 @@ def components(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR, text
     frags = max(16, math.ceil(8 * total / FRAGMENT_BYTES))
 
     def from_text(batches):
-        for b in text_slices(batches, "text", 16_000_000):
+        for b in text_slices(batches, "text"):
             n, hashes = shingle_sets(b.column("text"), width)
             yield set_digests(n, hashes), n, hashes
 
@@ -288,7 +296,7 @@ def components(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR, text
             yield [int(x).to_bytes(8, "little") for x in b.column("node").to_pylist()], n, np.frombuffer(b"".join(raw), np.uint64)
 
     active_total = sets.agg(F.sum("n")).first()[0] or 0
-    parts = _frequent(_segments(sets, max(4, math.ceil(8 * active_total / (FRAGMENT_BYTES // 4))), 8, from_sets), 8, "long", True)
+    parts = _frequent(_segments(sets, max(4, math.ceil(8 * active_total / (FRAGMENT_BYTES // 2))), 8, from_sets), 8, "long", True)
     prefixes, _ = materialize(_prefixes(parts.select("name", "n", "hashes", "often"), similar), "prefixes")
     segments, _ = materialize(_node_segments(sets.join(prefixes.select("node").distinct(), "node", "left_semi")), "segments")
     comps = _links(prefixes, segments, similar)
