@@ -75,7 +75,7 @@ def lsh_candidates(signatures: DataFrame, bands: int = 16, key: str = "id", colu
     """Distinct pairs (a, b) that agree in a whole band."""
     rows = count // bands
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice(column, i * rows + 1, F.lit(rows))).alias("h"))))
-    keyed = signatures.select(F.col(key).alias("id"), F.col(column).alias("sig"), band.alias("x")).select("id", "sig", "x.band", "x.h")
+    keyed = signatures.select(F.col(key).alias("id"), column, band.alias("x")).select("id", F.col(column).alias("sig"), F.col("x.band").alias("band"), F.col("x.h").alias("h"))
     other = keyed.select(F.col("id").alias("b"), F.col("sig").alias("sb"), "band", "h")
     met = keyed.withColumnsRenamed({"id": "a", "sig": "sa"}).join(other, ["band", "h"]).where("a < b")
     return met.groupBy("a", "b").agg(F.first("sa").alias("sa"), F.first("sb").alias("sb"))

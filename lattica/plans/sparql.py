@@ -72,7 +72,8 @@ def execute(graph: Graph, query: str, colon_relations: bool = False) -> DataFram
             else:
                 columns[term[1:]] = place
         plans.append(t.where(cond).select(*[F.col(c).alias(v) for v, c in columns.items()]).distinct())
-    # join in an order that shares variables wherever possible
+    # join in an order that shares variables wherever possible; patterns of constants alone are tests, at the end
+    plans.sort(key=lambda p: not p.columns)
     out = plans.pop(0)
     while plans:
         i = next((i for i, p in enumerate(plans) if set(p.columns) & set(out.columns)), 0)

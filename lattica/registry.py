@@ -469,9 +469,9 @@ def d3_nearest(spark: SparkSession, d: str) -> DataFrame:
     return search.nearest(e, first, 10).select("vec_id", F.round("score", 5).alias("score"))
 
 
-@query(f"SELECT x.vec_id AS a, y.vec_id AS b, round({COSINE}, 3) AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE {COSINE} >= 0.4")
+@query(f"SELECT x.vec_id AS a, y.vec_id AS b, round({COSINE}, 4) AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE {COSINE} >= 0.4")
 def d4_similar_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return search.similar_pairs(table(spark, d, "embeddings"), 0.4).select("a", "b", F.round("similarity", 3).alias("similarity"))
+    return search.similar_pairs(table(spark, d, "embeddings"), 0.4)
 
 
 @query()
@@ -515,3 +515,160 @@ UNION ALL SELECT 'error', 'required segment', id FROM nodes WHERE type = 'Suppli
 )
 def r2_lint(spark: SparkSession, d: str) -> DataFrame:
     return govern.lint(star_small(spark, d), forbidden=[("Supplier", "IN_NATION", None)], required=[("Supplier", "segment")], acyclic=["IN_REGION"], max_degree=50)
+
+
+# --- extraction -------------------------------------------------------------------------
+
+BENCH_TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_-]+')"
+VOCAB_SQL = f"""bt AS (SELECT DISTINCT item_id, unnest({BENCH_TOKENS}) AS w FROM benchmark),
+vocab AS (SELECT w FROM bt WHERE length(w) >= 5 AND regexp_matches(w, '^[\\p{{L}}\\p{{N}}_]+$') GROUP BY w ORDER BY count(*) DESC, w LIMIT 200)"""
+
+
+def _benchmark_registry(spark: SparkSession, d: str) -> DataFrame:
+    """The 200 most frequent longer words of the test items as concepts."""
+    from lattica.operators import extract
+
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_-]+)"), F.lit(1)))
+    words = table(spark, d, "benchmark").select(F.explode(tokens).alias("w")).where((F.length("w") >= 5) & F.col("w").rlike(r"^[\p{L}\p{N}_]+$"))
+    top = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(200)
+    rows = merge.ordered(top.select(F.concat(F.lit("entity:"), "w").alias("id"), F.col("w").alias("name"), F.lit("Concept").alias("type"), F.array("w").alias("mention_forms")), "id")
+    from lattica.schema import conform
+
+    return conform(rows, extract.REGISTRY)
+
+
+@query(
+    f"""WITH {VOCAB_SQL}, hits AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest({BENCH_TOKENS}) AS w FROM documents) JOIN vocab USING (w) GROUP BY ALL)
+SELECT 'doc:' || doc_id AS id, 'entity:' || w AS entity FROM hits WHERE n >= 2 OR length(w) >= 10"""
+)
+def x3_mentions(spark: SparkSession, d: str) -> DataFrame:
+    from lattica.operators import extract
+
+    docs = views.source_documents(spark, d)
+    registry = _benchmark_registry(spark, d)
+    vocab = extract.vocabulary(extract.registry_nodes(registry), registry)
+    return extract.mentions(docs.where("kind = 'article'"), vocab)
+
+
+@query(
+    f"""WITH {VOCAB_SQL}, hits AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest({BENCH_TOKENS}) AS w FROM documents) JOIN vocab USING (w) GROUP BY ALL),
+edges AS (SELECT 'COVERS' AS rel, doc_id FROM hits WHERE n >= 2 OR length(w) >= 10 UNION ALL SELECT 'ABOUT', doc_id FROM documents UNION ALL SELECT 'ABOUT', doc_id FROM documents
+UNION ALL SELECT 'REFERENCES', doc_id FROM (SELECT doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS nxt FROM documents) WHERE nxt IS NOT NULL)
+SELECT rel, count(*) AS n FROM edges GROUP BY rel"""
+)
+def x1_build(spark: SparkSession, d: str) -> DataFrame:
+    from lattica.operators import extract
+
+    g = extract.build(views.source_documents(spark, d), _benchmark_registry(spark, d))
+    return analytics.counts(g.edges, "rel")
+
+
+@query()
+def s4_web_pages(spark: SparkSession, d: str) -> DataFrame:
+    from lattica.sources import files
+
+    return files.web_pages(table(spark, d, "pages")).select("id", "title", F.length("text").alias("n_chars"))
+
+
+# --- sinks ---------------------------------------------------------------------------------
+
+
+@query(f"WITH {STAR_SMALL_SQL} SELECT 'MATCH (a {{id: ''' || src || '''}}), (b {{id: ''' || dst || '''}}) MERGE (a)-[:' || rel || ' {{confidence: 1.0000}}]->(b);' AS value FROM edges WHERE rel = 'IN_REGION'")
+def k7_cypher(spark: SparkSession, d: str) -> DataFrame:
+    from lattica.sinks import files
+
+    return files.cypher_lines(star_small(spark, d)).where("value like 'MATCH%IN_REGION%'")
+
+
+@query()
+def k4_graphml(spark: SparkSession, d: str) -> DataFrame:
+    from lattica.sinks import files
+
+    return files.graphml_lines(star_small(spark, d))
+
+
+@query()
+def k5_turtle(spark: SparkSession, d: str) -> DataFrame:
+    from lattica.sinks import files
+
+    return files.turtle_lines(star_small(spark, d))
+
+
+@query(f"WITH {STAR_SMALL_SQL} SELECT id, coalesce(segment, '') AS segment FROM nodes")
+def k12_columnar(spark: SparkSession, d: str) -> DataFrame:
+    from lattica.sinks import files
+
+    n, _ = files.columnar(star_small(spark, d))
+    return n.select("id", F.coalesce(F.get_json_object("meta_json", "$.segment"), F.lit("")).alias("segment"))
+
+
+# --- time ----------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {STAR_SQL}, ds AS (SELECT DISTINCT valid_from AS date FROM nodes WHERE valid_from IS NOT NULL)
+SELECT date, (SELECT count(*) FROM nodes n WHERE n.valid_from IS NULL OR n.valid_from <= date) AS nodes, (SELECT count(*) FROM edges e WHERE e.valid_from IS NULL OR e.valid_from <= date) AS edges FROM ds"""
+)
+def t2_timeline(spark: SparkSession, d: str) -> DataFrame:
+    from lattica.streaming import incremental
+
+    return incremental.timeline(star(spark, d))
+
+
+@query("SELECT event_id, event_type FROM events WHERE strftime(ts, '%Y-%m-%d %H:%M:%S') >= '2024-01-15 00:00:00'")
+def t3_cursor(spark: SparkSession, d: str) -> DataFrame:
+    from lattica.streaming import incremental
+
+    e = table(spark, d, "events").withColumn("updated_at", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return incremental.after_cursor(e, "2024-01-15 00:00:00")[0].select("event_id", "event_type")
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def t_windows(spark: SparkSession, d: str) -> DataFrame:
+    from lattica.streaming import incremental
+
+    w = incremental.windowed(table(spark, d, "events"))
+    return w.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query(
+    """WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER u < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW u AS (PARTITION BY user_id ORDER BY ts)),
+r AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM r GROUP BY user_id, k"""
+)
+def t_sessions(spark: SparkSession, d: str) -> DataFrame:
+    from lattica.streaming import incremental
+
+    return incremental.sessions(table(spark, d, "events")).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query()
+def g17_tiles(spark: SparkSession, d: str) -> DataFrame:
+    from lattica.operators import layout
+
+    g = star_small(spark, d)
+    placed = layout.circle(merge.with_degree(g.nodes, g.edges)).select("id", "px", "py", "degree")
+    n, _ = layout.tiles(placed, g.edges)
+    return n.groupBy("z", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def g12_layout(spark: SparkSession, d: str) -> DataFrame:
+    from lattica.operators import layout
+
+    g = star_small(spark, d)
+    small = Graph(g.nodes.where("type in ('Region', 'Nation', 'Supplier')"), g.edges.where("src not like 'customer%'"))
+    return layout.force(small)
+
+
+@query()
+def g15_layers(spark: SparkSession, d: str) -> DataFrame:
+    from lattica.operators import layout
+
+    return layout.layers(star_small(spark, d))
+
+
+@query()
+def g16_project(spark: SparkSession, d: str) -> DataFrame:
+    from lattica.operators import layout
+
+    return layout.project(table(spark, d, "embeddings"))
