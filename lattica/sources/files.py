@@ -143,7 +143,7 @@ GITHUB = "number int, title string, html_url string, body string, created_at str
 def github(spark: SparkSession, path: str, repo: str = "repo", since: str | None = None) -> tuple[DataFrame, str | None]:
     """(Documents, new cursor) of an issue list or of its ``items``; strictly older rows are left out."""
     text = spark.read.text(path, wholetext=True)
-    rows = text.select(F.explode(F.coalesce(F.from_json("value", f"array<struct<{_struct(GITHUB)}>>"), F.from_json(F.get_json_object("value", "$.items"), f"array<struct<{_struct(GITHUB)}>>"))).alias("r")).select("r.*")
+    rows = text.select(F.explode(F.from_json(F.coalesce(F.get_json_object("value", "$.items"), "value"), f"array<struct<{_struct(GITHUB)}>>")).alias("r")).select("r.*")
     if since:
         rows = rows.where(F.col("updated_at").isNull() | (F.col("updated_at") >= since))
     kind = F.when(F.col("pull_request").isNotNull(), "pull-request").otherwise("issue")

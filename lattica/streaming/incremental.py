@@ -54,16 +54,22 @@ def watch(spark: SparkSession, path: str, rebuild, checkpoint: str, glob: str =
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """``ts`` as an event time, which a watermark needs with a zone; the session's zone is UTC."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return timed.withWatermark("ts", late) if events.isStreaming else timed
+
+
 def windowed(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "1 hour", by: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """Counts and sums by event-time window, tumbling or sliding; works on tables and on streams."""
-    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    timed = _timed(events, late)
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
     out = timed.groupBy(w.alias("w"), *by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    timed = _timed(events, late)
     out = timed.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
@@ -71,5 +77,5 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
 def distinct_events(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Each event once; on a stream within the watermark."""
     if events.isStreaming:
-        return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+        return _timed(events, late).dropDuplicatesWithinWatermark(["event_id"])
     return events.dropDuplicates(["event_id"])
