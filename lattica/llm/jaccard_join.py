@@ -47,6 +47,7 @@ FRAGMENT_BYTES = 24 << 20
 PARTS = 8
 LEADERS = 8
 VERIFY_FRAGMENTS = 4
+HUB_PAIRS, HUB_BYTES = 64, 8 << 20
 
 
 def _set_rows(docs: DataFrame, text: str, width: int) -> DataFrame:
@@ -172,7 +173,7 @@ def _frequent(blocks: DataFrame, name_size: int, name_type: str, with_hashes: bo
 
 
 def _prefixes(parts: DataFrame, similar: int) -> DataFrame:
-    """(h, node, n): the shared shingles within each set's prefix, in order of frequency and hash."""
+    """(h, node, n, s): the shared shingles within each set's prefix, in order of frequency and hash; s of the set's n are shared."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bytes, bytes]] = []
@@ -185,7 +186,7 @@ def _prefixes(parts: DataFrame, similar: int) -> DataFrame:
             if take <= 0:
                 return None
             first = h[np.lexsort((h, often))[:take]]
-            return pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(np.full(len(first), node)), pa.array(np.full(len(first), n))], ["h", "node", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(np.full(len(first), node)), pa.array(np.full(len(first), n)), pa.array(np.full(len(first), len(h)))], ["h", "node", "n", "s"])
 
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("name", "n", "hashes", "often"))):
@@ -197,62 +198,78 @@ def _prefixes(parts: DataFrame, similar: int) -> DataFrame:
         if held and (out := prefix()) is not None:
             yield out
 
-    return parts.repartition("name").sortWithinPartitions("name").mapInArrow(rows, "h long, node long, n long")
+    return parts.repartition("name").sortWithinPartitions("name").mapInArrow(rows, "h long, node long, n long, s long")
 
 
-def _verified(pairs: DataFrame, segments: DataFrame, similar: int) -> DataFrame:
-    """Pairs (a, b, na, nb) whose overlap, counted by fragment and summed, reaches the similarity."""
-    spread = pairs.select("*", F.explode(F.array(*[F.lit(f) for f in range(VERIFY_FRAGMENTS)])).alias("frag"))
-    left = segments.select(F.col("node").alias("a"), "frag", F.col("seg").alias("sa"))
-    right = segments.select(F.col("node").alias("b"), "frag", F.col("seg").alias("sb"))
-    both = spread.join(left, ["a", "frag"]).join(right, ["b", "frag"])
-    partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("o"))
-    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
-    return total.where(100 * F.col("o") >= similar * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
+def _verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Pairs (a, b, na, nb) with their overlap ``o``, counted by fragment and summed.
+
+    Sets that lead many pairs are few and their size is checked: they are
+    broadcast, so a pair moves one set.  The other pairs are joined from both sides.
+    """
+    pairs, _ = materialize(pairs, "candidates")
+    hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= HUB_PAIRS).select("a")
+    hub_sets, _ = materialize(sets.join(hubs.withColumnRenamed("a", "node"), "node", "left_semi").select(F.col("node").alias("a"), F.col("segs").alias("sa")), "hubs")
+    bytes_ = hub_sets.agg(F.sum(8 * F.aggregate("sa", F.lit(0), lambda n, x: n + F.size(x)))).first()[0] or 0
+    right = sets.select(F.col("node").alias("b"), F.col("segs").alias("sb"))
+    left = sets.select(F.col("node").alias("a"), F.col("segs").alias("sa"))
+    if 0 < bytes_ <= HUB_BYTES:
+        led = pairs.join(right.hint("shuffle_hash"), "b").join(F.broadcast(hub_sets), "a")
+        rest = pairs.join(hub_sets.select("a"), "a", "left_anti")
+        both = led.select("a", "b", "na", "nb", "sa", "sb").unionByName(rest.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb"))
+    else:
+        both = pairs.join(left, "a").join(right, "b")
+    overlap = sum((F.size(F.array_intersect(F.col("sa")[f], F.col("sb")[f])) for f in range(1, VERIFY_FRAGMENTS)), F.size(F.array_intersect(F.col("sa")[0], F.col("sb")[0])))
+    out = both.select("a", "b", "na", "nb", overlap.cast("long").alias("o"))
+    return out.withColumn("similar", 100 * F.col("o") >= similar * (F.col("na") + F.col("nb") - F.col("o")))
 
 
 def _node_segments(sets: DataFrame) -> DataFrame:
-    """(node, frag, seg array<long>): the verification's fragments of each set."""
+    """(node, segs array<array<long>>): each set by the verification's fragments."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = np.array([(f << 64) // VERIFY_FRAGMENTS for f in range(1, VERIFY_FRAGMENTS)], np.uint64)
         for b in batches:
-            nodes, frags, segs = [], [], []
-            for node, raw in zip(b.column("node").to_pylist(), b.column("hashes").to_pylist()):
+            segs = []
+            for raw in b.column("hashes").to_pylist():
                 h = np.frombuffer(raw, np.uint64)
-                cuts = np.searchsorted(h, np.array([(f << 64) // VERIFY_FRAGMENTS for f in range(1, VERIFY_FRAGMENTS)], np.uint64))
-                for f, s in enumerate(np.split(h.view(np.int64), cuts)):
-                    if len(s):
-                        nodes.append(node)
-                        frags.append(f)
-                        segs.append(s)
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(frags, pa.int32()), pa.array(segs, pa.list_(pa.int64()))], ["node", "frag", "seg"])
-
-    return sets.mapInArrow(rows, "node long, frag int, seg array<long>")
-
-
-def _links(prefixes: DataFrame, segments: DataFrame, similar: int) -> DataFrame | None:
-    """(node, comp) over the active sets that have a link; None if there are no candidates."""
-    pairs_of = lambda df: df.where((F.col("a") != F.col("b")) & (100 * F.least("na", "nb") >= similar * F.greatest("na", "nb")))
-    first = prefixes.groupBy("h").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    star = prefixes.join(first, "h").select(F.col("lead.node").alias("a"), F.col("lead.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
+                segs.append(np.split(h.view(np.int64), np.searchsorted(h, bounds)))
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(segs, pa.list_(pa.list_(pa.int64())))], ["node", "segs"])
+
+    return sets.mapInArrow(rows, "node long, segs array<array<long>>")
+
+
+def _links(prefixes: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """(node, comp) over the active sets that have a link."""
+    # an overlap reaches at most the shingles that either set shares at all, and must reach t / (1 + t) of both sizes
+    pairs_of = lambda df: df.where((F.col("a") != F.col("b")) & ((100 + similar) * F.least("ua", "ub") >= similar * (F.col("na") + F.col("nb"))))
+    first = prefixes.groupBy("h").agg(F.min(F.struct("node", "n", "s")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    star = prefixes.join(first, "h").select(F.col("lead.node").alias("a"), F.col("lead.n").alias("na"), F.col("lead.s").alias("ua"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("s").alias("ub"))
     star = pairs_of(star).groupBy("b", "nb").agg(F.min(F.struct("a", "na")).alias("x")).select("x.a", "x.na", "b", "nb")
-    links, _ = materialize(_verified(star, segments, similar), "pairs")
+    met, _ = materialize(_verified(star, sets, similar), "pairs")
+    links = met.where("similar").select("a", "b")
+    # Jaccard distance is a metric: distances to one leader bound the distance of two sets from below
+    gap = 1 - F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))
+    far = met.select(F.col("b").alias("node"), F.col("a").alias("pole"), gap.alias("far"))
+    far, _ = materialize(far.unionByName(met.select(F.col("a").alias("node"), F.col("a").alias("pole"), F.lit(0.0).alias("far")).distinct()).groupBy("node").agg(F.min_by("pole", "far").alias("pole"), F.min("far").alias("far")), "poles")
     comps = connected_components(links)
     bound, tried = LEADERS, 0
     while True:
         label = F.coalesce("comp", "node")
-        placed = prefixes.join(comps, "node", "left").select("h", "node", "n", label.alias("comp"))
+        placed = prefixes.join(comps, "node", "left").join(far, "node", "left").select("h", "node", "n", "s", label.alias("comp"), "pole", "far")
         open_ = placed.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("h", "size")
         open_, _ = materialize(open_.where(F.col("size") > tried), "open")
         if open_.isEmpty():
             return comps
-        members, _ = materialize(placed.join(open_, "h").withColumn("turn", F.pmod(F.xxhash64("node", "h"), F.col("size"))), "members")
-        lead = members.where((F.col("turn") >= tried) & (F.col("turn") < bound)).select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        rest = members.where(F.col("turn") >= tried).select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "turn")
-        met = pairs_of(lead.join(rest, "h").where((F.col("ca") != F.col("cb")) & ((F.col("turn") >= bound) | (F.col("a") < F.col("b")))))
-        ordered = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
-        more, _ = materialize(_verified(ordered, segments, similar), "pairs")
+        # a set's turn to lead depends on itself, not on the bucket: buckets of one size have the same leaders
+        place = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
+        members, _ = materialize(placed.join(open_, "h").withColumn("turn", F.shiftright(place * F.col("size"), 30)), "members")
+        lead = members.where((F.col("turn") >= tried) & (F.col("turn") < bound)).select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("s").alias("ua"), F.col("comp").alias("ca"), F.col("pole").alias("pa"), F.col("far").alias("fa"))
+        rest = members.where(F.col("turn") >= tried).select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("s").alias("ub"), F.col("comp").alias("cb"), "turn", F.col("pole").alias("pb"), F.col("far").alias("fb"))
+        apart = F.coalesce((F.col("pa") == F.col("pb")) & (F.abs(F.col("fa") - F.col("fb")) > 1 - similar / 100 + 1e-9), F.lit(False))
+        met = pairs_of(lead.join(rest, "h").where((F.col("ca") != F.col("cb")) & ~apart & ((F.col("turn") >= bound) | (F.col("a") < F.col("b")))))
+        more, _ = materialize(_verified(met.select("a", "na", "b", "nb").distinct(), sets, similar), "pairs")
+        more = more.where("similar").select("a", "b")
         if not more.isEmpty():
             links = links.union(more)
             comps = connected_components(links)
