@@ -13,6 +13,8 @@ In an interval the suffix that comes first in the corpus is the original; the
 ``span`` lines at each later one are a copy.  A maximal repeated run is the union
 of the intervals found at its lines, so deleting these copies deletes every
 later copy of every maximal run of ``min_lines`` lines or more, and nothing else.
+With ``min_words``, later copies of single lines of more words than that go too,
+from the ranks by one line.
 
 Only DataFrame functions are used.  Groups are never collected: an interval is an
 aggregate (count, least position), which combines before the shuffle, and the
@@ -40,23 +42,29 @@ def _identity(text: str) -> Column:
     return F.xxhash64(F.col(text))
 
 
-def line_positions(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def _wide(line: Column, min_words: int) -> Column:
+    return (F.length(line) > 2 * min_words) & (F.size(F.split(F.trim(line), r"\s+")) > min_words)
+
+
+def line_positions(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(lines, documents): (seq, base, rest, a, b) by line, with two hashes of it, and (key, th, base) by document.
 
     ``seq`` numbers lines in corpus order, consecutive within a document; ``base``
-    is the number of the document's first line; ``rest`` lines follow in it.
+    is the number of the document's first line; ``rest`` lines follow in it.  With
+    ``min_words``, ``wide`` tells whether the line has more words.
     """
+    wide = (lambda x: [_wide(x, min_words).alias("wide")]) if min_words is not None else (lambda x: [])
     hashed = docs.where(F.col(text).isNotNull()).select(
         F.col(key).alias("_key"),
         _identity(text).alias("th"),
-        F.transform(F.split(F.col(text), "\n"), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(7)).alias("b"))).alias("ids"),
+        F.transform(F.split(F.col(text), "\n"), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(7)).alias("b"), *wide(x))).alias("ids"),
     )
     ids, _ = materialize(hashed, "lineids")
     flat = ids.repartitionByRange(F.col("_key"), F.col("th")).sortWithinPartitions("_key", "th")
     lines = flat.select("_key", "th", F.size("ids").alias("n"), F.posexplode("ids").alias("pos", "id")).withColumn("seq", F.monotonically_increasing_id())
-    table = lines.select("_key", "th", "seq", (F.col("seq") - F.col("pos")).alias("base"), (F.col("n") - 1 - F.col("pos")).alias("rest"), F.col("id.a").alias("a"), F.col("id.b").alias("b"))
+    table = lines.select("_key", "th", "seq", (F.col("seq") - F.col("pos")).alias("base"), (F.col("n") - 1 - F.col("pos")).alias("rest"), F.col("id.a").alias("a"), F.col("id.b").alias("b"), *([F.col("id.wide").alias("wide")] if min_words is not None else []))
     lines, _ = materialize(table, "lines")
-    return lines.select("seq", "base", "rest", "a", "b"), lines.where("seq = base").select("_key", "th", "base")
+    return lines.drop("_key", "th"), lines.where("seq = base").select("_key", "th", "base")
 
 
 def _refine(suffixes: DataFrame) -> tuple[DataFrame, bool]:
@@ -66,18 +74,20 @@ def _refine(suffixes: DataFrame) -> tuple[DataFrame, bool]:
         return suffixes, False
     ranked = pairs.repartitionByRange(F.col("a"), F.col("b")).sortWithinPartitions("a", "b").withColumn("rank", F.monotonically_increasing_id())
     ranked, _ = materialize(ranked, "ranks")
-    kept = suffixes.join(ranked, ["a", "b"]).select("seq", "base", "rest", "rank", "first")
+    kept = suffixes.join(ranked, ["a", "b"]).drop("a", "b")
     kept, _ = materialize(kept, "suffixes")
     return kept, True
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, text: str = "text", key: str = "doc_id", min_words: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(copies, documents): lines ``seq`` up to ``reach`` repeat those from ``first`` on, by position and span."""
-    suffixes, documents = line_positions(docs, text, key)
+    suffixes, documents = line_positions(docs, text, key, min_words)
     span = 1
     found: list[DataFrame] = []
     repeated: DataFrame | None = None
     suffixes, more = _refine(suffixes)
+    if more and min_words is not None and span < min_lines:
+        found.append(suffixes.where("wide and first < seq").select("seq", "base", (F.col("seq") + span).alias("reach"), "first"))
     while more:
         repeated = suffixes if repeated is None else repeated
         if span >= min_lines:
@@ -96,21 +106,22 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, text: str = "text
     return copies, documents
 
 
-def dropped_lines(docs: DataFrame, min_lines: int = MIN_LINES, text: str = "text", key: str = "doc_id") -> DataFrame:
+def dropped_lines(docs: DataFrame, min_lines: int = MIN_LINES, text: str = "text", key: str = "doc_id", min_words: int | None = None) -> DataFrame:
     """(_key, th, dropped array<int>): numbers of the lines to delete, by document that has any."""
-    copies, documents = repeated_runs(docs, min_lines, text, key)
+    copies, documents = repeated_runs(docs, min_lines, text, key, min_words)
     reach = F.max("reach").over(W.partitionBy("base").orderBy("seq").rangeBetween(W.unboundedPreceding, W.currentRow))
     lines = copies.select("seq", "base", reach.alias("reach")).where(F.col("reach") > F.col("seq"))
     by_doc = lines.groupBy("base").agg(F.collect_set((F.col("seq") - F.col("base")).cast("int")).alias("dropped"))
     return documents.join(by_doc, "base").select("_key", "th", "dropped")
 
 
-def drop_copies(docs: DataFrame, min_lines: int = MIN_LINES, text: str = "text", key: str = "doc_id", counts: bool = False) -> DataFrame:
+def drop_copies(docs: DataFrame, min_lines: int = MIN_LINES, text: str = "text", key: str = "doc_id", counts: bool = False, min_words: int | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with later copies of repeated line runs deleted from ``text``.
 
+    With ``min_words``, later copies of single lines of more words than that are deleted as well.
     With ``counts``, a struct ``_lines`` (n_lines, n_dropped) stands beside.
     """
-    drops, _ = materialize(dropped_lines(docs, min_lines, text, key), "dropped")
+    drops, _ = materialize(dropped_lines(docs, min_lines, text, key, min_words), "dropped")
     drops = drops.dropDuplicates(["_key", "th"])
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_id"), F.col(text).alias("_whole"))
     # by hash at every size: the list of deletions grows with the corpus, so it is not broadcast where it happens to be small

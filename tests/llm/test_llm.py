@@ -63,6 +63,15 @@ def test_line_dedup(spark, least):
     assert got == dropped_by_force(texts, least)
 
 
+def test_line_dedup_long_lines(spark):
+    """Later copies of one line go where it has more than ``min_words`` words."""
+    passage, short = " ".join(f"w{i}" for i in range(51)), " ".join(f"v{i}" for i in range(50))
+    texts = [passage, "a\n" + passage + "\nb", short, "c\n" + short, passage, passage + "\n" + passage, "d\ne", "d\ne\nf"]
+    want = [passage, "a\nb", short, "c\n" + short, "", "", "d\ne", "f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.text for r in line_dedup.drop_copies(df, min_words=50).orderBy("doc_id").collect()] == want
+
+
 def test_line_dedup_odd(spark, odd):
     out = line_dedup.drop_copies(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
