@@ -60,7 +60,8 @@ def line_positions(docs: DataFrame, text: str = "text", key: str = "doc_id", min
         F.transform(F.split(F.col(text), "\n"), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(7)).alias("b"), *wide(x))).alias("ids"),
     )
     ids, _ = materialize(hashed, "lineids")
-    flat = ids.repartitionByRange(F.col("_key"), F.col("th")).sortWithinPartitions("_key", "th")
+    # equal rows meet in one range, so making them distinct there needs no further shuffle
+    flat = ids.repartitionByRange(F.col("_key"), F.col("th")).dropDuplicates(["_key", "th"]).sortWithinPartitions("_key", "th")
     lines = flat.select("_key", "th", F.size("ids").alias("n"), F.posexplode("ids").alias("pos", "id")).withColumn("seq", F.monotonically_increasing_id())
     table = lines.select("_key", "th", "seq", (F.col("seq") - F.col("pos")).alias("base"), (F.col("n") - 1 - F.col("pos")).alias("rest"), F.col("id.a").alias("a"), F.col("id.b").alias("b"), *([F.col("id.wide").alias("wide")] if min_words is not None else []))
     lines, _ = materialize(table, "lines")
@@ -122,7 +123,6 @@ def drop_copies(docs: DataFrame, min_lines: int = MIN_LINES, text: str = "text",
     With ``counts``, a struct ``_lines`` (n_lines, n_dropped) stands beside.
     """
     drops, _ = materialize(dropped_lines(docs, min_lines, text, key, min_words), "dropped")
-    drops = drops.dropDuplicates(["_key", "th"])
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_id"), F.col(text).alias("_whole"))
     # by hash at every size: the list of deletions grows with the corpus, so it is not broadcast where it happens to be small
     joined = packed.withColumn("_th", _identity("_whole")).join(drops.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_th") == F.col("th")), "left")

@@ -72,6 +72,14 @@ def test_line_dedup_long_lines(spark):
     assert [r.text for r in line_dedup.drop_copies(df, min_words=50).orderBy("doc_id").collect()] == want
 
 
+def test_line_dedup_equal_rows(spark):
+    """Rows equal in id and text are one document: they keep their lines, and copies of them elsewhere go."""
+    rows = [(None, "a\nb"), (None, "a\nb"), (1, "c\nd\ne"), (1, "c\nd\ne"), (1, "other"), (2, "x\nc\nd"), (2, "x\nc\nd")]
+    want = [(None, "a\nb")] * 2 + [(1, "c\nd\ne")] * 2 + [(1, "other")] + [(2, "x")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(((r.doc_id, r.text) for r in line_dedup.drop_copies(df).collect()), key=str) == sorted(want, key=str)
+
+
 def test_line_dedup_odd(spark, odd):
     out = line_dedup.drop_copies(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
@@ -246,6 +254,21 @@ def test_chunks_resist_shifts():
     assert len(parts(data) & parts(np.insert(data, 5000, 65))) >= len(parts(data)) - 3
 
 
+def test_substring_dedup_equal_rows(spark):
+    """Rows equal in id and text are one document: they keep their passages, and copies of them elsewhere go."""
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(n))
+    passage, end = words(80), words(60)
+    rows = [(0, passage), (1, passage + " " + end), (1, passage + " " + end), (None, words(70)), (2, end)]
+    rows.insert(4, rows[3])
+    out = [r.text for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()]
+    texts = [t for _, t in rows]
+    assert out.count(texts[0]) == 1 and out.count(texts[3]) == 2
+    cut = [t for t in out if t != texts[1] and t.endswith(end)]
+    assert len(cut) == 2 and cut[0] == cut[1] and len(cut[0]) < len(texts[1]) - 200
+    assert min(map(len, out)) < len(end) - 200
+
+
 # --- 8 Jaccard join
 
 
