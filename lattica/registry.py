@@ -481,7 +481,7 @@ def d5_minhash(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def d6_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return search.duplicate_candidates(star_small(spark, d).nodes.where("type in ('Nation', 'Supplier')"))
+    return search.duplicate_candidates(star_small(spark, d).nodes)
 
 
 @query(
@@ -655,9 +655,7 @@ def g17_tiles(spark: SparkSession, d: str) -> DataFrame:
 def g12_layout(spark: SparkSession, d: str) -> DataFrame:
     from lattica.operators import layout
 
-    g = star_small(spark, d)
-    small = Graph(g.nodes.where("type in ('Region', 'Nation', 'Supplier')"), g.edges.where("src not like 'customer%'"))
-    return layout.force(small)
+    return layout.force(star_small(spark, d))
 
 
 @query()

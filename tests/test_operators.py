@@ -6,10 +6,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lattica.functions import text as T
 from lattica.ontology import DEFAULT, Ontology, OntologyError
 from lattica.operators import analytics, derive, extract, filters, govern, layout, merge, search
 from lattica.plans import context, sparql
+from lattica.registry import QUERIES
 from lattica.schema import EDGE, NODE, Graph, conform
+from lattica.views import star_small
 
 
 def graph(spark, nodes, edges):
@@ -172,6 +175,18 @@ def test_layouts(spark):
     assert {r.id: r.depth for r in layout.layers(g).collect()} == {"a": 0, "b": 1, "c": 2, "d": 0}
 
 
+def test_layout_and_duplicates_of_the_whole_star(spark):
+    sf = "/root/testdata/sf0.001"
+    nodes = star_small(spark, sf).nodes
+    assert sorted(r.id for r in QUERIES["g12_layout"](spark, sf).collect()) == sorted(r.id for r in nodes.collect())
+    sigs = sorted((r.id, r.sig) for r in nodes.select("id", T.minhash(F.concat_ws(" ", "label", F.array_join("aliases", " "))).alias("sig")).collect())
+    same = lambda x, y: sum(p == q for p, q in zip(x, y)) / 64
+    band = lambda x, y: any(x[i : i + 4] == y[i : i + 4] for i in range(0, 64, 4))
+    want = {(a, b) for (a, x), (b, y) in itertools.combinations(sigs, 2) if band(x, y) and same(x, y) >= 0.6}
+    assert {(r.a, r.b) for r in QUERIES["d6_duplicates"](spark, sf).collect()} == want
+    assert any(a.startswith("customer") for a, _ in want)
+
+
 def test_empty_graph(spark):
     g = Graph(spark.createDataFrame([], NODE), spark.createDataFrame([], EDGE))
     assert analytics.component_sizes(g).count() == 0
