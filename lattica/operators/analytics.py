@@ -244,8 +244,8 @@ def directed_cycles(graph: Graph, relations: tuple[str, ...] = HIERARCHY) -> Dat
     return _grouped(graph, chosen, run, "cycle string")
 
 
-def nodes_in_cycles(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(id) of nodes on a directed cycle: what stays after ends are stripped, then reaches itself."""
+def nodes_in_cycles(edges: DataFrame) -> DataFrame:
+    """(id) of nodes on a directed cycle: what stays after ends are stripped, then reaches itself; reach doubles each round."""
     left = cut(edges.select("src", "dst").distinct())
     while True:
         ends = left.select(F.col("dst").alias("src")).distinct()
@@ -255,8 +255,8 @@ def nodes_in_cycles(edges: DataFrame, rounds: int = 64) -> DataFrame:
             break
         left = core
     reach = core
-    for _ in range(rounds):
-        more = cut(reach.union(reach.select("src", F.col("dst").alias("_m")).join(core.select(F.col("src").alias("_m"), "dst"), "_m").select("src", "dst")).distinct())
+    while True:
+        more = cut(reach.union(reach.select("src", F.col("dst").alias("_m")).join(reach.select(F.col("src").alias("_m"), "dst"), "_m").select("src", "dst")).distinct())
         if more.count() == reach.count():
             break
         reach = more

@@ -72,6 +72,12 @@ def test_cycles(spark):
     assert {r.id for r in analytics.nodes_in_cycles(g.edges).collect()} == {"a", "b", "c"}
 
 
+def test_nodes_of_a_long_cycle(spark):
+    ring = [(f"n{i}", f"n{(i + 1) % 80}") for i in range(80)]
+    edges = spark.createDataFrame([*ring, ("n0", "tail"), ("head", "n0")], "src string, dst string")
+    assert {r.id for r in analytics.nodes_in_cycles(edges).collect()} == {a for a, _ in ring}
+
+
 def test_gini(spark):
     value = lambda xs: analytics.gini(spark.createDataFrame([(x,) for x in xs], "degree long")).first()[0]
     assert value([5, 5, 5, 5]) == pytest.approx(0)
