@@ -73,6 +73,24 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """Intermediate tables that go when the block ends; what outlives it is written with ``materialize``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, *self.paths)
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        out, path = materialize(df, label)
+        self.paths.append(path)
+        return out
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 6_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that no slice holds much more than ``most_bytes`` of text (one row at least)."""
     for batch in batches:

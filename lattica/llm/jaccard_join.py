@@ -1,23 +1,29 @@
 """N-gram Jaccard join by vertical partitioning (operator 8).
 
-The global order of shingles is cut into fragments; whatever concerns a shingle
-(how many sets have it, how much of it two sets share) happens inside its
-fragment, and sums over fragments give the totals.
-
-1.  Equal sets become one class (128-bit digest).
-2.  Every set is cut into its segments by fragment.  A fragment counts, for each
-    set, the shingles that a second set has as well.  A set with a partner at
-    similarity t shares at least t of its shingles, so sets whose shared counts
-    sum to less have no partner and leave: exact, and most sets leave here.
-3.  For the rest, frequencies are counted again by fragment, and each set's
-    shingles are put in order of frequency, then hash.  Two similar sets meet in
-    one of the first |x| - ceil(t|x|) + 1 shingles of both (prefix principle).
-4.  Sets that meet are candidates.  In a large bucket only pairs across different
-    components are tried, against few leaders first and against more in further
-    rounds until every bucket is one component or has had all its pairs across
-    components tried; so no pair that could join two components is left out, and
-    a group of copies costs a pair for each member, not one for each two members.
-5.  A pair's overlap is counted by fragment and summed.
+The global order of shingles (frequency, then hash) is cut into fragments.  Each set
+falls into one segment for each fragment, the overlap of two sets is counted in
+each fragment apart, and a pair's partial overlaps are summed.
+
+1.  Equal sets become one class (128-bit digest); a class is one node, and a node
+    takes part once however many copies it has.
+2.  A set whose similarity to another is at least t has at least k of the first
+    n - ceil(t n) + k of its shingles, in order of hash, among the same ones of the
+    other.  These are counted by fragments of the hash range; sets with fewer have
+    no partner and leave.  Counting knows shingles by 48 bits, which can only keep
+    a set too many.
+3.  For the rest, frequencies are counted by fragment.  The histogram of the order
+    gives cuts of even mass, and each set its segments, its prefix (one of the first
+    n - ceil(t n) + 1 shingles must be shared) and a signature: the parity of
+    its shared shingles in each of 256 classes.
+4.  Sets that meet in a prefix shingle are a candidate pair if, with this shingle as
+    their first common one, the places in both sets leave enough shingles; if sizes
+    and shared shingles allow the overlap; and if the signatures, whose distance
+    never exceeds the symmetric difference, allow it.  Pairs come in rounds: one
+    leader for each prefix shingle, then a few, and last every member outside
+    its shingle's largest component against all.  Pairs within one component are
+    never tried, so a group of near copies costs a few pairs a member, while no pair
+    that could join two components is left out.
+5.  A candidate's partial overlaps are counted by fragment and summed.
 
 The output gives each document its class's component: the pairs within a group of
 copies are never listed, and no link between different components is lost.
@@ -35,294 +41,296 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ragged_index, text_slices
+from .common import Scratch, materialize, ragged_index, ship, text_slices
 from .components import connected_components
-from .shingles import set_digests, shingle_sets
+from .shingles import mix, set_digests, shingle_sets
 
 WIDTH, SIMILAR = 5, 80
+#: Bytes of shingles in a counting fragment, held by one task at a time.
 FRAGMENT_BYTES = 24 << 20
-PARTS = 8
-LEADERS = 8
-VERIFY_FRAGMENTS = 4
-HUB_PAIRS, HUB_BYTES = 64, 8 << 20
+#: Fragments of the global order, in which overlaps are counted.
+FRAGMENTS = 8
+SIGNATURE_WORDS = 4
+FIRST_LEADERS, MORE_LEADERS = 4, 8
+#: Pairs of one leading set in a task, and comparisons of one prefix shingle in a task.
+PAIRS_A_SALT, TRIES_A_SALT = 128, 4_000_000
+SALTS = 32
 
 
-def _set_rows(docs: DataFrame, text: str, width: int) -> DataFrame:
-    """(doc_id, th, n, sid) by row."""
+def _part_of(n: np.ndarray, similar: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles to send of a set of n, how many of them must be shared)."""
+    least = -(-similar * n // 100)
+    k = np.maximum(1, n // 5)
+    return np.minimum(n, n - least + k), np.maximum(1, least // 5)
+
+
+def _set_rows(docs: DataFrame, width: int, similar: int) -> DataFrame:
+    """(doc_id, th, n, sid, low, top): digest of each row's set, and the part that is sent, as 32 and 16 bits of each hash."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "text"):
             n, hashes = shingle_sets(b.column("text"), width)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array(set_digests(n, hashes), pa.binary())], ["doc_id", "th", "n", "sid"])
-
-    return docs.mapInArrow(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, n long, sid binary")
-
-
-def _pack(frags: int, name_size: int, names: bytes, n: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Segments of several sets by fragment: (fragment, names, sizes, segment lengths and hashes in one buffer)."""
-    sets = len(n)
-    if not len(hashes):
-        return
-    where = ((hashes >> np.uint64(32)) * np.uint64(frags) >> np.uint64(32)).astype(np.int64)
-    owner = np.repeat(np.arange(sets), n)
-    order = np.argsort(where, kind="stable")  # hashes are sorted within a set, so a segment is a slice
-    cuts = np.searchsorted(where[order], np.arange(frags + 1))
-    name = np.frombuffer(names, f"V{name_size}")
-    for f in range(frags):
-        part = order[cuts[f] : cuts[f + 1]]
-        if len(part):
-            who, length = np.unique(owner[part], return_counts=True)
-            head = np.array([len(who)], np.int64).tobytes()
-            yield f, b"".join([head, name[who].tobytes(), n[who].astype(np.int32).tobytes(), length.astype(np.int32).tobytes(), hashes[part].tobytes()])
-
-
-def _unpack(blocks: list[bytes], name_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(names, set sizes, segment lengths, hashes) of all blocks, each set once."""
-    names, sizes, lengths, hashes = [], [], [], []
-    for x in blocks:
-        k = int(np.frombuffer(x, np.int64, 1)[0])
-        at = 8
-        names.append(np.frombuffer(x, f"V{name_size}", k, at))
-        at += k * name_size
-        sizes.append(np.frombuffer(x, np.int32, k, at))
-        lengths.append(np.frombuffer(x, np.int32, k, at + 4 * k))
-        hashes.append(np.frombuffer(x, np.uint64, -1, at + 8 * k))
-    name, size, length = np.concatenate(names), np.concatenate(sizes), np.concatenate(lengths).astype(np.int64)
-    flat = np.concatenate(hashes)
-    starts = np.cumsum(length) - length
-    order = _first_of(name, name_size)
-    return name[order], size[order], length[order], flat[ragged_index(starts[order], length[order])]
-
-
-def _first_of(name: np.ndarray, name_size: int) -> np.ndarray:
-    """Places of the first copy of each name."""
-    words = np.frombuffer(name.tobytes(), np.uint64).reshape(len(name), name_size // 8)
-    order = np.lexsort(words.T)
-    w = words[order]
-    fresh = np.append(True, (w[1:] != w[:-1]).any(axis=1))
-    return np.sort(order[fresh])
-
-
-def _segments(sets: DataFrame, frags: int, name_size: int, make) -> DataFrame:
-    """(frag, block): packed segments; ``make`` turns a batch into (names, set sizes, hashes)."""
+            sent, _ = _part_of(n, similar)
+            part = mix(hashes[ragged_index(np.cumsum(n) - n, sent)])
+            ends = np.append(0, np.cumsum(sent)).tolist()
+            low, top = part.astype(np.uint32).tobytes(), (part >> np.uint64(48)).astype(np.uint16).tobytes()
+            columns = [b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array(set_digests(n, hashes), pa.binary())]
+            columns += [pa.array([raw[size * x : size * y] for x, y in zip(ends, ends[1:])], pa.binary()) for raw, size in ((low, 4), (top, 2))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "n", "sid", "low", "top"])
+
+    return docs.mapInArrow(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, n long, sid binary, low binary, top binary")
+
+
+def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(values per row, all values) of a column of packed numbers."""
+    raw = column.to_pylist()
+    size = np.dtype(kind).itemsize
+    return np.fromiter((len(x) // size for x in raw), np.int64, len(raw)), np.frombuffer(b"".join(raw), kind)
+
+
+def _segments(sets: DataFrame, frags: int, kind: str) -> DataFrame:
+    """(frag, block): segments of sets (node, n, low, top), packed by fragment; ``kind`` is the type of ``low``."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            count, values = _flat(b.column("low"), kind)
+            top = _flat(b.column("top"), "u2")[1] if "top" in b.schema.names else values >> np.uint64(48)
+            where = (top.astype(np.int64) * frags) >> 16
+            owner = np.repeat(np.arange(len(count)), count)
+            order = np.argsort(where, kind="stable")
+            cuts = np.searchsorted(where[order], np.arange(frags + 1))
+            node, n = b.column("node").to_numpy(), b.column("n").to_numpy()
+            named, blocks = [], []
+            for f in np.flatnonzero(np.diff(cuts)):
+                part = order[cuts[f] : cuts[f + 1]]
+                who, length = np.unique(owner[part], return_counts=True)
+                named.append(int(f))
+                blocks.append(b"".join([np.int64(len(who)).tobytes(), node[who].tobytes(), n[who].astype(np.int32).tobytes(), length.astype(np.int32).tobytes(), values[part].tobytes()]))
+            if named:
+                yield pa.RecordBatch.from_arrays([pa.array(named, pa.int32()), pa.array(blocks, pa.binary())], ["frag", "block"])
+
+    return sets.mapInArrow(rows, "frag int, block binary").repartitionById(frags, F.col("frag"))
+
+
+def _counted(segments: DataFrame, kind: str, with_hashes: bool) -> DataFrame:
+    """(node, n, shared): how many of a fragment's shingles of a set a second set has; with them, their frequencies (to 255)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for b in make(batches):
-            names, n, hashes = b
-            # sets that this task has already sent are not sent again; forgetting some costs no result
-            if len(seen) > 400_000:
-                seen.clear()
-            fresh = np.fromiter((x not in seen and not seen.add(x) for x in names), bool, len(names))
-            starts = np.cumsum(n) - n
-            part = hashes if fresh.all() else hashes[ragged_index(starts[fresh], n[fresh])]
-            out = list(_pack(frags, name_size, b"".join(x for x, y in zip(names, fresh) if y), n[fresh], part))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["frag", "block"])
-
-    return sets.mapInArrow(rows, "frag int, block binary").repartition(frags, "frag").sortWithinPartitions("frag")
-
-
-def _frequent(blocks: DataFrame, name_size: int, name_type: str, with_hashes: bool) -> DataFrame:
-    """By fragment and set: how many of the segment's shingles a second set has; with them, their frequencies (to 255)."""
-
-    def one(data: list[bytes]) -> Iterator[pa.RecordBatch]:
-        name, size, length, hashes = _unpack(data, name_size)
-        shared = np.zeros(len(hashes), bool)
-        often = np.zeros(len(hashes), np.uint8)
-        part = ((hashes >> np.uint64(16)) % np.uint64(PARTS)).astype(np.uint8)
-        for p in range(PARTS):  # equal hashes fall in one part; a part's sort is small
-            here = np.flatnonzero(part == p)
-            by = here[np.argsort(hashes[here], kind="stable")]
-            h = hashes[by]
-            heads = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-            df = np.diff(np.append(heads, len(h)))
-            often[by] = np.repeat(np.minimum(df, 255), df)
-        np.greater(often, 1, out=shared)
-        owner = np.repeat(np.arange(len(name)), length)[shared]
-        count = np.bincount(owner, minlength=len(name))
+        nodes, sizes, lengths, values = [], [], [], []
+        for b in batches:
+            for x in b.column("block").to_pylist():
+                k = int(np.frombuffer(x, np.int64, 1)[0])
+                nodes.append(np.frombuffer(x, np.int64, k, 8))
+                sizes.append(np.frombuffer(x, np.int32, k, 8 + 8 * k))
+                lengths.append(np.frombuffer(x, np.int32, k, 8 + 12 * k))
+                values.append(np.frombuffer(x, kind, -1, 8 + 16 * k))
+        if not nodes:
+            return
+        node, size, length, h = (np.concatenate(x) for x in (nodes, sizes, lengths, values))
+        by = np.argsort(h, kind="stable")
+        heads = np.flatnonzero(np.append(True, np.diff(h[by]) != 0))
+        df = np.diff(np.append(heads, len(h)))
+        often = np.empty(len(h), np.uint8)
+        often[by] = np.repeat(np.minimum(df, 255), df)
+        shared = often > 1
+        count = np.bincount(np.repeat(np.arange(len(node)), length)[shared], minlength=len(node))
         has = np.flatnonzero(count)
-        raw = name[has].tobytes()
-        names = pa.array(np.frombuffer(raw, np.int64)) if name_type == "long" else pa.array([raw[i : i + name_size] for i in range(0, len(raw), name_size)], pa.binary())
-        columns = [names, pa.array(size[has].astype(np.int64)), pa.array(count[has].astype(np.int64))]
+        columns = [pa.array(node[has]), pa.array(size[has].astype(np.int64)), pa.array(count[has])]
         if with_hashes:
-            offsets = np.append(0, np.cumsum(count[has]))
-            hb, fb = hashes[shared].tobytes(), often[shared].tobytes()
-            columns += [pa.array([hb[8 * a : 8 * b] for a, b in zip(offsets, offsets[1:])], pa.binary()), pa.array([fb[a:b] for a, b in zip(offsets, offsets[1:])], pa.binary())]
+            ends = np.append(0, np.cumsum(count[has])).tolist()
+            hb, fb = h[shared].tobytes(), often[shared].tobytes()
+            columns += [pa.array([hb[8 * x : 8 * y] for x, y in zip(ends, ends[1:])], pa.binary()), pa.array([fb[x:y] for x, y in zip(ends, ends[1:])], pa.binary())]
         for a in range(0, len(has), 20_000):
-            yield pa.RecordBatch.from_arrays([c.slice(a, 20_000) for c in columns], ["name", "n", "shared", "hashes", "often"][: len(columns)])
+            yield pa.RecordBatch.from_arrays([c.slice(a, 20_000) for c in columns], ["node", "n", "shared", "hashes", "often"][: len(columns)])
+
+    schema = "node long, n long, shared long" + ", hashes binary, often binary" * with_hashes
+    return segments.mapInArrow(rows, schema)
+
+
+def _cell(often: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Place in the global order, coarsened to 65,536 cells."""
+    return often.astype(np.int64) << 8 | (hashes >> np.uint64(56)).astype(np.int64)
+
+
+def _cuts(parts: DataFrame) -> np.ndarray:
+    """Cells at which the fragments of the global order begin, by even mass."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: int | None = None
-        data: list[bytes] = []
-        for b in batches:  # in order of the fragment: one fragment is held at a time
-            for f, x in zip(b.column("frag").to_pylist(), b.column("block").to_pylist()):
-                if f != held and data:
-                    yield from one(data)
-                    data.clear()
-                held = f
-                data.append(x)
-        if data:
-            yield from one(data)
+        total = np.zeros(1 << 16, np.int64)
+        for b in batches:
+            total += np.bincount(_cell(_flat(b.column("often"), "u1")[1], _flat(b.column("hashes"), "u8")[1]), minlength=1 << 16)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "mass"])
 
-    schema = f"name {name_type}, n long, shared long" + ", hashes binary, often binary" * with_hashes
-    return blocks.mapInArrow(rows, schema)
+    mass = np.zeros(1 << 16, np.int64)
+    # at most 65,536 rows, whatever the corpus
+    for cell, m in parts.select("hashes", "often").mapInArrow(rows, "cell long, mass long").groupBy("cell").agg(F.sum("mass")).collect():
+        mass[cell] = m
+    upto = np.cumsum(mass)
+    return np.searchsorted(upto, upto[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS, side="left") + 1
 
 
-def _prefixes(parts: DataFrame, similar: int) -> DataFrame:
-    """(h, node, n, s): the shared shingles within each set's prefix, in order of frequency and hash; s of the set's n are shared."""
+def _ordered(parts: DataFrame, cuts: np.ndarray, similar: int) -> DataFrame:
+    """(node, n, s, prefix, segments, g0 ..): the s shared shingles of each set that can have a partner, in the global order."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bytes, bytes]] = []
 
-        def prefix() -> pa.RecordBatch | None:
+        def ordered() -> pa.RecordBatch | None:
             node, n = held[0][:2]
             h = np.frombuffer(b"".join(x for _, _, x, _ in held), np.uint64)
             often = np.frombuffer(b"".join(x for _, _, _, x in held), np.uint8)
-            take = n - -(-similar * n // 100) + 1 - (n - len(h))  # shingles of its own come first
+            take = len(h) - -(-similar * n // 100) + 1  # shingles of its own come first
             if take <= 0:
                 return None
-            first = h[np.lexsort((h, often))[:take]]
-            return pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(np.full(len(first), node)), pa.array(np.full(len(first), n)), pa.array(np.full(len(first), len(h)))], ["h", "node", "n", "s"])
-
+            order = np.lexsort((h, often))
+            h, often = h[order], often[order]
+            parts = np.split(h.view(np.int64), np.searchsorted(_cell(often, h), cuts))
+            odd = np.bincount((h >> np.uint64(4)).astype(np.int64) & (64 * SIGNATURE_WORDS - 1), minlength=64 * SIGNATURE_WORDS) & 1
+            words = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            kind = pa.list_(pa.int64())
+            columns = [pa.array([node]), pa.array([n]), pa.array([len(h)]), pa.array([h[:take].view(np.int64)], kind), pa.array([parts], pa.list_(kind)), *(pa.array([w]) for w in words)]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        names = ["node", "n", "s", "prefix", "segments", *(f"g{i}" for i in range(SIGNATURE_WORDS))]
+        ready: list[pa.RecordBatch] = []
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("name", "n", "hashes", "often"))):
+            for row in zip(*(b.column(c).to_pylist() for c in ("node", "n", "hashes", "often"))):
                 if held and held[0][0] != row[0]:
-                    if (out := prefix()) is not None:
-                        yield out
+                    if (out := ordered()) is not None:
+                        ready.append(out)
                     held.clear()
                 held.append(row)
-        if held and (out := prefix()) is not None:
+            if ready:
+                yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+                ready.clear()
+        if held and (out := ordered()) is not None:
             yield out
 
-    return parts.repartition("name").sortWithinPartitions("name").mapInArrow(rows, "h long, node long, n long, s long")
+    by_node = parts.select("node", "n", "hashes", "often").repartition("node").sortWithinPartitions("node")
+    return by_node.mapInArrow(rows, "node long, n long, s long, prefix array<long>, segments array<array<long>>, " + ", ".join(f"g{i} long" for i in range(SIGNATURE_WORDS)))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """Pairs (a, b, na, nb) with their overlap ``o``, counted by fragment and summed.
+def _possible(similar: int) -> Column:
+    """Whether x and y can be similar if the shingle at which they meet is their first common one."""
+    c = F.col
+    both = c("x.n") + c("y.n")
+    apart = c("x.n") - c("x.s") + c("y.n") - c("y.s")
+    for i in range(SIGNATURE_WORDS):
+        apart = apart + F.bit_count(c(f"x.g{i}").bitwiseXOR(c(f"y.g{i}")))
+    return (
+        (100 * F.least("x.n", "y.n") >= similar * F.greatest("x.n", "y.n"))
+        & ((100 + similar) * F.least("x.left", "y.left") >= similar * both)
+        & ((100 + similar) * F.least("x.s", "y.s") >= similar * both)
+        & ((100 + similar) * apart <= (100 - similar) * both)
+    )
 
-    Sets that lead many pairs are few and their size is checked: they are
-    broadcast, so a pair moves one set.  The other pairs are joined from both sides.
-    """
-    pairs, _ = materialize(pairs, "candidates")
-    hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= HUB_PAIRS).select("a")
-    hub_sets, _ = materialize(sets.join(hubs.withColumnRenamed("a", "node"), "node", "left_semi").select(F.col("node").alias("a"), F.col("segs").alias("sa")), "hubs")
-    bytes_ = hub_sets.agg(F.sum(8 * F.aggregate("sa", F.lit(0), lambda n, x: n + F.size(x)))).first()[0] or 0
-    right = sets.select(F.col("node").alias("b"), F.col("segs").alias("sb"))
-    left = sets.select(F.col("node").alias("a"), F.col("segs").alias("sa"))
-    if 0 < bytes_ <= HUB_BYTES:
-        led = pairs.join(right.hint("shuffle_hash"), "b").join(F.broadcast(hub_sets), "a")
-        rest = pairs.join(hub_sets.select("a"), "a", "left_anti")
-        both = led.select("a", "b", "na", "nb", "sa", "sb").unionByName(rest.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb"))
-    else:
-        both = pairs.join(left, "a").join(right, "b")
-    overlap = sum((F.size(F.array_intersect(F.col("sa")[f], F.col("sb")[f])) for f in range(1, VERIFY_FRAGMENTS)), F.size(F.array_intersect(F.col("sa")[0], F.col("sb")[0])))
-    out = both.select("a", "b", "na", "nb", overlap.cast("long").alias("o"))
-    return out.withColumn("similar", 100 * F.col("o") >= similar * (F.col("na") + F.col("nb") - F.col("o")))
-
-
-def _node_segments(sets: DataFrame) -> DataFrame:
-    """(node, segs array<array<long>>): each set by the verification's fragments."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = np.array([(f << 64) // VERIFY_FRAGMENTS for f in range(1, VERIFY_FRAGMENTS)], np.uint64)
-        for b in batches:
-            segs = []
-            for raw in b.column("hashes").to_pylist():
-                h = np.frombuffer(raw, np.uint64)
-                segs.append(np.split(h.view(np.int64), np.searchsorted(h, bounds)))
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(segs, pa.list_(pa.list_(pa.int64())))], ["node", "segs"])
-
-    return sets.mapInArrow(rows, "node long, segs array<array<long>>")
-
-
-def _links(prefixes: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """(node, comp) over the active sets that have a link."""
-    # an overlap reaches at most the shingles that either set shares at all, and must reach t / (1 + t) of both sizes
-    pairs_of = lambda df: df.where((F.col("a") != F.col("b")) & ((100 + similar) * F.least("ua", "ub") >= similar * (F.col("na") + F.col("nb"))))
-    first = prefixes.groupBy("h").agg(F.min(F.struct("node", "n", "s")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    star = prefixes.join(first, "h").select(F.col("lead.node").alias("a"), F.col("lead.n").alias("na"), F.col("lead.s").alias("ua"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("s").alias("ub"))
-    star = pairs_of(star).groupBy("b", "nb").agg(F.min(F.struct("a", "na")).alias("x")).select("x.a", "x.na", "b", "nb")
-    met, _ = materialize(_verified(star, sets, similar), "pairs")
-    links = met.where("similar").select("a", "b")
-    # Jaccard distance is a metric: distances to one leader bound the distance of two sets from below
-    gap = 1 - F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))
-    far = met.select(F.col("b").alias("node"), F.col("a").alias("pole"), gap.alias("far"))
-    far, _ = materialize(far.unionByName(met.select(F.col("a").alias("node"), F.col("a").alias("pole"), F.lit(0.0).alias("far")).distinct()).groupBy("node").agg(F.min_by("pole", "far").alias("pole"), F.min("far").alias("far")), "poles")
+def _similar_pairs(met: DataFrame, sets: DataFrame, similar: int, scratch: Scratch) -> DataFrame:
+    """Of pairs (a, na, b, nb) those that are similar: overlaps are counted by fragment and summed.
+
+    A set that leads many pairs is dealt over several tasks, as many as its pairs need.
+    """
+    pairs = scratch.table(met, "candidates")
+    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_SALT).cast("int").alias("salts"))
+    leading = salts.join(sets.withColumnRenamed("node", "a"), "a").select("a", "salts", "segments")
+    leading = leading.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "segments").select("a", "salt", F.posexplode("segments").alias("frag", "sa")).where(F.size("sa") > 0)
+    other = sets.withColumnRenamed("node", "b").join(pairs.select("b").distinct(), "b", "left_semi").select("b", F.posexplode("segments").alias("frag", "sb")).where(F.size("sb") > 0)
+    dealt = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
+    partial = dealt.join(leading, ["a", "salt"]).join(other, ["b", "frag"]).select("a", "na", "b", "nb", F.size(F.array_intersect("sa", "sb")).alias("o"))
+    summed = partial.groupBy("a", "na", "b", "nb").agg(F.sum("o").alias("o"))
+    return summed.where(100 * F.col("o") >= similar * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
+
+
+def _links(sets: DataFrame, similar: int, scratch: Scratch) -> DataFrame:
+    """(node, comp) over the sets that have a link."""
+    signature = [f"g{i}" for i in range(SIGNATURE_WORDS)]
+    entries = sets.select("node", "n", "s", *signature, F.posexplode("prefix").alias("i", "h")).select("h", "node", "n", "s", (F.col("s") - F.col("i")).alias("left"), *signature)
+    first = entries.groupBy("h").agg(F.min(F.struct(F.xxhash64("node").alias("o"), "node", "n", "s", "left", *signature)).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    first = scratch.table(first, "leads")
+    several = scratch.table(entries.join(first.select("h", "size"), "h"), "prefixes")
+    named = [F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("y.node").alias("b"), F.col("y.n").alias("nb")]
+
+    def tried(x: DataFrame, y: DataFrame, on: list[str], also: Column) -> DataFrame:
+        met = x.alias("x").join(y.alias("y"), on).where(also & _possible(similar)).select(*named)
+        return scratch.table(_similar_pairs(met.distinct(), sets, similar, scratch), "pairs")
+
+    links = tried(first.select("h", "lead.*"), several, ["h"], F.col("x.node") != F.col("y.node"))
     comps = connected_components(links)
-    bound, tried = LEADERS, 0
+    leaders = FIRST_LEADERS
     while True:
-        label = F.coalesce("comp", "node")
-        placed = prefixes.join(comps, "node", "left").join(far, "node", "left").select("h", "node", "n", "s", label.alias("comp"), "pole", "far")
-        open_ = placed.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("h", "size")
-        open_, _ = materialize(open_.where(F.col("size") > tried), "open")
-        if open_.isEmpty():
+        placed = several.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        by_comp = placed.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c"))
+        open_ = scratch.table(by_comp.groupBy("h").agg(F.max_by("comp", "c").alias("largest"), F.max("c").alias("most"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps"), "open")
+        members = scratch.table(placed.join(open_, "h"), "members")
+        widest = members.agg(F.max("size")).first()[0]
+        if widest is None:
             return comps
-        # a set's turn to lead depends on itself, not on the bucket: buckets of one size have the same leaders
-        place = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
-        members, _ = materialize(placed.join(open_, "h").withColumn("turn", F.shiftright(place * F.col("size"), 30)), "members")
-        lead = members.where((F.col("turn") >= tried) & (F.col("turn") < bound)).select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("s").alias("ua"), F.col("comp").alias("ca"), F.col("pole").alias("pa"), F.col("far").alias("fa"))
-        rest = members.where(F.col("turn") >= tried).select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("s").alias("ub"), F.col("comp").alias("cb"), "turn", F.col("pole").alias("pb"), F.col("far").alias("fb"))
-        apart = F.coalesce((F.col("pa") == F.col("pb")) & (F.abs(F.col("fa") - F.col("fb")) > 1 - similar / 100 + 1e-9), F.lit(False))
-        met = pairs_of(lead.join(rest, "h").where((F.col("ca") != F.col("cb")) & ~apart & ((F.col("turn") >= bound) | (F.col("a") < F.col("b")))))
-        more, _ = materialize(_verified(met.select("a", "na", "b", "nb").distinct(), sets, similar), "pairs")
-        more = more.where("similar").select("a", "b")
+        apart = F.col("x.comp") != F.col("y.comp")
+        if leaders * leaders < widest:
+            # a set's turn to lead depends on itself, not on the shingle: shingles of one frequency have the same leaders
+            turn = members.withColumn("leads", F.pmod(F.xxhash64("node"), F.lit(1 << 30)) * F.col("size") < (leaders << 30))
+            more = tried(turn.where("leads"), turn, ["h"], apart & (~F.col("y.leads") | (F.col("x.node") < F.col("y.node"))))
+        else:
+            salts = F.ceil((F.col("size") - F.col("most")) * F.col("size") / TRIES_A_SALT).cast("int")
+            dealt = members.withColumn("salts", salts)
+            rest = dealt.where("comp <> largest").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+            whole = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+            more = tried(rest, whole, ["h", "salt"], apart & ((F.col("y.comp") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))))
         if not more.isEmpty():
             links = links.union(more)
             comps = connected_components(links)
-        tried, bound = bound, bound * 4
+        if leaders * leaders >= widest:
+            return comps
+        leaders *= MORE_LEADERS
 
 
 def components(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).withColumn("th", F.xxhash64("text"))
-    named, _ = materialize(_set_rows(rows, "text", width), "sets")
-    total = named.agg(F.sum("n")).first()[0] or 0
-    frags = max(16, math.ceil(8 * total / FRAGMENT_BYTES))
+    named, _ = materialize(_set_rows(rows, width, similar).withColumn("salt", F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(SALTS)).cast("int")), "sets")
+    with Scratch(docs.sparkSession) as scratch:
+        final = _classes(rows, named, width, similar, scratch)
+    # copies go by digest and salt, so no task holds a large group
+    by_group = named.select("sid", "salt").distinct().join(final, "sid")
+    out = named.select("doc_id", "n", "sid", "salt").join(by_group, ["sid", "salt"], "left")
+    return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
-    def from_text(batches):
-        for b in text_slices(batches, "text"):
-            n, hashes = shingle_sets(b.column("text"), width)
-            yield set_digests(n, hashes), n, hashes
 
-    blocks = _segments(rows, frags, 16, from_text)
-    shared = _frequent(blocks, 16, "binary", False).groupBy("name", "n").agg(F.sum("shared").alias("shared"))
-    active = shared.where(100 * F.col("shared") >= similar * F.col("n")).select(F.col("name").alias("sid"))
-    classes, _ = materialize(named.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "th")).alias("one"), F.max("n").alias("n")), "classes")
-    nodes = classes.where("n > 0").join(active, "sid", "left_semi").repartitionByRange("one", "sid").sortWithinPartitions("one", "sid")
-    nodes, _ = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+def _classes(rows: DataFrame, named: DataFrame, width: int, similar: int, scratch: Scratch) -> DataFrame:
+    """(sid, component) of every set that is not empty."""
+    gathered = [F.min("rep").alias("rep"), F.min("one").alias("one"), *(F.first(c).alias(c) for c in ("n", "low", "top"))]
+    groups = named.select("sid", "salt", F.col("doc_id").alias("rep"), F.struct("doc_id", "th").alias("one"), "n", "low", "top").groupBy("sid", "salt").agg(*gathered)
+    classes = scratch.table(groups.groupBy("sid").agg(*gathered).where("n > 0").withColumn("node", F.monotonically_increasing_id()), "classes")
+
+    def segments(sets: DataFrame, kind: str) -> DataFrame:
+        size = sets.agg(F.sum(F.length("low"))).first()[0] or 0
+        return _segments(sets, min(1 << 16, max(16, math.ceil(size / FRAGMENT_BYTES))), kind)
 
-    wanted = nodes.select(F.col("one.doc_id").alias("_id"), F.col("one.th").alias("_th"), "node")
+    counted = _counted(segments(classes.select("node", "n", "low", "top"), "u4"), "u4", False)
+    least = F.greatest(F.lit(1), F.floor(F.ceil(similar * F.col("n") / 100) / 5))
+    active = counted.groupBy("node", "n").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= least).select("node")
+    wanted = classes.join(active, "node", "left_semi").select(F.col("one.doc_id").alias("_id"), F.col("one.th").alias("_th"), "node")
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("node", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "text"):
             n, hashes = shingle_sets(b.column("text"), width)
             raw, ends = hashes.tobytes(), np.append(0, np.cumsum(n) * 8).tolist()
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(n, pa.int64()), pa.array([raw[x:y] for x, y in zip(ends, ends[1:])], pa.binary())], ["node", "n", "hashes"])
-
-    sets, _ = materialize(texts.mapInArrow(hashed, "node long, n long, hashes binary").dropDuplicates(["node"]), "active")
-
-    def from_sets(batches):
-        for b in batches:
-            raw = b.column("hashes").to_pylist()
-            n = np.fromiter((len(x) // 8 for x in raw), np.int64, len(raw))
-            yield [int(x).to_bytes(8, "little") for x in b.column("node").to_pylist()], n, np.frombuffer(b"".join(raw), np.uint64)
-
-    active_total = sets.agg(F.sum("n")).first()[0] or 0
-    parts = _frequent(_segments(sets, max(4, math.ceil(8 * active_total / (FRAGMENT_BYTES // 2))), 8, from_sets), 8, "long", True)
-    prefixes, _ = materialize(_prefixes(parts.select("name", "n", "hashes", "often"), similar), "prefixes")
-    segments, _ = materialize(_node_segments(sets.join(prefixes.select("node").distinct(), "node", "left_semi")), "segments")
-    comps = _links(prefixes, segments, similar)
-    linked = nodes.select("sid", "node", "rep").join(comps, "node")
-    least = linked.groupBy("comp").agg(F.min("rep").alias("least"))
-    by_class = linked.join(least, "comp").select("sid", "least")
-    final = classes.where("n > 0").join(by_class, "sid", "left").select("sid", F.coalesce("least", "rep").alias("component"))
-    out = named.join(final, "sid", "left")
-    return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(n, pa.int64()), pa.array([raw[x:y] for x, y in zip(ends, ends[1:])], pa.binary())], ["node", "n", "low"])
+
+    full = scratch.table(texts.mapInArrow(hashed, "node long, n long, low binary").dropDuplicates(["node"]), "active")
+    parts = scratch.table(_counted(segments(full, "u8"), "u8", True), "frequencies")
+    sets = scratch.table(_ordered(parts, _cuts(parts), similar), "ordered")
+    linked = classes.select("sid", "node", "rep").join(_links(sets, similar, scratch), "node")
+    by_comp = linked.groupBy("comp").agg(F.min("rep").alias("least"))
+    by_class = linked.join(by_comp, "comp").select("sid", "least")
+    final, _ = materialize(classes.select("sid", "rep").join(by_class, "sid", "left").select("sid", F.coalesce("least", "rep").alias("component")), "classes")
+    return final
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -312,6 +312,26 @@ def test_jaccard_join(spark, seed):
     assert sorted(map(tuple, jaccard_join.components(df).collect()), key=str) == by_force(rows)
 
 
+def test_jaccard_join_large_group(spark, monkeypatch):
+    """Exact copies, near copies of near copies, and sets just too far from them; leaders and comparisons dealt over salts."""
+    monkeypatch.setattr(jaccard_join, "PAIRS_A_SALT", 4)
+    monkeypatch.setattr(jaccard_join, "TRIES_A_SALT", 300)
+    monkeypatch.setattr(jaccard_join, "FIRST_LEADERS", 2)
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join(base)) for i in range(60)]
+    for i in range(60, 360):
+        w = list(base)
+        for _ in range(rng.choice([1, 1, 1, 2, 3])):
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(None, rows[70][1]), (70, rows[71][1])]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(map(tuple, jaccard_join.components(df).collect()), key=str)
+    assert got == by_force(rows) and len({c for *_, c in got}) > 5
+
+
 def test_jaccard_join_odd(spark, odd):
     rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
     assert sorted(map(tuple, jaccard_join.components(odd).collect()), key=str) == by_force(rows)
