@@ -5,29 +5,32 @@ a window of words, long enough that every item lies whole in some window.  An
 item's score is taken as a share of the score it gives itself, so one threshold
 holds for all.  For each passage
 
-1.  the pivot rule adds the terms' greatest impacts on any item; a passage whose
-    sum stays below the threshold cannot reach it with any item;
-2.  block maxima (the greatest impact of a term on the items of a block) bound
-    each block of items in the same way;
-3.  the items of blocks that are left are scored exactly, and all at or above
-    the threshold are retrieved.
+1.  cursors stand on the posting lists of its terms, in order of their items;
+2.  the pivot is the first cursor at which the lists' greatest weights add up to
+    the threshold: no item in front of it can reach it;
+3.  the greatest weights of the blocks that hold the pivot's item bound it again;
+    if they stay below the threshold, the cursors jump past the nearest block end;
+4.  else the item is scored exactly; all at or above the threshold are retrieved.
 
 A retrieved pair counts as a leak if both the item's question and its answer
 overlap with the passage in word trigrams.
 
-Items are indexed in shards of at most ``SHARD_ITEMS`` items and ``SHARD_BYTES``
-bytes of text, one pass over the documents for each shard, so what is broadcast is
-bounded whatever the benchmark's size.  Documents are never shuffled.
+Items are indexed in shards of about ``SHARD_ITEMS`` items and ``SHARD_WORDS`` words, one
+pass over the documents for each shard, so what is broadcast is bounded whatever
+the benchmark's size.  Document frequencies, mean length and the passages' length
+are those of all items, so results do not depend on the shards.  Documents are
+never shuffled.
 
 Defined results: null or empty texts and items are never leaks; items of fewer
 words than a trigram are matched by their whole text; rows with equal or null ids
-are judged by themselves; empty tables give no rows (``remove_leaks`` with an empty
+are judged by themselves; items with equal ids are items of their own; empty tables give no rows (``remove_leaks`` with an empty
 benchmark keeps all); clashing columns are handed on untouched.
 """
 
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ragged_index, text_slices
+from .common import Scratch, ragged_index, ship, text_slices
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -46,7 +49,10 @@ OVERLAP = 0.6
 BLOCK = 16
 GRAM = 3
 LEAST_STRIDE = 64
-SHARD_ITEMS, SHARD_BYTES = 20_000, 16 << 20
+SHARD_ITEMS, SHARD_WORDS = 20_000, 2_000_000
+WORDS_AT_ONCE = 400_000
+#: Sums of weights are compared with this much room for rounding.
+SLACK = 1e-9
 #: Punctuation that is trimmed from words.
 TRIM = ".,;:!?¡¿…\"'«»“”„()[]{}<>*#|&%$-–—_/\\"
 
@@ -80,66 +86,112 @@ def grams(words: list[int], n: int = GRAM) -> set[tuple[int, ...]]:
 
 @dataclass
 class Index:
-    items: list[int]
+    """Posting lists of one shard of items, each list cut into blocks with the greatest weight of each.
+
+    A weight is a term's BM25 score in an item as a share of the score the item gives itself.
+    Postings are sorted by (term, item), so one sorted array of ``term * items + item`` finds any place in any list.
+    """
+
+    items: pa.Array
     vocabulary: pa.Array
-    weights: np.ndarray  # terms x items: share of the item's own score
-    block_max: np.ndarray  # terms x blocks
+    begin: np.ndarray  # of each term's postings
+    places: np.ndarray  # postings as term * items + item
+    weights: np.ndarray
     term_max: np.ndarray
-    question: list[set]
-    answer: list[set]
-    words: list[list[int]]
+    block_last: np.ndarray  # last posting of each block, as in ``places``
+    block_max: np.ndarray
+    word: np.ndarray  # all items' words, one after the other
+    word_begin: np.ndarray
     stride: int
 
     @staticmethod
-    def build(items: list[tuple[int, str]]) -> "Index":
-        codes, n, words = normal_words(pa.array([t for _, t in items], pa.string()))
-        kept = [i for i in range(len(items)) if n[i]]
-        starts = np.cumsum(n) - n
-        rows = [codes[starts[i] : starts[i] + n[i]].tolist() for i in kept]
-        lengths = np.array([len(r) for r in rows], float)
-        tf = np.zeros((len(words), len(rows)), np.float32)
-        for j, r in enumerate(rows):
-            np.add.at(tf[:, j], r, 1)
-        df = (tf > 0).sum(axis=1)
-        idf = np.log(1 + (len(rows) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths / max(lengths.mean() if len(rows) else 1, 1e-9))
-        score = idf[:, None] * tf * (K1 + 1) / (tf + norm) if len(rows) else tf
-        weights = (score / np.maximum(score.sum(axis=0), 1e-9)).astype(np.float32)
-        blocks = -(-len(rows) // BLOCK)
-        block_max = np.zeros((len(words), blocks), np.float32)
-        for k in range(blocks):
-            block_max[:, k] = weights[:, k * BLOCK : (k + 1) * BLOCK].max(axis=1)
-        halves = [question_and_answer(r) for r in rows]
-        longest = int(lengths.max()) if len(rows) else 1
-        return Index([items[i][0] for i in kept], words, weights, block_max, block_max.max(axis=1) if blocks else np.zeros(len(words), np.float32), [grams(q) for q, _ in halves], [grams(a) for _, a in halves], rows, max(LEAST_STRIDE, longest))
-
-    def search(self, terms: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, float]]:
-        """(passage, item place, score) of all pairs at or above the threshold; terms are distinct within a passage."""
-        starts = np.cumsum(sizes) - sizes
-        some = np.flatnonzero(sizes)
-        if not len(some):
-            return []
-        upper = np.add.reduceat(self.term_max[terms], starts[some])
-        alive = some[upper >= THRESHOLD - 1e-4]
-        found = []
-        for a in range(0, len(alive), 2048):
-            part = alive[a : a + 2048]
-            own = terms[ragged_index(starts[part], sizes[part])]
-            cuts = np.cumsum(sizes[part]) - sizes[part]
-            for k in range(self.block_max.shape[1]):
-                bound = np.add.reduceat(self.block_max[own, k], cuts)
-                left = np.flatnonzero(bound >= THRESHOLD - 1e-4)
-                if len(left):
-                    mine = own[ragged_index(cuts[left], sizes[part[left]])]
-                    exact = np.add.reduceat(self.weights[mine, k * BLOCK : (k + 1) * BLOCK], np.cumsum(sizes[part[left]]) - sizes[part[left]], axis=0)
-                    found += [(int(part[left[i]]), k * BLOCK + int(j), float(exact[i, j])) for i, j in zip(*np.nonzero(exact >= THRESHOLD - 1e-4))]
-        return found
+    def build(items: pa.Array, words: pa.ListArray, df: dict[str, np.ndarray | pa.Array], total: int, mean: float, longest: int) -> "Index":
+        """``df`` has the terms and in how many of all ``total`` items each stands; ``mean`` and ``longest`` are of all items as well."""
+        offsets = words.offsets.to_numpy().astype(np.int64)
+        begin, n = offsets - offsets[0], np.diff(offsets)
+        coded = words.flatten().dictionary_encode()
+        vocabulary = coded.dictionary.cast(pa.string())
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        owner = np.repeat(np.arange(len(n)), n)
+        many = max(len(n), 1)
+        places, tf = np.unique(code * many + owner, return_counts=True)
+        term, item = places // many, places % many
+        often = np.asarray(df["df"], np.float64)[pc.index_in(vocabulary, value_set=df["term"]).to_numpy(zero_copy_only=False).astype(np.int64)] if len(vocabulary) else np.zeros(0)
+        idf = np.log(1 + (total - often + 0.5) / (often + 0.5))
+        score = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[item] / mean)) if len(term) else np.zeros(0)
+        weights = score / np.maximum(np.bincount(item, weights=score, minlength=many), 1e-12)[item]
+        starts = np.searchsorted(term, np.arange(len(vocabulary) + 1))
+        rank = np.arange(len(term)) - starts[term]
+        heads = np.flatnonzero(rank % BLOCK == 0)
+        lasts = np.append(heads[1:], len(term))[: len(heads)] - 1
+        greatest = lambda at: np.maximum.reduceat(weights, at) if len(at) else np.zeros(0)
+        return Index(items, vocabulary, starts, places, weights, greatest(starts[:-1]), places[lasts], greatest(heads), code.astype(np.int32), begin, max(LEAST_STRIDE, longest))
+
+    def search(self, terms: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item, score) of all pairs at or above the threshold; terms are distinct within a passage.
+
+        Block-max WAND with a fixed threshold.  All passages take their steps together: a
+        passage's cursors stand in order of their items; its pivot is the first cursor
+        at which the lists' greatest weights add up to the threshold; if the weights of
+        the blocks at the pivot's item do as well, the item is scored, else all cursors
+        in front jump past the nearest end of these blocks.
+        """
+        many, least = max(len(self.items), 1), THRESHOLD - SLACK
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        own = np.repeat(np.arange(len(sizes)), sizes)
+        upper = np.bincount(own, weights=self.term_max[terms], minlength=len(sizes))
+        own, term = own[upper[own] >= least], terms[upper[own] >= least]
+        at = self.begin[term]
+        item = self.places[at] - term * many
+        while len(own):
+            order = np.argsort(own * (many + 1) + item, kind="stable")  # nearly in order from the step before
+            own, term, at, item = own[order], term[order], at[order], item[order]
+            heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            size = np.diff(np.append(heads, len(own)))
+            who = np.repeat(np.arange(len(heads)), size)
+            upto = np.cumsum(self.term_max[term])
+            upto -= (upto[heads] - self.term_max[term[heads]])[who]
+            pivot = np.minimum.reduceat(np.where(upto >= least, np.arange(len(own)), len(own)), heads)
+            live = pivot < len(own)
+            if not live.any():
+                break
+            target = np.where(live, item[np.minimum(pivot, len(own) - 1)], -1)
+            aim = target[who]
+            front = np.flatnonzero(item <= aim)
+            block = np.searchsorted(self.block_last, term[front] * many + aim[front])
+            ended = block == len(self.block_last)
+            block[ended] = 0
+            last = self.block_last[block] - term[front] * many  # of another term's list if this one ends before the item
+            ended |= last >= many
+            bound = np.bincount(who[front], weights=np.where(ended, 0.0, self.block_max[block]), minlength=len(heads))
+            scored = live & (bound >= least)
+            # the next item that can matter where the blocks' bound is too low
+            beyond = item.copy()
+            beyond[front] = np.where(ended, many, last + 1)
+            aim = np.where(scored, target, np.minimum.reduceat(beyond, heads))[who]
+            moved = front[item[front] < aim[front]]
+            at[moved] = np.searchsorted(self.places, term[moved] * many + aim[moved])
+            item[moved] = self._items_at(at[moved], term[moved], many)
+            hit = front[(item[front] == aim[front]) & scored[who[front]]]
+            score = np.bincount(who[hit], weights=self.weights[at[hit]], minlength=len(heads))
+            good = np.flatnonzero(scored & (score >= least))
+            found.append((own[heads[good]], target[good], score[good]))
+            at[hit] += 1
+            item[hit] = self._items_at(at[hit], term[hit], many)
+            keep = (item < many) & live[who]
+            own, term, at, item = own[keep], term[keep], at[keep], item[keep]
+        return tuple(np.concatenate([f[k] for f in found] or [np.zeros(0, t)]) for k, t in enumerate((np.int64, np.int64, np.float64)))
+
+    def _items_at(self, at: np.ndarray, term: np.ndarray, many: int) -> np.ndarray:
+        """Items of cursors; ``many`` for those past the end of their list."""
+        done = at >= self.begin[term + 1]
+        return np.where(done, many, self.places[np.minimum(at, len(self.places) - 1)] - term * many)
 
     def leaks(self, texts: pa.Array) -> list[dict[int, float]]:
         """For each text: item and its best score, for the items it leaks."""
         out: list[dict[int, float]] = [{} for _ in range(len(texts))]
         codes, n, words = normal_words(texts)
-        if not len(codes) or not self.items:
+        if not len(codes) or not len(self.items):
             return out
         term = pc.fill_null(pc.index_in(words, value_set=self.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
         starts = np.cumsum(n) - n
@@ -148,27 +200,24 @@ class Index:
         owner = np.repeat(np.arange(len(n)), count)
         at = starts[owner] + self.stride * (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count))
         end = np.minimum(at + 2 * self.stride, starts[owner] + n[owner])
-        step = max(16, (8 << 20) // len(self.vocabulary))
+        step = max(1, WORDS_AT_ONCE // (2 * self.stride))
         for lo in range(0, len(owner), step):
             a, e = at[lo : lo + step], end[lo : lo + step]
-            size = e - a
-            window = np.repeat(np.arange(len(a)), size)
-            t = term[ragged_index(a, size)]
-            known = t >= 0
-            mark = np.zeros((len(a), len(self.vocabulary)), bool)  # distinct terms of each passage
-            mark[window[known], t[known]] = True
-            who, pair = np.nonzero(mark)
-            sizes = np.bincount(who, minlength=len(a))
-            for w, item, score in self.search(pair, sizes):
-                passage = term[a[w] : e[w]].tolist()
-                here = grams(passage)
-                if self._overlaps(here, item):
+            window = np.repeat(np.arange(len(a)), e - a)
+            t = term[ragged_index(a, e - a)]
+            pair = np.unique(window[t >= 0] * len(self.vocabulary) + t[t >= 0])  # distinct terms of each passage
+            sizes = np.bincount(pair // len(self.vocabulary), minlength=len(a))
+            here: tuple[int, set] | None = None
+            for w, item, score in sorted(zip(*(x.tolist() for x in self.search(pair % len(self.vocabulary), sizes)))):
+                if here is None or here[0] != w:
+                    here = (w, grams(term[a[w] : e[w]].tolist()))
+                if self._overlaps(here[1], item):
                     own = out[owner[lo + w]]
                     own[item] = max(own.get(item, 0.0), score)
         return out
 
     def _overlaps(self, here: set, item: int) -> bool:
-        for part in (self.question[item], self.answer[item]):
+        for part in map(grams, question_and_answer(self.word[self.word_begin[item] : self.word_begin[item + 1]].tolist())):
             whole = {g for g in part if len(g) == GRAM}
             if whole and len(whole & here) < OVERLAP * len(whole):
                 return False
@@ -179,63 +228,88 @@ class Index:
         return True
 
 
-_cache: dict[int, Index] = {}
+_held: tuple[str, Index] | None = None
+
+
+def _index(name: str, broadcast) -> Index:
+    """The worker's copy of a broadcast index; one is held at a time, known by its own name."""
+    global _held
+    if _held is None or _held[0] != name:
+        _held = (name, pickle.loads(broadcast.value))
+    return _held[1]
+
 
+def item_words(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
+    """(item, words): normal words of every item that has any."""
+    kind = items.schema[key].dataType.simpleString()
 
-def _index(broadcast) -> Index:
-    key = broadcast.id if hasattr(broadcast, "id") else id(broadcast)
-    if key not in _cache:
-        _cache.clear()
-        _cache[key] = pickle.loads(broadcast.value)
-    return _cache[key]
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches, "_text"):
+            codes, n, words = normal_words(b.column("_text"))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), words.cast(pa.string()).take(pa.array(codes)))
+            yield pa.RecordBatch.from_arrays([b.column("_item"), lists], ["item", "words"]).filter(pa.array(n > 0))
 
+    return items.select(F.col(key).alias("_item"), F.col(text).alias("_text")).mapInArrow(rows, f"item {kind}, words array<string>")
 
-def shards(items: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[list[tuple[int, str]]]:
-    """Test items in shards of a bounded size, streamed to the driver."""
-    held: list[tuple[int, str]] = []
-    size = 0
-    for r in items.where(F.col(text).isNotNull()).select(key, text).orderBy(key, text).toLocalIterator():
-        held.append((r[0], r[1]))
-        size += len(r[1])
-        if len(held) >= SHARD_ITEMS or size >= SHARD_BYTES:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
 
+def indexes(items: DataFrame, key: str = "item_id", text: str = "text", shard_items: int = SHARD_ITEMS, shard_words: int = SHARD_WORDS) -> Iterator[Index]:
+    """Indexes over shards of the items, of a bounded size; how they are dealt has no bearing on weights or windows."""
+    spark = items.sparkSession
+    ship(spark)
+    with Scratch(spark) as scratch:
+        table = scratch.table(item_words(items, key, text), "items")
+        n = F.size("words")
+        total, words, longest = table.agg(F.count(F.lit(1)), F.sum(n), F.max(n)).first()
+        if not total:
+            return
+        shards = max(-(-total // shard_items), -(-words // shard_words))
+        df = scratch.table(table.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
+        for k in range(shards):
+            own = table.where(F.pmod(F.xxhash64("item", "words"), F.lit(shards)) == k)
+            held = own.toArrow().combine_chunks()
+            if held.num_rows:
+                terms = df.join(own.select(F.explode("words").alias("term")).distinct(), "term", "left_semi").toArrow().combine_chunks()
+                yield Index.build(_one(held, "item"), _one(held, "words"), {"term": _one(terms, "term"), "df": _one(terms, "df").to_numpy()}, total, words / total, longest)
 
-def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, item_id, score) of every leak; one row for each row of ``docs`` and item."""
+
+def _one(table: pa.Table, column: str) -> pa.Array:
+    found = table.column(column)
+    return found.chunk(0) if found.num_chunks else pa.array([], found.type)
+
+
+def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """(key, item_id, score) of every leak; one row for each row of ``docs`` and item.
+
+    Where ``key`` is itself called item_id or score, the other column has an underscore in front.
+    """
     spark = docs.sparkSession
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    schema = f"{key} {kind}, item_id {item_kind}, score double"
+    names = ["_key", *(f"_{c}" if key == c else c for c in ("item_id", "score"))]
+    schema = f"_key {kind}, {names[1]} {item_kind}, {names[2]} double"
     out = spark.createDataFrame([], schema)
-    for shard in shards(items, item_key, item_text):
-        shared = spark.sparkContext.broadcast(pickle.dumps(Index.build(shard)))
+    for index in indexes(items, item_key, item_text, shard_items):
+        name, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(pickle.dumps(index))  # postings of a shard, whose size is bounded
 
-        def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = _index(shared)
-            for b in text_slices(batches, text):
-                found = [(i, item, score) for i, own in enumerate(index.leaks(b.column(text))) for item, score in sorted(own.items())]
+        def rows(batches: Iterator[pa.RecordBatch], name=name, shared=shared) -> Iterator[pa.RecordBatch]:
+            index = _index(name, shared)
+            for b in text_slices(batches, "_text"):
+                found = [(i, item, score) for i, own in enumerate(index.leaks(b.column("_text"))) for item, score in sorted(own.items())]
                 if found:
-                    ids = b.column(key).take(pa.array([i for i, _, _ in found]))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([index.items[j] for _, j, _ in found], arrow_item), pa.array([s for _, _, s in found])], [key, "item_id", "score"])
-
-        from pyspark.sql.pandas.types import to_arrow_type
+                    at, item, score = zip(*found)
+                    yield pa.RecordBatch.from_arrays([b.column("_key").take(pa.array(at)), index.items.take(pa.array(item)), pa.array(score)], names)
 
-        arrow_item = to_arrow_type(items.schema[item_key].dataType)
-        out = out.unionByName(docs.select(key, text).mapInArrow(rows, schema))
-    return out
+        out = out.unionByName(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(rows, schema))
+    return out.withColumnRenamed("_key", key)
 
 
-def remove_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def remove_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", shard_items: int = SHARD_ITEMS) -> DataFrame:
     """The rows of ``docs`` without any leak, with all their columns."""
     spark = docs.sparkSession
-    for shard in shards(items, item_key, item_text):
-        shared = spark.sparkContext.broadcast(pickle.dumps(Index.build(shard)))
+    for index in indexes(items, item_key, item_text, shard_items):
+        name, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(pickle.dumps(index))
 
-        def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = _index(shared)
+        def rows(batches: Iterator[pa.RecordBatch], name=name, shared=shared) -> Iterator[pa.RecordBatch]:
+            index = _index(name, shared)
             for b in text_slices(batches, text):
                 clean = [not own for own in index.leaks(b.column(text))]
                 yield b.filter(pa.array(clean, pa.bool_()))

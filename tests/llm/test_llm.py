@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -105,13 +106,65 @@ def test_decontamination(spark, odd):
 
 
 def test_block_max_search_is_exact():
+    """All pairs at or above the threshold, and no others, with weights added up term by term."""
     rng = random.Random(2)
-    items = [(i, " ".join(rng.choices([f"t{j}" for j in range(50)], k=12))) for i in range(70)]
-    ix = decontaminate.Index.build(items)
-    queries = [sorted(rng.sample(range(len(ix.vocabulary)), 14)) for _ in range(300)]
-    got = {(q, i) for q, i, _ in ix.search(np.array(sum(queries, [])), np.array([len(q) for q in queries]))}
-    want = {(q, i) for q, ts in enumerate(queries) for i in range(len(items)) if ix.weights[ts, i].sum() >= decontaminate.THRESHOLD - 1e-4}
-    assert got == want and want
+    words = [rng.choices([f"t{j}" for j in range(50)], [1 / (j + 1) for j in range(50)], k=rng.randint(1, 14)) for _ in range(170)]
+    df = collections.Counter(t for w in words for t in set(w))
+    mean = sum(map(len, words)) / len(words)
+    ix = decontaminate.Index.build(pa.array(range(170)), pa.array(words), {"term": pa.array(list(df)), "df": np.array(list(df.values()))}, 170, mean, 14)
+    names = ix.vocabulary.to_pylist()
+
+    def share(terms, item):
+        part = {t: math.log(1 + (170 - df[t] + 0.5) / (df[t] + 0.5)) * words[item].count(t) * 2.2 / (words[item].count(t) + 1.2 * (0.25 + 0.75 * len(words[item]) / mean)) for t in set(words[item])}
+        return sum(part.get(t, 0) for t in terms) / sum(part.values())
+
+    queries = [sorted(rng.sample(range(len(names)), rng.randint(0, 14))) for _ in range(300)]
+    found = zip(*(x.tolist() for x in ix.search(np.array(sum(queries, []), np.int64), np.array([len(q) for q in queries]))))
+    got = {(q, i): s for q, i, s in found}
+    want = {(q, i): s for q, ts in enumerate(queries) for i in range(170) if (s := share([names[t] for t in ts], i)) >= decontaminate.THRESHOLD}
+    assert set(got) == set(want) and len(want) > 100
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def leaks_by_force(rows, items):
+    """Leaks of all passages of texts against all items, without an index."""
+    normal = lambda t: [w for w in (x.lower().strip(decontaminate.TRIM) for x in re.split(r"[ \t-\r]+", t or "")) if w]
+    items = [(i, w) for i, t in items if (w := normal(t))]
+    df = collections.Counter(t for _, w in items for t in set(w))
+    mean, longest = sum(len(w) for _, w in items) / len(items), max(len(w) for _, w in items)
+    stride, out = max(decontaminate.LEAST_STRIDE, longest), {}
+    for doc, text in rows:
+        w = normal(text)
+        for a in range(0, max(len(w) - stride, 1), stride):
+            passage = w[a : a + 2 * stride]
+            here = decontaminate.grams(passage)
+            for i, own in items:
+                part = {t: math.log(1 + (len(items) - df[t] + 0.5) / (df[t] + 0.5)) * own.count(t) * 2.2 / (own.count(t) + 1.2 * (0.25 + 0.75 * len(own) / mean)) for t in set(own)}
+                score = sum(s for t, s in part.items() if t in set(passage)) / sum(part.values())
+                halves = [decontaminate.grams(h) for h in decontaminate.question_and_answer(own)]
+                if score >= decontaminate.THRESHOLD and all(len(h & here) >= decontaminate.OVERLAP * len(h) for h in halves if h):
+                    out[doc, i] = max(out.get((doc, i), 0), score)
+    return {(d, i, round(s, 6)) for (d, i), s in out.items()}
+
+
+@pytest.mark.parametrize("shard_items", [20_000, 7])
+def test_decontamination_by_force(spark, shard_items):
+    """Pairs and scores are those of brute force, however the items are dealt over shards."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(9, 40)))) for i in range(40)] + [(40, None), (41, " - ")]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 400)))) for i in range(40)]
+    for i in range(40, 90):
+        part = rng.choice(items[:40])[1].split()
+        for _ in range(rng.randint(0, 6)):
+            part[rng.randrange(len(part))] = rng.choice(words)
+        rows.append((i, " ".join([*rng.choices(words, k=rng.randint(0, 200)), *part, *rng.choices(words, k=rng.randint(0, 200))])))
+    df = spark.createDataFrame(rows + [(90, None), (91, "")], "doc_id long, text string")
+    got = decontaminate.leaks(df, spark.createDataFrame(items, "item_id long, text string"), shard_items=shard_items)
+    want = leaks_by_force(rows, items)
+    assert {(r.doc_id, r.item_id, round(r.score, 6)) for r in got.collect()} == want and len(want) > 20
+    again = decontaminate.leaks(df.withColumnRenamed("doc_id", "item_id"), spark.createDataFrame(items, "item_id long, text string"), key="item_id")
+    assert again.columns == ["item_id", "_item_id", "score"] and again.count() == len(want)
 
 
 # --- 3 URL filter
