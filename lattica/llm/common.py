@@ -48,6 +48,11 @@ def remove(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each Spark context."""
     sc = spark.sparkContext

@@ -9,11 +9,13 @@ order, is the page's text.
 
 The network is trained here, on pages that ``training_page`` lays out from random
 templates with known main blocks; ``TRAIN_PAGES`` and the seed are parameters.
-Weights (some hundred kB, a fixed size) are trained once on the driver.
+Weights (some hundred kB, a fixed size) are trained once on the driver and kept in
+the shared folder.
 
 Defined results: null or empty html gives an empty text; a page without main
-blocks gives an empty text; broken html is read by forgiving rules, never
-refused; rows with equal or null ids keep a row each; an empty table gives no
+blocks gives an empty text; broken html is read by the standard's rules, never
+refused: a stray quote is a character, an unclosed element reaches to where its parent
+ends, an unclosed script or style to the end of the page; ``<br>`` ends a block; rows with equal or null ids keep a row each; an empty table gives no
 rows; other columns are not handed on.
 """
 
@@ -24,34 +26,46 @@ import html
 import random
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import exists, shared_dir, ship, text_slices
 
-PATH_SLOTS, WORD_SLOTS, PLAIN = 256, 16, 8
+PATH_SLOTS, WORD_SLOTS, PLAIN = 256, 64, 8
 HIDDEN = 16
-TRAIN_PAGES, EPOCHS, SEED = 1000, 8, 7
+TRAIN_PAGES, EPOCHS, SEED = 2000, 12, 7
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>?|<[!?][^>]*>?|[^<]+|<", re.S)
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: A tag by the standard's rules: a quote opens a value only right behind ``=``; elsewhere it is a character like others.
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)"""
+    r"""(?P<attrs>(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?)*+)>?|<[!?][^>]*>?|[^<]+|<""",
+    re.S,
+)
+_ATTR = re.compile(r"""(?<![^\s/"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Elements of the HTML standard by how their text is laid out.
 BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math object canvas select".split())
+#: Elements whose content is no text of the page: code, form values, fallbacks for what the page shows otherwise.
+RAW = frozenset("script style textarea title noscript template iframe noembed noframes select".split())
+#: Without an end tag these reach to the end of the page, as in a browser; others are passed over.
+CODE = frozenset(("script", "style"))
 #: A start tag closes an open element of the same group.
 CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 CLOSES |= {t: ("p",) for t in BLOCKS - set(CLOSES) - {"br", "button", "label", "body", "html", "head"}}
 STOPS = frozenset("ul ol dl table article section div main aside nav header footer form body".split())
 
 
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
+
+
 def leaf_blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     """(tag path, text, characters within links) of the page's leaf blocks, in order."""
     out: list[tuple[tuple[str, ...], str, int]] = []
@@ -96,8 +110,8 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             if not m["close"]:
                 if tag in BLOCKS:
                     flush()
-                if not m["attrs"].endswith("/"):
-                    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                end = _END[tag].search(page, at)
+                if end or tag in CODE:
                     at = end.end() if end else len(page)
             continue
         if tag in BLOCKS:
@@ -252,32 +266,60 @@ def padded(n: np.ndarray, x: np.ndarray, which: np.ndarray) -> tuple[np.ndarray,
 SYLLABLES = "ta re mi on der the and of le la ción es en st ing ou er ge au va lo".split()
 
 
-def _prose(rng: random.Random, words: int) -> str:
-    out = ["".join(rng.choices(SYLLABLES, k=rng.randint(1, 4))) + ("," if rng.random() < 0.08 else "") for _ in range(words)]
+#: Words that training pages put in front of some texts, by what the block is; the pages of one in three have none.
+USUAL = {
+    "nav": "home about contact menu start inicio accueil archive help login".split(),
+    "notice": "cookies cookie privacy accept subscribe newsletter consent akzeptieren suscribirse accepter".split(),
+    "footer": "copyright rights reserved imprint impressum privacy terms legal mentions aviso".split(),
+    "ad": "sponsored advertisement anzeige publicidad publicité offer buy sale now".split(),
+    "comments": "comments reply says wrote antworten responder répondre kommentare".split(),
+    "aside": "related popular more recent tags share ähnliche relacionados".split(),
+    "form": "search email password send submit name suchen buscar".split(),
+}
+
+
+def _prose(rng: random.Random, words: int, kind: str = "") -> str:
+    usual = USUAL.get(kind, ())
+    out = [rng.choice(usual) if usual and rng.random() < 0.3 else "".join(rng.choices(SYLLABLES, k=rng.randint(1, 4))) + ("," if rng.random() < 0.08 else "") for _ in range(words)]
     return (" ".join(out).capitalize() + rng.choice(["."] * 8 + ["!", "?", ""])).replace("&", "&amp;")
 
 
+def _name(rng: random.Random) -> str:
+    return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 7)))
+
+
 def training_page(rng: random.Random) -> tuple[str, list[bool]]:
     """A page from a random template, and for each of its leaf blocks whether it belongs to the main text."""
     parts: list[str] = []
     labels: list[bool] = []
 
+    names_tell, words_tell = rng.random() < 0.65, rng.random() < 0.65
+    doing = ""
+
     def add(before: str, n: int, main: bool, after: str = "") -> None:
-        parts.append(before + _prose(rng, n) + after)
+        if not names_tell:  # a page whose classes say nothing: names are left out or made up
+            before = re.sub(r'\s(class|id)=("[^"]*"|[^\s>]+)', lambda m: rng.choice(["", f" {m[1]}={_name(rng)}"]), before)
+        parts.append(before + _prose(rng, n, "" if main or not words_tell else doing) + after)
         labels.append(main)
 
+    def say(tag: str) -> str:
+        """A name of an element, made up on pages whose names tell nothing."""
+        return tag if names_tell or "=" not in tag else re.sub(r'=("[^"]*"|\S+)', lambda m: f"={_name(rng)}", tag)
+
     def links(tag: str, name: str, count: int) -> None:
-        parts.append(f'<{tag}{rng.choice(["", f" class={chr(34)}{name}{chr(34)}", f" id={chr(34)}{name}{chr(34)}"])}><ul>')
+        parts.append(f'<{say(tag + rng.choice(["", f" class={chr(34)}{name}{chr(34)}", f" id={chr(34)}{name}{chr(34)}"]))}><ul>')
         for _ in range(count):
             add('<li><a href="/x">', rng.randint(1, 4), False, "</a></li>")
         parts.append(f"</ul></{tag}>")
 
     def boiler(kind: str) -> None:
+        nonlocal doing
+        doing = kind
         if kind == "nav":
             links(rng.choice(["nav", "nav", "div"]), rng.choice(["nav", "menu", "navbar", "topnav", "site-menu"]), rng.randint(3, 9))
         elif kind == "aside":
             side = rng.choice(["aside", 'div class="sidebar"', 'div id="sidebar"', 'section class="related"', 'div class="widget"'])
-            parts.append(f"<{side}>")
+            parts.append(f"<{say(side)}>")
             add(rng.choice(["<h3>", "<h4>", "<p>"]), rng.randint(1, 4), False)
             for _ in range(rng.randint(0, 4)):
                 add(rng.choice(["<p>", "<li>", "<div>"]), rng.randint(3, 40), False)
@@ -287,7 +329,7 @@ def training_page(rng: random.Random) -> tuple[str, list[bool]]:
             add(f'<{rng.choice(["div", "div", "aside", "section"])} class="{name}">', rng.randint(2, 30), False, "</div></aside></section>")
         elif kind == "notice":
             name = rng.choice(["cookie", "cookie-notice", "notice", "consent", "gdpr", "newsletter", "popup", "alert", "modal"])
-            parts.append(f'<div class="{name}">')
+            parts.append("<" + say(f'div class="{name}"') + ">")
             for _ in range(rng.randint(1, 2)):
                 add(rng.choice(["<p>", ""]), rng.randint(4, 30), False, rng.choice(["</p>", "<br>"]))
             if rng.random() < 0.5:
@@ -299,10 +341,10 @@ def training_page(rng: random.Random) -> tuple[str, list[bool]]:
                 add("<label>", rng.randint(1, 4), False, '</label><input name="q">')
             add("<button>", 1, False, "</button></form>")
         elif kind == "comments":
-            parts.append(f'<{rng.choice(["div", "section"])} {rng.choice(["class", "id"])}="{rng.choice(["comments", "comment-list", "reader-comments", "discussion", "replies"])}">')
+            parts.append("<" + say(f'{rng.choice(["div", "section"])} {rng.choice(["class", "id"])}="{rng.choice(["comments", "comment-list", "reader-comments", "discussion", "replies"])}"') + ">")
             add("<h3>", rng.randint(1, 3), False, "</h3>")
             for _ in range(rng.randint(1, 6)):
-                parts.append('<div class="comment">' if rng.random() < 0.7 else "<li>")
+                parts.append("<" + say('div class="comment"') + ">" if rng.random() < 0.7 else "<li>")
                 add("<p>", rng.randint(3, 60), False, "</p>")
                 parts.append("</div>")
             parts.append("</section></div>")
@@ -313,7 +355,7 @@ def training_page(rng: random.Random) -> tuple[str, list[bool]]:
 
     def article() -> None:
         shell = rng.choice(["article"] * 5 + ["main", 'div class="content"', 'div id="content"', 'div class="post"', 'div class="entry-content"', 'div class="article-body"', 'section class="story"', 'main><article'])
-        parts.append(f"<{shell}>")
+        parts.append(f"<{say(shell) if rng.random() < 0.5 else shell}>")
         if rng.random() < 0.85:
             add(rng.choice(["<h1>", "<h1>", "<h2>", '<h1 class="title">']), rng.randint(1, 14), True, "</h1></h2>")
         for _ in range(rng.choice([1, 2, 3, 5, 8, 12, 20, 40])):
@@ -405,13 +447,26 @@ def label(net: BiLSTM, pages: list[list]) -> list[np.ndarray]:
     return out
 
 
+def weights(spark: SparkSession) -> dict[str, np.ndarray]:
+    """Trained weights: made once and kept in the shared folder under a name that tells their parameters and this code."""
+    source = Path(__file__)
+    code = source.read_bytes() if source.exists() else b""  # within an archive the parameters alone name them
+    name = xxhash.xxh64_hexdigest(repr((PATH_SLOTS, WORD_SLOTS, PLAIN, HIDDEN, TRAIN_PAGES, EPOCHS, SEED)).encode() + code)
+    path = f"{shared_dir(spark)}/lattica/html-weights-{name}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        rows = [(k, list(v.shape), v.astype("<f4").tobytes()) for k, v in trained().p.items()]
+        spark.createDataFrame(rows, "name string, shape array<int>, value binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return {r["name"]: np.frombuffer(r["value"], "<f4").reshape(r["shape"]) for r in spark.read.parquet(path).collect()}  # six rows
+
+
 def extract(pages: DataFrame, column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """(kept columns, text, n_chars) of every page."""
-    weights = trained().p
+    ship(pages.sparkSession)
+    held = weights(pages.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = BiLSTM(PATH_SLOTS + WORD_SLOTS + PLAIN)
-        net.p = weights
+        net.p = held
         for b in text_slices(batches, "_html", 4_000_000):
             blocks = [leaf_blocks(h) for h in b.column("_html").to_pylist()]
             texts = ["\n".join(t for (_, t, _), main in zip(page, mark) if main) for page, mark in zip(blocks, label(net, blocks))]

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import decontaminate, html_blocks, huffman, jaccard_join, line_dedup, quality_rules, sentencepiece_bpe, substring_dedup, token_counts, url_filter
+from lattica.llm import decontaminate, html_blocks, huffman, jaccard_join, line_dedup, quality_rules, registry, sentencepiece_bpe, substring_dedup, token_counts, url_filter
 from lattica.llm.common import fresh_path
 from lattica.llm.shingles import shingle_sets
 
@@ -205,6 +205,52 @@ def test_html_blocks(spark):
     assert (1, "A & B\none two\nthree bold.", 25) in got and (2, "", 0) in got and (3, "", 0) in got and len(got) == 4
 
 
+def test_html_query(spark):
+    """On the test pages, the query returns the whole article and nothing else."""
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    want = {(r.page_id, r.url, "\n".join(t for p, t, _ in html_blocks.leaf_blocks(r.html) if "article" in p)) for r in rows}
+    got = registry.op4_html_blocks(spark, sf).collect()
+    assert {(r.page_id, r.url, r.text) for r in got} == want and len(got) == len(rows)
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p>one <a title=5\" x>two</a> three</p><p>four five</p>", ["one two three", "four five"]),
+        ("<p>a <b class='x\">b</b> c</p><p>d'> e</p>", ["a e"]),  # a quoted value runs to the next quote of its kind
+        ("<p>a<a href=x'y>b</a>c", ["abc"]),
+        ("<p>x <math><mi>y</mi></math> <object>z</object> <svg><text>t</text></svg></p>", ["x y z t"]),
+        ("<p>a</p><title>b<p>c</p>", ["a", "b", "c"]),
+        ("<p>a</p><script>if (a<b) '</p>'</script ><p>c</p><style>p{}", ["a", "c"]),
+        ("<p>1 < 2 & 3 &lt; 4 &#x41;&nbsp;B</p>", ["1 < 2 & 3 < 4 A B"]),
+        ("<p>a<!-- <p>b --><p>c <![CDATA[x]]> d", ["a", "c d"]),
+        ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>e", ["a", "b", "c", "d", "e"]),
+        ("<p>" + "w " * 50_000 + "</p>" + "<div>" * 3000 + "deep", ["w " * 49_999 + "w", "deep"]),
+        ("<p a='", []),
+        ("", []),
+    ],
+)
+def test_leaf_blocks(page, want):
+    assert [t for _, t, _ in html_blocks.leaf_blocks(page)] == want
+
+
+def test_html_names_that_training_never_had():
+    """Held-out layouts whose classes and ids are words of another language: blocks are told by place, tags and text."""
+    net, rng = html_blocks.trained(), random.Random(99)
+    pages = []
+    while len(pages) < 80:
+        page, labels = html_blocks.training_page(rng)
+        page = re.sub(r'(class|id)="?([a-z-]+)"?', lambda m: f'{m[1]}="kx{sum(map(ord, m[2])) % 97}"', page)
+        blocks = html_blocks.leaf_blocks(page)
+        if len(blocks) == len(labels):
+            pages.append((blocks, labels))
+    wrong = sum(int((m != np.array(y)).sum()) for m, (_, y) in zip(html_blocks.label(net, [b for b, _ in pages]), pages))
+    total = sum(len(y) for _, y in pages)
+    assert wrong <= 0.12 * total
+
+
 # --- 5, 6, 9 tokens
 
 
