@@ -2,12 +2,14 @@
 
 Rules vote good (+1), bad (-1) or abstain (0) on each document.  How far a rule
 can be trusted is not set by hand: expectation-maximisation over the counts of
-vote patterns estimates each rule's accuracies and the share of good documents,
-and the posterior probability of good quality replaces an all-must-pass filter.
+vote patterns estimates the shares of good texts and of two kinds of bad ones
+(marks instead of words, repetition) and how each rule votes on each, and the
+posterior probability of good quality replaces an all-must-pass filter.  Documents
+that fail the base rule take no part in the estimates.
 
 Only DataFrame functions are used.  All statistics of a text come from arrays
 within its row, so nothing is shuffled but the counts of vote patterns; their
-number is bounded by 3 to the number of rules (2187), whatever the input's size,
+number is bounded by 3 to the number of rules (19,683), whatever the input's size,
 and the estimates are computed from this summary alone.
 
 Defined results: a null text counts as empty: no words, all counts 0, base_failed
@@ -27,7 +29,8 @@ from .common import materialize
 
 WHITE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
-ROUNDS = 12
+ROUNDS = 30
+SMOOTH = 0.5
 THRESHOLD = 0.5
 
 
@@ -75,6 +78,9 @@ def statistics(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("d
         F.length(F.regexp_replace("_text", WHITE, "")).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count("_text", F.lit(r"[.!?:;…]([\x20\x09-\x0D]|$)")).cast("long").alias("n_closed"),
+        # a word is looked at once, from its start
+        F.regexp_count("_text", F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D#*$%&|<>]*+[#*$%&|<>]")).cast("long").alias("n_marked"),
+        F.regexp_count("_text", F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]++(?![^\x20\x09-\x0D])")).cast("long").alias("n_unlettered"),
         F.transform(F.filter(F.split("_text", WHITE), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("_w"),
         lines.alias("_lines"),
     )
@@ -93,6 +99,9 @@ def statistics(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("d
         F.size("_lines").cast("long").alias("n_lines"),
         F.size(F.array_distinct("_w")).cast("long").alias("n_distinct"),
         "n_closed",
+        "n_marked",
+        "n_unlettered",
+        F.size(F.filter("_w", lambda w, i: (i > 0) & (F.get(F.col("_w"), i - 1) == w))).cast("long").alias("n_stutter"),
         hashes.alias("_h"),
     )
     repeated = F.when(F.size(F.array_distinct("_h")) == F.size("_h"), F.lit(0).cast("long")).otherwise(_repeat_words(F.col("_h")))
@@ -113,58 +122,77 @@ def votes() -> dict[str, Column]:
     n = F.greatest(c("n_words"), F.lit(1))
     lines = F.greatest(c("n_lines"), F.lit(1))
     return {
-        "length": vote(c("n_words") >= 50, c("n_words") < 20),
-        "word_length": vote(c("word_chars").between(3 * n, 10 * n), ~c("word_chars").between(2 * n, 14 * n)),
         "symbols": vote(100 * c("n_symbols") <= 2 * n, 100 * c("n_symbols") > 10 * n),
-        "dup_lines": vote(100 * c("n_dup_lines") <= 10 * lines, 100 * c("n_dup_lines") > 30 * lines),
-        "repeats": vote(100 * c("n_repeat_words") <= 10 * n, 100 * c("n_repeat_words") > 30 * n),
-        "variety": vote(c("n_distinct") * c("n_distinct") >= 2 * n, 100 * c("n_distinct") < 15 * F.least(n, F.lit(400))),
+        "marked": vote(100 * c("n_marked") <= 2 * n, 100 * c("n_marked") > 10 * n),
+        "letters": vote(100 * c("n_unlettered") <= 5 * n, 100 * c("n_unlettered") > 25 * n),
+        "word_length": vote(c("word_chars").between(3 * n, 10 * n), ~c("word_chars").between(2 * n, 14 * n)),
+        "variety": vote(c("n_distinct") * c("n_distinct") >= 2 * n, 100 * c("n_distinct") < 25 * F.least(n, F.lit(400))),
+        "stutter": vote(100 * c("n_stutter") <= 5 * n, 100 * c("n_stutter") > 25 * n),
+        "dup_lines": vote(100 * c("n_dup_lines") <= 10 * lines, 100 * c("n_dup_lines") > 40 * lines),
+        "repeats": vote(100 * c("n_repeat_words") <= 10 * n, 100 * c("n_repeat_words") > 25 * n),
         "sentences": vote(100 * c("n_closed") >= 3 * n, (c("n_closed") == 0) & (n >= 30)),
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = ROUNDS) -> tuple[float, dict[str, dict[int, tuple[float, float]]]]:
+#: Which kind of bad text each rule is written against; where the estimates start.
+KINDS = {"marks": ("symbols", "marked", "letters", "word_length"), "repetition": ("variety", "stutter", "dup_lines", "repeats")}
+
+Model = tuple[dict[str, float], dict[str, dict[str, float]]]
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = ROUNDS) -> Model:
     """Expectation-maximisation over (votes, count) of vote patterns, of which there are 3 ** len(names) at most.
 
-    Returns the share of good documents and, for each rule and vote, the
-    probabilities of that vote given good and given bad.  Counts are smoothed by 1.
-    The start trusts every vote, so "good" stays the side of the votes.
+    A document is good or of one of the ``KINDS`` of bad text.  Returns the share of
+    each and, for each rule and class, how often the rule says bad where it votes at all.
+    An abstention tells nothing.  Counts are smoothed.  Rules that fire together
+    because they see the same fault do so within one class, so they are not taken for
+    independent witnesses.  The start trusts votes, so "good" stays their side.
     """
-    share = 0.8
-    table = {k: {1: (0.6, 0.2), 0: (0.2, 0.2), -1: (0.2, 0.6)} for k in names}
+    classes = ["good", *KINDS]
+    share = {k: 0.9 if k == "good" else 0.1 / len(KINDS) for k in classes}
+    says = {r: {k: 0.6 if r in KINDS.get(k, ()) else 0.05 for k in classes} for r in names}
     total = sum(n for _, n in patterns)
     for _ in range(rounds):
-        good = 0.0
-        by = {k: {v: [0.0, 0.0] for v in (1, 0, -1)} for k in names}
+        mass = dict.fromkeys(classes, 0.0)
+        bad = {r: dict.fromkeys(classes, 0.0) for r in names}
+        voted = {r: dict.fromkeys(classes, 0.0) for r in names}
         for pattern, n in sorted(patterns):
-            odds = math.log(share / (1 - share)) + sum(math.log(table[k][v][0] / table[k][v][1]) for k, v in zip(names, pattern))
-            p = n / (1 + math.exp(-odds))
-            good += p
-            for k, v in zip(names, pattern):
-                by[k][v][0] += p
-                by[k][v][1] += n - p
-        share = (good + 1) / (total + 2)
-        table = {k: {v: ((g + 1) / (good + 3), (b + 1) / (total - good + 3)) for v, (g, b) in row.items()} for k, row in by.items()}
-    return share, table
-
-
-def posterior(share: float, table: dict[str, dict[int, tuple[float, float]]]) -> Column:
+            score = {k: math.log(share[k]) + sum(math.log(says[r][k] if v < 0 else 1 - says[r][k]) for r, v in zip(names, pattern) if v) for k in classes}
+            most = max(score.values())
+            whole = sum(math.exp(x - most) for x in score.values())
+            for k, x in score.items():
+                p = n * math.exp(x - most) / whole
+                mass[k] += p
+                for r, v in zip(names, pattern):
+                    if v:
+                        voted[r][k] += p
+                        bad[r][k] += p * (v < 0)
+        share = {k: (m + 1) / (total + len(classes)) for k, m in mass.items()}
+        says = {r: {k: (bad[r][k] + SMOOTH) / (voted[r][k] + 2 * SMOOTH) for k in classes} for r in names}
+    return share, says
+
+
+def posterior(model: Model) -> Column:
     """Probability of good quality."""
-    ratios = [math.log(share / (1 - share)), *(math.log(g / b) for by_vote in table.values() for g, b in (by_vote[v] for v in (-1, 0, 1)))]
-    values = F.array(*map(F.lit, ratios))
-    log_odds = F.get(values, F.lit(0))
-    for i, k in enumerate(table):
-        log_odds = log_odds + F.get(values, F.lit(3 * i + 2) + F.col(k))
-    return 1 / (1 + F.exp(-log_odds))
+    share, says = model
+    scores = []
+    for k in share:
+        total = F.lit(math.log(share[k]))
+        for r, by_class in says.items():
+            total = total + F.when(F.col(r) < 0, F.lit(math.log(by_class[k]))).when(F.col(r) > 0, F.lit(math.log(1 - by_class[k]))).otherwise(F.lit(0.0))
+        scores.append(total)
+    return 1 / sum((F.exp(x - scores[0]) for x in scores[1:]), F.lit(1.0))
 
 
 def _voted(docs: DataFrame, text: str, carry: tuple[str, ...], rounds: int, threshold: float) -> DataFrame:
     marked, _ = materialize(statistics(docs, text, carry).withColumn("base_failed", base_failed()), "quality")
     named = votes()
     voted = marked.withColumns(named)
-    patterns = [(tuple(r[k] for k in named), r["n"]) for r in voted.groupBy(*named).agg(F.count(F.lit(1)).alias("n")).collect()]
-    share, table = fit(patterns, list(named), rounds)
-    return voted.withColumn("quality", posterior(share, table)).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
+    # what fails the base rule is out already and would only teach the estimates to know it again
+    counted = voted.where("not base_failed").groupBy(*named).agg(F.count(F.lit(1)).alias("n"))
+    model = fit([(tuple(r[k] for k in named), r["n"]) for r in counted.collect()], list(named), rounds)
+    return voted.withColumn("quality", posterior(model)).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
 
 def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:

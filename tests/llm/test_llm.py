@@ -464,16 +464,75 @@ def test_quality_statistics(spark, docs, odd):
     assert quality_rules.judge(empty(odd)).count() == 0 and quality_rules.keep_good(empty(odd)).count() == 0
 
 
+def votes_by_force(t):
+    """Votes from the raw text, and whether the base rule fails."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    n, chars, symbols, dup, repeat = statistics_by_force(t)
+    k, lines = max(n, 1), max(sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (t or "").split("\n")), 1)
+    closed = len(re.findall(r"[.!?:;…](?=[\x20\x09-\x0D]|\Z)", t or ""))
+    share = lambda x, good, bad, of=k: -1 if 100 * x > bad * of else 1 if 100 * x <= good * of else 0
+    out = {
+        "symbols": share(symbols, 2, 10),
+        "marked": share(sum(bool(re.search(r"[#*$%&|<>]", x)) for x in w), 2, 10),
+        "letters": share(sum(not any(c.isalpha() for c in x) for x in w), 5, 25),
+        "word_length": -1 if not 2 * k <= chars <= 14 * k else 1 if 3 * k <= chars <= 10 * k else 0,
+        "variety": -1 if 100 * len(set(w)) < 25 * min(k, 400) else 1 if len(set(w)) ** 2 >= 2 * k else 0,
+        "stutter": share(sum(a == b for a, b in zip(w, w[1:])), 5, 25),
+        "dup_lines": share(dup, 10, 40, lines),
+        "repeats": share(repeat, 10, 25),
+        "sentences": -1 if closed == 0 and n >= 30 else 1 if 100 * closed >= 3 * k else 0,
+    }
+    return out, n < 20 or 100 * repeat > 30 * n
+
+
+def test_quality_verdict_by_force(spark):
+    """Expectation-maximisation document by document, from raw texts, gives the query's verdicts."""
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    voted = {r.doc_id: votes_by_force(r.text) for r in rows}
+    classes, seen = ["good", "marks", "repetition"], [v for v, failed in voted.values() if not failed]
+    names = list(seen[0])
+    prior = dict(zip(classes, (0.9, 0.05, 0.05)))
+    says = {r: {c: 0.6 if r in quality_rules.KINDS.get(c, ()) else 0.05 for c in classes} for r in names}
+
+    def chances(v):
+        p = {c: prior[c] * math.prod(says[r][c] if v[r] < 0 else 1 - says[r][c] for r in names if v[r]) for c in classes}
+        return {c: x / sum(p.values()) for c, x in p.items()}
+
+    for _ in range(quality_rules.ROUNDS):
+        ps = [chances(v) for v in seen]
+        tally = {r: {c: (sum(p[c] for p, v in zip(ps, seen) if v[r] < 0) + 0.5) / (sum(p[c] for p, v in zip(ps, seen) if v[r]) + 1) for c in classes} for r in names}
+        prior, says = {c: (sum(p[c] for p in ps) + 1) / (len(seen) + 3) for c in classes}, tally
+    got = {r.doc_id: r for r in registry.op10_quality_rules(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for d, (v, failed) in voted.items():
+        good = chances(v)["good"]
+        assert got[d].base_failed == failed and abs(got[d].quality - good) < 1e-6, d
+        assert got[d].kept == (not failed and good >= 0.5)
+
+
+def test_quality_agrees_with_labels(spark):
+    """Of labelled documents that pass the base rule, bad ones go and good ones stay."""
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    judged = [(labels[r.doc_id], r.kept) for r in registry.op10_quality_rules(spark, sf).where("not base_failed").collect() if r.doc_id in labels]
+    bad, good = [k for y, k in judged if not y], [k for y, k in judged if y]
+    assert len(bad) > 20 and sum(bad) <= 0.1 * len(bad) and sum(good) >= 0.98 * len(good)
+
+
 def test_estimates_find_reliable_rules():
+    """A rule that fires on its kind of bad text is told from one that fires by chance."""
     rng = random.Random(0)
-    rate = {"good": 0.95, "fair": 0.75, "coin": 0.5}
+    rate = {"good": {}, "marks": {"symbols": 0.95, "marked": 0.9, "letters": 0.5}, "repetition": {"variety": 0.9, "stutter": 0.8}}
+    names = ["symbols", "marked", "letters", "variety", "stutter", "sentences"]
     patterns = collections.Counter()
-    for _ in range(4000):
-        truth = 1 if rng.random() < 0.7 else -1
-        patterns[tuple(truth if rng.random() < p else -truth for p in (*rate.values(), 0.9, 0.85))] += 1
-    share, table = quality_rules.fit(list(patterns.items()), [*rate, "d", "e"], 40)
-    assert abs(share - 0.7) < 0.05
-    assert table["good"][1][0] > 0.9 and abs(table["coin"][1][0] - 0.5) < 0.06 and table["good"][-1][1] > 0.85
+    for _ in range(6000):
+        kind = rng.choices(list(rate), [0.85, 0.1, 0.05])[0]
+        patterns[tuple(0 if rng.random() < 0.1 else -1 if rng.random() < rate[kind].get(r, 0.3 if r == "sentences" else 0.01) else 1 for r in names)] += 1
+    share, says = quality_rules.fit(list(patterns.items()), names, 60)
+    assert abs(share["marks"] - 0.1) < 0.02 and abs(share["repetition"] - 0.05) < 0.02
+    assert says["symbols"]["marks"] > 0.9 and says["stutter"]["repetition"] > 0.7 and all(says[r]["good"] < 0.05 for r in names[:5])
+    assert all(abs(p - 0.3) < 0.1 for p in says["sentences"].values())
 
 
 # --- pipeline
