@@ -8,9 +8,10 @@ join with the list removes false positives.  Rules (host suffix and path prefix)
 come first; of those that fit, the longest decides.
 
 Only DataFrame functions are used.  The filter is an array of blocks in one row
-of a bounded size: ``blocks`` is a parameter and the row is broadcast; the list
-itself is never broadcast by this module.  Only the few keys that pass the filter
-are shuffled, first thinned to distinct keys, so a hot host costs one row a task.
+of a bounded size (8 MB at most), which is broadcast; the list itself never is by this
+module.  Only the few keys that pass the filter are shuffled: first thinned to
+distinct keys for the exact join, then with their page, dealt over salts against
+hot hosts.
 
 Defined results: null URLs, and URLs without ``://``, have an empty host and path,
 fit no rule and are allowed; repeated URLs and repeated or null page ids keep a
@@ -20,6 +21,8 @@ columns of the input are not handed on, so clashing names do no harm.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,10 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: Production list of canonical URLs; ``domain/`` lists a domain with all its subdomains.
 LISTED = ("ads-track.example.org/", "casino-win.example.org/", "cheap-pills.example.com/", "free-bets.example.com/", "spam-farm.example.org/")
 
+#: A list entry is dealt over this many tasks, so pages of one host are not joined in one.
+SALTS = 32
+MOST_BLOCKS = 1 << 18
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,7 +52,7 @@ def path_of(url: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
-    """struct(rule, verdict) of the longest rule that fits, null if none does; of equal lengths the first in text order."""
+    """struct(rule, verdict) of the longest rule that fits, null if none does; of equal lengths the last in text order."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2]), reverse=False):
         fits = ((host == h) | F.endswith(host, F.lit("." + h))) & F.startswith(path, F.lit(p))
@@ -104,41 +111,40 @@ def may_be_listed(key: Column, blocks: int = 1 << 14) -> Column:
     return out
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules=RULES, blocks: int = 1 << 14, url: str = "url", key: str = "page_id", listed_url: str = "url") -> DataFrame:
-    """(key, host, path, rule, verdict, listed) for every page; ``listed`` is the matching entry of the list, else null."""
+def blocks_for(entries: int) -> int:
+    """A power of two with 32 bits an entry; at most ``MOST_BLOCKS``, beyond which more keys pass on to the exact join."""
+    return min(MOST_BLOCKS, 1 << max(10, math.ceil(entries / 8 - 1).bit_length()))
+
+
+def judge(pages: DataFrame, listed: DataFrame, rules=RULES, blocks: int | None = None, url: str = "url", key: str = "page_id", listed_url: str = "url") -> DataFrame:
+    """(key, host, path, rule, verdict, listed) for every page; ``listed`` is the matching entry of the list, else null.
+
+    Where ``key`` is called like one of the other columns, it has an underscore in front.
+    """
     entries = listed.select(F.col(listed_url).alias("_entry")).where(F.col("_entry").isNotNull()).distinct()
-    read = pages.select(F.col(key).alias(key), F.col(url).alias("_url"))
-    parts = read.select(key, host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"))
+    entries, _ = materialize(entries, "list")
+    blocks = blocks or blocks_for(entries.count())
+    read = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"))
+    parts = read.select("_key", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"))
     filter_row, _ = materialize(bloom_filter(entries, blocks, "_entry").withColumn("_one", F.lit(1)), "bloom")
-    tested = parts.withColumn("_one", F.lit(1)).join(F.broadcast(filter_row), "_one").select(  # one row of a fixed size
-        key,
+    tested = parts.withColumn("_one", F.lit(1)).join(F.broadcast(filter_row), "_one").select(  # one row, of 32 bytes a block
+        "_key",
         "host",
         "path",
+        rule_of(F.col("host"), F.col("path"), rules).alias("_rule"),
         F.when(F.col("host") != "", F.filter(keys_of(F.col("host"), F.col("path")), lambda k: may_be_listed(k, blocks))).alias("_maybe"),
+        F.struct(F.spark_partition_id(), F.monotonically_increasing_id()).alias("_row"),
     )
-    # the exact join sees each possible key once; what it confirms is bounded by the list
-    possible = tested.where(F.size("_maybe") > 0).select(F.explode("_maybe").alias("_entry")).distinct()
-    hits, _ = materialize(possible.join(entries, "_entry", "left_semi"), "listed")
-    ruled = tested.select(key, "host", "path", rule_of(F.col("host"), F.col("path"), rules).alias("_rule"), "_maybe")
-    small = hits.limit(100_001).count() <= 100_000
-    if small:  # checked size: up to 100,000 confirmed entries travel as one array
-        found = F.broadcast(hits.agg(F.collect_list("_entry").alias("_hits")).withColumn("_one", F.lit(1)))
-        marked = ruled.withColumn("_one", F.lit(1)).join(found, "_one").withColumn("listed", F.array_min(F.array_intersect(F.coalesce("_maybe", F.array().cast("array<string>")), "_hits")))
-    else:  # beyond it, possible hits are joined by key, salted against hot hosts
-        salt = 64
-        wide = hits.select("_entry", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt"))
-        with_id = ruled.withColumn("_row", F.struct(F.spark_partition_id(), F.monotonically_increasing_id()))
-        pinned, _ = materialize(with_id, "pages")
-        named = (
-            pinned.select("_row", F.explode("_maybe").alias("_entry"))
-            .withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salt)).cast("int"))
-            .join(wide, ["_entry", "_salt"])
-            .groupBy("_row")
-            .agg(F.min("_entry").alias("listed"))
-        )
-        marked = pinned.join(named, "_row", "left")
+    tested, _ = materialize(tested, "tested")
+    possible = tested.where(F.size("_maybe") > 0).select("_row", F.explode("_maybe").alias("_entry"))
+    # the exact join sees each possible key once; what it confirms is part of the list
+    hits, _ = materialize(possible.select("_entry").distinct().join(entries, "_entry", "left_semi"), "listed")
+    dealt = hits.select("_entry", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    named = possible.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(dealt, ["_entry", "_salt"]).groupBy("_row").agg(F.min("_entry").alias("listed"))
+    marked = tested.join(named, "_row", "left")
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("listed").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
-    return marked.select(key, "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "listed")
+    name = f"_{key}" if key in ("host", "path", "rule", "verdict", "listed") else key
+    return marked.select(F.col("_key").alias(name), "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "listed")
 
 
 def default_list(spark: SparkSession) -> DataFrame:

@@ -183,6 +183,27 @@ def test_url_filter(spark):
     assert url_filter.judge(empty(df), url_filter.default_list(spark)).count() == 0
 
 
+def test_url_filter_long_list(spark):
+    """A list of 100,000 entries, a filter so small that false positives pass it, one host with half of all pages."""
+    rng = random.Random(3)
+    domains, urls = {f"d{i}.example/" for i in range(60_000)}, {f"s{i}.example/a/{i}" for i in range(40_000)}
+    listed = spark.createDataFrame([(u,) for u in [*domains, *urls, None, "d1.example/"]], "url string")
+    pages = [f"http://d7.example/{i}" for i in range(2000)]
+    pages += [rng.choice([f"https://x.d{rng.randint(0, 120_000)}.example/p?q", f"http://www.s{(i := rng.randint(0, 80_000))}.example/a/{i}/#f", f"http://s{rng.randint(0, 80_000)}.example/a/b"]) for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(pages)), "host long, url string").repartition(4)
+
+    def want(u):
+        host, path = re.match(r"[a-z]+://([^/?#]*)([^?#]*)", u).groups()
+        labels = host.split(".")
+        keys = {".".join(labels[i:]) + "/" for i in range(len(labels))} & domains | {re.sub(r"^www\.", "", host) + path.rstrip("/")} & urls
+        return min(keys) if keys else None
+
+    for blocks in (None, 1 << 10):
+        got = {r["_host"]: (r.verdict, r.listed) for r in url_filter.judge(df, listed, blocks=blocks, key="host").collect()}
+        assert got == {i: ("block" if want(u) else "allow", want(u)) for i, u in enumerate(pages)}
+    assert 2200 < sum(v == "block" for v, _ in got.values()) < 3900
+
+
 def test_bloom_filter_has_no_false_negatives(spark):
     listed = spark.createDataFrame([(f"h{i}.example/",) for i in range(3000)], "url string")
     row = url_filter.bloom_filter(listed, 1 << 8).withColumn("k", F.lit(1))
