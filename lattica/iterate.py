@@ -1,25 +1,15 @@
-"""Cuts of lineage for loops: tables or checkpoints in the shared folder, never on one machine."""
+"""Cuts of lineage for loops: checkpoints in the folder that driver and executors share."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-
 from pyspark.sql import DataFrame
 
-_holder: tempfile.TemporaryDirectory | None = None
+from lattica.session import shared_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """An eager checkpoint; a folder of its own is set only where the session names none."""
-    global _holder
+    """An eager checkpoint, in the shared folder unless the context names another."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named:
-            if _holder is None:
-                _holder = tempfile.TemporaryDirectory(prefix="lattica-graph-")
-                atexit.register(_holder.cleanup)
-            named = "file://" + _holder.name
-        sc.setCheckpointDir(named)
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)

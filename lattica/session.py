@@ -32,3 +32,24 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(package.parent))
     sc.addPyFile(archive)
     sc._lattica_core_shipped = True
+
+
+_holder: tempfile.TemporaryDirectory | None = None
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    On one machine a temporary folder stands in where none is named; a cluster must name one.
+    """
+    global _holder
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if _holder is None:
+        _holder = tempfile.TemporaryDirectory(prefix="lattica-")
+        atexit.register(_holder.cleanup)
+    return "file://" + _holder.name
