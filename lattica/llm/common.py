@@ -8,33 +8,17 @@ the whole chain.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is configured."""
-    global _local_dir
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if _local_dir is None:
-        holder = tempfile.TemporaryDirectory(prefix="lattica-")
-        atexit.register(holder.cleanup)
-        _local_dir = "file://" + holder.name
-    return _local_dir
+from lattica.session import shared_dir, ship
 
+__all__ = ["Scratch", "exists", "fresh_path", "materialize", "ragged_index", "remove", "shared_dir", "ship", "text_slices"]
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/lattica/{label}-{uuid.uuid4().hex}"
@@ -53,47 +37,39 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each Spark context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_lattica_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    holder = tempfile.TemporaryDirectory(prefix="lattica-")  # executors that join later fetch it as well
-    atexit.register(holder.cleanup)
-    archive = f"{holder.name}/{package.name}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    sc.addPyFile(archive)
-    sc._lattica_shipped = True
-
-
-def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it back: a cut of lineage that survives executors."""
+def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = (), keep: bool = False) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder and read it back: a cut of lineage that survives executors.
+
+    Within a ``Scratch`` block the table goes when the block ends, unless it is to be kept.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    if _blocks and not keep:
+        _blocks[-1].paths.append(path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 class Scratch:
-    """Intermediate tables that go when the block ends; what outlives it is written with ``materialize``."""
+    """A block whose intermediate tables go when it ends; what outlives it is written with ``keep``."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
     def __enter__(self) -> "Scratch":
+        _blocks.append(self)
         return self
 
     def __exit__(self, *_) -> None:
+        _blocks.remove(self)
         remove(self.spark, *self.paths)
 
     def table(self, df: DataFrame, label: str) -> DataFrame:
-        out, path = materialize(df, label)
-        self.paths.append(path)
-        return out
+        return materialize(df, label)[0]
+
+
+_blocks: list[Scratch] = []
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 6_000_000) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ Sizes on the driver and in broadcasts are bounded by the vocabulary (code
 lengths) and by the number of partitions (shard totals), never by the documents.
 
 Defined results: a null text counts as empty and has the end id alone; repeated
-keys keep one row each (ties in no particular order); null keys come first;
+keys keep one row each, in order of their texts' hashes; null keys come first;
 empty input writes empty tables and decodes to no rows.
 """
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytebpe
-from .common import fresh_path, materialize, ragged_index, remove, text_slices
+from .common import fresh_path, materialize, ragged_index, remove, ship, text_slices
 
 MAX_LENGTH = 18
 CHECKPOINT = 256
@@ -191,8 +191,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, text: str
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(key, text).repartitionByRange(parts, F.col(key)).sortWithinPartitions(key)
-    tokens, tokens_path = materialize(tokenize(ordered, tokenizer, end_id, text, key), "tokens")
+    ship(spark)
+    # equal keys, null ones above all, are dealt by the hash of their texts
+    named = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
+    ordered = named.repartitionByRange(parts, F.col("_key"), F.col("_hash")).sortWithinPartitions("_key", "_hash").select("_key", "_text")
+    tokens, tokens_path = materialize(tokenize(ordered, tokenizer, end_id, "_text", "_key"), "tokens")
 
     counts = id_counts(tokens).collect()  # bounded by the vocabulary
     total = np.zeros(max((r.id for r in counts), default=0) + 1, np.int64)
@@ -223,7 +226,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, text: str
         names = ["first", "keys", "sizes", "checkpoints", "payload", "shard"]
         schema = pa.schema([("first", pa.int64()), ("keys", pa.list_(key_arrow)), ("sizes", pa.list_(pa.int32())), ("checkpoints", pa.list_(pa.int32())), ("payload", pa.binary()), ("shard", pa.int32())])
         for b in batches:
-            for k, shard, before, ids in zip(b.column(key).to_pylist(), b.column("shard").to_pylist(), b.column("before").to_pylist(), b.column("ids").to_pylist()):
+            for k, shard, before, ids in zip(b.column("_key").to_pylist(), b.column("shard").to_pylist(), b.column("before").to_pylist(), b.column("ids").to_pylist()):
                 at = start[shard] + before
                 if held and (head[0] != shard or head[1] + amount != at or amount >= BLOCK_TOKENS):
                     yield block()
@@ -239,14 +242,19 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, text: str
     from pyspark.sql.pandas.types import to_arrow_type
 
     key_arrow = to_arrow_type(docs.schema[key].dataType)
-    packed = tokens.select(key, "shard", "before", "ids").mapInArrow(pack, block_schema(kind) + ", shard int")
+    packed = tokens.select("_key", "shard", "before", "ids").mapInArrow(pack, block_schema(kind) + ", shard int")
     packed.write.option("compression", "none").partitionBy("shard").parquet(f"{path}/blocks")
     remove(spark, tokens_path)
     return HuffmanFiles(path)
 
 
 def read(spark: SparkSession, files: HuffmanFiles, key: str = "doc_id", key_type: str = "bigint", with_ids: bool = True) -> DataFrame:
-    """(key, start, n_tokens, ids_crc32[, ids]) of every document, decoded from the files."""
+    """(key, start, n_tokens, ids_crc32[, ids]) of every document, decoded from the files.
+
+    Where ``key`` is called like one of the other columns, it has an underscore in front.
+    """
+    ship(spark)
+    key = f"_{key}" if key in ("start", "n_tokens", "ids_crc32", "ids") else key
     lengths = files.codes(spark)
     schema = f"{key} {key_type}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
 

@@ -329,7 +329,7 @@ def _classes(rows: DataFrame, named: DataFrame, width: int, similar: int, scratc
     linked = classes.select("sid", "node", "rep").join(_links(sets, similar, scratch), "node")
     by_comp = linked.groupBy("comp").agg(F.min("rep").alias("least"))
     by_class = linked.join(by_comp, "comp").select("sid", "least")
-    final, _ = materialize(classes.select("sid", "rep").join(by_class, "sid", "left").select("sid", F.coalesce("least", "rep").alias("component")), "classes")
+    final, _ = materialize(classes.select("sid", "rep").join(by_class, "sid", "left").select("sid", F.coalesce("least", "rep").alias("component")), "components", keep=True)
     return final
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import materialize
+from .common import Scratch, materialize
 
 MIN_LINES = 2
 
@@ -122,7 +122,8 @@ def drop_copies(docs: DataFrame, min_lines: int = MIN_LINES, text: str = "text",
     With ``min_words``, later copies of single lines of more words than that are deleted as well.
     With ``counts``, a struct ``_lines`` (n_lines, n_dropped) stands beside.
     """
-    drops, _ = materialize(dropped_lines(docs, min_lines, text, key, min_words), "dropped")
+    with Scratch(docs.sparkSession):
+        drops, _ = materialize(dropped_lines(docs, min_lines, text, key, min_words), "dropped", keep=True)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_id"), F.col(text).alias("_whole"))
     # by hash at every size: the list of deletions grows with the corpus, so it is not broadcast where it happens to be small
     joined = packed.withColumn("_th", _identity("_whole")).join(drops.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_th") == F.col("th")), "left")

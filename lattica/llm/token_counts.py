@@ -1,8 +1,8 @@
 """Token counts by prefix dynamic programming (operator 5).
 
 For every code point prefix of a text the exact number of byte-level BPE tokens
-is known: ``prefix_counts`` stores them, and truncation or budget questions are
-binary searches in the stored row, without encoding anything again.
+is known: ``prefix_counts`` makes a table of them, and ``answers`` reads truncation or
+budget questions off the stored rows, without encoding anything again.
 
 The dynamic programme runs over the distinct pre-tokens of an Arrow slice.
 ``last[i]`` is the last token of the encoding of a pre-token's first i bytes; it
@@ -27,10 +27,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .bytebpe import IS_SPACE, PRETOKEN, byte_alphabet, cut_pieces, encode_with
 from .chunking import ChunkMemo
-from .common import ragged_index, text_slices
+from .common import materialize, ragged_index, ship, text_slices
 
 NEVER = np.int64(1) << 40
 
@@ -282,37 +283,64 @@ def shared(path: str) -> PrefixCounter:
 
 
 def prefix_counts(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, counts array<int>): counts[i] tokens in the first i + 1 code points of the text."""
+    """(_key, n_bytes, n_chars, steps): ``steps`` holds by how much each code point of the text changes the token count.
+
+    Steps are one byte each where a text's all fit, else four; their running sum is the count at every prefix.
+    """
+    ship(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = shared(tokenizer)
-        for b in text_slices(batches, text, 4_000_000):
-            lengths, values = counter.prefix_counts(b.column(text))
-            offsets = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.ListArray.from_arrays(offsets, pa.array(values.astype(np.int32)))], [key, "counts"])
+        for b in text_slices(batches, "_text", 8_000_000):
+            lengths, values = counter.prefix_counts(b.column("_text"))
+            ends = np.cumsum(lengths)
+            steps = np.diff(values.astype(np.int32), prepend=np.int32(0))
+            heads = (ends - lengths)[lengths > 0]
+            steps[heads] = values[heads]
+            wide = np.zeros(len(lengths), bool)
+            wide[np.searchsorted(ends, np.flatnonzero((steps < -128) | (steps > 127)), side="right")] = True
+            narrow = steps.astype(np.int8).tobytes()
+            bounds = np.append(0, ends).tolist()
+            packed = [steps[x:y].astype("<i4").tobytes() if w else narrow[x:y] for x, y, w in zip(bounds, bounds[1:], wide.tolist())]
+            size = pc.fill_null(pc.binary_length(b.column("_text")), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("_key"), size, pa.array(lengths, pa.int64()), pa.array(packed, pa.binary())], ["_key", "n_bytes", "n_chars", "steps"])
 
-    return docs.select(key, text).mapInArrow(rows, f"{key} {docs.schema[key].dataType.simpleString()}, counts array<int>")
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(rows, f"_key {kind}, n_bytes long, n_chars long, steps binary")
 
 
-def token_counts(docs: DataFrame, tokenizer: str, budget: int = 512, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_bytes, n_tokens, over_limit, cut): answers from the stored prefix counts.
+def counts_of(steps: bytes, n_chars: int) -> np.ndarray:
+    """The token count at every prefix of a text, from its stored row."""
+    return np.cumsum(np.frombuffer(steps, np.int8 if len(steps) == n_chars else "<i4"), dtype=np.int64)
+
+
+def answers(stored: DataFrame, budget: int = 512, key: str = "doc_id") -> DataFrame:
+    """(key, n_bytes, n_tokens, over_limit, cut) from stored prefix counts; no text is read or encoded again.
 
     ``cut`` is the number of code points of the longest prefix within ``budget``.
+    Where ``key`` is called like one of the other columns, it has an underscore in front.
     """
+    ship(stored.sparkSession)
+    names = ["n_bytes", "n_tokens", "over_limit", "cut"]
+    name = f"_{key}" if key in names else key
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = shared(tokenizer)
-        for b in text_slices(batches, text, 8_000_000):
-            lengths, values = counter.prefix_counts(b.column(text))
-            ends = np.cumsum(lengths)
-            total = np.where(lengths > 0, values[np.maximum(ends - 1, 0)] if len(values) else 0, 0).astype(np.int64)
-            cut = lengths.copy()
-            for i in np.flatnonzero(total > budget):
-                row = values[ends[i] - lengths[i] : ends[i]]
-                within = np.flatnonzero(row <= budget)
-                cut[i] = within[-1] + 1 if len(within) else 0
-            size = pc.fill_null(pc.binary_length(b.column(text)), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(key), size, pa.array(total), pa.array(total > budget), pa.array(cut.astype(np.int64))], [key, "n_bytes", "n_tokens", "over_limit", "cut"])
+        for b in text_slices(batches, "steps", 8_000_000):
+            lengths = b.column("n_chars").to_numpy()
+            raw = b.column("steps").to_pylist()
+            total, cut = np.zeros(len(raw), np.int64), lengths.copy()
+            for i, (x, n) in enumerate(zip(raw, lengths.tolist())):
+                total[i] = np.frombuffer(x, np.int8 if len(x) == n else "<i4").sum(dtype=np.int64)
+                if total[i] > budget:
+                    within = np.flatnonzero(counts_of(x, n) <= budget)
+                    cut[i] = within[-1] + 1 if len(within) else 0
+            yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("n_bytes"), pa.array(total), pa.array(total > budget), pa.array(cut)], [name, *names])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(rows, f"{key} {kind}, n_bytes long, n_tokens long, over_limit boolean, cut long")
+    kind = stored.schema["_key"].dataType.simpleString()
+    return stored.mapInArrow(rows, f"{name} {kind}, n_bytes long, n_tokens long, over_limit boolean, cut long")
+
+
+def token_counts(docs: DataFrame, tokenizer: str, budget: int = 512, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``answers`` from prefix counts that are stored in the shared folder."""
+    stored, _ = materialize(prefix_counts(docs, tokenizer, text, key), "prefix-counts")
+    return answers(stored, budget, key)

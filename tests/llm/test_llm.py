@@ -294,13 +294,39 @@ def test_prefix_counts(library):
 
 def test_token_counts(spark, docs, odd, library):
     for df in (docs, odd):
-        for r, t in zip(token_counts.token_counts(df, BPE, 100).collect(), [x.text or "" for x in df.select("text").collect()]):
-            n = len(library.encode(t, add_special_tokens=False).ids)
-            assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n, n > 100)
-            assert len(library.encode(t[: r.cut], add_special_tokens=False).ids) <= 100
+        count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+        rows = [(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()]
+        texts = {(d, len(t.encode())): t for d, t in rows}
+        got = token_counts.token_counts(df, BPE, 100).collect()
+        assert collections.Counter(tuple(r)[:4] for r in got) == collections.Counter((d, len(t.encode()), count(t), count(t) > 100) for d, t in rows)
+        assert all(count(texts[r.doc_id, r.n_bytes][: r.cut]) <= 100 for r in got)
     assert token_counts.token_counts(empty(odd), BPE).count() == 0
 
 
+def test_stored_counts_answer_budgets(spark, docs, library):
+    """Every budget is answered from the stored rows; long runs of one character change counts by more than a byte holds."""
+    rows = [(0, "a " * 50), (1, "=" * 3000 + " x"), (2, None), (3, " " * 900 + "y")]
+    stored = token_counts.prefix_counts(spark.createDataFrame(rows, "n_tokens int, text string"), BPE, key="n_tokens").cache()
+    for budget in (0, 1, 7, 60, 10**6):
+        for r in token_counts.answers(stored, budget, "n_tokens").collect():
+            t = dict(rows)[r["_n_tokens"]] or ""
+            fits = [i for i in range(len(t) + 1) if len(library.encode(t[:i], add_special_tokens=False).ids) <= budget] if budget in (7, 60) else []
+            assert r.n_tokens == len(library.encode(t, add_special_tokens=False).ids) and r.over_limit == (r.n_tokens > budget)
+            assert not fits or r.cut == fits[-1]
+
+
+def test_sentencepiece_takes_the_library_where_they_differ(spark, monkeypatch):
+    agenda = sentencepiece_bpe.Agenda(SP)
+    right = agenda.encode_segments
+    monkeypatch.setattr(agenda, "encode_segments", lambda segments: [r[:-1] if "qu" in s else r for s, r in zip(segments, right(segments))])
+    texts = ["a quick fox", None, "quite  quiet", "a fox"]
+    n, ids, _, taken = agenda.digests(pa.array(texts))
+    assert taken == [1, 0, 2, 0]
+    for t, k, digest in zip(texts, n, ids):
+        want = [*agenda.library.encode(t or ""), 2]
+        assert k == len(want) and digest == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
+
+
 def test_huffman_codes():
     rng = np.random.default_rng(0)
     counts = np.minimum(rng.zipf(1.2, 3000), 10**9)
@@ -326,6 +352,8 @@ def test_huffman_round_trip(spark, docs, odd, library):
         assert collections.Counter((d, n, c) for d, _, n, c in got) == want
         assert [s for _, s, _, _ in got] == list(itertools.accumulate([0, *(n for _, _, n, _ in got)]))[:-1]
         assert [d for d, *_ in got] == sorted((d for d, *_ in got), key=lambda d: (d is not None, d))
+    files = huffman.write(odd.select(F.col("doc_id").alias("ids"), F.col("text").alias("shard")), fresh_path(spark, "test"), BPE, text="shard", key="ids")
+    assert huffman.read(spark, files, "ids").columns == ["_ids", "start", "n_tokens", "ids_crc32", "ids"]
     files = huffman.write(empty(odd), fresh_path(spark, "test"), BPE)
     assert huffman.read(spark, files).count() == 0
 
@@ -334,7 +362,7 @@ def test_sentencepiece(spark, docs, odd):
     agenda = sentencepiece_bpe.shared(SP)
     for df in (docs, odd):
         rows = df.select("doc_id", "text").collect()
-        got = sorted(map(tuple, sentencepiece_bpe.digests(df, SP).collect()), key=str)
+        got = sorted((tuple(r)[:4] for r in sentencepiece_bpe.digests(df, SP).collect()), key=str)
         want = []
         for d, t in rows:
             ids = [*agenda.library.encode(t or ""), 2]
@@ -361,6 +389,21 @@ def test_substring_dedup(spark, odd):
     assert substring_dedup.remove_repeats(odd).count() == odd.count() and substring_dedup.repeats(empty(odd)).count() == 0
 
 
+def test_substring_dedup_keeps_characters(spark):
+    """Texts of characters of two to four bytes: what stays is a subsequence of whole characters, and little more than the rest."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("äßçñ日本語文🎉🙂é", k=rng.randint(1, 6)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage, heads = text(120), [text(rng.randint(1, 40)) for _ in range(12)]
+    texts = [h + passage + text(20) for h in heads]
+    out = {r.doc_id: r.text for r in substring_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out[0] == texts[0]
+    for i in range(1, 12):
+        rest = iter(texts[i])
+        assert all(c in rest for c in out[i]) and len(out[i].encode()) < len(texts[i].encode()) - 600
+        assert out[i].startswith(heads[i][:-8])
+
+
 def test_chunks_resist_shifts():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 123, 20_000).astype(np.uint8)
@@ -567,10 +610,38 @@ def test_pipeline(spark, docs):
     out = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, sf).collect()}
     kept = {r.doc_id: r.text for r in quality_rules.keep_good(docs).collect()}
     ids = sorted(kept)
-    lines = dict(zip(ids, dropped_by_force([kept[i] for i in ids], 2)))
+    lines = {i: t for i, t in zip(ids, dropped_by_force([kept[i] for i in ids], 2)) if t or not kept[i]}
     single = {d for d, _, c in by_force(sorted(lines.items())) if d == c}
     items = [" ".join(words_of(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     clean = {d for d in single if not any(x in " ".join(words_of(lines[d])) for x in items)}
     assert set(out) == clean
+    assert len(kept) > len(lines)
     agenda = sentencepiece_bpe.shared(SP)
     assert all(out[d] == len(agenda.library.encode(lines[d])) + 1 for d in clean)
+
+
+def test_pipeline_odd(spark, tmp_path):
+    """Nulls, repeated rows, clashing and further columns, no rows, no benchmark."""
+    import corpus_pipeline
+
+    rng = random.Random(1)
+    text = lambda n: "\n".join(" ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(12)) + "." for _ in range(n))
+    good, other, item = text(5), text(6), " ".join(text(3).split())
+    rows = [(1, good), (1, good), (2, good), (None, other), (None, None), (3, None), (4, ""), (5, "x " * 400), (6, text(4) + "\n" + item), (7, text(9))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, sid string, node long, _row string, n_tokens string"
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or ""), "x", 5, "r", "n") for d, t in rows], schema)
+
+    def run(docs, items, name):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        return corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+
+    items = spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")
+    got = collections.Counter(r.doc_id for r in run(df, items, "a").collect())
+    assert got == {1: 2, None: 1, 7: 1}
+    assert collections.Counter(r.doc_id for r in run(df, items.limit(0), "b").collect()) == {1: 2, None: 1, 6: 1, 7: 1}
+    assert run(df.limit(0), items, "c").count() == 0
+    docs = df
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/a")
+        assert docs.columns == df.columns
