@@ -5,12 +5,14 @@ a window of words, long enough that every item lies whole in some window.  An
 item's score is taken as a share of the score it gives itself, so one threshold
 holds for all.  For each passage
 
-1.  cursors stand on the posting lists of its terms, in order of their items;
-2.  the pivot is the first cursor at which the lists' greatest weights add up to
+1.  the greatest weights of its terms within groups of neighbouring items are added up;
+    a passage that stays below the threshold in every group has no item;
+2.  cursors stand on the posting lists of its terms, in order of their items;
+3.  the pivot is the first cursor at which the lists' greatest weights add up to
     the threshold: no item in front of it can reach it;
-3.  the greatest weights of the blocks that hold the pivot's item bound it again;
+4.  the greatest weights of the blocks that hold the pivot's item bound it again;
     if they stay below the threshold, the cursors jump past the nearest block end;
-4.  else the item is scored exactly; all at or above the threshold are retrieved.
+5.  else the item is scored exactly; all at or above the threshold are retrieved.
 
 A retrieved pair counts as a leak if both the item's question and its answer
 overlap with the passage in word trigrams.
@@ -53,6 +55,8 @@ SHARD_ITEMS, SHARD_WORDS = 20_000, 2_000_000
 WORDS_AT_ONCE = 400_000
 #: Sums of weights are compared with this much room for rounding.
 SLACK = 1e-9
+#: Groups of items for the first bound: their least width, most of them in a shard, room for single precision.
+GROUP_ITEMS, MOST_GROUPS, ROUNDED = 8, 64, 1e-4
 #: Punctuation that is trimmed from words.
 TRIM = ".,;:!?¡¿…\"'«»“”„()[]{}<>*#|&%$-–—_/\\"
 
@@ -100,6 +104,8 @@ class Index:
     term_max: np.ndarray
     block_last: np.ndarray  # last posting of each block, as in ``places``
     block_max: np.ndarray
+    block_of: np.ndarray  # each posting's block
+    group_max: np.ndarray  # terms x groups of neighbouring items: greatest weight
     word: np.ndarray  # all items' words, one after the other
     word_begin: np.ndarray
     stride: int
@@ -125,7 +131,10 @@ class Index:
         heads = np.flatnonzero(rank % BLOCK == 0)
         lasts = np.append(heads[1:], len(term))[: len(heads)] - 1
         greatest = lambda at: np.maximum.reduceat(weights, at) if len(at) else np.zeros(0)
-        return Index(items, vocabulary, starts, places, weights, greatest(starts[:-1]), places[lasts], greatest(heads), code.astype(np.int32), begin, max(LEAST_STRIDE, longest))
+        width = max(GROUP_ITEMS, -(-many // MOST_GROUPS))
+        group_max = np.zeros((len(vocabulary), -(-many // width)), np.float32)
+        np.maximum.at(group_max, (term, item // width), weights.astype(np.float32))
+        return Index(items, vocabulary, starts, places, weights, greatest(starts[:-1]), places[lasts], greatest(heads), np.repeat(np.arange(len(heads)), lasts - heads + 1), group_max, code.astype(np.int32), begin, max(LEAST_STRIDE, longest))
 
     def search(self, terms: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(passage, item, score) of all pairs at or above the threshold; terms are distinct within a passage.
@@ -139,8 +148,11 @@ class Index:
         many, least = max(len(self.items), 1), THRESHOLD - SLACK
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         own = np.repeat(np.arange(len(sizes)), sizes)
-        upper = np.bincount(own, weights=self.term_max[terms], minlength=len(sizes))
-        own, term = own[upper[own] >= least], terms[upper[own] >= least]
+        some = np.flatnonzero(sizes)
+        alive = np.zeros(len(sizes), bool)
+        if len(some):  # block maxima over the same items for all terms: most passages reach the threshold in no group
+            alive[some] = np.add.reduceat(self.group_max[terms], (np.cumsum(sizes) - sizes)[some], axis=0).max(axis=1) >= least - ROUNDED
+        own, term = own[alive[own]], terms[alive[own]]
         at = self.begin[term]
         item = self.places[at] - term * many
         while len(own):
@@ -158,10 +170,15 @@ class Index:
             target = np.where(live, item[np.minimum(pivot, len(own) - 1)], -1)
             aim = target[who]
             front = np.flatnonzero(item <= aim)
-            block = np.searchsorted(self.block_last, term[front] * many + aim[front])
-            ended = block == len(self.block_last)
+            base, goal = term[front] * many, aim[front]
+            block = self.block_of[at[front]]
+            last = self.block_last[block] - base
+            behind = np.flatnonzero(last < goal)  # the item lies beyond the block in which the cursor stands
+            block[behind] = np.searchsorted(self.block_last, base[behind] + goal[behind])
+            ended = np.zeros(len(front), bool)
+            ended[behind] = block[behind] == len(self.block_last)
             block[ended] = 0
-            last = self.block_last[block] - term[front] * many  # of another term's list if this one ends before the item
+            last[behind] = self.block_last[block[behind]] - base[behind]  # of another term's list if this one ends before the item
             ended |= last >= many
             bound = np.bincount(who[front], weights=np.where(ended, 0.0, self.block_max[block]), minlength=len(heads))
             scored = live & (bound >= least)
