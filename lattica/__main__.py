@@ -123,7 +123,7 @@ def main(argv: list[str] | None = None) -> int:
         case "cluster":
             _show(analytics.cluster_summary(g, analytics.louvain(g, a.resolution)))
         case "rag":
-            print(context.as_markdown(context.retrieve(g, a.query, a.k_hops, a.token_budget)))
+            print(context.as_markdown(context.retrieve(g, a.query, a.k_hops, a.token_budget), a.token_budget))
         case "query":
             kind, rows = context.answer(g, a.ask)
             print(json.dumps({"intent": kind}))

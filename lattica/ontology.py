@@ -94,8 +94,8 @@ class Ontology:
         return typed.join(allowed, ["rel", "src_type", "dst_type"], "left").select("src", "rel", "dst", F.explode(F.array_compact(checks)).alias("problem"))
 
     def conforming(self, entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Entities of known type with an id; relations of known name (in any case, handed on in lower case) between them."""
-        kept = entities.where(F.col("type").isin(*self.entity_types, *self.context_types) & (F.coalesce("id", F.lit("")) != ""))
+        """Entities of an entity type with an id; relations of known name (in any case, handed on in lower case) between them."""
+        kept = entities.where(F.col("type").isin(*self.entity_types) & (F.coalesce("id", F.lit("")) != ""))
         names = [r.lower() for r in self.relations]
         ids = kept.select("id")
         rels = relations.withColumn("rel", F.lower("rel")).where(F.col("rel").isin(*names))
@@ -103,9 +103,10 @@ class Ontology:
         return kept, rels.select(*relations.columns)
 
     def to_dot(self) -> str:
-        """A DOT graph with an arrow for each allowed pair; context relations are dashed."""
-        lines = sorted(f'  "{s}" -> "{t}" [label="{r}"{", style=dashed" if r in self.context_relations else ""}];' for r, (ss, ts) in self.relations.items() for s in ss for t in ts)
-        return "\n".join(["digraph ontology {", *lines, "}", ""])
+        """A DOT graph: entity types as boxes, context types as ellipses, an arrow for each allowed pair, dashed for context relations."""
+        types = [f'  "{t}" [shape=box];' for t in sorted(self.entity_types)] + [f'  "{t}" [shape=ellipse];' for t in sorted(self.context_types)]
+        arrows = [f'  "{s}" -> "{t}" [label="{r}", style={"dashed" if r in self.context_relations else "solid"}];' for r, (ss, ts) in sorted(self.relations.items()) for s in sorted(ss) for t in sorted(ts)]
+        return "\n".join(["digraph ontology {", *types, *arrows, "}", ""])
 
 
 # The default vocabulary.

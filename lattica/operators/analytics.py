@@ -9,6 +9,7 @@ meant for graphs whose components fit a task, and say so.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -84,17 +85,22 @@ def component_sizes(graph: Graph) -> DataFrame:
     return components(graph).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
 
-def distances(adj: DataFrame, sources: DataFrame, depth: int = 50) -> DataFrame:
-    """(source, id, distance) by frontier joins over (u, v); ``sources`` has (source, id)."""
-    found = cut(sources.select("source", "id", F.lit(0).alias("distance")))
-    front = found
-    for d in range(1, depth + 1):
+def distances(adj: DataFrame, sources: DataFrame, depth: int | None = None) -> DataFrame:
+    """(source, id, distance) by frontier joins over (u, v), to ``depth`` or to the end; ``sources`` has (source, id).
+
+    Each round is a table of its own, so what is found is never written again.
+    """
+    rings = [cut(sources.select("source", "id", F.lit(0).alias("distance")).distinct())]
+    while depth is None or len(rings) <= depth:
+        front = rings[-1]
         step = front.join(adj, front["id"] == adj["u"]).select("source", F.col("v").alias("id")).distinct()
-        front = cut(step.join(found.select("source", "id"), ["source", "id"], "left_anti").withColumn("distance", F.lit(d)))
-        if front.isEmpty():
+        for ring in rings:
+            step = step.join(ring.select("source", "id"), ["source", "id"], "left_anti")
+        ring = cut(step.withColumn("distance", F.lit(len(rings))))
+        if ring.isEmpty():
             break
-        found = cut(found.unionByName(front))
-    return found
+        rings.append(ring)
+    return reduce(DataFrame.unionByName, rings)
 
 
 def shortest_path_edges(graph: Graph, start: str, end: str) -> DataFrame:

@@ -6,9 +6,9 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from lattica.functions import text as T
+from lattica.iterate import cut, numbered
 from lattica.operators.analytics import pagerank
 from lattica.operators.merge import drop_dangling
 from lattica.schema import Graph
@@ -29,6 +29,7 @@ def bm25(corpus: DataFrame, query: str, limit: int | None = 100, key: str = "id"
     tokens = corpus.select(key, T.words(F.col(text)).alias("ws"))
     stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ws")).alias("mean"))
     hits = tokens.select(key, F.size("ws").alias("len"), F.explode(F.filter("ws", lambda w: w.isin(*terms) if terms else F.lit(False))).alias("term")).groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    hits = cut(hits)  # read for document frequencies and for scores: one pass over the texts
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rows = hits.join(F.broadcast(df.join(wanted, "term")), "term").join(F.broadcast(stats))  # query terms and one row of totals
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -38,7 +39,8 @@ def bm25(corpus: DataFrame, query: str, limit: int | None = 100, key: str = "id"
 
 
 def ranked(scores: DataFrame, key: str = "id") -> DataFrame:
-    return scores.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), key)))
+    """Places by score, ties by key; over range partitions."""
+    return numbered(scores, F.desc("score"), F.col(key), name="rank")
 
 
 def fuse(rankings: list[DataFrame], k: int = 60, key: str = "id") -> DataFrame:
@@ -90,7 +92,7 @@ def duplicate_candidates(nodes: DataFrame, threshold: float = 0.6) -> DataFrame:
     text = F.concat_ws(" ", "label", F.array_join("aliases", " "))
     sigs = nodes.select("id", T.minhash(text).alias("sig"))
     pairs = lsh_candidates(sigs).select("a", "b", signature_similarity(F.col("sa"), F.col("sb")).alias("similarity"))
-    return pairs.where(F.col("similarity") >= threshold)
+    return pairs.where(F.col("similarity") >= threshold).orderBy(F.desc("similarity"), "a", "b")
 
 
 def merge_duplicates(graph: Graph, pairs: DataFrame) -> Graph:

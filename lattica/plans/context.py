@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -95,29 +95,53 @@ def seeds(nodes: DataFrame, question: str, k: int = 5) -> DataFrame:
     return nodes.select("id", "label", score.alias("score")).where("score > 0.1").orderBy(F.desc("score"), "id").limit(k)
 
 
-def within_budget(lines: DataFrame, budget: int, share: float, by: tuple[str, ...]) -> DataFrame:
-    """Lines in order while their lengths with line ends stay within the share of four characters a token; stops at the first overflow."""
-    total = F.sum(F.length("line") + 1).over(W.orderBy(*by).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return lines.withColumn("used", total).where(F.col("used") <= share * 4 * budget)
+def within_budget(lines: DataFrame, room: Column, before: Column, by: tuple[str, ...], most: int) -> DataFrame:
+    """Lines in order with ``used``, the characters in front of them, while they fit into ``room``; stops at the first that does not.
+
+    ``most`` bounds how many lines can fit at all, so no more than that are ranked together.
+    """
+    size = F.length("line") + 1
+    total = F.sum(size).over(W.orderBy(*by).rowsBetween(W.unboundedPreceding, W.currentRow))
+    first = lines.orderBy(*by).limit(most)
+    return first.withColumn("used", before + total - size).where(F.col("used") + F.length("line") <= room)
+
+
+HEADINGS = ("### Relevant Entities", "\n### Graph Relations")
 
 
 def retrieve(graph: Graph, question: str, hops: int = 2, budget: int = 2000) -> DataFrame:
-    """(part, depth, id, line, used): node and edge lines around the question's seeds under a token budget."""
+    """(part, depth, id, line, used): node and edge lines around the question's seeds under a token budget.
+
+    Four characters count as a token.  Headings and node lines may fill half of the
+    budget; edge lines follow until nine tenths are full, so few nodes leave room for more edges.
+    """
     spark = graph.nodes.sparkSession
     start = [(r["id"], r["id"]) for r in seeds(graph.nodes, question).collect()]  # five at most
     if not start:
         start = [(r["id"], r["id"]) for r in graph.nodes.orderBy("ord", "id").limit(1).collect()]
     adj = undirected(graph.edges, graph.nodes)
     near = distances(adj, spark.createDataFrame(start, "source string, id string"), hops).groupBy("id").agg(F.min("distance").alias("depth"))
-    nodes = graph.nodes.join(near, "id").select(F.lit("node").alias("part"), "depth", "id", F.concat_ws(" ", F.lit("-"), "label", F.concat(F.lit("("), "type", F.lit(")"))).alias("line"))
+    description = F.try_element_at("meta", F.lit("description"))
+    line = F.concat(F.lit("- **"), F.coalesce("label", "id"), F.lit("** ("), F.coalesce("type", F.lit("Unknown")), F.lit(")"), F.when(F.coalesce(description, F.lit("")) != "", F.concat(F.lit(": "), description)).otherwise(""))
+    nodes = graph.nodes.join(near, "id").select(F.lit("node").alias("part"), "depth", "id", line.alias("line"))
     inner = near.where(F.col("depth") < hops)
     touching = graph.edges.join(inner.select(F.col("id").alias("src"), F.col("depth").alias("ds")), "src", "left").join(inner.select(F.col("id").alias("dst"), F.col("depth").alias("dd")), "dst", "left").where("ds is not null or dd is not null")
-    edges = touching.select(F.lit("edge").alias("part"), F.least("ds", "dd").alias("depth"), F.concat_ws(" ", "src", "rel", "dst").alias("id"), F.concat_ws(" ", F.lit("-"), "src", F.concat(F.lit("["), "rel", F.lit("]")), "dst").alias("line"))
-    return within_budget(nodes, budget, 0.5, ("depth", "id")).unionByName(within_budget(edges, budget, 0.4, ("depth", "id")))
-
-
-def as_markdown(rows: DataFrame) -> str:
+    names = graph.nodes.select("id", F.coalesce("label", "id").alias("name"))
+    for end in ("src", "dst"):
+        touching = touching.join(names.withColumnsRenamed({"id": end, "name": f"{end}_name"}), end, "left")
+    said = F.concat(F.lit("- `"), F.coalesce("src_name", "src"), F.lit("` --["), F.coalesce("rel", F.lit("related_to")), F.lit("]--> `"), F.coalesce("dst_name", "dst"), F.lit("`"))
+    edges = touching.select(F.lit("edge").alias("part"), F.least("ds", "dd").alias("depth"), F.concat_ws(" ", "src", "rel", "dst").alias("id"), said.alias("line"))
+    chars, by = 4 * budget, ("depth", "id")
+    head = len(HEADINGS[0]) + 1
+    kept = within_budget(nodes, F.lit(0.5 * chars), F.lit(head), by, chars)
+    filled = F.broadcast(kept.agg((F.coalesce(F.max(F.col("used") + F.length("line") + 1), F.lit(head)) + len(HEADINGS[1]) + 1).alias("_filled")))  # one row
+    more = within_budget(edges.join(filled), F.lit(0.9 * chars), F.col("_filled"), by, chars).drop("_filled")
+    return kept.unionByName(more)
+
+
+def as_markdown(rows: DataFrame, budget: int = 2000) -> str:
     """The lines of a retrieval, which its budget bounds."""
     got = rows.orderBy(F.desc("part"), "depth", "id").collect()
     part = lambda name: [r["line"] for r in got if r["part"] == name]
-    return "\n".join(["## Entities", *part("node"), "", "## Relations", *part("edge")])
+    text = "\n".join([HEADINGS[0], *part("node"), HEADINGS[1], *part("edge")])
+    return text if len(text) <= 4 * budget else text[: 4 * budget] + "\n... (truncated for token budget)"

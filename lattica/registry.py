@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica import views
 from lattica.functions import text as T
+from lattica.iterate import numbered
 from lattica.operators import analytics, derive, filters, govern, merge, search
 from lattica.plans import context, sparql
 from lattica.schema import Graph
@@ -184,9 +185,10 @@ def p20_question_score(spark: SparkSession, d: str) -> DataFrame:
 # --- joins, sets, windows -------------------------------------------------------------
 
 
-@query(f"WITH {STAR_SQL} SELECT o.id FROM nodes o WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = o.id OR e.dst = o.id)")
+@query(f"WITH {STAR_SMALL_SQL}, e AS (SELECT * FROM edges WHERE rel = 'IN_REGION' OR ord % 3 = 0) SELECT o.id FROM nodes o WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = o.id OR e.dst = o.id)")
 def j6_orphans(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.orphans(star(spark, d))
+    g = star_small(spark, d)
+    return analytics.orphans(Graph(g.nodes, g.edges.where("rel = 'IN_REGION' or ord % 3 = 0")))
 
 
 @query(
@@ -308,9 +310,17 @@ def q9_distances(spark: SparkSession, d: str) -> DataFrame:
     return analytics.distances(adj, spark.createDataFrame([("c", "customer:1")], "source string, id string"), 4).select("id", "distance")
 
 
-@query(f"WITH {STAR_SMALL_SQL}, d AS (SELECT (SELECT dst FROM edges WHERE src = 'customer:1') AS a, (SELECT dst FROM edges WHERE src = 'customer:2') AS b) SELECT CASE WHEN a = b THEN 2 WHEN (SELECT dst FROM edges WHERE src = a) = (SELECT dst FROM edges WHERE src = b) THEN 4 END AS hops FROM d WHERE hops IS NOT NULL")
+@query(
+    """WITH c AS (SELECT c_nationkey AS n1, n_regionkey AS r FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey = 1),
+s AS (SELECT s_suppkey AS s, s_nationkey AS n2, n1, r FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN c ON n_regionkey = r AND s_nationkey <> n1 ORDER BY s_suppkey LIMIT 1)
+SELECT 'customer:1' AS u, 'nation:' || n1 AS v, 4 AS hops FROM s UNION ALL SELECT 'nation:' || n1, 'region:' || r, 4 FROM s UNION ALL SELECT 'region:' || r, 'nation:' || n2, 4 FROM s UNION ALL SELECT 'nation:' || n2, 'supplier:' || s, 4 FROM s"""
+)
 def q9_shortest_path(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.shortest_path_edges(star_small(spark, d), "customer:1", "customer:2").select("hops").distinct()
+    """To the first supplier of another nation in the region of the first customer."""
+    nation, home = table(spark, d, "nation"), table(spark, d, "customer").where("c_custkey = 1")
+    region = home.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_nationkey", F.col("n_regionkey").alias("r"))
+    there = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, (F.col("n_regionkey") == F.col("r")) & (F.col("s_nationkey") != F.col("c_nationkey")))
+    return analytics.shortest_path_edges(star_small(spark, d), "customer:1", f"supplier:{there.agg(F.min('s_suppkey')).first()[0]}")
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -322,9 +332,9 @@ def _pagerank_sql(rounds: int) -> str:
 SELECT id, round(score, 6) AS score FROM p{rounds}"""
 
 
-@query(_pagerank_sql(8))
+@query(_pagerank_sql(40))
 def q10_pagerank(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.pagerank(star_small(spark, d), ["nation:1"], rounds=8, tol=0.0).select("id", F.round("score", 6).alias("score"))
+    return analytics.pagerank(star_small(spark, d), ["nation:1"]).select("id", F.round("score", 6).alias("score"))
 
 
 BM25_SQL = f"""WITH toks AS (SELECT doc_id AS id, {SPACES} AS ws FROM documents), st AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM toks),
@@ -344,10 +354,8 @@ def q11_bm25(spark: SparkSession, d: str) -> DataFrame:
 SELECT id, round(sum(1.0 / (60 + r)), 8) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id"""
 )
 def q12_rank_fusion(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window as W
-
     o = table(spark, d, "orders")
-    ranks = [o.select(F.col("o_orderkey").alias("id"), F.row_number().over(W.orderBy(F.desc(c), "o_orderkey")).alias("rank")) for c in ("o_totalprice", "o_orderdate")]
+    ranks = [numbered(o.select(F.col("o_orderkey").alias("id"), c), F.desc(c), F.col("id"), name="rank") for c in ("o_totalprice", "o_orderdate")]
     return search.fuse(ranks).select("id", F.round("score", 8).alias("score"))
 
 
@@ -366,6 +374,14 @@ def q7_ego(spark: SparkSession, d: str) -> DataFrame:
     return context.ego(star_small(spark, d), "nation:2").edges.select("src", "rel", "dst")
 
 
+@query(
+    f"""WITH {STAR_SMALL_SQL}, adj AS (SELECT src AS u, dst AS v FROM edges UNION SELECT dst, src FROM edges), one AS (SELECT v FROM adj WHERE u = 'region:1'), two AS (SELECT 'region:1' AS id UNION SELECT v FROM one UNION SELECT adj.v FROM one JOIN adj ON one.v = adj.u)
+SELECT src, rel, dst FROM edges WHERE src IN (SELECT id FROM two) AND dst IN (SELECT id FROM two)"""
+)
+def q7_ego_rings(spark: SparkSession, d: str) -> DataFrame:
+    return context.ego(star_small(spark, d), "region:1", "bfs", depth=2).edges.select("src", "rel", "dst")
+
+
 # --- analytics -----------------------------------------------------------------------
 
 
@@ -387,17 +403,75 @@ def g3_bridges(spark: SparkSession, d: str) -> DataFrame:
     return analytics.bridges(dialog(spark, d))
 
 
-@query(f"WITH {STAR_SMALL_SQL} SELECT id FROM nodes WHERE false")
+@query("SELECT 'nation:' || n_nationkey AS id FROM nation UNION SELECT 'region:' || n_regionkey FROM nation WHERE n_nationkey % 2 = 0")
 def g5_cycle_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.nodes_in_cycles(star_small(spark, d).edges)
+    """Regions point back to even nations, and odd nations stand in a ring: cycles of two and of twelve, with customers hanging on."""
+    e = star_small(spark, d).edges.select("src", "dst")
+    nation = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    name = lambda kind, c: F.concat(F.lit(f"{kind}:"), c.cast("string"))
+    key = F.col("n_nationkey")
+    back = nation.where(key % 2 == 0).select(name("region", F.col("n_regionkey")).alias("src"), name("nation", key).alias("dst"))
+    ring = nation.where(key % 2 == 1).select(name("nation", key).alias("src"), name("nation", F.when(key < 23, key + 2).otherwise(F.lit(1))).alias("dst"))
+    return analytics.nodes_in_cycles(e.unionByName(back).unionByName(ring))
 
 
-@query()
+MESH_SQL = """nodes(id) AS (SELECT 'region:' || r_regionkey FROM region UNION ALL SELECT 'nation:' || n_nationkey FROM nation),
+edges(src, dst) AS (SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation UNION ALL SELECT 'nation:' || n_nationkey, 'nation:' || (n_nationkey + 1) FROM nation WHERE n_nationkey % 8 IN (0, 1, 2) AND n_nationkey < 24),
+adj(u, v) AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"""
+
+
+def _mesh(spark: SparkSession, d: str) -> Graph:
+    """Nations and regions, some nations also linked to the next: cycles, bridges and points of articulation."""
+    g = star_small(spark, d)
+    e = g.edges.where("rel = 'IN_REGION'")
+    more = table(spark, d, "nation").where("n_nationkey % 8 in (0, 1, 2) and n_nationkey < 24").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("src"), F.lit("NEXT").alias("rel"), F.concat(F.lit("nation:"), (F.col("n_nationkey") + 1).cast("string")).alias("dst"), F.lit(1.0).alias("confidence"))
+    return Graph(g.nodes.where("type in ('Region', 'Nation')"), e.unionByName(more, allowMissingColumns=True))
+
+
+@query(
+    f"""WITH RECURSIVE {MESH_SQL}, reach(x, u, v) AS (SELECT x.id, a.u, a.v FROM nodes x JOIN adj a ON a.u <> x.id AND a.v <> x.id UNION SELECT r.x, r.u, a.v FROM reach r JOIN adj a ON r.v = a.u AND a.v <> r.x)
+SELECT DISTINCT a.u AS id FROM adj a JOIN adj b ON a.u = b.u AND a.v < b.v WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.x = a.u AND r.u = a.v AND r.v = b.v)"""
+)
+def g1_articulation_mesh(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.articulation_points(_mesh(spark, d))
+
+
+@query(
+    f"""WITH RECURSIVE {MESH_SQL}, reach(a, b, w) AS (SELECT u, v, u FROM adj WHERE u < v UNION SELECT r.a, r.b, x.v FROM reach r JOIN adj x ON r.w = x.u AND NOT (x.u = r.a AND x.v = r.b) AND NOT (x.u = r.b AND x.v = r.a))
+SELECT u AS a, v AS b FROM adj WHERE u < v AND NOT EXISTS (SELECT 1 FROM reach r WHERE r.a = u AND r.b = v AND r.w = v)"""
+)
+def g3_bridges_mesh(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.bridges(_mesh(spark, d))
+
+
+@query(
+    f"""WITH RECURSIVE {MESH_SQL}, walk(s, v, k) AS (SELECT id, id, 0 FROM nodes UNION SELECT s, adj.v, k + 1 FROM walk JOIN adj ON walk.v = adj.u WHERE k < 29), dist AS (SELECT s, v, min(k) AS k FROM walk GROUP BY s, v),
+paths(s, v, k, p) AS (SELECT id, id, 0, [id] FROM nodes UNION ALL SELECT x.s, a.v, x.k + 1, list_append(p, a.v) FROM paths x JOIN adj a ON a.u = x.v JOIN dist y ON y.s = x.s AND y.v = a.v AND y.k = x.k + 1),
+many AS (SELECT s, v, count(*) AS n FROM paths GROUP BY s, v), inner_ AS (SELECT s, v, unnest(p[2:-2]) AS id FROM paths WHERE k > 1), part AS (SELECT i.id, sum(1.0 / n) AS score FROM inner_ i JOIN many m ON m.s = i.s AND m.v = i.v GROUP BY i.id)
+SELECT nodes.id, round(coalesce(score, 0), 6) AS score FROM nodes LEFT JOIN part ON part.id = nodes.id"""
+)
+def g10_betweenness_mesh(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.betweenness(_mesh(spark, d)).select("id", F.round("score", 6).alias("score"))
+
+
+RUNS_SQL = """runs AS (SELECT conv_id, count(*) AS n FROM (SELECT conv_id, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM turns) GROUP BY conv_id, g)"""
+
+
+@query(
+    f"""WITH {DIALOG_SQL}, {RUNS_SQL}, t AS (SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM runs) AS components, (SELECT max(n) FROM runs) AS largest,
+(SELECT count(*) FROM runs WHERE n = 1) AS orphans, (SELECT sum(greatest(n - 2, 0)) FROM runs) AS points)
+SELECT nodes, edges, round(edges / (nodes * (nodes - 1.0)), 4) AS density, round(2.0 * edges / nodes, 2) AS avg_degree, components, largest, orphans, CAST(points AS BIGINT) AS points,
+CAST(floor(100 - least(40.0, 100.0 * orphans / nodes) - least(30.0, 5.0 * points)) AS BIGINT) AS health FROM t"""
+)
 def g2_topology(spark: SparkSession, d: str) -> DataFrame:
     return analytics.topology(dialog(spark, d))
 
 
-@query()
+@query(
+    f"""WITH {DIALOG_SQL}, {RUNS_SQL}, {DEGREE_SQL}, r AS (SELECT CAST(degree AS DOUBLE) AS x, row_number() OVER (ORDER BY degree) AS i, count(*) OVER () AS n FROM degree), t AS (SELECT count(*) AS components, max(n) AS largest FROM runs)
+SELECT (SELECT round(2 * sum(i * x) / (max(n) * sum(x)) - (max(n) + 1.0) / max(n), 3) FROM r) AS gini, CAST(0.9 AS DOUBLE) AS average_confidence, CAST(0 AS BIGINT) AS low_confidence, components, largest, (SELECT count(*) FROM edges) AS bridges,
+CAST(0 AS BIGINT) AS cycles, CAST(0 AS BIGINT) AS contradictions, CAST(round(100.0 - CASE WHEN components > 1 THEN least((components - 1) * 5, 20) ELSE 0 END, 1) AS DOUBLE) AS health FROM t"""
+)
 def g6_audit(spark: SparkSession, d: str) -> DataFrame:
     return analytics.audit(dialog(spark, d))
 
@@ -450,13 +524,13 @@ def d1_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH m AS (SELECT DISTINCT l_suppkey AS entity, l_partkey AS doc FROM lineitem), n AS (SELECT entity, count(*) AS n FROM m GROUP BY entity),
+    """WITH m AS (SELECT DISTINCT 'supplier:' || l_suppkey AS entity, l_partkey AS doc FROM lineitem), n AS (SELECT entity, count(*) AS n FROM m GROUP BY entity),
 s AS (SELECT a.entity AS a, b.entity AS b, count(*) AS shared FROM m a JOIN m b ON a.doc = b.doc AND a.entity < b.entity GROUP BY ALL HAVING count(*) >= 2)
-SELECT 'supplier:' || a AS a, 'supplier:' || b AS b, shared, round(shared / (x.n + y.n - shared), 2) AS confidence FROM s JOIN n x ON x.entity = a JOIN n y ON y.entity = b WHERE shared / (x.n + y.n - shared) >= 0.15 AND length(CAST(a AS VARCHAR)) = length(CAST(b AS VARCHAR))"""
+SELECT a, b, shared, round(shared / (x.n + y.n - shared), 2) AS confidence FROM s JOIN n x ON x.entity = a JOIN n y ON y.entity = b WHERE shared / (x.n + y.n - shared) >= 0.15"""
 )
 def d2_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").select(F.concat(F.lit("supplier:"), "l_suppkey").alias("entity"), F.col("l_partkey").cast("string").alias("doc"))
-    return derive.cooccurrence(li, threshold=0.15).where(F.length("a") == F.length("b"))
+    return derive.cooccurrence(li, threshold=0.15)
 
 
 COSINE = "list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: CAST(p[1] AS DOUBLE) * p[2])) / (sqrt(list_sum(list_transform(x.embedding, lambda p: CAST(p AS DOUBLE) * p))) * sqrt(list_sum(list_transform(y.embedding, lambda p: CAST(p AS DOUBLE) * p))))"
@@ -521,17 +595,16 @@ def r2_lint(spark: SparkSession, d: str) -> DataFrame:
 
 BENCH_TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_-]+')"
 VOCAB_SQL = f"""bt AS (SELECT DISTINCT item_id, unnest({BENCH_TOKENS}) AS w FROM benchmark),
-vocab AS (SELECT w FROM bt WHERE length(w) >= 5 AND regexp_matches(w, '^[\\p{{L}}\\p{{N}}_]+$') GROUP BY w ORDER BY count(*) DESC, w LIMIT 200)"""
+vocab AS (SELECT w FROM bt WHERE length(w) >= 5 AND regexp_matches(w, '^[\\p{{L}}\\p{{N}}_]+$') GROUP BY w)"""
 
 
 def _benchmark_registry(spark: SparkSession, d: str) -> DataFrame:
-    """The 200 most frequent longer words of the test items as concepts."""
+    """Every longer word of the test items as a concept."""
     from lattica.operators import extract
 
     tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_-]+)"), F.lit(1)))
     words = table(spark, d, "benchmark").select(F.explode(tokens).alias("w")).where((F.length("w") >= 5) & F.col("w").rlike(r"^[\p{L}\p{N}_]+$"))
-    top = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(200)
-    rows = merge.ordered(top.select(F.concat(F.lit("entity:"), "w").alias("id"), F.col("w").alias("name"), F.lit("Concept").alias("type"), F.array("w").alias("mention_forms")), "id")
+    rows = merge.ordered(words.distinct().select(F.concat(F.lit("entity:"), "w").alias("id"), F.col("w").alias("name"), F.lit("Concept").alias("type"), F.array("w").alias("mention_forms")), "id")
     from lattica.schema import conform
 
     return conform(rows, extract.REGISTRY)
@@ -573,14 +646,27 @@ def s4_web_pages(spark: SparkSession, d: str) -> DataFrame:
 # --- sinks ---------------------------------------------------------------------------------
 
 
-@query(f"WITH {STAR_SMALL_SQL} SELECT 'MATCH (a {{id: ''' || src || '''}}), (b {{id: ''' || dst || '''}}) MERGE (a)-[:' || rel || ' {{confidence: 1.0000}}]->(b);' AS value FROM edges WHERE rel = 'IN_REGION'")
+@query(
+    f"""WITH {STAR_SMALL_SQL} SELECT 'CREATE CONSTRAINT node_id IF NOT EXISTS FOR (n:Node) REQUIRE n.id IS UNIQUE;' AS value
+UNION ALL SELECT 'MERGE (n:' || type || ' {{id: \'\'' || id || '\'\'}}) SET n.label = \'\'' || label || '\'\';' FROM nodes
+UNION ALL SELECT 'MATCH (a {{id: \'\'' || src || '\'\'}}), (b {{id: \'\'' || dst || '\'\'}}) MERGE (a)-[:' || rel || ' {{confidence: 1.0000}}]->(b);' FROM edges"""
+)
 def k7_cypher(spark: SparkSession, d: str) -> DataFrame:
     from lattica.sinks import files
 
-    return files.cypher_lines(star_small(spark, d)).where("value like 'MATCH%IN_REGION%'")
+    return files.cypher_lines(star_small(spark, d))
 
 
-@query()
+GRAPHML_HEAD = "'<?xml version=\"1.0\" encoding=\"UTF-8\"?>' || chr(10) || '<graphml xmlns=\"http://graphml.graphdrawing.org/xmlns\">' || chr(10) || " + " || chr(10) || ".join(
+    f"'<key id=\"{k}\" for=\"{on}\" attr.name=\"{k}\" attr.type=\"{t}\"/>'" for k, on, t in (("label", "node", "string"), ("type", "node", "string"), ("degree", "node", "int"), ("url", "node", "string"), ("rel", "edge", "string"), ("confidence", "edge", "double"), ("explanation", "edge", "string"), ("scope", "edge", "string"))
+) + " || chr(10) || '<graph edgedefault=\"directed\">'"
+
+
+@query(
+    f"""WITH {STAR_SMALL_SQL}, {DEGREE_SQL} SELECT {GRAPHML_HEAD} AS value UNION ALL SELECT '</graph>' || chr(10) || '</graphml>'
+UNION ALL SELECT '<node id="' || id || '"><data key="label">' || label || '</data><data key="type">' || type || '</data><data key="degree">' || degree || '</data></node>' FROM degree
+UNION ALL SELECT '<edge source="' || src || '" target="' || dst || '"><data key="rel">' || rel || '</data><data key="confidence">1.0</data></edge>' FROM edges"""
+)
 def k4_graphml(spark: SparkSession, d: str) -> DataFrame:
     from lattica.sinks import files
 

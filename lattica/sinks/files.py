@@ -12,9 +12,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from lattica.functions import text as T
+from lattica.iterate import numbered
 from lattica.operators.merge import with_degree
 from lattica.schema import Graph, given
 
@@ -64,9 +64,10 @@ def neo4j_csv(graph: Graph, path: str) -> None:
 
 
 def _lines(*parts: DataFrame) -> DataFrame:
-    """Parts one after the other, each in its own order."""
-    numbered = [p.select(F.lit(i).alias("part"), F.row_number().over(W.partitionBy(F.lit(i)).orderBy(*p.columns[:-1])).alias("n"), F.col(p.columns[-1]).alias("value")) if len(p.columns) > 1 else p.select(F.lit(i).alias("part"), F.lit(0).alias("n"), F.col(p.columns[-1]).alias("value")) for i, p in enumerate(parts)]
-    return reduce(DataFrame.unionByName, numbered).orderBy("part", "n").select("value")
+    """Parts one after the other, each in its own order; sorted over range partitions."""
+    keys = max(len(p.columns) for p in parts) - 1
+    keyed = [p.select(F.lit(i).alias("part"), *[(F.col(p.columns[k]) if k < len(p.columns) - 1 else F.lit(None)).cast("string").alias(f"k{k}") for k in range(keys)], F.col(p.columns[-1]).alias("value")) for i, p in enumerate(parts)]
+    return reduce(DataFrame.unionByName, keyed).orderBy("part", *[f"k{k}" for k in range(keys)]).select("value")
 
 
 def _text(spark, *lines: str) -> DataFrame:
@@ -100,9 +101,10 @@ def turtle_lines(graph: Graph, base: str = "urn:graph:", reify: bool = True) ->
     n = nodes.select("id", F.concat(name(F.col("id")), F.lit(" a "), name(F.col("type")), lit("rdfs:label", given("label")), degree, lit("ex:url", given("url")), F.lit(" .")).alias("v"))
     plain = F.concat(name(F.col("src")), F.lit(" "), name(F.col("rel")), F.lit(" "), name(F.col("dst")), F.lit(" ."))
     more = F.concat(F.when(F.col("confidence").isNotNull(), F.concat(F.lit(" ;\n    ex:confidence "), F.col("confidence").cast("string"))).otherwise(""), *[lit(f"ex:{c}", given(c)) for c in ("explanation", "scope", "tier", "doc")])
-    i = F.row_number().over(W.orderBy("src", "rel", "dst", F.coalesce("scope", F.lit("")))) - 1
-    said = F.concat(plain, F.lit("\n_:stmt"), i.cast("string"), F.lit(" a rdf:Statement ;\n    rdf:subject "), name(F.col("src")), F.lit(" ;\n    rdf:predicate "), name(F.col("rel")), F.lit(" ;\n    rdf:object "), name(F.col("dst")), more, F.lit(" ."))
-    e = edges.select("src", "rel", "dst", (F.when(more != "", said).otherwise(plain) if reify else plain).alias("v"))
+    if reify:
+        edges = numbered(edges.withColumn("_scope", F.coalesce("scope", F.lit(""))), "src", "rel", "dst", "_scope", name="_i", start=0)
+    said = F.concat(plain, F.lit("\n_:stmt"), F.col("_i").cast("string") if reify else F.lit(""), F.lit(" a rdf:Statement ;\n    rdf:subject "), name(F.col("src")), F.lit(" ;\n    rdf:predicate "), name(F.col("rel")), F.lit(" ;\n    rdf:object "), name(F.col("dst")), more, F.lit(" ."))
+    e = edges.select("src", "rel", "dst", F.coalesce("scope", F.lit("")).alias("at"), (F.when(more != "", said).otherwise(plain) if reify else plain).alias("v"))
     s = nodes.sparkSession
     return _lines(_text(s, f"@prefix ex: <{base}> .", "@prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> .", "@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> ."), n, e)
 

@@ -105,9 +105,10 @@ def source_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.window import Window as W
 
     d = table(spark, sf_dir, "documents")
-    nxt = F.lead("doc_id").over(W.partitionBy("source").orderBy("doc_id"))
+    # texts stay out of the window's shuffle
+    ids = d.select("doc_id", F.lead("doc_id").over(W.partitionBy("source").orderBy("doc_id")).alias("next"))
     link = F.when(F.col("next").isNotNull(), F.array(F.concat(F.lit("doc:"), F.col("next").cast("string")))).otherwise(F.array().cast("array<string>"))
-    return d.withColumn("next", nxt).select(
+    return d.join(ids.where("next is not null").groupBy("doc_id").agg(F.min("next").alias("next")), "doc_id", "left").select(
         F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"),
         F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"),
         F.lit("article").alias("kind"),
