@@ -206,13 +206,15 @@ def mention_edges(docs: DataFrame, vocab: DataFrame) -> DataFrame:
     return conform(hits.select(F.col("id").alias("src"), F.lit("COVERS").alias("rel"), F.col("entity").alias("dst"), F.lit("extracted").alias("tier"), F.col("id").alias("doc"), (F.lit(2 * TIER_STEP) + F.pmod(F.xxhash64("id", "entity"), F.lit(1 << 40))).alias("ord")), EDGE)
 
 
-def build(docs: DataFrame, registry: DataFrame, ontology: Ontology = DEFAULT, packs: tuple[DataFrame, DataFrame] | None = None):
-    """Documents to the published graph: three tiers, merged, retracted and pruned."""
+def build(docs: DataFrame, registry: DataFrame, ontology: Ontology = DEFAULT, packs: tuple[DataFrame, DataFrame] | None = None, cited: DataFrame | None = None):
+    """Documents to the published graph: three tiers, merged, retracted and pruned; ``cited`` are pages that packs name."""
     from lattica.operators.merge import merge
 
     nodes, edges = deterministic(docs, registry, ontology)
     if packs is not None:
         n, e = curated(*packs, registry, ontology)
         nodes, edges = nodes.unionByName(n), edges.unionByName(e)
+    if cited is not None:
+        edges = edges.unionByName(cited)
     edges = cut(edges.unionByName(mention_edges(docs, vocabulary(nodes, registry, ontology))))
     return merge(nodes, edges, docs.select("id"))

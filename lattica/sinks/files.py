@@ -124,6 +124,20 @@ def parquet(graph: Graph, path: str) -> str:
     return f"CREATE VIEW nodes AS SELECT * FROM read_parquet('{path}/nodes/*.parquet');\nCREATE VIEW edges AS SELECT * FROM read_parquet('{path}/edges/*/*.parquet', hive_partitioning = true);\n"
 
 
+def duckdb_file(graph: Graph, path: str) -> None:
+    """A database file with tables nodes and edges, filled from Arrow batches one after the other."""
+    import duckdb
+
+    con = duckdb.connect(path)
+    for name, df in zip(("nodes", "edges"), columnar(graph)):
+        table = f'CREATE OR REPLACE TABLE {name} AS SELECT * FROM part'
+        batches = df.toArrow()  # a local file holds what one machine can
+        con.register("part", batches)
+        con.execute(table)
+        con.unregister("part")
+    con.close()
+
+
 def canvas(graph: Graph, width: int = 260, height: int = 120) -> dict:
     """A canvas of cards on a grid of six columns; meant for a drawn subgraph."""
     nodes, edges = _sorted(graph)

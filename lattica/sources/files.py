@@ -175,7 +175,7 @@ def confluence(spark: SparkSession, path: str, space: str = "SPACE") -> DataFram
     return _numbered(raw.select("path", F.concat(F.lit(f"confluence:{space}:"), T.slug(F.col("stem"))).alias("id"), title.alias("title"), F.concat(F.lit(f"/{space}/"), T.slug(title)).alias("url"), F.lit("confluence-page").alias("kind"), text.alias("text"), _none().alias("tags"), _none().alias("links")))
 
 
-PACK = "subject struct<id:string,name:string,type:string>, entities array<struct<id:string,name:string,type:string,short_description:string,aliases:array<string>,wikipedia_url:string,canonical_url:string,blog_url:string>>, relationships array<struct<source_id:string,relationship:string,target_id:string,confidence:double,explanation:string,scope:string,sources:array<string>>>"
+PACK = "subject struct<id:string,name:string,type:string>, entities array<struct<id:string,name:string,type:string,short_description:string,aliases:array<string>,wikipedia_url:string,canonical_url:string,blog_url:string,related_blog_urls:array<string>,architecture_radar_url:string>>, relationships array<struct<source_id:string,relationship:string,target_id:string,confidence:double,explanation:string,scope:string,sources:array<string>>>"
 
 
 def entity_packs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -184,7 +184,7 @@ def entity_packs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     p = raw.select("path", F.concat(F.lit("pack:"), "stem").alias("id"), F.from_json("raw", f"struct<{_struct(PACK)}>").alias("p")).withColumn("ord", F.row_number().over(W.orderBy("path")).cast("bigint"))
     docs = conform(p.select("id", F.coalesce("p.subject.name", "id").alias("title"), F.lit("entity-pack").alias("kind"), "ord"), DOCUMENT)
     place = lambda: (F.col("ord") * (1 << 20) + F.col("place")).alias("ord")
-    entities = p.select("id", "ord", F.posexplode("p.entities").alias("place", "e")).select(F.col("id").alias("doc"), F.col("e.id").alias("id"), "e.name", "e.type", F.col("e.short_description").alias("description"), "e.aliases", place())
+    entities = p.select("id", "ord", F.posexplode("p.entities").alias("place", "e")).select(F.col("id").alias("doc"), F.col("e.id").alias("id"), "e.name", "e.type", F.col("e.short_description").alias("description"), "e.aliases", "e.blog_url", "e.related_blog_urls", "e.architecture_radar_url", place())
     relations = p.select("id", "ord", F.posexplode("p.relationships").alias("place", "r")).select(F.col("id").alias("doc"), "r.source_id", "r.relationship", "r.target_id", "r.confidence", "r.explanation", "r.scope", "r.sources", place())
     return docs, entities, relations
 
@@ -259,7 +259,18 @@ def register(name: str, source: Callable) -> None:
     _SOURCES.setdefault(name, source)
 
 
+def installed() -> None:
+    """Sources that other packages offer under the entry point group ``lattica.sources``; built-in names stay."""
+    from importlib.metadata import entry_points
+
+    for point in entry_points(group="lattica.sources"):
+        if point.name not in _SOURCES:
+            register(point.name, point.load())
+
+
 def open_source(spark: SparkSession, name: str, path: str, **options):
+    if name not in _SOURCES:
+        installed()
     if name not in _SOURCES:
         raise ValueError(f"unknown source {name!r}; known: {', '.join(sorted(_SOURCES))}")
     return _SOURCES[name](spark, path, **options)
