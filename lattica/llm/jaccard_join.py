@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, materialize, ragged_index, ship, text_slices
 from .components import connected_components
 from .shingles import mix, set_digests, shingle_sets
+from .url_filter import blocks_for, bloom_filter, may_be_listed
 
 WIDTH, SIMILAR = 5, 80
 #: Bytes of shingles in a counting fragment, held by one task at a time.
@@ -314,8 +315,12 @@ def _classes(rows: DataFrame, named: DataFrame, width: int, similar: int, scratc
     counted = _counted(segments(classes.select("node", "n", "low", "top"), "u4"), "u4", False)
     least = F.greatest(F.lit(1), F.floor(F.ceil(similar * F.col("n") / 100) / 5))
     active = counted.groupBy("node", "n").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= least).select("node")
-    wanted = classes.join(active, "node", "left_semi").select(F.col("one.doc_id").alias("_id"), F.col("one.th").alias("_th"), "node")
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("node", "text")
+    wanted = scratch.table(classes.join(active, "node", "left_semi").select(F.col("one.doc_id").alias("_id"), F.col("one.th").alias("_th"), "node"), "wanted")
+    # most texts are not wanted: a filter of a bounded size spares them the shuffle, the join is exact
+    blocks = blocks_for(wanted.count())
+    seen = scratch.table(bloom_filter(wanted, blocks, "_th").withColumn("_one", F.lit(1)), "bloom")
+    maybe = rows.withColumn("_one", F.lit(1)).join(F.broadcast(seen), "_one").where(may_be_listed(F.col("th"), blocks)).select("doc_id", "th", "text")
+    texts = maybe.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("node", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "text"):
