@@ -22,6 +22,7 @@ from lattica.session import session, ship
 from lattica.sinks import files as sinks
 from lattica.sinks import pages
 from lattica.sources import files as sources
+from lattica.sources import remote
 
 
 def _show(df: DataFrame) -> None:
@@ -111,7 +112,8 @@ def parser() -> argparse.ArgumentParser:
     add("sparql", ("--query", {"required": True}))
     add("lint", ("--rules", {}))
     add("redact", ("--role", {"required": True}), out)
-    add("layout", ("--iterations", {"type": int, "default": 60}), ("--3d", {"action": "store_true", "dest": "three"}))
+    add("layout", ("--iterations", {"type": int, "default": 60}), ("--3d", {"action": "store_true", "dest": "three"}), ("--multiscale", {"action": "store_true"}), ("--theta", {"type": float, "default": 0.0}))
+    add("extract-llm", ("input", {}), ("--endpoint", {"default": "http://localhost:11434/api/generate"}), ("--model", {"default": "llama3"}), ("--schema", {}), ("--out", {"default": "extracted-pack.toml"}), graph=False)
     port = ("--port", {"type": int, "default": 8080})
     add("build", ("--config", {"default": "lattica.toml"}), ("--out", {}), ("--dry-run", {"action": "store_true"}), graph=False)
     add("watch", ("--config", {"default": "lattica.toml"}), out, ("--poll-interval", {"type": float, "default": 0.5}), ("--once", {"action": "store_true"}), graph=False)
@@ -176,6 +178,12 @@ def main(argv: list[str] | None = None) -> int:
             if a.once:
                 return 0
             time.sleep(a.poll_interval)
+    if a.command == "extract-llm":
+        o = Ontology.from_toml(a.schema, DEFAULT) if a.schema else DEFAULT
+        texts = sources.whole(spark, a.input, "*").select(F.col("stem").alias("id"), F.col("raw").alias("text"))
+        entities, relations = (Graph(*(x.cache() for x in remote.triples(texts, remote.asks(a.endpoint, a.model), o))).toPandas())
+        Path(a.out).write_text(remote.pack_toml(entities.to_dict("records"), relations.to_dict("records")), encoding="utf-8")
+        return 0
     if a.command == "benchmark":
         _show(benchmark(spark, a.quick))
         return 0
@@ -241,7 +249,8 @@ def main(argv: list[str] | None = None) -> int:
         case "redact":
             _put(filters.redact(g, a.role), a.out)
         case "layout":
-            _show(layout.force(g, a.iterations, dimensions=3 if a.three else 2))
+            dims = 3 if a.three else 2
+            _show(layout.multiscale(g, a.iterations, dims) if a.multiscale else layout.force(g, a.iterations, dimensions=dims, theta=a.theta))
         case "serve-api":
             servers.http_server(servers.Service(g), a.host, a.port).serve_forever()
         case "serve-mcp":

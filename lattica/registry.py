@@ -744,6 +744,13 @@ def g12_layout(spark: SparkSession, d: str) -> DataFrame:
     return layout.force(star_small(spark, d))
 
 
+@query()
+def g13_barnes_hut(spark: SparkSession, d: str) -> DataFrame:
+    from lattica.operators import layout
+
+    return layout.force(star_small(spark, d), theta=0.8)
+
+
 @query()
 def g15_layers(spark: SparkSession, d: str) -> DataFrame:
     from lattica.operators import layout
