@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lattica.iterate import cut, numbered
 from lattica.schema import TIERS, Graph, given
 
 
@@ -114,16 +115,29 @@ def reusable(docs: DataFrame, cache: DataFrame, tier: str) -> DataFrame:
     return cache.where(F.col("tier") == tier).join(hashed, ["doc", "doc_hash"], "left_semi").join(F.broadcast(whole), F.col("_whole")).drop("_whole")
 
 
+MERKLE_BLOCK = 10
+
+
 def merkle_root(leaves: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
-    """One row ``root``: leaf digests in order of key, paired level by level, an odd one with itself."""
-    base = leaves.select(F.col(key).alias("k"), F.sha2(F.concat_ws(":", key, value), 256).alias("h")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]).alias("hs"))
+    """One row ``root``: leaf digests in order of key, paired level by level, an odd one with itself; null without leaves.
 
-    def fold(hs):
+    Leaves are numbered over range partitions and folded ``MERKLE_BLOCK`` levels at a time, in
+    blocks of as many leaves as that many levels join; no task holds more than a block.
+    """
+    hashed = leaves.select(F.col(key).alias("k"), F.sha2(F.concat_ws(":", key, value), 256).alias("h"))
+    rows = numbered(hashed, "k", "h", name="n", start=0).select("n", "h")
+
+    def up(hs):
         pairs = F.sequence(F.lit(0), F.floor((F.size(hs) - 1) / 2).cast("int"))
-        up = F.transform(pairs, lambda i: F.sha2(F.concat(F.get(hs, 2 * i), F.coalesce(F.get(hs, 2 * i + 1), F.get(hs, 2 * i))), 256))
-        return F.when(F.size(hs) > 1, up).otherwise(hs)
+        return F.transform(pairs, lambda i: F.sha2(F.concat(F.get(hs, 2 * i), F.coalesce(F.get(hs, 2 * i + 1), F.get(hs, 2 * i))), 256))
+
+    def folded(blocks: DataFrame, step) -> DataFrame:
+        held = blocks.agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "h"))), lambda x: x["h"]).alias("hs"))
+        return held.withColumn("h", F.get(F.aggregate(F.sequence(F.lit(1), F.lit(MERKLE_BLOCK)), F.col("hs"), lambda hs, _: step(hs)), F.lit(0)))
 
-    return base.select(F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.col("hs"), lambda hs, _: fold(hs))[0].alias("root"))
+    while rows.count() > 1 << MERKLE_BLOCK:
+        rows = cut(folded(rows.groupBy(F.shiftright("n", MERKLE_BLOCK).alias("_n")), up).select(F.col("_n").alias("n"), "h"))
+    return folded(rows.groupBy(), lambda hs: F.when(F.size(hs) > 1, up(hs)).otherwise(hs)).select(F.col("h").alias("root"))
 
 
 def ordered(df: DataFrame, *by: str, start: int = 0) -> DataFrame:

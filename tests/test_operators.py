@@ -199,3 +199,17 @@ def test_empty_graph(spark):
     assert merge.merge(g.nodes, g.edges).nodes.count() == 0
     assert analytics.top_hubs(g).count() == 0
     assert analytics.gini(merge.with_degree(g.nodes, g.edges)).select(F.col("gini")).first()[0] == 0
+
+
+def test_merkle_root_in_blocks(spark, monkeypatch):
+    """Blocks fold to the root that pairing level by level gives, whatever the number of leaves."""
+    import hashlib
+
+    monkeypatch.setattr(merge, "MERKLE_BLOCK", 2)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for n in (0, 1, 2, 3, 4, 5, 7, 16, 17, 33):
+        hs = [sha(f"k{i:03}:v{i}") for i in range(n)]
+        while len(hs) > 1:
+            hs = [sha(hs[i] + hs[min(i + 1, len(hs) - 1)]) for i in range(0, len(hs), 2)]
+        df = spark.createDataFrame([(f"k{i:03}", f"v{i}") for i in range(n)], "key string, value string").repartition(3)
+        assert merge.merkle_root(df).first()["root"] == (hs[0] if hs else None), n
