@@ -1,4 +1,4 @@
-"""Connected components of a link table, by least neighbour and pointer jumping."""
+"""Connected components of a link table, by least neighbour, pointer jumping and contraction."""
 
 from __future__ import annotations
 
@@ -11,23 +11,25 @@ from .common import materialize, remove
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, comp) for all nodes of links (a, b); comp is the least node that can be reached.
 
-    Each round takes the least label among the neighbours, an aggregate that
-    combines before the shuffle, then the label of that label.  Lineage is cut with a
-    table in each round; an empty link table gives no rows.
+    In each round a node moves to its least neighbour's least neighbour (an aggregate that
+    combines before the shuffle), and links go on between the places that their ends moved to,
+    once for each two places.  A link within one place goes, so rounds have fewer and
+    fewer links, however many there are between the members of a group.  Lineage is cut
+    with tables in each round; an empty link table gives no rows.
     """
     spark = links.sparkSession
-    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
-    both, both_path = materialize(both.distinct(), "links")
-    labels, path = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("comp")).withColumnRenamed("u", "node"), "labels")
+    c = F.col
+    both = links.select(c("a").alias("u"), c("b").alias("v")).union(links.select("b", "a"))
+    left, path = materialize(both.distinct(), "links")
+    labels, paths = left.select(c("u").alias("node"), c("u").alias("comp")).distinct(), [path]
     while True:
-        seen = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("comp").alias("near"))
-        nearer = labels.join(seen, "node").select("node", "comp", F.least("comp", "near").alias("low"))
-        root = labels.select(F.col("node").alias("low"), F.col("comp").alias("jump"))
-        moved = nearer.join(root, "low", "left").select("node", F.col("comp").alias("was"), F.least("low", F.coalesce("jump", "low")).alias("comp"))
-        moved, new_path = materialize(moved, "labels")
-        changed = not moved.where("was <> comp").isEmpty()
-        remove(spark, path)
-        labels, path = moved.select("node", "comp"), new_path
-        if not changed:
-            remove(spark, both_path)
+        low = left.groupBy("u").agg(F.least(F.min("v"), c("u")).alias("low"))
+        moved, moved_path = materialize(low.join(low.select(c("u").alias("low"), c("low").alias("to")), "low").select("u", "to"), "moved")
+        labels = labels.join(moved.withColumnRenamed("u", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+        ends = left.join(moved, "u").select("v", c("to").alias("u")).join(moved.withColumnRenamed("u", "v"), "v").select("u", c("to").alias("v"))
+        left, path = materialize(ends.where("u <> v").distinct(), "links")
+        paths += [moved_path, path]
+        if left.isEmpty():
+            labels, _ = materialize(labels, "labels")
+            remove(spark, *paths)
             return labels

@@ -20,9 +20,10 @@ each fragment apart, and a pair's partial overlaps are summed.
     and shared shingles allow the overlap; and if the signatures, whose distance
     never exceeds the symmetric difference, allow it.  Pairs come in rounds: one
     leader for each prefix shingle, then a few, and last every member outside
-    its shingle's largest component against all.  Pairs within one component are
-    never tried, so a group of near copies costs a few pairs a member, while no pair
-    that could join two components is left out.
+    its shingle's largest component against all, the nearest of each component before
+    the others.  Pairs within one component are never tried and one link between two
+    components counts, so a group of near copies costs a few pairs a member, while
+    no pair that could join two components is left out.
 5.  A candidate's partial overlaps are counted by fragment and summed.
 
 The output gives each document its class's component: the pairs within a group of
@@ -214,18 +215,23 @@ def _ordered(parts: DataFrame, cuts: np.ndarray, similar: int) -> DataFrame:
     return by_node.mapInArrow(rows, "node long, n long, s long, prefix array<long>, segments array<array<long>>, " + ", ".join(f"g{i} long" for i in range(SIGNATURE_WORDS)))
 
 
+def _apart() -> Column:
+    """Shingles that are surely in one of x and y only."""
+    apart = F.col("x.n") - F.col("x.s") + F.col("y.n") - F.col("y.s")
+    for i in range(SIGNATURE_WORDS):
+        apart = apart + F.bit_count(F.col(f"x.g{i}").bitwiseXOR(F.col(f"y.g{i}")))
+    return apart
+
+
 def _possible(similar: int) -> Column:
     """Whether x and y can be similar if the shingle at which they meet is their first common one."""
     c = F.col
     both = c("x.n") + c("y.n")
-    apart = c("x.n") - c("x.s") + c("y.n") - c("y.s")
-    for i in range(SIGNATURE_WORDS):
-        apart = apart + F.bit_count(c(f"x.g{i}").bitwiseXOR(c(f"y.g{i}")))
     return (
         (100 * F.least("x.n", "y.n") >= similar * F.greatest("x.n", "y.n"))
         & ((100 + similar) * F.least("x.left", "y.left") >= similar * both)
         & ((100 + similar) * F.least("x.s", "y.s") >= similar * both)
-        & ((100 + similar) * apart <= (100 - similar) * both)
+        & ((100 + similar) * _apart() <= (100 - similar) * both)
     )
 
 
@@ -245,6 +251,15 @@ def _similar_pairs(met: DataFrame, sets: DataFrame, similar: int, scratch: Scrat
     return summed.where(100 * F.col("o") >= similar * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
+def _merged(comps: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, comp) after more links (a, b): of the links between two components one counts."""
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    known = scratch.table(comps.join(ends, "node", "full").select("node", F.coalesce("comp", "node").alias("comp")), "known")
+    between = links.join(known.toDF("a", "ca"), "a").join(known.toDF("b", "cb"), "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+    joined = connected_components(between).toDF("comp", "whole")
+    return scratch.table(known.join(joined, "comp", "left").select("node", F.coalesce("whole", "comp").alias("comp")), "comps")
+
+
 def _links(sets: DataFrame, similar: int, scratch: Scratch) -> DataFrame:
     """(node, comp) over the sets that have a link."""
     signature = [f"g{i}" for i in range(SIGNATURE_WORDS)]
@@ -254,13 +269,18 @@ def _links(sets: DataFrame, similar: int, scratch: Scratch) -> DataFrame:
     several = scratch.table(entries.join(first.select("h", "size"), "h"), "prefixes")
     named = [F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("y.node").alias("b"), F.col("y.n").alias("nb")]
 
-    def tried(x: DataFrame, y: DataFrame, on: list[str], also: Column) -> DataFrame:
-        met = x.alias("x").join(y.alias("y"), on).where(also & _possible(similar)).select(*named)
-        return scratch.table(_similar_pairs(met.distinct(), sets, similar, scratch), "pairs")
+    def tried(x: DataFrame, y: DataFrame, on: list[str], also: Column, nearest: bool = False) -> DataFrame:
+        met = x.alias("x").join(y.alias("y"), on).where(also & _possible(similar))
+        if nearest:  # one pair of each set and component
+            far = F.struct((_apart() / (F.col("x.n") + F.col("y.n"))).alias("far"), F.col("y.node").alias("b"))
+            met = met.groupBy(*named[:2], F.col("y.comp").alias("comp")).agg(F.min_by(F.struct(*named[2:]), far).alias("y")).select("a", "na", "y.*")
+        else:
+            met = met.select(*named).distinct()
+        return scratch.table(_similar_pairs(met, sets, similar, scratch), "pairs")
 
     links = tried(first.select("h", "lead.*"), several, ["h"], F.col("x.node") != F.col("y.node"))
     comps = connected_components(links)
-    leaders = FIRST_LEADERS
+    leaders, nearest = FIRST_LEADERS, True
     while True:
         placed = several.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         by_comp = placed.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c"))
@@ -270,22 +290,24 @@ def _links(sets: DataFrame, similar: int, scratch: Scratch) -> DataFrame:
         if widest is None:
             return comps
         apart = F.col("x.comp") != F.col("y.comp")
-        if leaders * leaders < widest:
+        last = leaders * leaders >= widest
+        if not last:
             # a set's turn to lead depends on itself, not on the shingle: shingles of one frequency have the same leaders
             turn = members.withColumn("leads", F.pmod(F.xxhash64("node"), F.lit(1 << 30)) * F.col("size") < (leaders << 30))
             more = tried(turn.where("leads"), turn, ["h"], apart & (~F.col("y.leads") | (F.col("x.node") < F.col("y.node"))))
+            leaders *= MORE_LEADERS
         else:
+            # first each set with the nearest of each component; what that joins is not tried again
             salts = F.ceil((F.col("size") - F.col("most")) * F.col("size") / TRIES_A_SALT).cast("int")
             dealt = members.withColumn("salts", salts)
             rest = dealt.where("comp <> largest").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
             whole = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-            more = tried(rest, whole, ["h", "salt"], apart & ((F.col("y.comp") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))))
+            more = tried(rest, whole, ["h", "salt"], apart & ((F.col("y.comp") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))), nearest)
         if not more.isEmpty():
-            links = links.union(more)
-            comps = connected_components(links)
-        if leaders * leaders >= widest:
+            comps = _merged(comps, more, scratch)
+        if last and not nearest:
             return comps
-        leaders *= MORE_LEADERS
+        nearest = nearest and not last
 
 
 def components(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import decontaminate, html_blocks, huffman, jaccard_join, line_dedup, quality_rules, registry, sentencepiece_bpe, substring_dedup, token_counts, url_filter
 from lattica.llm.common import fresh_path
+from lattica.llm.components import connected_components
 from lattica.llm.shingles import shingle_sets
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -495,6 +496,41 @@ def test_jaccard_join_large_group(spark, monkeypatch):
     assert got == by_force(rows) and len({c for *_, c in got}) > 5
 
 
+def test_jaccard_join_walks_few_links(spark, monkeypatch):
+    """Near copies that each link with many: after the leaders' rounds, neither settled links nor all links of a set are walked."""
+    monkeypatch.setattr(jaccard_join, "FIRST_LEADERS", 2)
+    walked, walk = [], jaccard_join.connected_components
+
+    def counted(links):
+        walked.append(links.count())
+        return walk(links)
+
+    monkeypatch.setattr(jaccard_join, "connected_components", counted)
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(500):
+        w = list(base)
+        for _ in range(rng.choice([1, 1, 2, 2])):
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 400)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.components(df).collect()), key=str) == by_force(rows)
+    assert len(walked) > 2 and all(n < len(rows) for n in walked[2:])
+
+
+def test_connected_components(spark):
+    """Cliques, a path in random order, a star around its greatest node, and no links at all."""
+    rng = random.Random(8)
+    path = rng.sample(range(1000, 1200), 200)
+    links = [*itertools.combinations(range(30), 2), *zip(path, path[1:]), *((2000, n) for n in range(1500, 1540)), (7, 7), (3000, 3000), (1, 0)]
+    rng.shuffle(links)
+    want = {n: 0 for n in range(30)} | {n: 1000 for n in path} | {n: 1500 for n in [2000, *range(1500, 1540)]} | {3000: 3000}
+    got = connected_components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(got) == len(want) and {r.node: r.comp for r in got} == want
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_jaccard_join_odd(spark, odd):
     rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
     assert sorted(map(tuple, jaccard_join.components(odd).collect()), key=str) == by_force(rows)
