@@ -2,8 +2,8 @@
 
 A text's UTF-8 bytes are cut where the gear hash of the last 32 bytes has
 ``MASK_BITS`` zero bits, so cuts depend on the content around them alone and
-come back in step after an insertion.  Cuts less than ``LEAST`` bytes after another
-candidate are passed over, stretches without a cut are cut every ``MOST`` bytes.
+come back in step after an insertion.  From one cut the next is the first such
+place at least ``LEAST`` bytes on, or the one ``MOST`` bytes on where none comes before.
 Chunks are known by 128-bit digests; of equal chunks in different documents the
 first in the order of (row, place) is the original, all others are copies.  A run
 of neighbouring repeated chunks of at least ``RUN_BYTES`` is a repeated passage.
@@ -57,22 +57,15 @@ def cuts(data: np.ndarray, lengths: np.ndarray, gear: np.ndarray, mask_bits: int
     starts = ends - lengths
     at = np.flatnonzero(h >> np.uint32(32 - mask_bits) == 0) + 1  # a cut stands after the byte
     owner = np.searchsorted(ends, at, side="left")
-    at, owner = at[at - starts[owner] >= SPAN], owner[at - starts[owner] >= SPAN]
-    if len(at):
-        far = np.append(True, (at[1:] - at[:-1] >= LEAST) | (owner[1:] != owner[:-1]))
-        at = at[far]
-    bounds = np.unique(np.concatenate([starts[lengths > 0], at, ends[lengths > 0]]))
-    if len(bounds) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    gap = np.diff(bounds)
-    pieces = -(-gap // MOST)
-    if (pieces > 1).any():
-        first = np.repeat(bounds[:-1], pieces)
-        step = np.arange(len(first)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin = first + MOST * step
-        size = np.minimum(MOST, np.repeat(bounds[1:], pieces) - begin)
-        return begin, size
-    return bounds[:-1], gap
+    at = np.append(at[at - starts[owner] >= SPAN], np.iinfo(np.int64).max)
+    here, stop = starts[lengths > 0], ends[lengths > 0]
+    begins = [here]
+    while len(here):  # the next cut of all texts at once
+        there = np.minimum(np.minimum(at[np.searchsorted(at, here + LEAST)], here + MOST), stop)
+        here, stop = there[there < stop], stop[there < stop]
+        begins.append(here)
+    begin = np.sort(np.concatenate(begins))
+    return begin, np.diff(np.append(begin, len(data)))
 
 
 def chunks(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -104,36 +97,67 @@ def chunks(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     return named.mapInArrow(rows, f"row long, doc_id {kind}, th long, start int, size int, a long, b long")
 
 
-def repeated_spans(docs: DataFrame, run_bytes: int = RUN_BYTES, text: str = "text", key: str = "doc_id", once: bool = False) -> DataFrame:
-    """(row, doc_id, th, start, end, copied): maximal runs of repeated chunks, in bytes; ``copied`` of them are later copies.
-
-    With ``once``, rows equal in id and text are one document, known by the first of them, and runs are of later copies alone.
-    """
+def _marked(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, th) of rows with chunks, and (row, start, size, copy) of chunks that stand in several rows."""
     ship(docs.sparkSession)
     table, _ = materialize(chunks(docs, text, key), "chunks")
-    if once:
-        firsts = table.where("start = 0").groupBy("doc_id", "th").agg(F.min("row").alias("row")).select("row")
-        table = table.join(firsts, "row", "left_semi")
     often = table.groupBy("a", "b").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first < last").select("a", "b", "first")
     hits = table.select("row", "start", "size", "a", "b").join(often.hint("shuffle_hash"), ["a", "b"])
-    marked = hits.select("row", "start", "size", (F.col("row") > F.col("first")).alias("copy"))
-    if once:
-        marked = marked.where("copy")
+    marked, _ = materialize(hits.select("row", "start", "size", (F.col("row") > F.col("first")).alias("copy")), "marked")
+    return table.where("start = 0").select("row", "doc_id", "th"), marked
+
+
+def _runs(marked: DataFrame, run_bytes: int) -> DataFrame:
+    """(row, start, end, copied): runs of neighbouring chunks."""
     in_order = W.partitionBy("row").orderBy("start")
     fresh = F.when(F.lag(F.col("start") + F.col("size")).over(in_order) == F.col("start"), 0).otherwise(1)
     runs = marked.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(in_order.rowsBetween(W.unboundedPreceding, W.currentRow)))
     spans = runs.groupBy("row", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum(F.when(F.col("copy"), F.col("size")).otherwise(0)).alias("copied"))
-    spans = spans.where(F.col("end") - F.col("start") >= run_bytes).drop("run")
-    names = table.where("start = 0").select("row", "doc_id", "th")
-    return names.join(spans.hint("shuffle_hash"), "row")
+    return spans.where(F.col("end") - F.col("start") >= run_bytes).drop("run")
+
+
+def _later(names: DataFrame, marked: DataFrame) -> DataFrame:
+    """Later copies alone, in the first of rows equal in id and text."""
+    firsts = names.groupBy("doc_id", "th").agg(F.min("row").alias("row")).select("row")
+    return marked.where("copy").join(firsts, "row", "left_semi")
+
+
+def repeated_spans(docs: DataFrame, run_bytes: int = RUN_BYTES, text: str = "text", key: str = "doc_id", once: bool = False) -> DataFrame:
+    """(row, doc_id, th, start, end, copied): maximal runs of repeated chunks, in bytes; ``copied`` of them are later copies.
+
+    With ``once``, rows equal in id and text are one document, known by the first of them, and runs are of later copies alone.
+    """
+    names, marked = _marked(docs, text, key)
+    return names.join(_runs(_later(names, marked) if once else marked, run_bytes).hint("shuffle_hash"), "row")
 
 
 def repeats(docs: DataFrame, run_bytes: int = RUN_BYTES, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_spans, span_bytes, copied_bytes): one row for each row that shares a passage with another."""
     with Scratch(docs.sparkSession):
         spans, _ = materialize(repeated_spans(docs, run_bytes, text, key), "spans", keep=True)
-    out = spans.groupBy("row", "doc_id").agg(F.count(F.lit(1)).alias("n_spans"), F.sum(F.col("end") - F.col("start")).cast("long").alias("span_bytes"), F.sum("copied").cast("long").alias("copied_bytes"))
-    return out.select(F.col("doc_id").alias(key), "n_spans", "span_bytes", "copied_bytes")
+    return _counted(spans).select(F.col("doc_id").alias(key), "n_spans", "span_bytes", "copied_bytes")
+
+
+def _counted(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("row", "doc_id", "th").agg(F.count(F.lit(1)).alias("n_spans"), F.sum(F.col("end") - F.col("start")).cast("long").alias("span_bytes"), F.sum("copied").cast("long").alias("copied_bytes"))
+
+
+def _by_doc(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+
+
+def digests(docs: DataFrame, run_bytes: int = RUN_BYTES, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``repeats`` with (left_bytes, text_md5) of what ``remove_repeats`` leaves of each row."""
+    with Scratch(docs.sparkSession):
+        names, marked = _marked(docs, text, key)
+        spans, _ = materialize(names.join(_runs(marked, run_bytes).hint("shuffle_hash"), "row"), "spans", keep=True)
+        copies, _ = materialize(_by_doc(names.join(_runs(_later(names, marked), run_bytes).hint("shuffle_hash"), "row")), "copies", keep=True)
+    found = _counted(spans)
+    wanted = found.select("doc_id", "th").distinct().join(copies.toDF("_id", "_th", "spans"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").select("doc_id", "th", "spans")
+    texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
+    left = _without(texts, wanted, "text", "doc_id", "inner").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.octet_length("text").cast("long").alias("left_bytes"), F.md5("text").alias("text_md5")).distinct()
+    out = found.join(left, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
+    return out.select(F.col("doc_id").alias(key), "n_spans", "span_bytes", "copied_bytes", "left_bytes", "text_md5")
 
 
 def remove_repeats(docs: DataFrame, run_bytes: int = RUN_BYTES, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -143,8 +167,12 @@ def remove_repeats(docs: DataFrame, run_bytes: int = RUN_BYTES, text: str = "tex
     passage's edge would split stays.
     """
     with Scratch(docs.sparkSession):
-        spans = repeated_spans(docs, run_bytes, text, key, once=True)
-        by_doc, _ = materialize(spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")), "spans", keep=True)
+        by_doc, _ = materialize(_by_doc(repeated_spans(docs, run_bytes, text, key, once=True)), "spans", keep=True)
+    return _without(docs, by_doc, text, key, "left")
+
+
+def _without(docs: DataFrame, by_doc: DataFrame, text: str, key: str, how: str) -> DataFrame:
+    """Rows of ``docs`` without their spans (doc_id, th, spans)."""
     columns = docs.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,5 +197,5 @@ def remove_repeats(docs: DataFrame, run_bytes: int = RUN_BYTES, text: str = "tex
             yield pa.RecordBatch.from_arrays(out, names=columns)
 
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(text).alias("_whole"), F.col(key).alias("_id"), F.xxhash64(text).alias("_th"))
-    joined = packed.join(by_doc.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_th") == F.col("th")), "left")
+    joined = packed.join(by_doc.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_th") == F.col("th")), how)
     return joined.select("_row", "_whole", F.col("spans").alias("_spans")).mapInArrow(rows, docs.schema)

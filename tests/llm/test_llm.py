@@ -433,6 +433,49 @@ def test_substring_dedup_equal_rows(spark):
     assert min(map(len, out)) < len(end) - 200
 
 
+def test_substring_dedup_of_short_periods(spark):
+    """Cuts closer than the least chunk come back at least that far apart, so two texts meet in one word said over and over."""
+    gear, rng, said = substring_dedup.gear_table(), random.Random(2), []
+    while len(said) < 5:  # words with a place for a cut in each repetition
+        word = "".join(rng.choices("abcdefgh", k=rng.randint(4, 9))) + " "
+        data = np.frombuffer(word.encode() * 80, np.uint8)
+        begin, size = substring_dedup.cuts(data, np.array([len(data)]), gear)
+        assert (size <= substring_dedup.MOST).all() and (size[:-1] >= substring_dedup.LEAST).all()
+        hashes = (sum(int(gear[b]) << i for i, b in enumerate(data[100 + k - substring_dedup.SPAN : 100 + k][::-1])) & 0xFFFFFFFF for k in range(len(word)))
+        if any(h >> (32 - substring_dedup.MASK_BITS) == 0 for h in hashes):
+            said.append(word)
+    words = lambda n: " ".join("".join(rng.choices("mnopqrst", k=rng.randint(2, 8))) for _ in range(n)) + " "
+    rows = [(2 * i + k, words(30) + w * 70 + words(30)) for i, w in enumerate(said) for k in (0, 1)]
+    assert {r.doc_id for r in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == set(range(10))
+
+
+def test_substring_dedup_query_removes(spark):
+    """The query reports what removal leaves of each row found; rows not found stay whole."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    left = {r.doc_id: r.text for r in substring_dedup.remove_repeats(docs).collect()}
+    got = {r.doc_id: r for r in registry.op7_substring_dedup(spark, sf).collect()}
+    assert got and any(r.copied_bytes for r in got.values())
+    for r in docs.collect():
+        if r.doc_id in got:
+            assert got[r.doc_id].text_md5 == hashlib.md5(left[r.doc_id].encode()).hexdigest() and got[r.doc_id].left_bytes == len(left[r.doc_id].encode())
+        else:
+            assert left[r.doc_id] == r.text
+
+
+def test_substring_dedup_digests_of_equal_rows(spark, odd):
+    """Rows equal in id and text, null ids among them, are told apart and cut alike."""
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(n))
+    passage = words(80)
+    rows = [(0, passage), (1, words(50) + " " + passage), (None, passage + " " + words(9)), (5, words(70))]
+    df = spark.createDataFrame([*rows, *rows[1:3]], "doc_id long, text string").coalesce(1)
+    left = collections.Counter(hashlib.md5(r.text.encode()).hexdigest() for r in substring_dedup.remove_repeats(df).collect() if r.doc_id != 5)
+    got = substring_dedup.digests(df).collect()
+    assert collections.Counter(r.text_md5 for r in got) == left and sorted(map(str, (r.doc_id for r in got))) == ["0", "1", "1", "None", "None"]
+    assert substring_dedup.digests(empty(odd)).count() == 0
+
+
 # --- 8 Jaccard join
 
 
