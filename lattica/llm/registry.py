@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_blocks, huffman, jaccard_join, line_dedup, quality_rules, sentencepiece_bpe, substring_dedup, token_counts, url_filter
+from . import decontaminate, html_blocks, huffman, jaccard_join, line_dedup, prefix_trie, quality_rules, sentencepiece_bpe, substring_dedup, token_counts, url_filter
 from .common import ship
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -68,6 +68,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_jaccard_join,
         op9_sentencepiece,
         op10_quality_rules,
+        op11_prefix_trie,
     )
 }
 
@@ -88,4 +93,5 @@ ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op3_url_filter": url_filter.ORACLE_SQL,
     "op8_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op11_prefix_trie": prefix_trie.ORACLE_SQL,
 }
