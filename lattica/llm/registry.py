@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_blocks, huffman, jaccard_join, line_dedup, prefix_trie, quality_rules, sentencepiece_bpe, substring_dedup, token_counts, url_filter, vector_codes
+from . import decontaminate, html_blocks, huffman, jaccard_join, line_dedup, prefix_trie, quality_rules, sentencepiece_bpe, substring_dedup, suffix_tree, token_counts, url_filter, vector_codes
 from .common import ship
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -72,6 +72,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.scores(_table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.codes(_table(spark, sf_dir, "embeddings"))
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_sentencepiece,
         op10_quality_rules,
         op11_prefix_trie,
+        op12_suffix_tree,
         op13_vector_codes,
     )
 }
