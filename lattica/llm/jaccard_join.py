@@ -31,7 +31,7 @@ copies are never listed, and no link between different components is lost.
 
 Defined results: null or white-space-only text has the empty set and is linked
 with nothing; a row with a null id takes part but cannot name a component; rows
-with equal ids keep a row each; an empty table gives no rows; other columns are
+with equal ids keep a row each in ``components``, and are told apart by their text in ``keep_one``; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -310,8 +310,8 @@ def _links(sets: DataFrame, similar: int, scratch: Scratch) -> DataFrame:
         nearest = nearest and not last
 
 
-def components(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``."""
+def _placed(docs: DataFrame, width: int, similar: int, text: str, key: str) -> DataFrame:
+    """(doc_id, th, n, component, whole) for every row; ``whole`` tells components apart and is null for empty sets."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).withColumn("th", F.xxhash64("text"))
     named, _ = materialize(_set_rows(rows, width, similar).withColumn("salt", F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(SALTS)).cast("int")), "sets")
@@ -319,12 +319,17 @@ def components(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR, text
         final = _classes(rows, named, width, similar, scratch)
     # copies go by digest and salt, so no task holds a large group
     by_group = named.select("sid", "salt").distinct().join(final, "sid")
-    out = named.select("doc_id", "n", "sid", "salt").join(by_group, ["sid", "salt"], "left")
+    return named.select("doc_id", "th", "n", "sid", "salt").join(by_group, ["sid", "salt"], "left")
+
+
+def components(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs``."""
+    out = _placed(docs, width, similar, text, key)
     return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def _classes(rows: DataFrame, named: DataFrame, width: int, similar: int, scratch: Scratch) -> DataFrame:
-    """(sid, component) of every set that is not empty."""
+    """(sid, component, whole) of every set that is not empty: the least id, and a number of the component."""
     gathered = [F.min("rep").alias("rep"), F.min("one").alias("one"), *(F.first(c).alias(c) for c in ("n", "low", "top"))]
     groups = named.select("sid", "salt", F.col("doc_id").alias("rep"), F.struct("doc_id", "th").alias("one"), "n", "low", "top").groupBy("sid", "salt").agg(*gathered)
     classes = scratch.table(groups.groupBy("sid").agg(*gathered).where("n > 0").withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -350,15 +355,35 @@ def _classes(rows: DataFrame, named: DataFrame, width: int, similar: int, scratc
     sets = scratch.table(_ordered(parts, _cuts(parts), similar), "ordered")
     linked = classes.select("sid", "node", "rep").join(_links(sets, similar, scratch), "node")
     by_comp = linked.groupBy("comp").agg(F.min("rep").alias("least"))
-    by_class = linked.join(by_comp, "comp").select("sid", "least")
-    final, _ = materialize(classes.select("sid", "rep").join(by_class, "sid", "left").select("sid", F.coalesce("least", "rep").alias("component")), "components", keep=True)
+    by_class = linked.join(by_comp, "comp").select("sid", "comp", "least")
+    final, _ = materialize(classes.select("sid", "rep", "node").join(by_class, "sid", "left").select("sid", F.coalesce("least", "rep").alias("component"), F.coalesce("comp", "node").alias("whole")), "components", keep=True)
     return final
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Of each component the document with the least id stays, with all columns; rows with null ids stay."""
-    found, _ = materialize(components(docs, width, similar, text, key).where(F.col(key).isNotNull() & (F.col(key) != F.col("component_id"))), "doubles")
-    return docs.join(found.select(key).distinct(), key, "left_anti")
+    """Of each component one row stays, with all columns: of the least id, and of the least text hash among that id's texts.
+
+    Texts are told apart by (id, hash), so a text that resembles nothing stays whatever rows share its
+    id.  Rows equal in id and text are copies like others: one stays, the least by a hash of all columns.
+    Rows with a null id stay, and stand for no others.
+    """
+    c = F.col
+    with Scratch(docs.sparkSession) as scratch:
+        found = scratch.table(_placed(docs, width, similar, text, key).where("doc_id is not null").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))), "placed")
+        texts = scratch.table(found.groupBy("doc_id", "th").agg(F.first("whole").alias("whole"), F.first("salt").alias("salt"), F.count(F.lit(1)).alias("times")), "texts")
+        # large components go by number and salt, so no task holds one
+        first = texts.where("whole is not null").groupBy("whole").agg(F.min(F.struct("doc_id", "th")).alias("one"))
+        stays = texts.select("whole", "salt").distinct().join(first, "whole")
+        judged = texts.join(stays, ["whole", "salt"], "left").select("doc_id", "th", "times", (c("one").isNull() | ((c("one.doc_id") == c("doc_id")) & (c("one.th") == c("th")))).alias("stays"))
+        out, _ = materialize(judged.where("not stays or times > 1").select(c("doc_id").alias("_id"), c("th").alias("_th"), "stays"), "doubles", keep=True)
+    same = (c(f"_row.{key}") == c("_id")) & (F.xxhash64(c(f"_row.{text}")) == c("_th"))
+    packed = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("_row"))
+    left = packed.join(out, same, "left_anti")
+    repeated = out.where("stays")
+    if not repeated.isEmpty():
+        again = packed.join(repeated, same).groupBy("_id", "_th").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+        left = left.unionByName(again.select("_row"))
+    return left.select("_row.*")
 
 
 ORACLE_SQL = r"""
