@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -17,6 +19,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, for loops of many rounds.
+
+    A checkpoint hands the optimizer what it knew of its rows; over rounds of joins that knowledge
+    doubles, and planning with it.  A table starts anew.
+    """
+    path = f"{shared_dir(df.sparkSession)}/lattica/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def numbered(df: DataFrame, *by: Column | str, name: str = "n", start: int = 1) -> DataFrame:
     """``df`` with the place of each row in the order ``by``, from ``start`` on.
 

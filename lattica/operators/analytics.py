@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lattica.iterate import cut
+from lattica.operators import connectivity
 from lattica.operators.merge import endpoints, with_degree
 from lattica.schema import Graph
 
@@ -164,55 +165,40 @@ def _adjacency(pdf: pd.DataFrame) -> dict[str, list[str]]:
     return adj
 
 
-def _low_links(adj: dict[str, list[str]]) -> tuple[set[str], set[tuple[str, str]]]:
-    """Articulation points and bridges of one connected graph, without recursion."""
-    seen: dict[str, int] = {}
-    low: dict[str, int] = {}
-    points: set[str] = set()
-    bridges: set[tuple[str, str]] = set()
-    for root in adj:
-        if root in seen:
-            continue
-        seen[root] = low[root] = len(seen)
-        children = 0
-        stack: list[tuple[str, str | None, Iterator[str]]] = [(root, None, iter(adj[root]))]
-        while stack:
-            u, parent, rest = stack[-1]
-            v = next(rest, None)
-            if v is None:
-                stack.pop()
-                if parent is not None:
-                    low[parent] = min(low[parent], low[u])
-                    if low[u] > seen[parent]:
-                        bridges.add((min(u, parent), max(u, parent)))
-                    if parent == root:
-                        children += 1
-                    elif low[u] >= seen[parent]:
-                        points.add(parent)
-            elif v not in seen:
-                seen[v] = low[v] = len(seen)
-                stack.append((v, u, iter(adj[v])))
-            elif v != parent:
-                low[u] = min(low[u], seen[v])
-        if children > 1:
-            points.add(root)
-    return points, bridges
+def with_numbers(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links (u, v) between longs, names (node, id)) of links between ids."""
+    ids = links.select(F.col("u").alias("id")).union(links.select("v")).distinct()
+    names = cut(ids.withColumn("node", F.monotonically_increasing_id()))
+    at = lambda end: names.select(F.col("id").alias(end), F.col("node").alias(f"n{end}"))
+    return cut(links.join(at("u"), "u").join(at("v"), "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"))), names
 
 
 def articulation_points(graph: Graph) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"id": sorted(_low_links(_adjacency(pdf))[0])}, dtype="object")
-
-    return _grouped(graph, undirected(graph.edges, graph.nodes), run, "id string")
+    """(id) of nodes without which their component falls apart."""
+    links, names = with_numbers(undirected(graph.edges, graph.nodes))
+    return connectivity.cut_nodes(connectivity.blocks(links)).join(names, "node").select("id")
 
 
 def bridges(graph: Graph) -> DataFrame:
-    """Unordered pairs; parallel edges count as one."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(sorted(_low_links(_adjacency(pdf))[1]), columns=["a", "b"], dtype="object")
-
-    return _grouped(graph, undirected(graph.edges, graph.nodes), run, "a string, b string")
+    """(a, b): unordered pairs without which their component falls apart; parallel edges count as one."""
+    links, names = with_numbers(undirected(graph.edges, graph.nodes))
+    found = connectivity.bridge_nodes(connectivity.rooted(links)).join(names.withColumnRenamed("id", "x"), "node")
+    return found.join(names.select(F.col("node").alias("parent"), F.col("id").alias("y")), "parent").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def biconnected(graph: Graph) -> DataFrame:
+    """(a, b, block): each link between distinct nodes and its biconnected component, named by a number."""
+    links, names = with_numbers(undirected(graph.edges, graph.nodes))
+    tree = connectivity.rooted(links)
+    found = connectivity.blocks(links, tree)
+    # a link is in the block of that of its nodes which comes later on the tour, or lies below the other
+    place = tree.select("node", "first").join(found.select("node", "block"), "node")
+    of = lambda end: place.select(F.col("node").alias(end), F.col("first").alias(f"{end}_first"), F.col("block").alias(f"{end}_block"))
+    both = links.where("u < v").join(of("u"), "u", "left").join(of("v"), "v", "left")
+    later = F.coalesce("u_first", F.lit(-1)) > F.coalesce("v_first", F.lit(-1))
+    named = both.select("u", "v", F.when(later, F.col("u_block")).otherwise(F.col("v_block")).alias("block"))
+    at = lambda end: names.select(F.col("node").alias(end), F.col("id").alias(f"i{end}"))
+    return named.join(at("u"), "u").join(at("v"), "v").select(F.least("iu", "iv").alias("a"), F.greatest("iu", "iv").alias("b"), "block")
 
 
 #: Relations that are read as a hierarchy (fixed values of the reference's audit).
@@ -250,23 +236,17 @@ def directed_cycles(graph: Graph, relations: tuple[str, ...] = HIERARCHY) -> Dat
     return _grouped(graph, chosen, run, "cycle string")
 
 
+def cyclic_components(edges: DataFrame) -> DataFrame:
+    """(id, component) of nodes on directed cycles (src, dst): nodes that reach each other share a component, named by the least id."""
+    ends = edges.where("src is not null and dst is not null").select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    links, names = with_numbers(ends)
+    found = cut(connectivity.strong_components(links.toDF("src", "dst")).join(names, "node").select("id", "component"))
+    return found.join(found.groupBy("component").agg(F.min("id").alias("least")), "component").select("id", F.col("least").alias("component"))
+
+
 def nodes_in_cycles(edges: DataFrame) -> DataFrame:
-    """(id) of nodes on a directed cycle: what stays after ends are stripped, then reaches itself; reach doubles each round."""
-    left = cut(edges.select("src", "dst").distinct())
-    while True:
-        ends = left.select(F.col("dst").alias("src")).distinct()
-        starts = left.select(F.col("src").alias("dst")).distinct()
-        core = cut(left.join(ends, "src", "left_semi").join(starts, "dst", "left_semi").select("src", "dst"))
-        if core.count() == left.count():
-            break
-        left = core
-    reach = core
-    while True:
-        more = cut(reach.union(reach.select("src", F.col("dst").alias("_m")).join(reach.select(F.col("src").alias("_m"), "dst"), "_m").select("src", "dst")).distinct())
-        if more.count() == reach.count():
-            break
-        reach = more
-    return reach.where("src = dst").select(F.col("src").alias("id"))
+    """(id) of nodes on a directed cycle."""
+    return cyclic_components(edges).select("id")
 
 
 def modularity(graph: Graph, assignment: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from lattica.functions import text as T
 from lattica.iterate import numbered
 from lattica.operators import analytics, derive, filters, govern, merge, search
 from lattica.plans import context, sparql
-from lattica.schema import Graph
+from lattica.schema import EDGE, NODE, Graph, conform
 from lattica.views import DIALOG_SQL, STAR_SMALL_SQL, STAR_SQL, dialog, star, star_small, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -454,6 +455,68 @@ def g10_betweenness_mesh(spark: SparkSession, d: str) -> DataFrame:
     return analytics.betweenness(_mesh(spark, d)).select("id", F.round("score", 6).alias("score"))
 
 
+RINGS_SQL = """ring(id, k, g, i) AS (SELECT 'part:' || p_partkey, p_partkey, (p_partkey - 1) // 10, (p_partkey - 1) % 10 FROM part),
+size(g, n, first, least) AS (SELECT g, count(*), min(k), min(id) FROM ring GROUP BY g),
+hubs(s, n) AS (SELECT s_suppkey, 'nation:' || s_nationkey FROM supplier),
+spoke(g, s) AS (SELECT g, 1 + g % (SELECT count(*) FROM supplier) FROM size)"""
+
+
+def _rings(spark: SparkSession, d: str) -> DataFrame:
+    """(src, dst): parts in rings of ten, each hung on a supplier; suppliers and customers on nations; nations in a ring and on regions.
+
+    One component, which grows with the tables.
+    """
+    t = lambda n: table(spark, d, n)
+    name = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.expr(c).cast("string"))
+    link = lambda df, a, b: df.select(a.alias("src"), b.alias("dst"))
+    part = t("part").select(F.col("p_partkey").alias("k"), F.expr("(p_partkey - 1) div 10").alias("g"), F.expr("(p_partkey - 1) % 10").alias("i"))
+    least = part.groupBy("g").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n"))
+    step = F.when((F.col("i") == 9) | (F.col("k") + 1 == F.col("first") + F.col("n")), F.col("first")).otherwise(F.col("k") + 1)
+    around = part.join(least, "g").withColumn("next", step).where("n > 1")
+    suppliers = t("supplier")
+    n = suppliers.count()
+    return reduce(
+        DataFrame.unionByName,
+        [
+            link(around, name("part", "k"), name("part", "next")),
+            link(least, name("part", "first"), name("supplier", f"1 + g % {n}")),
+            link(suppliers, name("supplier", "s_suppkey"), name("nation", "s_nationkey")),
+            link(t("customer"), name("customer", "c_custkey"), name("nation", "c_nationkey")),
+            link(t("nation"), name("nation", "n_nationkey"), name("region", "n_regionkey")),
+            link(t("nation"), name("nation", "n_nationkey"), name("nation", "(n_nationkey + 1) % 25")),
+        ],
+    )
+
+
+def _rings_graph(spark: SparkSession, d: str) -> Graph:
+    e = _rings(spark, d).withColumn("rel", F.lit("NEXT"))
+    nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    return Graph(conform(nodes, NODE), conform(e, EDGE))
+
+
+@query(
+    f"""WITH {RINGS_SQL} SELECT 'part:' || first AS id FROM size WHERE n > 1 UNION SELECT 'supplier:' || s FROM spoke
+UNION SELECT n FROM hubs UNION SELECT 'nation:' || c_nationkey FROM customer"""
+)
+def g1_articulation_rings(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.articulation_points(_rings_graph(spark, d))
+
+
+@query(
+    f"""WITH {RINGS_SQL}, b AS (SELECT 'part:' || first AS a, 'supplier:' || s AS b FROM size JOIN spoke USING (g) UNION ALL SELECT 'supplier:' || s, n FROM hubs
+UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer UNION ALL SELECT 'part:' || first, 'part:' || (first + 1) FROM size WHERE n = 2)
+SELECT least(a, b) AS a, greatest(a, b) AS b FROM b"""
+)
+def g3_bridges_rings(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.bridges(_rings_graph(spark, d))
+
+
+@query(f"WITH {RINGS_SQL} SELECT id, least AS component FROM ring JOIN size USING (g) WHERE n > 1 UNION ALL SELECT 'nation:' || n_nationkey, 'nation:0' FROM nation")
+def g5_cyclic_components(spark: SparkSession, d: str) -> DataFrame:
+    """Rings of parts and the ring of nations, all linked one way."""
+    return analytics.cyclic_components(_rings(spark, d))
+
+
 RUNS_SQL = """runs AS (SELECT conv_id, count(*) AS n FROM (SELECT conv_id, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM turns) GROUP BY conv_id, g)"""
 
 
