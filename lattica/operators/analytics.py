@@ -1,9 +1,10 @@
 """Aggregates and graph analytics.
 
-Components, distances and PageRank are loops of joins with a cut of lineage in
-each round.  Depth-first algorithms run per connected component (their results
-never cross one), in groups of Arrow data; a component is one group, so these are
-meant for graphs whose components fit a task, and say so.
+Components, distances, PageRank, communities and betweenness are loops of joins with a cut of
+lineage in each round; articulation points, bridges and cycles are in ``connectivity``.  Only
+``directed_cycles``, which lists cycles as depth-first search meets them, and
+``label_propagation``, whose sweeps are sequential, run per connected component in groups of Arrow data;
+these are meant for graphs whose components fit a task.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lattica.iterate import cut
+from lattica.iterate import cut, numbered, table
 from lattica.operators import connectivity
 from lattica.operators.merge import endpoints, with_degree
 from lattica.schema import Graph
@@ -259,52 +260,69 @@ def modularity(graph: Graph, assignment: DataFrame) -> DataFrame:
     return e.agg(F.coalesce(F.sum((F.col("w") - F.col("d") * F.col("dv") / F.col("m2")) / F.col("m2")), F.lit(0.0)).alias("modularity"))
 
 
-def louvain(graph: Graph, resolution: float = 1.0, sweeps: int = 30) -> DataFrame:
-    """(id, community): one level of local moves, in node order, per component; ids by the first member's order."""
-    w = weights(graph.edges)
-    total = w.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("m2"))
-    order = graph.nodes.select(F.col("id").alias("u"), F.col("ord").alias("uo"))
-    comp = components(graph).withColumnRenamed("id", "u")
-    base = order.join(comp, "u").join(w, "u", "left").join(order.select(F.col("u").alias("v"), F.col("uo").alias("vo")), "v", "left").join(F.broadcast(total))
+def _moves(w: DataFrame, state: DataFrame, m2: float, resolution: float, half: Column) -> DataFrame:
+    """(node, degree, comm, moved) after the nodes of ``half`` have gone, all at once, to the community of the greatest gain.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m2 = float(pdf["m2"].iloc[0])
-        nodes = pdf[["u", "uo"]].drop_duplicates().sort_values(["uo", "u"])["u"].tolist()
-        links: dict[str, dict[str, float]] = {u: {} for u in nodes}
-        for u, v, x in pdf[pdf["v"].notna()].sort_values(["uo", "vo"])[["u", "v", "w"]].itertuples(index=False):
-            links[u][v] = x
-        degree = {u: sum(x.values()) for u, x in links.items()}
-        home = {u: u for u in nodes}
-        mass = dict(degree)
-        for _ in range(sweeps if m2 > 0 else 0):
-            moved = False
-            for u in nodes:
-                own = home[u]
-                near: dict[str, float] = {}
-                for v, x in links[u].items():
-                    if v != u:
-                        near[home[v]] = near.get(home[v], 0.0) + x
-                mass[own] -= degree[u]
-                gain = lambda c: near.get(c, 0.0) - resolution * degree[u] * mass[c] / m2
-                best, best_gain = own, gain(own)
-                for c in near:
-                    if gain(c) > best_gain + 1e-12:
-                        best, best_gain = c, gain(c)
-                mass[best] += degree[u]
-                home[u] = best
-                moved |= best != own
-            if not moved:
+    A node stays unless another gains more than its own; of equal gains the least community counts.
+    """
+    c = F.col
+    totals = state.groupBy("comm").agg(F.sum("degree").alias("total"))
+    near = w.where("u <> v").join(state.where(half).select(c("node").alias("u")), "u", "left_semi").join(state.select(c("node").alias("v"), "comm"), "v").groupBy("u", "comm").agg(F.sum("w").alias("w"))
+    own = state.where(half).select(c("node").alias("u"), "degree", c("comm").alias("own"))
+    tried = near.unionByName(own.select("u", c("own").alias("comm"), F.lit(0.0).alias("w"))).groupBy("u", "comm").agg(F.sum("w").alias("w")).join(own, "u").join(totals, "comm")
+    gain = c("w") - resolution * c("degree") * (c("total") - F.when(c("comm") == c("own"), c("degree")).otherwise(0.0)) / m2
+    best = tried.withColumn("gain", gain).groupBy("u").agg(F.max(F.when(c("comm") == c("own"), c("gain"))).alias("stay"), F.max(F.struct("gain", (-c("comm")).alias("least"))).alias("best"))
+    goes = best.where(c("best.gain") > c("stay") + 1e-12).select(c("u").alias("node"), (-c("best.least")).alias("to"))
+    return table(state.join(goes, "node", "left").select("node", "degree", F.coalesce("to", "comm").alias("comm"), c("to").isNotNull().alias("moved")))
+
+
+def _quality(w: DataFrame, state: DataFrame, m2: float, resolution: float) -> float:
+    """Modularity by communities: their inner weight and the square of their total degree."""
+    c = F.col
+    at = lambda end: state.select(c("node").alias(end), c("comm").alias(f"c{end}"))
+    inner = w.join(at("u"), "u").join(at("v"), "v").where("cu = cv").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    squares = state.groupBy("comm").agg(F.sum("degree").alias("t")).agg(F.coalesce(F.sum(c("t") * c("t")), F.lit(0.0))).first()[0]
+    return inner / m2 - resolution * squares / (m2 * m2)
+
+
+def louvain(graph: Graph, resolution: float = 1.0, sweeps: int = 10, levels: int = 10) -> DataFrame:
+    """(id, community): modularity by local moves in alternating halves, then by contraction, until it no longer grows.
+
+    Half of the nodes, drawn anew each time, decide at once from the communities of all; the other half
+    follows.  When a sweep adds nothing, communities become nodes of a weighted graph and move
+    in turn.  Communities are numbered by their first member's order.
+    """
+    c = F.col
+    ids = table(graph.nodes.select("id", "ord").distinct().withColumn("node", F.monotonically_increasing_id()))
+    at = lambda end: ids.select(c("id").alias(end), c("node").alias(f"n{end}"))
+    w = table(weights(graph.edges).join(at("u"), "u").join(at("v"), "v").select(c("nu").alias("u"), c("nv").alias("v"), "w"))
+    m2 = w.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    placed = ids.select("node", c("node").alias("comm"))
+    for level in range(levels if m2 > 0 else 0):
+        degree = w.groupBy(c("u").alias("node")).agg(F.sum("w").alias("degree"))
+        own = placed.select(c("comm").alias("node")).distinct()
+        state = table(own.join(degree, "node", "left").select("node", F.coalesce("degree", F.lit(0.0)).alias("degree"), c("node").alias("comm")))
+        best, before = state, _quality(w, state, m2, resolution)
+        found = before
+        for n in range(sweeps):
+            side = F.pmod(F.xxhash64("node", F.lit(100 * level + n)), F.lit(2))
+            first = _moves(w, state, m2, resolution, side == 0)
+            second = _moves(w, first.drop("moved"), m2, resolution, side == 1)
+            state = second.drop("moved")
+            quality = _quality(w, state, m2, resolution)
+            if quality <= found + 1e-9:
                 break
-        rank = dict(pdf[["u", "uo"]].drop_duplicates().itertuples(index=False))
-        first: dict[str, int] = {}
-        for u in nodes:
-            first[home[u]] = min(first.get(home[u], rank[u]), rank[u])
-        return pd.DataFrame({"id": nodes, "first": [first[home[u]] for u in nodes]})
-
-    found = cut(base.groupBy("component").applyInPandas(run, "id string, first long"))
-    # numbering needs a rank over communities alone
-    names = found.select("first").distinct().withColumn("community", F.row_number().over(W.orderBy("first")).cast("bigint") - 1)
-    return found.join(names, "first").select("id", "community")
+            best, found = state, quality
+        if found <= before + 1e-9:
+            break
+        to = best.select(c("node").alias("comm"), c("comm").alias("to"))
+        placed = table(placed.join(to, "comm").select("node", c("to").alias("comm")))
+        into = lambda end, to=to: to.select(c("comm").alias(end), c("to").alias(f"t{end}"))
+        w = table(w.join(into("u"), "u").join(into("v"), "v").groupBy(c("tu").alias("u"), c("tv").alias("v")).agg(F.sum("w").alias("w")))
+    named = placed.join(ids, "node")
+    firsts = named.groupBy("comm").agg(F.min(F.struct("ord", "id")).alias("first"))
+    names = numbered(firsts, "first", name="community", start=0)
+    return named.join(names.select("comm", "community"), "comm").select("id", F.col("community").cast("bigint").alias("community"))
 
 
 def label_propagation(graph: Graph, sweeps: int = 4) -> DataFrame:
@@ -328,35 +346,44 @@ def label_propagation(graph: Graph, sweeps: int = 4) -> DataFrame:
     return base.groupBy("component").applyInPandas(run, "id string, community string")
 
 
-def betweenness(graph: Graph) -> DataFrame:
-    """(id, score): unnormalised, each unordered pair counted twice; per component."""
+#: Pairs of source and node that a batch of sources may reach.
+PAIRS = 20_000_000
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        adj = _adjacency(pdf)
-        score = dict.fromkeys(adj, 0.0)
-        for s in adj:
-            order, before = [], {u: [] for u in adj}
-            paths, dist = dict.fromkeys(adj, 0.0), {s: 0}
-            paths[s] = 1.0
-            queue = [s]
-            for u in queue:
-                order.append(u)
-                for v in adj[u]:
-                    if v not in dist:
-                        dist[v] = dist[u] + 1
-                        queue.append(v)
-                    if dist[v] == dist[u] + 1:
-                        paths[v] += paths[u]
-                        before[v].append(u)
-            share = dict.fromkeys(adj, 0.0)
-            for u in reversed(order):
-                for p in before[u]:
-                    share[p] += paths[p] / paths[u] * (1 + share[u])
-                if u != s:
-                    score[u] += share[u]
-        return pd.DataFrame({"id": list(score), "score": list(score.values())})
-
-    return _grouped(graph, undirected(graph.edges, graph.nodes), run, "id string, score double")
+
+def betweenness(graph: Graph, pivots: int | None = None) -> DataFrame:
+    """(id, score): unnormalised, each unordered pair counted twice; nodes without links are left out.
+
+    Brandes by levels, for a batch of sources at once: counts of shortest paths go forward a ring at a time,
+    dependencies come back.  With ``pivots`` only that many sources, drawn by hash, are taken, and scores are scaled to all.
+    """
+    c = F.col
+    adj, names = with_numbers(undirected(graph.edges, graph.nodes))
+    n = names.count()
+    chosen = names if pivots is None or pivots >= n else names.orderBy(F.xxhash64("id"), "id").limit(pivots)
+    count = n if pivots is None else min(n, pivots)
+    batches = max(1, -(-n * count // PAIRS))
+    chosen = table(chosen.select("node", F.pmod(F.xxhash64("node"), F.lit(batches)).alias("batch")))
+    parts = []
+    for batch in range(batches):
+        rings = [table(chosen.where(c("batch") == batch).select(c("node").alias("s"), "node", F.lit(1.0).alias("paths")))]
+        while True:
+            front = rings[-1]
+            step = front.join(adj, front["node"] == adj["u"]).groupBy("s", c("v").alias("node")).agg(F.sum("paths").alias("paths"))
+            for ring in rings[-2:]:  # over undirected links a neighbour is in this ring, the one before or the next
+                step = step.join(ring.select("s", "node"), ["s", "node"], "left_anti")
+            step = table(step)
+            if step.isEmpty():
+                break
+            rings.append(step)
+        below = rings[-1].withColumn("share", F.lit(0.0))
+        for ring in [*rings[-2::-1], None]:
+            parts.append(below.where("s <> node").groupBy("node").agg(F.sum("share").alias("score")))
+            if ring is None:
+                break
+            up = below.join(adj, below["node"] == adj["u"]).select("s", c("v").alias("node"), ((1 + c("share")) / c("paths")).alias("part")).groupBy("s", "node").agg(F.sum("part").alias("part"))
+            below = table(ring.join(up, ["s", "node"], "left").select("s", "node", "paths", (c("paths") * F.coalesce("part", F.lit(0.0))).alias("share")))
+    total = reduce(DataFrame.unionByName, parts).groupBy("node").agg(F.sum("score").alias("score"))
+    return names.join(total, "node", "left").select("id", (F.coalesce("score", F.lit(0.0)) * (n / count if count else 1.0)).alias("score"))
 
 
 def cluster_summary(graph: Graph, assignment: DataFrame) -> DataFrame:

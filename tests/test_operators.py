@@ -59,6 +59,88 @@ def test_louvain_two_clusters(spark):
     assert found == {"a": 0, "b": 0, "c": 0, "x": 1, "y": 1, "z": 1}
 
 
+def modularity_of(links, home, m2):
+    degree = {}
+    for a, b in links:
+        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+    total = {}
+    for n, d in degree.items():
+        total[home[n]] = total.get(home[n], 0) + d
+    return sum(2 for a, b in links if home[a] == home[b]) / m2 - sum((t / m2) ** 2 for t in total.values())
+
+
+def one_by_one(links, sweeps=30):
+    """Local moves in node order: the modularity that the loops of joins are held against."""
+    near, m2 = {}, 2 * len(links)
+    for a, b in links:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    home, mass = {n: n for n in near}, {n: len(x) for n, x in near.items()}
+    for _ in range(sweeps):
+        moved = False
+        for n in sorted(near):
+            to = {}
+            for v in near[n]:
+                to[home[v]] = to.get(home[v], 0) + 1
+            mass[home[n]] -= len(near[n])
+            gain = lambda c, to=to, n=n: to.get(c, 0) - len(near[n]) * mass[c] / m2
+            best = max([home[n], *sorted(to)], key=gain)
+            moved |= best != home[n]
+            home[n] = best
+            mass[best] += len(near[n])
+        if not moved:
+            break
+    return modularity_of(links, home, m2)
+
+
+@pytest.mark.parametrize("kind", ["blocks", "grid", "random"])
+def test_louvain_modularity(spark, kind):
+    rng = random.Random(3)
+    name = lambda i: f"n{i:03}"
+    if kind == "blocks":
+        links = {(a, b) for a, b in itertools.combinations(range(80), 2) if rng.random() < (0.5 if a // 10 == b // 10 else 0.02)}
+    elif kind == "grid":
+        links = {(i, i + 1) for i in range(100) if i % 10 < 9} | {(i, i + 10) for i in range(90)}
+    else:
+        links = {tuple(sorted(rng.sample(range(70), 2))) for _ in range(160)}
+    links = sorted((name(a), name(b)) for a, b in links)
+    g = graph(spark, [(n, "T") for n in sorted({x for e in links for x in e})], [(a, "R", b, 1.0) for a, b in links])
+    home = {r.id: r.community for r in analytics.louvain(g).collect()}
+    assert modularity_of(links, home, 2 * len(links)) >= 0.98 * one_by_one(links)
+
+
+def test_betweenness_by_paths(spark):
+    rng = random.Random(8)
+    links = sorted({tuple(sorted(rng.sample([f"n{i:02}" for i in range(30)], 2))) for _ in range(42)} | {("x1", "x2"), ("x2", "x3")})
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = dict.fromkeys(near, 0.0)
+    for s in near:
+        dist, count, order = {s: 0}, {s: 1}, [s]
+        for u in order:
+            for v in near[u]:
+                if v not in dist:
+                    dist[v] = dist[u] + 1
+                    order.append(v)
+                if dist[v] == dist[u] + 1:
+                    count[v] = count.get(v, 0) + count[u]
+        share = dict.fromkeys(order, 0.0)
+        for u in reversed(order):
+            for v in near[u]:
+                if dist[v] == dist[u] - 1:
+                    share[v] += count[v] / count[u] * (1 + share[u])
+            if u != s:
+                want[u] += share[u]
+    g = graph(spark, [(n, "T") for n in sorted(near)], [(a, "R", b, 1.0) for a, b in links])
+    got = {r.id: r.score for r in analytics.betweenness(g).collect()}
+    assert got == pytest.approx(want)
+    some = {r.id: r.score for r in analytics.betweenness(g, pivots=len(near) // 2).collect()}
+    error = sum(abs(some[n] - want[n]) for n in want) / sum(want.values())
+    assert set(some) == set(want) and error < 0.5
+
+
 def test_rules_transitive_with_damping(spark):
     g = graph(spark, [(x, "T") for x in ("dog", "canine", "mammal", "animal")], [("dog", "is_a", "canine", 1.0), ("canine", "is_a", "mammal", 1.0), ("mammal", "is_a", "animal", 0.9)])
     got = {(r.src, r.dst): r.confidence for r in derive.infer(g.edges, [derive.Rule("transitive", "is_a", damping=0.9)]).where("round > 0").collect()}
