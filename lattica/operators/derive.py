@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.iterate import cut
+from lattica.iterate import table
 from lattica.schema import given
 
 
@@ -29,31 +30,41 @@ class Rule:
 def infer(edges: DataFrame, rules: list[Rule], rounds: int = 10) -> DataFrame:
     """(src, rel, dst, confidence, round): facts derived until a round adds nothing.
 
-    A round joins only facts known at its start.  Of several derivations of a fact the
+    Semi-naive: a round joins the facts of the round before with all that are known at its start.  Of several derivations of a fact the
     first in the order of rule, first edge and second edge counts; edges are ordered by
     round, then by key.
     """
-    base = edges.groupBy("src", "rel", "dst").agg(F.max(F.coalesce("confidence", F.lit(1.0))).alias("confidence")).withColumn("round", F.lit(0))
-    known = cut(base)
+    c = F.col
+    key = ["src", "rel", "dst"]
+    base = edges.groupBy(*key).agg(F.max(F.coalesce("confidence", F.lit(1.0))).alias("confidence")).withColumn("round", F.lit(0))
+    found = [table(base)]  # a table for each round: what is known is never written again
+
+    def side(facts: DataFrame, rel: str, ends: tuple[str, str], n: str) -> DataFrame:
+        return facts.where(c("rel") == rel).select(c("src").alias(ends[0]), c("dst").alias(ends[1]), c("confidence").alias(f"c{n}"), F.struct("round", "src", "dst").alias(f"o{n}"))
+
     for n in range(1, rounds + 1):
-        made = None
+        fresh, known = found[-1], reduce(DataFrame.unionByName, found)
+        made = []
         for i, r in enumerate(rules):
-            a = known.where(F.col("rel") == r.rel).select(F.col("src").alias("s"), F.col("dst").alias("m"), F.col("confidence").alias("c1"), F.struct("round", "src", "dst").alias("o1"))
             if r.kind in ("transitive", "composition"):
-                b = known.where(F.col("rel") == (r.second or r.rel)).select(F.col("src").alias("m"), F.col("dst").alias("d"), F.col("confidence").alias("c2"), F.struct("round", "src", "dst").alias("o2"))
-                new = a.join(b, "m").where("s <> d").select(F.col("s").alias("src"), F.col("d").alias("dst"), F.round(F.col("c1") * F.col("c2") * r.damping, 4).alias("confidence"), F.struct(F.lit(i).alias("i"), "o1", "o2").alias("at"))
+                # a new fact is in every new derivation: new with all, and what was known before with new
+                second = r.second or r.rel
+                pairs = [(fresh, known)] + ([(reduce(DataFrame.unionByName, found[:-1]), fresh)] if n > 1 else [])
+                for x, y in pairs:
+                    j = side(x, r.rel, ("s", "m"), "1").join(side(y, second, ("m", "d"), "2"), "m").where("s <> d")
+                    made.append(j.select(c("s").alias("src"), F.lit(r.head).alias("rel"), c("d").alias("dst"), F.round(c("c1") * c("c2") * r.damping, 4).alias("confidence"), F.struct(F.lit(i).alias("i"), "o1", "o2").alias("at")))
             else:
-                new = a.select(F.col("m").alias("src"), F.col("s").alias("dst"), F.round(F.col("c1") * r.damping, 4).alias("confidence"), F.struct(F.lit(i).alias("i"), "o1", F.col("o1").alias("o2")).alias("at"))
-            new = new.withColumn("rel", F.lit(r.head))
-            made = new if made is None else made.unionByName(new)
-        if made is None:
+                a = side(fresh, r.rel, ("s", "m"), "1")
+                made.append(a.select(c("m").alias("src"), F.lit(r.head).alias("rel"), c("s").alias("dst"), F.round(c("c1") * r.damping, 4).alias("confidence"), F.struct(F.lit(i).alias("i"), "o1", c("o1").alias("o2")).alias("at")))
+        if not made:
             break
-        fresh = made.join(known.select("src", "rel", "dst"), ["src", "rel", "dst"], "left_anti").groupBy("src", "rel", "dst").agg(F.min_by("confidence", "at").alias("confidence")).withColumn("round", F.lit(n))
-        fresh = cut(fresh)
-        if fresh.isEmpty():
+        # of the derivations of a fact one goes on before it meets what is known
+        best = reduce(DataFrame.unionByName, made).groupBy(*key).agg(F.min_by("confidence", "at").alias("confidence"))
+        new = table(best.join(known.select(*key), key, "left_anti").select(*key, "confidence", F.lit(n).alias("round")))
+        if new.isEmpty():
             break
-        known = cut(known.unionByName(fresh))
-    return known
+        found.append(new)
+    return reduce(DataFrame.unionByName, found)
 
 
 def cooccurrence(mentions: DataFrame, edges: DataFrame | None = None, threshold: float = 0.5, least: int = 2) -> DataFrame:

@@ -148,6 +148,33 @@ def test_rules_transitive_with_damping(spark):
     assert got["dog", "mammal"] == 0.9
 
 
+def test_rules_like_naive_rounds(spark):
+    """Every derivation of every round, in plain Python: facts, rounds and the confidence of the first derivation."""
+    rng = random.Random(4)
+    rules = [derive.Rule("transitive", "is_a", damping=0.9), derive.Rule("inverse", "part_of", "has_part"), derive.Rule("composition", "is_a", "inherits", "has_part", 0.8), derive.Rule("symmetric", "near", damping=1.0)]
+    base = {(f"n{rng.randint(0, 11):02}", rng.choice(["is_a", "is_a", "part_of", "near"]), f"n{rng.randint(0, 11):02}"): rng.choice([0.5, 0.8, 1.0]) for _ in range(30)}
+    known = {k: (c, 0) for k, c in base.items()}
+    for n in range(1, 5):
+        made = {}
+        for i, r in enumerate(rules):
+            for (s, rel, m), (c1, r1) in known.items():
+                if rel != r.rel:
+                    continue
+                o1 = (r1, s, m)
+                if r.kind in ("inverse", "symmetric"):
+                    made.setdefault((m, r.head, s), []).append(((i, o1, o1), round(c1 * r.damping, 4)))
+                    continue
+                for (m2, rel2, d), (c2, r2) in known.items():
+                    if rel2 == (r.second or r.rel) and m2 == m and s != d:
+                        made.setdefault((s, r.head, d), []).append(((i, o1, (r2, m2, d)), round(c1 * c2 * r.damping, 4)))
+        new = {k: (min(v)[1], n) for k, v in made.items() if k not in known}
+        known |= new
+    g = graph(spark, [(f"n{i:02}", "T") for i in range(12)], [(*k, c) for k, c in base.items()])
+    got = {(r.src, r.rel, r.dst): (r.confidence, r.round) for r in derive.infer(g.edges, rules, rounds=4).collect()}
+    assert got.keys() == known.keys()
+    assert all(got[k][1] == known[k][1] and got[k][0] == pytest.approx(known[k][0], abs=2e-4) for k in known)
+
+
 def test_cycles(spark):
     g = graph(spark, [(x, "T") for x in "abcd"], [("a", "PART_OF", "b", 1.0), ("b", "PART_OF", "c", 1.0), ("c", "PART_OF", "a", 1.0), ("c", "PART_OF", "d", 1.0)])
     assert [r.cycle for r in analytics.directed_cycles(g).collect()] == ["a->b->c->a"]
