@@ -5,15 +5,18 @@ A text's UTF-8 bytes are cut where the gear hash of the last 32 bytes has
 come back in step after an insertion.  From one cut the next is the first such
 place at least ``LEAST`` bytes on, or the one ``MOST`` bytes on where none comes before.
 Chunks are known by 128-bit digests; of equal chunks in different documents the
-first in the order of (row, place) is the original, all others are copies.  A run
+first in the order of (id, text hash) is the original, all others are copies, in whatever
+order the table holds its rows.  A run
 of neighbouring repeated chunks of at least ``RUN_BYTES`` is a repeated passage.
 
-Chunks are made once and written to the shared folder; the count of digests is an
+Texts are sorted over range partitions first, so that a row's number tells its place in that
+order; chunks are made once and written to the shared folder; the count of digests is an
 aggregate that combines before the shuffle, and the join back is one that adaptive
 execution splits where a chunk is very frequent.  No group is collected.
 
 Defined results: null or empty texts have no chunks and no passages; a row is
-known by its place in the input, so equal or null ids keep rows of their own;
+known by its place in the order of (id, null first, text hash), so equal or null ids keep rows of
+their own; rows equal in both are alike, so it is no matter which of them comes first;
 chunks that repeat only within one row are left alone; in ``remove_repeats`` rows
 equal in id and text are one document; an empty table gives no
 rows; other columns are ignored by ``repeated_spans`` and kept by
@@ -69,7 +72,7 @@ def cuts(data: np.ndarray, lengths: np.ndarray, gear: np.ndarray, mask_bits: int
 
 
 def chunks(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(row, doc_id, th, start, size, a, b): chunks with their digests; ``row`` is the row's place in the input."""
+    """(row, doc_id, th, start, size, a, b): chunks with their digests; rows are numbered in the order of (key, text hash)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,8 +96,9 @@ def chunks(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
             )
             row += b.num_rows
 
-    named = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    return named.mapInArrow(rows, f"row long, doc_id {kind}, th long, start int, size int, a long, b long")
+    named = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("th"), F.monotonically_increasing_id().alias("at"), F.col(text).alias("text"))
+    order = ["doc_id", "th", "at"]  # the last spreads rows that are equal in both
+    return named.repartitionByRange(*order).sortWithinPartitions(*order).drop("at").mapInArrow(rows, f"row long, doc_id {kind}, th long, start int, size int, a long, b long")
 
 
 def _marked(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
