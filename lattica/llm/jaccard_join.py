@@ -298,11 +298,14 @@ def _links(sets: DataFrame, similar: int, scratch: Scratch) -> DataFrame:
             leaders *= MORE_LEADERS
         else:
             # first each set with the nearest of each component; what that joins is not tried again
-            salts = F.ceil((F.col("size") - F.col("most")) * F.col("size") / TRIES_A_SALT).cast("int")
-            dealt = members.withColumn("salts", salts)
-            rest = dealt.where("comp <> largest").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
-            whole = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-            more = tried(rest, whole, ["h", "salt"], apart & ((F.col("y.comp") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))), nearest)
+            # both sides go over a grid whose cells hold at most TRIES_A_SALT comparisons
+            cell = math.isqrt(TRIES_A_SALT)
+            dealt = members.withColumns({"down": F.ceil((F.col("size") - F.col("most")) / cell).cast("int"), "across": F.ceil(F.col("size") / cell).cast("int")})
+            place = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+            every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+            rest = dealt.where("comp <> largest").withColumn("row", place("down", 1)).withColumn("column", every("across"))
+            whole = dealt.withColumn("column", place("across", 2)).withColumn("row", every("down"))
+            more = tried(rest, whole, ["h", "row", "column"], apart & ((F.col("y.comp") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))), nearest)
         if not more.isEmpty():
             comps = _merged(comps, more, scratch)
         if last and not nearest:
