@@ -21,6 +21,7 @@ rows; other columns are not handed on.
 
 from __future__ import annotations
 
+import collections
 import functools
 import html
 import random
@@ -66,15 +67,39 @@ STOPS = frozenset("ul ol dl table article section div main aside nav header foot
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 
 
-def leaf_blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
+class Path:
+    """An open element and, by its parent, all around it; what features need of the whole path is added up on the way down."""
+
+    __slots__ = ("up", "names", "length", "slots")
+
+    def __init__(self, up: "Path | None" = None, names: tuple[str, ...] = ()):
+        self.up, self.names = up, names
+        self.length = (up.length if up else 0) + len(names)
+        self.slots = (up.slots if up else 0) | _slots_of(names)
+
+    def __len__(self) -> int:
+        return self.length
+
+    def __contains__(self, name: str) -> bool:
+        at: Path | None = self
+        while at:
+            if name in at.names:
+                return True
+            at = at.up
+        return False
+
+    def __bool__(self) -> bool:
+        return True
+
+
+def leaf_blocks(page: str | None) -> list[tuple[Path, str, int]]:
     """(tag path, text, characters within links) of the page's leaf blocks, in order."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    out: list[tuple[Path, str, int]] = []
+    stack: list[tuple[str, Path]] = []
+    opened: collections.Counter[str] = collections.Counter()
     held: list[str] = []
     linked = 0
-    where: tuple[str, ...] = ()
-    skip = 0
-    anchors = 0
+    root = where = Path()
 
     def flush() -> None:
         nonlocal linked
@@ -85,8 +110,9 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             held.clear()
         linked = 0
 
-    def path() -> tuple[str, ...]:
-        return tuple(x for _, names in stack for x in names)
+    def shut_from(i: int) -> None:
+        opened.subtract(t for t, _ in stack[i:])
+        del stack[i:]
 
     page = page or ""
     at = 0
@@ -97,13 +123,12 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         if tag is None:
             if m[0][0] == "<" and len(m[0]) > 1:
                 continue
-            if not skip:
-                if not held:
-                    where = path()
-                piece = html.unescape(m[0])
-                held.append(piece)
-                if anchors:
-                    linked += len(piece)
+            if not held:
+                where = stack[-1][1] if stack else root
+            piece = html.unescape(m[0])
+            held.append(piece)
+            if opened["a"]:
+                linked += len(piece)
             continue
         tag = tag.lower()
         if tag in RAW:
@@ -117,27 +142,23 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         if tag in BLOCKS:
             flush()
         if m["close"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    anchors -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
-                    break
+            if opened[tag]:
+                shut_from(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
         if tag in VOID:
             continue
         for shut in CLOSES.get(tag, ()):
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[shut] else ():
                 if stack[i][0] == shut:
-                    anchors -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
+                    shut_from(i)
                     break
                 if stack[i][0] in STOPS:
                     break
         names = (tag,)
         if m["attrs"]:
             names += tuple(f"{k.lower()}={w}" for k, *v in _ATTR.findall(m["attrs"]) for w in "".join(v).lower().split())
-        stack.append((tag, names))
-        anchors += tag == "a"
+        stack.append((tag, Path(stack[-1][1] if stack else root, names)))
+        opened[tag] += 1
     flush()
     return out
 
@@ -148,22 +169,24 @@ def _slot(name: str, slots: int) -> int:
 
 
 @functools.lru_cache(maxsize=50_000)
-def _path_vector(path: tuple[str, ...]) -> bytes:
-    v = np.zeros(PATH_SLOTS, np.float32)
-    for name in path:
+def _slots_of(names: tuple[str, ...]) -> int:
+    """A bit for each slot that the names or their parts fall into."""
+    bits = 0
+    for name in names:
         for part in {name, *re.split(r"[-_=]", name)} - {""}:  # a class is read whole and by its parts
-            v[_slot(part, PATH_SLOTS)] = 1
-    return v.tobytes()
+            bits |= 1 << _slot(part, PATH_SLOTS)
+    return bits
 
 
-def features(pages: list[list[tuple[tuple[str, ...], str, int]]]) -> tuple[np.ndarray, np.ndarray]:
+def features(pages: list[list[tuple[Path, str, int]]]) -> tuple[np.ndarray, np.ndarray]:
     """(blocks per page, block vectors of all pages)."""
     n = np.array([len(p) for p in pages], np.int64)
     flat = [b for p in pages for b in p]
     x = np.zeros((len(flat), PATH_SLOTS + WORD_SLOTS + PLAIN), np.float32)
     if not flat:
         return n, x
-    x[:, :PATH_SLOTS] = np.frombuffer(b"".join(_path_vector(p) for p, _, _ in flat), np.float32).reshape(len(flat), PATH_SLOTS)
+    bits = np.frombuffer(b"".join(p.slots.to_bytes(PATH_SLOTS // 8, "little") for p, _, _ in flat), np.uint8).reshape(len(flat), -1)
+    x[:, :PATH_SLOTS] = np.unpackbits(bits, axis=1, bitorder="little")
     texts = pa.array([t for _, t, _ in flat], pa.string())
     lists = pc.ascii_split_whitespace(pc.utf8_lower(texts))
     coded = lists.flatten().dictionary_encode()
