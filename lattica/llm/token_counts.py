@@ -20,7 +20,9 @@ count as one token, as in the library's default.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,8 @@ from .chunking import ChunkMemo
 from .common import materialize, ragged_index, ship, text_slices
 
 NEVER = np.int64(1) << 40
+#: Pre-tokens of more bytes go by many start places at a time instead of by many pre-tokens.
+LONG_PIECE, STARTS_AT_ONCE = 2048, 16_384
 
 
 class PrefixCounter:
@@ -123,7 +127,10 @@ class PrefixCounter:
         starts = np.cumsum(lens) - lens
         flat = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
         out = np.zeros(len(flat), np.int32)
+        for i in np.flatnonzero(lens > LONG_PIECE):
+            self._long(flat[starts[i] : starts[i] + lens[i]], out[starts[i] : starts[i] + lens[i]])
         order = np.argsort(-lens, kind="stable")
+        order = order[lens[order] <= LONG_PIECE]
         width = 8
         while len(order):
             top = int(lens[order[-1]])
@@ -134,6 +141,39 @@ class PrefixCounter:
             self._group(flat, starts[rows], lens[rows], out)
         return lens, out
 
+    def _long(self, piece: np.ndarray, out: np.ndarray) -> None:
+        """Counts of one long pre-token: tokens from many start places at once, then the dynamic programme over what fits."""
+        n = len(piece)
+        last, count = [-1] * (n + 1), [0] * (n + 1)
+        held_end, held_token = np.zeros(0, np.int64), np.zeros(0, np.int64)  # tokens that end within the coming starts
+        for base in range(0, n, STARTS_AT_ONCE):
+            stop = min(base + STARTS_AT_ONCE, n)
+            begin, found = np.arange(base, stop), []
+            nodes, reach = np.zeros(len(begin), np.int64), 0
+            while len(begin):
+                inside = begin + reach < n
+                begin, nodes = begin[inside], nodes[inside]
+                nodes = self._step(nodes, piece[begin + reach])
+                begin, nodes = begin[nodes >= 0], nodes[nodes >= 0]
+                reach += 1
+                token = self.node_token[nodes]
+                found.append(np.stack([begin, begin + reach, token])[:, token >= 0])
+            begin, end, token = np.concatenate(found, axis=1)
+            order = np.argsort(begin, kind="stable")
+            begin, end, token = begin[order], end[order], token[order]
+            held_end, held_token = np.append(held_end, end), np.append(held_token, token)
+            order = np.argsort(held_end, kind="stable")
+            held_end, held_token = held_end[order], held_token[order]
+            # all that may stand before a token, each pair of tokens once
+            lo, hi = np.searchsorted(held_end, begin), np.searchsorted(held_end, begin, side="right")
+            pairs = np.unique(held_token[ragged_index(lo, hi - lo)] * self.size + np.repeat(token, hi - lo))
+            fits = set(pairs[self.may_follow(pairs // self.size, pairs % self.size)].tolist()) if len(pairs) else set()
+            for s, e, t in zip(begin.tolist(), end.tolist(), token.tolist()):
+                if not s or last[s] * self.size + t in fits:
+                    last[e], count[e] = t, count[s] + 1
+            held_end, held_token = held_end[held_end >= stop], held_token[held_end >= stop]
+        out[:] = count[1:]
+
     def _group(self, flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, out: np.ndarray) -> None:
         width, n = int(lens[0]), len(lens)
         count = np.zeros((width + 1, n), np.int32)
@@ -196,74 +236,90 @@ class PrefixCounter:
         lengths = ends[cut[1:]] - ends[cut[:-1]]
         if odd.any():
             parts = np.split(values, np.cumsum(lengths)[:-1])
-            for i in np.flatnonzero(odd):
-                parts[i] = self.text_counts(chunks[int(i)].as_py())
-                lengths[i] = len(parts[i])
+            at = np.flatnonzero(odd)
+            for i, row in zip(at, self.text_counts(chunks.take(pa.array(at)).to_pylist())):
+                parts[i] = row
+                lengths[i] = len(row)
             values = np.concatenate(parts)
         return lengths, values
 
-    def text_counts(self, text: str) -> np.ndarray:
-        """Counts after every code point of any text, by the definition: white space runs, contractions, special strings."""
-        out: list[int] = []
-        base = 0
-        rest = text
-        while True:
-            hits = [(rest.find(s), -len(s), s) for s in self.special if s and s in rest]
-            at, _, special = min(hits) if hits else (len(rest), 0, "")
-            # inside the special string the text so far is ordinary text
-            counts = self._ordinary(rest[:at] + special[:-1])
-            out += [base + c for c in counts]
-            base += counts[at - 1] if at else 0
-            if not special:
-                return np.array(out, np.int32)
-            base += 1
-            out.append(base)
-            rest = rest[at + len(special) :]
-
-    def _ordinary(self, text: str) -> list[int]:
-        pieces = PRETOKEN.findall(text)
-        shown: list[str] = []
-        plan: list[tuple[int, int, int]] = []  # (piece shown, code points taken from it, piece whose whole count follows or -1)
-        i = 0
-        while i < len(pieces):
-            p = pieces[i]
-            if IS_SPACE.fullmatch(p):
+    def text_counts(self, texts: list[str]) -> list[np.ndarray]:
+        """Counts after every code point of any texts, by the definition: white space runs, contractions, special strings."""
+        cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
+        parts: list[tuple[int, str, bool]] = []  # (code points before a special string, they and most of it, whether it is one)
+        counts_of_text: list[int] = []
+        for text in texts:
+            at, before = 0, len(parts)
+            for m in cut.finditer(text):
+                # inside the special string the text so far is ordinary text
+                parts.append((m.start() - at, text[at : m.end() - 1], True))
+                at = m.end()
+            parts.append((len(text) - at, text[at:], False))
+            counts_of_text.append(len(parts) - before)
+        counted = iter(zip(parts, self._ordinary([p for _, p, _ in parts])))
+        out = []
+        for n in counts_of_text:
+            row: list[int] = []
+            base = 0
+            for (size, _, special), counts in itertools.islice(counted, n):
+                row += [base + c for c in counts]
+                base += counts[size - 1] if size else 0
+                if special:
+                    base += 1
+                    row.append(base)
+            out.append(np.array(row, np.int32))
+        return out
+
+    def _ordinary(self, texts: list[str]) -> list[list[int]]:
+        """Counts of texts without special strings, all of their distinct pieces at once."""
+        shown: dict[str, int] = {}
+        show = lambda p: shown.setdefault(p, len(shown))
+        plans: dict[str, list[tuple[int, int, list[int]]]] = {}  # (piece shown, code points taken from it, pieces whose whole counts follow)
+        for text in texts:
+            if text in plans:
+                continue
+            plan = plans[text] = []
+            pieces = PRETOKEN.findall(text)
+            i = 0
+            while i < len(pieces):
+                p = pieces[i]
+                if not IS_SPACE.fullmatch(p):
+                    plan.append((show(p), len(p), []))
+                    i += 1
+                    continue
                 j = i
                 while j < len(pieces) and IS_SPACE.fullmatch(pieces[j]):
                     j += 1
                 run = "".join(pieces[i:j])
                 lead = j < len(pieces) and pieces[j][0] == " "
-                shown.append(run + " " * lead)
-                plan.append((len(shown) - 1, len(run) + lead, -2 - (j - i)))
-                shown += pieces[i:j]
+                plan.append((show(run + " " * lead), len(run) + lead, [show(x) for x in pieces[i:j]]))
                 if lead:
-                    shown.append(pieces[j])
-                    plan.append((len(shown) - 1, -1, 0))  # its first code point belongs to the run
+                    plan.append((show(pieces[j]), -1, []))  # its first code point belongs to the run
                     j += 1
                 i = j
-                continue
-            shown.append(p)
-            plan.append((len(shown) - 1, len(p), 0))
-            i += 1
-        points, counts, whole = self._code_point_counts(pa.array(shown, pa.string()))
+        names = list(shown)
+        points, counts, whole = self._code_point_counts(pa.array(names, pa.string()))
         first = np.cumsum(points) - points
-        out: list[int] = []
-        base = 0
-        for k, n, tail in plan:
-            row = counts[first[k] : first[k] + points[k]].tolist()
-            if tail < 0:
-                out += [base + c for c in row[:n]]
-                base += int(whole[k + 1 : k + 1 + (-2 - tail)].sum())
-                continue
-            if len(shown[k]) == 3 and shown[k] in ("'re", "'ve", "'ll"):
-                row[1] = 2  # cut short, the apostrophe and the letter are two pre-tokens
-            out += [base + c for c in (row[1:] if n < 0 else row)]
-            base += int(whole[k])
-        return out
+        done = {}
+        for text, plan in plans.items():
+            out: list[int] = []
+            base = 0
+            for k, n, run in plan:
+                row = counts[first[k] : first[k] + points[k]].tolist()
+                if run:
+                    out += [base + c for c in row[:n]]
+                    base += int(whole[run].sum())
+                    continue
+                if names[k] in ("'re", "'ve", "'ll"):
+                    row[1] = 2  # cut short, the apostrophe and the letter are two pre-tokens
+                out += [base + c for c in (row[1:] if n < 0 else row)]
+                base += int(whole[k])
+            done[text] = out
+        return [done[text] for text in texts]
 
     def prefix_counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(code points per text, token counts after every code point, text after text)."""
-        lengths, values = encode_with(self.chunks, texts, lambda odd: [self.text_counts(t) for t in odd], self._carry)
+        lengths, values = encode_with(self.chunks, texts, self.text_counts, self._carry)
         return lengths, values
 
     def _carry(self, rows: np.ndarray, offsets: np.ndarray) -> np.ndarray:
