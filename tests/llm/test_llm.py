@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -293,6 +294,25 @@ def test_prefix_counts(library):
         at += n
 
 
+def test_prefix_counts_of_long_words(library):
+    """Long pre-tokens and texts full of special strings: the library's counts, in seconds."""
+    rng = random.Random(11)
+    counter = token_counts.shared(BPE)
+    letters = "".join(rng.choices("etaoinshrdlu", k=40_000))
+    texts = [letters, "".join(map(chr, (rng.randint(0x4E00, 0x9FFF) for _ in range(8000)))), "a" * 9000, "-=" * 5000, "ab <|endoftext|>" * 3000 + "<|endoftext|>" * 3000, "x" * 2047 + "y" * 2]
+    lengths, values = counter.prefix_counts(pa.array(texts))
+    ends = np.cumsum(lengths)
+    assert lengths.tolist() == [len(t) for t in texts]
+    assert values[ends - 1].tolist() == [len(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
+    for n in (1, 2049, 16_383, 16_384, 16_385, 16_400, 33_000):
+        assert values[n - 1] == len(library.encode(letters[:n], add_special_tokens=False).ids)
+    t = time.process_time()
+    big = ["".join(rng.choices("etaoinshrdlu", k=1_000_000)), "<|endoftext|>x" * 100_000]
+    lengths, values = counter.prefix_counts(pa.array(big))
+    assert time.process_time() - t < 60
+    assert values[np.cumsum(lengths) - 1].tolist() == [len(x.ids) for x in library.encode_batch(big, add_special_tokens=False)]
+
+
 def test_token_counts(spark, docs, odd, library):
     for df in (docs, odd):
         count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
@@ -476,6 +496,69 @@ def test_substring_dedup_digests_of_equal_rows(spark, odd):
     assert substring_dedup.digests(empty(odd)).count() == 0
 
 
+def chunks_by_force(text):
+    """(start, bytes) of each chunk: the gear hash byte by byte."""
+    gear, raw = [int(g) for g in substring_dedup.gear_table()], text.encode()
+    h, ends = 0, set()
+    for i, b in enumerate(raw):
+        h = ((h << 1) + gear[b]) & 0xFFFFFFFF
+        if i + 1 >= substring_dedup.SPAN and h >> (32 - substring_dedup.MASK_BITS) == 0:
+            ends.add(i + 1)
+    out, at = [], 0
+    while at < len(raw):
+        end = next((e for e in range(at + substring_dedup.LEAST, min(at + substring_dedup.MOST, len(raw))) if e in ends), min(at + substring_dedup.MOST, len(raw)))
+        out.append((at, raw[at:end]))
+        at = end
+    return out
+
+
+def digests_by_force(rows, least=substring_dedup.RUN_BYTES):
+    """(id, n_spans, span_bytes, copied_bytes, left_bytes, text_md5) of rows with different ids."""
+    cut = {i: chunks_by_force(t or "") for i, t in rows}
+    holders = collections.defaultdict(list)
+    for i in sorted(cut):
+        for _, c in cut[i]:
+            holders[c].append(i)
+    again = {c: ids[0] for c, ids in holders.items() if ids[0] != ids[-1]}
+
+    def runs(i, fits):
+        found, open_ = [], None
+        for at, c in cut[i]:
+            if not fits(c):
+                open_ = None
+            elif open_:
+                open_[1], open_[2] = at + len(c), open_[2] + len(c) * (again[c] < i)
+            else:
+                open_ = [at, at + len(c), len(c) * (again[c] < i)]
+                found.append(open_)
+        return [r for r in found if r[1] - r[0] >= least]
+
+    out = []
+    for i, t in rows:
+        spans = runs(i, lambda c: c in again)
+        if not spans:
+            continue
+        raw, parts, at = t.encode(), [], 0
+        for a, e, _ in runs(i, lambda c: again.get(c, i) < i):
+            while a < e and raw[a] & 0xC0 == 0x80:
+                a += 1
+            while a < e < len(raw) and raw[e] & 0xC0 == 0x80:
+                e -= 1
+            parts.append(raw[at : max(at, a)])
+            at = max(at, e)
+        left = b"".join([*parts, raw[at:]])
+        out.append((i, len(spans), sum(e - a for a, e, _ in spans), sum(c for *_, c in spans), len(left), hashlib.md5(left).hexdigest()))
+    return sorted(out)
+
+
+def test_substring_dedup_by_force_in_any_order(spark, docs):
+    """Query and force agree in all columns, whatever the order and the partitions of the table's rows."""
+    want = digests_by_force([(r.doc_id, r.text) for r in docs.collect()])
+    assert len(want) > 10
+    assert sorted(map(tuple, registry.op7_substring_dedup(spark, "/root/testdata/sf0.001").collect())) == want
+    assert sorted(map(tuple, substring_dedup.digests(docs.orderBy(F.desc("doc_id")).repartition(3)).collect())) == want
+
+
 # --- 8 Jaccard join
 
 
@@ -574,6 +657,27 @@ def test_connected_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_connected_components_of_an_ascending_path(spark, monkeypatch):
+    """Rounds grow with the logarithm of a path's length, in whatever order its nodes are numbered."""
+    from lattica.llm import components
+
+    tables, write = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, label: tables.append(label) or write(df, label))
+    got = components.connected_components(spark.range(1000).selectExpr("id AS a", "id + 1 AS b")).collect()
+    assert len(got) == 1001 and {r.comp for r in got} == {0} and tables.count("moved") <= 12
+
+
+def test_jaccard_join_deals_a_grid(spark, monkeypatch):
+    """Members of one shingle dealt over cells of a few comparisons are still all compared."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:20] + rng.sample(base[20:], 12) + [f"own{i}x{k}" for k in range(i % 5)])) for i in range(120)]
+    rows += [(200 + i, rows[i][1] + " tail") for i in range(0, 120, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "TRIES_A_SALT", 16)
+    assert sorted(map(tuple, jaccard_join.components(df).collect()), key=str) == by_force(rows)
+
+
 def test_jaccard_join_odd(spark, odd):
     rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
     assert sorted(map(tuple, jaccard_join.components(odd).collect()), key=str) == by_force(rows)
