@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.iterate import table
+from lattica.iterate import numbered, table
 from lattica.schema import given
 
 
@@ -70,14 +70,32 @@ def infer(edges: DataFrame, rules: list[Rule], rounds: int = 10) -> DataFrame:
 def cooccurrence(mentions: DataFrame, edges: DataFrame | None = None, threshold: float = 0.5, least: int = 2) -> DataFrame:
     """(a, b, shared, confidence): entities by the Jaccard of their documents; ``mentions`` has (entity, doc).
 
-    A join on the document, never all pairs; connected pairs are left out.
+    Entities meet by a prefix filter: an entity's documents stand in the order of how many entities they hold,
+    rarest first, and two entities that share enough share one of their first documents.  So documents that
+    hold very many entities make no pairs where rarer ones do.  Pairs that sizes or places rule out go at
+    once, the others are counted exactly.  Connected pairs are left out, and so are null entities.
     """
-    m = mentions.where(given("doc").isNotNull()).select("entity", "doc").distinct()
+    c = F.col
+    m = table(mentions.where(given("doc").isNotNull() & c("entity").isNotNull()).select("entity", "doc").distinct())
     size = m.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
-    shared = m.select(F.col("entity").alias("a"), "doc").join(m.select(F.col("entity").alias("b"), "doc"), "doc").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
-    j = shared.join(size.select(F.col("entity").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("entity").alias("b"), F.col("n").alias("nb")), "b")
-    value = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    out = j.withColumn("value", value).where(F.col("value") >= threshold).select("a", "b", "shared", F.round("value", 2).alias("confidence"))
+    held = m.groupBy("doc").agg(F.count(F.lit(1)).alias("entities"))
+    # places over range partitions, so that an entity of very many documents is in no one task
+    placed = numbered(m.join(held, "doc"), "entity", "entities", "doc", name="at")
+    starts = placed.groupBy("entity").agg(F.min("at").alias("start"))
+    required = lambda n: F.greatest(F.lit(least), F.ceil(n - 1e-9))
+    early = placed.join(starts.join(size, "entity"), "entity").select("entity", "doc", "n", (c("at") - c("start")).alias("i")).where(c("i") <= c("n") - required(threshold * c("n")))
+    early = table(early)
+    left, right = (early.select(c("entity").alias(e), "doc", c("n").alias(f"n{e}"), c("i").alias(f"i{e}")) for e in ("a", "b"))
+    enough = required(threshold / (1 + threshold) * (c("na") + c("nb")))
+    met = left.join(right, "doc").where((c("a") < c("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & (F.least(c("na") - c("ia"), c("nb") - c("ib")) >= enough))
+    pairs = table(met.select("a", "b", "na", "nb").distinct())
+    # the smaller entity's documents are looked up in the larger's
+    few = c("na") <= c("nb")
+    looked = pairs.select("*", F.when(few, c("a")).otherwise(c("b")).alias("few"), F.when(few, c("b")).otherwise(c("a")).alias("many"))
+    both = looked.join(m.toDF("few", "doc"), "few").join(m.toDF("many", "doc"), ["many", "doc"])
+    j = both.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).where(c("shared") >= least)
+    value = c("shared") / (c("na") + c("nb") - c("shared"))
+    out = j.withColumn("value", value).where(c("value") >= threshold).select("a", "b", "shared", F.round("value", 2).alias("confidence"))
     if edges is not None:
         out = out.join(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), ["a", "b"], "left_anti")
     return out

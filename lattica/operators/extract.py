@@ -73,16 +73,25 @@ TIER_STEP = 1 << 50
 
 def deterministic(docs: DataFrame, registry: DataFrame, ontology: Ontology = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges that documents state by their structure; edges that the ontology does not allow are dropped."""
+    own, edges = stated_claims(docs, registry, ontology)
+    nodes = cut(registry_nodes(registry).unionByName(conform(own, NODE)))
+    # a node that several documents mention has one type: the first writer's
+    firsts = nodes.groupBy("id").agg(F.min_by("type", "ord").alias("type"))
+    return nodes, ontology.typecheck(edges, firsts)
+
+
+def stated_claims(docs: DataFrame, registry: DataFrame, ontology: Ontology = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(nodes with ``doc``, edges) of each document by itself; what holds between documents is not judged."""
+    node = f"{NODE}, doc string"
     docs = conform(docs, DOCUMENT).where("kind <> 'entity-pack'")
     kinds = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in KIND_TYPE.items() for x in kv]), F.col("kind")), F.lit("Document"))
     after = lambda k: F.col("ord") + k * (1 << 40)
-    own = conform(docs.select("id", F.col("title").alias("label"), kinds.alias("type"), "url", F.col("date").alias("valid_from"), after(1).alias("ord")), NODE)
+    own = conform(docs.select("id", F.col("title").alias("label"), kinds.alias("type"), "url", F.col("date").alias("valid_from"), after(1).alias("ord"), F.col("id").alias("doc")), node)
     tags = docs.select("id", "ord", F.explode("tags").alias("raw"))
-    topics = conform(tags.select(F.concat(F.lit("topic:"), "raw").alias("id"), F.regexp_replace("raw", "-", " ").alias("label"), F.lit("Topic").alias("type"), after(2).alias("ord")), NODE)
+    topics = conform(tags.select(F.concat(F.lit("topic:"), "raw").alias("id"), F.regexp_replace("raw", "-", " ").alias("label"), F.lit("Topic").alias("type"), after(2).alias("ord"), F.col("id").alias("doc")), node)
     options = resolve(docs.select("id", "kind", "ord", F.posexplode(F.coalesce("platforms", "options", F.array().cast("array<string>"))).alias("place", "raw")), registry, "option")
     unregistered = options.join(registry.select(F.col("id").alias("entity")), "entity", "left_anti")
-    met = conform(unregistered.select(F.col("entity").alias("id"), F.col("raw").alias("label"), F.lit("Technology").alias("type"), after(3).alias("ord")), NODE)
-    nodes = cut(reduce(DataFrame.unionByName, [registry_nodes(registry), own, topics, met]))
+    met = conform(unregistered.select(F.col("entity").alias("id"), F.col("raw").alias("label"), F.lit("Technology").alias("type"), after(3).alias("ord"), F.col("id").alias("doc")), node)
 
     edge = lambda df, s, rel, t, why="explicit": df.select(F.col(s).alias("src"), F.lit(rel).alias("rel"), F.col(t).alias("dst"), F.lit(1.0).alias("confidence"), F.col("doc"), F.lit("deterministic").alias("tier"), (F.lit(why) if isinstance(why, str) else why).alias("explanation"), "ord")
     links = edge(docs.select("id", "ord", F.explode("links").alias("to"), F.col("id").alias("doc")), "id", "REFERENCES", "to")
@@ -102,9 +111,7 @@ def deterministic(docs: DataFrame, registry: DataFrame, ontology: Ontology = DEF
     assessed_in = edge(radar_doc.where("assessment is not null").select("id", "ord", F.col("id").alias("doc"), "assessment"), "id", "ASSESSED_IN", "assessment")
     documented = edge(radar_doc.where("documented_in is not null").select("id", "ord", F.col("id").alias("doc"), "documented_in"), "id", "DOCUMENTED_IN", "documented_in")
     edges = conform(reduce(DataFrame.unionByName, [links, about, covered, assessed, compared, radar, assessed_in, documented]), EDGE)
-    # a node that several documents mention has one type: the first writer's
-    firsts = nodes.groupBy("id").agg(F.min_by("type", "ord").alias("type"))
-    return nodes, ontology.typecheck(edges, firsts)
+    return reduce(DataFrame.unionByName, [own, topics, met]), edges
 
 
 PACK_RELATION = "doc string, source_id string, relationship string, target_id string, confidence double, explanation string, scope string, sources array<string>, ord bigint"

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from lattica.functions import text as T
 from lattica.iterate import cut, numbered
@@ -122,8 +125,49 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 10, threshold: floa
     return vectors.select(key, score.alias("score")).where(F.col("score") >= threshold).orderBy(F.desc("score"), key).limit(k)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = 0.85, connected: DataFrame | None = None, key: str = "vec_id", column: str = "embedding", blocks: int = 16) -> DataFrame:
-    """(a, b, similarity): exact pairs at or above the threshold, by blocks of unit vectors.
+BLOCK_ROWS = 4096
+
+
+def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.0, key: str = "vec_id", column: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, key, rank, score): of each query the ``k`` most similar vectors, ties (to 9 digits) by key.
+
+    Blocks of queries meet blocks of vectors, a pair of blocks in a task, which hands on ``k`` rows of each query.  Null
+    vectors are left out, null components count as 0, zero vectors are at 0 from all; all vectors have one length.
+    """
+    c = F.col
+
+    def dealt(df: DataFrame, block: str, name: str) -> tuple[DataFrame, int]:
+        v = F.transform(column, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+        rows = df.where(c(column).isNotNull()).select(c(key).alias(name), v.alias("v"))
+        n = max(1, -(-rows.count() // block_rows))
+        return rows.withColumn(block, F.pmod(F.xxhash64(name), F.lit(n)).cast("int")), n
+
+    q, nq = dealt(queries, "qb", "query_id")
+    v, nv = dealt(vectors, "vb", key)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def best(_, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or held.empty:
+            return pd.DataFrame({"query_id": asked["query_id"][:0], key: held[key][:0], "score": np.zeros(0)})
+        held = held.sort_values(key, kind="stable")
+        a, b = np.stack(asked["v"]), np.stack(held["v"])
+        norms = np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
+        score = np.divide(a @ b.T, norms, out=np.zeros_like(norms), where=norms > 0)
+        order = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(a)), order.shape[1])
+        cols = order.ravel()
+        fine = score[rows, cols] >= threshold
+        return pd.DataFrame({"query_id": asked["query_id"].to_numpy()[rows[fine]], key: held[key].to_numpy()[cols[fine]], "score": score[rows[fine], cols[fine]]})
+
+    kinds = [df.schema[n].dataType.simpleString() for df, n in ((q, "query_id"), (v, key))]
+    met = q.withColumn("vb", every(nv)).groupBy("qb", "vb").cogroup(v.withColumn("qb", every(nq)).groupBy("qb", "vb"))
+    found = met.applyInPandas(best, f"query_id {kinds[0]}, {key} {kinds[1]}, score double")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key))
+    return found.withColumn("rank", rank).where(c("rank") <= k).select("query_id", key, "rank", "score")
+
+
+def similar_pairs(vectors: DataFrame, threshold: float = 0.85, connected: DataFrame | None = None, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """(a, b, similarity): exact pairs at or above the threshold.
 
     A pair at cosine t lies within sqrt(2 - 2t) of each other, so the distances to
     any pivot differ by no more: vectors fall in rings around a pivot and meet only

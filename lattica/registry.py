@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lattica import views
 from lattica.functions import text as T
 from lattica.iterate import numbered
-from lattica.operators import analytics, derive, filters, govern, merge, search
+from lattica.operators import analytics, derive, duplicates, filters, govern, merge, search
 from lattica.plans import context, sparql
 from lattica.schema import EDGE, NODE, Graph, conform
 from lattica.views import DIALOG_SQL, STAR_SMALL_SQL, STAR_SQL, dialog, star, star_small, table
@@ -599,11 +599,15 @@ def d2_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
 COSINE = "list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda p: CAST(p[1] AS DOUBLE) * p[2])) / (sqrt(list_sum(list_transform(x.embedding, lambda p: CAST(p AS DOUBLE) * p))) * sqrt(list_sum(list_transform(y.embedding, lambda p: CAST(p AS DOUBLE) * p))))"
 
 
-@query(f"SELECT y.vec_id, round({COSINE}, 5) AS score FROM embeddings x, embeddings y WHERE x.vec_id = 0 AND {COSINE} >= 0 ORDER BY {COSINE} DESC, y.vec_id LIMIT 10")
+@query(
+    f"""WITH s AS (SELECT x.vec_id AS query_id, y.vec_id, {COSINE} AS score FROM embeddings x, embeddings y WHERE x.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INTEGER) AS rank FROM s WHERE score >= 0)
+SELECT query_id, vec_id, rank, round(score, 5) AS score FROM r WHERE rank <= 10"""
+)
 def d3_nearest(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    first = e.where("vec_id = 0").first()["embedding"]
-    return search.nearest(e, first, 10).select("vec_id", F.round("score", 5).alias("score"))
+    found = search.nearest_of_many(e, e.where("vec_id % 20 = 0"), 10)
+    return found.select("query_id", "vec_id", "rank", F.round("score", 5).alias("score"))
 
 
 @query(f"SELECT x.vec_id AS a, y.vec_id AS b, round({COSINE}, 4) AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE {COSINE} >= 0.4")
@@ -618,7 +622,7 @@ def d5_minhash(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def d6_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return search.duplicate_candidates(star_small(spark, d).nodes)
+    return duplicates.duplicate_classes(star_small(spark, d).nodes)
 
 
 @query(
