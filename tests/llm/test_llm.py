@@ -274,6 +274,17 @@ def test_html_names_that_training_never_had():
     assert wrong <= 0.12 * total
 
 
+def test_leaf_blocks_of_unclosed_tags():
+    """Time and memory grow with the page, not with the square of its open tags."""
+    for page in ("<div><p>x" * 32_000, "<b><h1>x</h1>" * 32_000):
+        t = time.process_time()
+        assert len(html_blocks.leaf_blocks(page)) == 32_000 and time.process_time() - t < 10
+    few = html_blocks.leaf_blocks('<div class="main-body"><p id=a>x')
+    _, x = html_blocks.features([few])
+    slots = {html_blocks._slot(w, html_blocks.PATH_SLOTS) for w in ("div", "class=main-body", "class", "main", "body", "p", "id=a", "id", "a")}
+    assert len(few[0][0]) == 4 and "class=main-body" in few[0][0] and set(np.flatnonzero(x[0, : html_blocks.PATH_SLOTS])) == slots
+
+
 # --- 5, 6, 9 tokens
 
 
