@@ -112,7 +112,7 @@ def parser() -> argparse.ArgumentParser:
     add("sparql", ("--query", {"required": True}))
     add("lint", ("--rules", {}))
     add("redact", ("--role", {"required": True}), out)
-    add("layout", ("--iterations", {"type": int, "default": 60}), ("--3d", {"action": "store_true", "dest": "three"}), ("--multiscale", {"action": "store_true"}), ("--theta", {"type": float, "default": 0.0}))
+    add("layout", ("--iterations", {"type": int, "default": 60}), ("--3d", {"action": "store_true", "dest": "three"}), ("--multiscale", {"action": "store_true"}), ("--theta", {"type": float, "default": 0.5}))
     add("extract-llm", ("input", {}), ("--endpoint", {"default": "http://localhost:11434/api/generate"}), ("--model", {"default": "llama3"}), ("--schema", {}), ("--out", {"default": "extracted-pack.toml"}), graph=False)
     port = ("--port", {"type": int, "default": 8080})
     add("build", ("--config", {"default": "lattica.toml"}), ("--out", {}), ("--dry-run", {"action": "store_true"}), graph=False)

@@ -30,6 +30,15 @@ def table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table that ``table`` wrote; nothing may read it any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/lattica/round-" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def numbered(df: DataFrame, *by: Column | str, name: str = "n", start: int = 1) -> DataFrame:
     """``df`` with the place of each row in the order ``by``, from ``start`` on.
 
