@@ -794,7 +794,15 @@ def t_sessions(spark: SparkSession, d: str) -> DataFrame:
     return incremental.sessions(table(spark, d, "events")).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-@query()
+@query(
+    f"""WITH {STAR_SMALL_SQL}, degree AS (SELECT id, count(e.id2) AS degree FROM nodes LEFT JOIN (SELECT src AS id2 FROM edges UNION ALL SELECT dst FROM edges) e ON id = e.id2 GROUP BY id),
+turn AS (SELECT id, degree, 2 * pi() * (row_number() OVER (ORDER BY id) - 1) / count(*) OVER () AS t FROM degree),
+placed AS (SELECT id, degree, round(500 * cos(t), 2) AS px, round(500 * sin(t), 2) AS py FROM turn),
+box AS (SELECT min(px) AS x0, greatest(max(px) - min(px), 1.0) AS wx, min(py) AS y0, greatest(max(py) - min(py), 1.0) AS wy FROM placed),
+cells AS (SELECT z, id, least(floor((px - (x0 - 0.05 * wx)) / (1.1 * wx) * 2 ** z), 2 ** z - 1) AS x, least(floor((py - (y0 - 0.05 * wy)) / (1.1 * wy) * 2 ** z), 2 ** z - 1) AS y
+FROM placed, box, (SELECT unnest([0, 1, 2, 3]) AS z) WHERE z > 0 OR degree >= 2)
+SELECT z, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, count(*) AS n FROM cells GROUP BY ALL"""
+)
 def g17_tiles(spark: SparkSession, d: str) -> DataFrame:
     from lattica.operators import layout
 
@@ -818,7 +826,11 @@ def g13_barnes_hut(spark: SparkSession, d: str) -> DataFrame:
     return layout.force(star_small(spark, d), theta=0.8)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {STAR_SMALL_SQL}, walk(id, depth) AS (SELECT id, 0 FROM nodes WHERE id NOT IN (SELECT dst FROM edges) UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = id WHERE depth < 8),
+deep AS (SELECT n.id, coalesce(min(w.depth), 0) AS depth FROM nodes n LEFT JOIN walk w ON n.id = w.id GROUP BY n.id)
+SELECT id, depth, (row_number() OVER (PARTITION BY depth ORDER BY id) - 1 - count(*) OVER (PARTITION BY depth) / 2) * 140.0 AS x, CAST(depth * 180.0 AS DOUBLE) AS y FROM deep"""
+)
 def g15_layers(spark: SparkSession, d: str) -> DataFrame:
     from lattica.operators import layout
 

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 
 from lattica.functions import text as T
 from lattica.schema import DOCUMENT, EDGE, NODE, Graph, conform, given
+from lattica.sources.html import page_text
 
 
 
@@ -104,7 +105,7 @@ def logseq(spark: SparkSession, path: str, url_base: str = "/notes/", recursive:
 
 
 def visible_html(c: Column) -> Column:
-    """Text without markup, scripts, styles, navigation and furniture, with the commonest references decoded."""
+    """Text of a fragment, such as a title or a line, with the commonest references decoded; whole pages go by ``page_text``."""
     t = F.regexp_replace(c, r"(?is)<(script|style|nav|header|footer|noscript|template)\b.*?</\1\s*>|<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
     for name, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
@@ -120,7 +121,7 @@ def html_blog(spark: SparkSession, path: str, url_base: str = "/blog/", index: s
     links = F.array_distinct(F.regexp_extract_all(body, F.lit(r"href=\"(?:\./)?([^\"/:#?]+)\.html"), F.lit(1)))
     tagged = raw.where(F.col("stem") == index).select(F.explode(F.regexp_extract_all("raw", F.lit(r"(?s)<[^>]*data-tags=\"[^\"]*\"[^>]*>.*?href=\"(?:\./)?[^\"/]+\.html"), F.lit(0))).alias("x"))
     tags = tagged.select(F.regexp_extract("x", r"href=\"(?:\./)?([^\"/]+)\.html$", 1).alias("id"), F.filter(F.transform(F.split(F.regexp_extract("x", r"data-tags=\"([^\"]*)\"", 1), r"[,\s]+"), lambda t: F.trim(t)), lambda t: t != "").alias("tags")).dropDuplicates(["id"])
-    n = pages.select("path", F.col("stem").alias("id"), F.coalesce(given(visible_html(F.regexp_extract("raw", r"(?is)<h1[^>]*>(.*?)</h1>", 1))), F.col("stem")).alias("title"), F.concat(F.lit(url_base), "stem").alias("url"), F.lit("article").alias("kind"), given(F.substr(F.regexp_extract("raw", r"article:published_time\"\s+content=\"([^\"]*)\"", 1), F.lit(1), F.lit(10))).alias("date"), visible_html(body).alias("text"), links.alias("targets"))
+    n = pages.select("path", F.col("stem").alias("id"), F.coalesce(given(visible_html(F.regexp_extract("raw", r"(?is)<h1[^>]*>(.*?)</h1>", 1))), F.col("stem")).alias("title"), F.concat(F.lit(url_base), "stem").alias("url"), F.lit("article").alias("kind"), given(F.substr(F.regexp_extract("raw", r"article:published_time\"\s+content=\"([^\"]*)\"", 1), F.lit(1), F.lit(10))).alias("date"), page_text(body).alias("text"), links.alias("targets"))
     return _numbered(_linked(n).join(tags, "id", "left").withColumn("tags", F.coalesce("tags", _none())))
 
 
@@ -134,7 +135,7 @@ def web_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     links = wanted.select("norm", full.alias("to")).where("to <> norm").join(first.select(F.col("norm").alias("to")), "to", "left_semi").groupBy("norm").agg(F.sort_array(F.collect_set("to")).alias("links"))
     title = F.coalesce(given(visible_html(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))), F.col("url"))
     body = F.regexp_replace("html", r"(?is)<head\b.*?</head\s*>", " ")
-    return conform(first.join(links, "norm", "left").select(F.col("norm").alias("id"), title.alias("title"), "url", F.lit("article").alias("kind"), visible_html(body).alias("text"), _none().alias("tags"), F.coalesce("links", _none()).alias("links"), F.col("k").cast("bigint").alias("ord")), DOCUMENT)
+    return conform(first.join(links, "norm", "left").select(F.col("norm").alias("id"), title.alias("title"), "url", F.lit("article").alias("kind"), page_text(body).alias("text"), _none().alias("tags"), F.coalesce("links", _none()).alias("links"), F.col("k").cast("bigint").alias("ord")), DOCUMENT)
 
 
 GITHUB = "number int, title string, html_url string, body string, created_at string, updated_at string, state string, user struct<login:string>, labels array<struct<name:string>>, pull_request string"
