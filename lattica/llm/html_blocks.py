@@ -67,12 +67,12 @@ STOPS = frozenset("ul ol dl table article section div main aside nav header foot
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 
 
-class Path:
+class TagPath:
     """An open element and, by its parent, all around it; what features need of the whole path is added up on the way down."""
 
     __slots__ = ("up", "names", "length", "slots")
 
-    def __init__(self, up: "Path | None" = None, names: tuple[str, ...] = ()):
+    def __init__(self, up: "TagPath | None" = None, names: tuple[str, ...] = ()):
         self.up, self.names = up, names
         self.length = (up.length if up else 0) + len(names)
         self.slots = (up.slots if up else 0) | _slots_of(names)
@@ -81,7 +81,7 @@ class Path:
         return self.length
 
     def __contains__(self, name: str) -> bool:
-        at: Path | None = self
+        at: TagPath | None = self
         while at:
             if name in at.names:
                 return True
@@ -92,14 +92,14 @@ class Path:
         return True
 
 
-def leaf_blocks(page: str | None) -> list[tuple[Path, str, int]]:
+def leaf_blocks(page: str | None) -> list[tuple[TagPath, str, int]]:
     """(tag path, text, characters within links) of the page's leaf blocks, in order."""
-    out: list[tuple[Path, str, int]] = []
-    stack: list[tuple[str, Path]] = []
+    out: list[tuple[TagPath, str, int]] = []
+    stack: list[tuple[str, TagPath]] = []
     opened: collections.Counter[str] = collections.Counter()
     held: list[str] = []
     linked = 0
-    root = where = Path()
+    root = where = TagPath()
 
     def flush() -> None:
         nonlocal linked
@@ -157,7 +157,7 @@ def leaf_blocks(page: str | None) -> list[tuple[Path, str, int]]:
         names = (tag,)
         if m["attrs"]:
             names += tuple(f"{k.lower()}={w}" for k, *v in _ATTR.findall(m["attrs"]) for w in "".join(v).lower().split())
-        stack.append((tag, Path(stack[-1][1] if stack else root, names)))
+        stack.append((tag, TagPath(stack[-1][1] if stack else root, names)))
         opened[tag] += 1
     flush()
     return out
@@ -178,7 +178,7 @@ def _slots_of(names: tuple[str, ...]) -> int:
     return bits
 
 
-def features(pages: list[list[tuple[Path, str, int]]]) -> tuple[np.ndarray, np.ndarray]:
+def features(pages: list[list[tuple[TagPath, str, int]]]) -> tuple[np.ndarray, np.ndarray]:
     """(blocks per page, block vectors of all pages)."""
     n = np.array([len(p) for p in pages], np.int64)
     flat = [b for p in pages for b in p]
