@@ -67,35 +67,61 @@ def infer(edges: DataFrame, rules: list[Rule], rounds: int = 10) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def cooccurrence(mentions: DataFrame, edges: DataFrame | None = None, threshold: float = 0.5, least: int = 2) -> DataFrame:
+#: A document of at most so many entities makes all pairs of them.
+LIGHT = 128
+
+
+def cooccurrence(mentions: DataFrame, edges: DataFrame | None = None, threshold: float = 0.5, least: int = 2, light: int = LIGHT) -> DataFrame:
     """(a, b, shared, confidence): entities by the Jaccard of their documents; ``mentions`` has (entity, doc).
 
-    Entities meet by a prefix filter: an entity's documents stand in the order of how many entities they hold,
-    rarest first, and two entities that share enough share one of their first documents.  So documents that
-    hold very many entities make no pairs where rarer ones do.  Pairs that sizes or places rule out go at
-    once, the others are counted exactly.  Connected pairs are left out, and so are null entities.
+    Documents of at most ``light`` entities are counted as stripes: for each entity the list of those that come after it, fewest
+    documents first, so what an entity of very many documents meets is counted at the others.  Only documents of more entities go by a
+    prefix filter: an entity's documents stand in the order of how many entities they hold, and two entities
+    that share enough share one of their first documents.  So such documents make no pairs where rarer ones
+    do; what the pairs share in them is then looked up.  Connected pairs are left out, and so are null entities.
     """
     c = F.col
     m = table(mentions.where(given("doc").isNotNull() & c("entity").isNotNull()).select("entity", "doc").distinct())
-    size = m.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
     held = m.groupBy("doc").agg(F.count(F.lit(1)).alias("entities"))
-    # places over range partitions, so that an entity of very many documents is in no one task
-    placed = numbered(m.join(held, "doc"), "entity", "entities", "doc", name="at")
-    starts = placed.groupBy("entity").agg(F.min("at").alias("start"))
+    many = held.where(c("entities") > light)
+    some = not many.isEmpty()
+    heavy = table(m.join(many, "doc")) if some else m.limit(0).withColumn("entities", F.lit(0).cast("long"))
+    weight = heavy.groupBy("entity").agg(F.count(F.lit(1)).alias("h"))
+    size = m.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).join(weight, "entity", "left").select("entity", "n", F.coalesce("h", F.lit(0)).alias("h"))
+    ids = numbered(size, "n", "entity", name="e")
+    kind = "int" if ids.count() < 2**31 else "bigint"
+    ids = table(ids.select("entity", c("e").cast(kind).alias("e"), "n", "h"))
+    of = lambda end: ids.select(c("e").alias(end), c("entity").alias(f"name_{end}"), c("n").alias(f"n{end}"), c("h").alias(f"h{end}"))
     required = lambda n: F.greatest(F.lit(least), F.ceil(n - 1e-9))
-    early = placed.join(starts.join(size, "entity"), "entity").select("entity", "doc", "n", (c("at") - c("start")).alias("i")).where(c("i") <= c("n") - required(threshold * c("n")))
-    early = table(early)
-    left, right = (early.select(c("entity").alias(e), "doc", c("n").alias(f"n{e}"), c("i").alias(f"i{e}")) for e in ("a", "b"))
     enough = required(threshold / (1 + threshold) * (c("na") + c("nb")))
-    met = left.join(right, "doc").where((c("a") < c("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & (F.least(c("na") - c("ia"), c("nb") - c("ib")) >= enough))
-    pairs = table(met.select("a", "b", "na", "nb").distinct())
-    # the smaller entity's documents are looked up in the larger's
-    few = c("na") <= c("nb")
-    looked = pairs.select("*", F.when(few, c("a")).otherwise(c("b")).alias("few"), F.when(few, c("b")).otherwise(c("a")).alias("many"))
-    both = looked.join(m.toDF("few", "doc"), "few").join(m.toDF("many", "doc"), ["many", "doc"])
-    j = both.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")).where(c("shared") >= least)
+    # light documents: stripes, kept together by their first entity
+    few = m.join(held.where(c("entities").between(2, light)).select("doc"), "doc", "left_semi") if some else m
+    docs = few.join(ids, "entity").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("e", "n", "h"))).alias("es")).where(F.size("es") > 1)
+    after = lambda x, i: F.filter(F.slice("es", i + 2, F.size("es")), lambda y: x["n"] >= threshold * y["n"] - 1e-9)
+    stripe = F.transform("es", lambda x, i: F.struct(x["e"].alias("a"), x["n"].alias("na"), x["h"].alias("ha"), F.transform(after(x, i), lambda y: y["e"]).alias("bs")))
+    stripes = docs.select(F.inline(stripe)).where(F.size("bs") > 0).repartition("a")
+    met = stripes.select("a", "na", "ha", F.explode("bs").alias("b")).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("ha").alias("ha"), F.count(F.lit(1)).alias("shared"))
+    # b has no fewer documents than a
+    met = met.where(c("shared") + c("ha") >= required(2 * threshold / (1 + threshold) * c("na"))).select("a", "b", "shared")
+    if some:
+        placed = numbered(heavy.join(ids, "entity"), "e", "entities", "doc", name="at")
+        starts = placed.groupBy("e").agg(F.min("at").alias("start"))
+        # light documents come first
+        early = placed.join(starts, "e").select("e", "doc", "n", (c("at") - c("start") + c("n") - c("h")).alias("i")).where(c("i") <= c("n") - required(threshold * c("n")))
+        early = table(early)
+        left, right = (early.select(c("e").alias(e), "doc", c("n").alias(f"n{e}"), c("i").alias(f"i{e}")) for e in ("a", "b"))
+        close = left.join(right, "doc").where((c("a") < c("b")) & (c("na") >= threshold * c("nb") - 1e-9) & (F.least(c("na") - c("ia"), c("nb") - c("ib")) >= enough))
+        found = met.unionByName(close.select("a", "b", F.lit(0).cast("long").alias("shared")).distinct()).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+        pairs = table(found.join(of("a"), "a").join(of("b"), "b").where(c("shared") + F.least("ha", "hb") >= enough).select("a", "b", "ha", "hb", "shared"))
+        # the documents of the entity with fewer of them are looked up in the other's
+        fewer = c("ha") <= c("hb")
+        looked = pairs.where("ha > 0 and hb > 0").select("a", "b", F.when(fewer, c("a")).otherwise(c("b")).alias("few"), F.when(fewer, c("b")).otherwise(c("a")).alias("many"))
+        at = heavy.join(ids, "entity").select("e", "doc")
+        both = looked.join(at.toDF("few", "doc"), "few").join(at.toDF("many", "doc"), ["many", "doc"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("more"))
+        met = pairs.join(both, ["a", "b"], "left").select("a", "b", (c("shared") + F.coalesce("more", F.lit(0))).alias("shared"))
+    j = met.where(c("shared") >= least).join(of("a"), "a").join(of("b"), "b")
     value = c("shared") / (c("na") + c("nb") - c("shared"))
-    out = j.withColumn("value", value).where(c("value") >= threshold).select("a", "b", "shared", F.round("value", 2).alias("confidence"))
+    out = j.withColumn("value", value).where(c("value") >= threshold).select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b"), "shared", F.round("value", 2).alias("confidence"))
     if edges is not None:
         out = out.join(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), ["a", "b"], "left_anti")
     return out

@@ -77,3 +77,27 @@ def test_nearest_of_many(spark):
             want |= {(q, i, n + 1) for n, (_, i) in enumerate(scored)}
     got = search.nearest_of_many(df, df.where("vec_id % 20 = 0"), 10, block_rows=2).collect()
     assert {(r.query_id, r.vec_id, r["rank"]) for r in got} == want
+
+
+@pytest.mark.parametrize("light", [1, 3, 8])
+def test_cooccurrence_of_light_and_heavy_documents(spark, light):
+    """Pairs that meet in small documents, in large ones, and in both; three entities in nearly all."""
+    rng = random.Random(11)
+    said = {(f"e{e}", f"d{int(rng.paretovariate(0.6)) % 50}") for e in range(45) for _ in range(rng.randint(1, 12))}
+    said |= {(f"e{e}", f"d{d}") for e in range(3) for d in range(50) if d % 7}
+    docs = collections.defaultdict(set)
+    for e, d in said:
+        docs[e].add(d)
+    want = {(a, b, len(docs[a] & docs[b])) for a, b in itertools.combinations(sorted(docs), 2) if len(docs[a] & docs[b]) >= 2 and len(docs[a] & docs[b]) / len(docs[a] | docs[b]) >= 0.3}
+    got = derive.cooccurrence(spark.createDataFrame(sorted(said), "entity string, doc string"), threshold=0.3, light=light).collect()
+    assert want and {(r.a, r.b, r.shared) for r in got} == want and len(got) == len(want)
+
+
+def test_cooccurrence_holds_no_pair_that_cannot_share_enough(spark, monkeypatch):
+    """Four hundred entities of a hundred documents each: nearly all pairs meet, few share enough."""
+    rows = []
+    kept = derive.table
+    monkeypatch.setattr(derive, "table", lambda df: (rows.append((made := kept(df)).count()), made)[1])
+    said = spark.range(40_000).select(F.concat(F.lit("e"), F.col("id") % 400).alias("entity"), F.pmod(F.xxhash64("id"), F.lit(1000)).cast("string").alias("doc"))
+    assert derive.cooccurrence(said, threshold=0.3).count() == 0
+    assert max(rows) <= 40_000
