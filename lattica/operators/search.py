@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -15,6 +16,7 @@ from lattica.iterate import cut, numbered
 from lattica.operators.analytics import pagerank
 from lattica.operators.merge import drop_dangling
 from lattica.schema import Graph
+from lattica.session import ship
 
 K1, B = 1.5, 0.75
 
@@ -125,63 +127,126 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 10, threshold: floa
     return vectors.select(key, score.alias("score")).where(F.col("score") >= threshold).orderBy(F.desc("score"), key).limit(k)
 
 
-BLOCK_ROWS = 4096
+#: Vectors in a block; a task holds two blocks and the scores of ``SLICE_ROWS`` of one with all of the other.
+BLOCK_ROWS = 16_384
+SLICE_ROWS = 256
+#: Pairs that are scored to the last digit at a time.
+EXACT_PAIRS = 250_000
+
+
+def _vectors(df: DataFrame, key: str, name: str, column: str, block: str, block_rows: int) -> tuple[DataFrame, int]:
+    """(rows (block, name, v) without null vectors, null components as 0; number of blocks); small tables have smaller blocks, so that they spread."""
+    kind = "float" if df.schema[column].dataType.elementType.simpleString() == "float" else "double"
+    v = F.transform(column, lambda x: F.coalesce(x.cast(kind), F.lit(0.0).cast(kind)))
+    rows = df.where(F.col(column).isNotNull()).select(F.col(key).alias(name), v.alias("v"))
+    count = rows.count()
+    n = max(1, -(-count // min(block_rows, max(BLOCK_ROWS // 64, count // 8))))
+    return rows.withColumn(block, F.pmod(F.xxhash64(name), F.lit(n)).cast("int")), n
+
+
+def _block_pairs(left: DataFrame, right: DataFrame, lefts: str, rights: str) -> DataFrame:
+    """(i, j, lefts, rights, v): rows of both sides by pair of blocks; of ``lefts`` and ``rights`` one is null."""
+    kind = lambda df, n: df.schema[n].dataType.simpleString()
+    one = left.select("i", "j", lefts, F.lit(None).cast(kind(right, rights)).alias(rights), "v")
+    return one.unionByName(right.select("i", "j", F.lit(None).cast(kind(left, lefts)).alias(lefts), rights, "v"))
+
+
+def _held(batches: Iterator[pa.RecordBatch], lefts: str, rights: str) -> tuple[pa.Array, np.ndarray, pa.Array, np.ndarray]:
+    """(keys, vectors) of both sides of a pair of blocks, in order of key; shorter vectors end in zeros."""
+    t = pa.Table.from_batches(list(batches))
+    sides = []
+    for name, other in ((lefts, rights), (rights, lefts)):
+        own = t.filter(pc.is_null(t.column(other))).sort_by(name)
+        sides.append((own.column(name).combine_chunks(), own.column("v").combine_chunks()))
+    wide = max([0, *(int(pc.max(pc.list_value_length(v)).as_py() or 0) for _, v in sides)])
+    out = []
+    for keys, v in sides:
+        size = pc.list_value_length(v).to_numpy(zero_copy_only=False).astype(np.int64)
+        m = np.zeros((len(size), wide))
+        m[np.arange(wide) < size[:, None]] = pc.list_flatten(v).to_numpy(zero_copy_only=False)
+        out += [keys, m]
+    return tuple(out)
 
 
 def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.0, key: str = "vec_id", column: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, key, rank, score): of each query the ``k`` most similar vectors, ties (to 9 digits) by key.
 
-    Blocks of queries meet blocks of vectors, a pair of blocks in a task, which hands on ``k`` rows of each query.  Null
+    Blocks of queries meet blocks of vectors, a pair of blocks in a task, which scores some queries at a time and hands on ``k`` rows of each.  Null
     vectors are left out, null components count as 0, zero vectors are at 0 from all; all vectors have one length.
     """
     c = F.col
-
-    def dealt(df: DataFrame, block: str, name: str) -> tuple[DataFrame, int]:
-        v = F.transform(column, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
-        rows = df.where(c(column).isNotNull()).select(c(key).alias(name), v.alias("v"))
-        n = max(1, -(-rows.count() // block_rows))
-        return rows.withColumn(block, F.pmod(F.xxhash64(name), F.lit(n)).cast("int")), n
-
-    q, nq = dealt(queries, "qb", "query_id")
-    v, nv = dealt(vectors, "vb", key)
+    ship(vectors.sparkSession)
+    q, nq = _vectors(queries, key, "query_id", column, "i", block_rows)
+    v, nv = _vectors(vectors, key, "_key", column, "j", block_rows)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    def best(_, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or held.empty:
-            return pd.DataFrame({"query_id": asked["query_id"][:0], key: held[key][:0], "score": np.zeros(0)})
-        held = held.sort_values(key, kind="stable")
-        a, b = np.stack(asked["v"]), np.stack(held["v"])
-        norms = np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
-        score = np.divide(a @ b.T, norms, out=np.zeros_like(norms), where=norms > 0)
-        order = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(a)), order.shape[1])
-        cols = order.ravel()
-        fine = score[rows, cols] >= threshold
-        return pd.DataFrame({"query_id": asked["query_id"].to_numpy()[rows[fine]], key: held[key].to_numpy()[cols[fine]], "score": score[rows[fine], cols[fine]]})
-
-    kinds = [df.schema[n].dataType.simpleString() for df, n in ((q, "query_id"), (v, key))]
-    met = q.withColumn("vb", every(nv)).groupBy("qb", "vb").cogroup(v.withColumn("qb", every(nq)).groupBy("qb", "vb"))
-    found = met.applyInPandas(best, f"query_id {kinds[0]}, {key} {kinds[1]}, score double")
+    met = _block_pairs(q.withColumn("j", every(nv)), v.withColumn("i", every(nq)), "query_id", "_key")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, a, held, b = _held(batches, "query_id", "_key")
+        norms = np.linalg.norm(b, axis=1)
+        for at in range(0, len(a) if len(b) else 0, SLICE_ROWS):
+            some = a[at : at + SLICE_ROWS]
+            both = np.outer(np.linalg.norm(some, axis=1), norms)
+            score = np.divide(some @ b.T, both, out=np.zeros_like(both), where=both > 0)
+            shown = np.round(score, 9)
+            least = np.partition(shown, len(b) - min(k, len(b)), axis=1)[:, len(b) - min(k, len(b))]
+            rows, cols = np.nonzero(shown >= least[:, None])
+            order = np.lexsort((cols, -shown[rows, cols], rows))
+            rows, cols = rows[order], cols[order]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            fine = (place < k) & (score[rows, cols] >= threshold)
+            rows, cols = rows[fine], cols[fine]
+            yield pa.RecordBatch.from_arrays([asked.take(pa.array(rows + at)), held.take(pa.array(cols)), pa.array(score[rows, cols])], ["query_id", "_key", "score"])
+
+    kinds = [df.schema[n].dataType.simpleString() for df, n in ((q, "query_id"), (v, "_key"))]
+
+    found = met.groupBy("i", "j").applyInArrow(best, f"query_id {kinds[0]}, _key {kinds[1]}, score double").withColumnRenamed("_key", key)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key))
     return found.withColumn("rank", rank).where(c("rank") <= k).select("query_id", key, "rank", "score")
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = 0.85, connected: DataFrame | None = None, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float = 0.85, connected: DataFrame | None = None, key: str = "vec_id", column: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, similarity): exact pairs at or above the threshold.
 
-    A pair at cosine t lies within sqrt(2 - 2t) of each other, so the distances to
-    any pivot differ by no more: vectors fall in rings around a pivot and meet only
-    in the same or the next ring.
+    Blocks of vectors meet, a pair of blocks in a task.  A product in single precision leaves out what is further below the
+    threshold than it can err; the others are scored in double precision, term after term, and handed on some at a time.
+    Null vectors are left out, null components count as 0; zero vectors are similar to none.
     """
-    norm = F.sqrt(F.aggregate(F.transform(column, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, v: s + v))
-    unit = vectors.select(F.col(key).alias("id"), norm.alias("n"), column).where("n > 0").select("id", F.transform(column, lambda x: x.cast("double") / F.col("n")).alias("v"))
-    width = math.sqrt(max(2 - 2 * threshold, 1e-12)) + 1e-9
-    pivot = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("v")[0]))
-    ring = F.floor(pivot / width).cast("int")
-    a = unit.select(F.col("id").alias("a"), F.col("v").alias("va"), F.explode(F.array(ring - 1, ring, ring + 1)).alias("ring"))
-    b = unit.select(F.col("id").alias("b"), F.col("v").alias("vb"), ring.alias("ring"))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    pairs = a.join(b, "ring").where("a < b").select("a", "b", dot.alias("similarity")).where(F.col("similarity") >= threshold)
+    ship(vectors.sparkSession)
+    rows, n = _vectors(vectors, key, "a", column, "at", block_rows)
+    first = rows.withColumns({"i": F.col("at"), "j": F.explode(F.sequence(F.col("at"), F.lit(n - 1)))})
+    second = rows.withColumnRenamed("a", "b").withColumns({"j": F.col("at"), "i": F.explode(F.sequence(F.lit(0), F.col("at")))})
+    kind = rows.schema["a"].dataType.simpleString()
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lefts, x, rights, y = _held(batches, "a", "b")
+        norms = []
+        for m in (x, y):
+            squares = np.zeros(len(m))
+            for d in range(m.shape[1]):
+                squares += m[:, d] * m[:, d]
+            norms.append(np.sqrt(squares))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            u, v = ((m / s[:, None]).astype(np.float32) for m, s in zip((x, y), norms))
+        lowest = threshold - (x.shape[1] + 8) * 2.0**-23
+        some = norms[1] != 0
+        for at in range(0, len(x), SLICE_ROWS):
+            with np.errstate(invalid="ignore"):
+                r, c = np.nonzero(~(u[at : at + SLICE_ROWS] @ v.T < lowest) & some & (norms[0][at : at + SLICE_ROWS] != 0)[:, None])
+            for part in range(0, len(r), EXACT_PAIRS):
+                p, q = r[part : part + EXACT_PAIRS] + at, c[part : part + EXACT_PAIRS]
+                dot = np.zeros(len(p))
+                with np.errstate(invalid="ignore"):
+                    for d in range(x.shape[1]):
+                        dot += x[p, d] * y[q, d]
+                    value = dot / (norms[0][p] * norms[1][q])
+                    fine = ~(value < threshold)
+                yield pa.RecordBatch.from_arrays([lefts.take(pa.array(p[fine])), rights.take(pa.array(q[fine])), pa.array(value[fine])], ["a", "b", "similarity"])
+
+    found = _block_pairs(first, second, "a", "b").groupBy("i", "j").applyInArrow(close, f"a {kind}, b {kind}, similarity double")
+    # within a block each pair is met from both sides
+    inside = F.pmod(F.xxhash64("a"), F.lit(n)) == F.pmod(F.xxhash64("b"), F.lit(n))
+    pairs = found.where(F.when(inside, F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
     if connected is not None:
         pairs = pairs.join(connected.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), ["a", "b"], "left_anti")
     return pairs.withColumn("similarity", F.round("similarity", 4))

@@ -101,3 +101,17 @@ def test_cooccurrence_holds_no_pair_that_cannot_share_enough(spark, monkeypatch)
     said = spark.range(40_000).select(F.concat(F.lit("e"), F.col("id") % 400).alias("entity"), F.pmod(F.xxhash64("id"), F.lit(1000)).cast("string").alias("doc"))
     assert derive.cooccurrence(said, threshold=0.3).count() == 0
     assert max(rows) <= 40_000
+
+
+def test_similar_pairs_against_all_pairs(spark):
+    """Null components count as 0, as in the query's SQL; copies, zero and null vectors; blocks of two and one block for all."""
+    rng = random.Random(13)
+    vs = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(40)]
+    vs += [(50, list(vs[3][1])), (51, list(vs[3][1])), (52, [0.0] * 4), (53, None), (54, [1.0, None, 2.0, None]), (55, [1.0, 0.0, 2.0, 0.1])]
+    full = [(i, [x or 0.0 for x in v]) for i, v in vs if v is not None and any(v)]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(y * y for y in b) ** 0.5)
+    want = {(i, j) for (i, v), (j, w) in itertools.combinations(full, 2) if cos(v, w) >= 0.4}
+    df = spark.createDataFrame(vs, "vec_id long, embedding array<double>")
+    for rows in (2, 1000):
+        got = search.similar_pairs(df, 0.4, block_rows=rows).collect()
+        assert {(r.a, r.b) for r in got} == want and len(got) == len(want) and (54, 55) in want and (3, 50) in want
