@@ -115,3 +115,11 @@ def test_similar_pairs_against_all_pairs(spark):
     for rows in (2, 1000):
         got = search.similar_pairs(df, 0.4, block_rows=rows).collect()
         assert {(r.a, r.b) for r in got} == want and len(got) == len(want) and (54, 55) in want and (3, 50) in want
+
+
+def test_nearest_of_vectors_of_two_lengths(spark, monkeypatch):
+    """Shorter vectors end in zeros, and queries are scored a few at a time."""
+    vs = [(20, [1.0, 0.0, 0.0]), (1, [1.0, 0.5]), (2, [0.0, 0.0, 1.0]), (3, [2.0, 1.0, 0.0]), (40, [0.0, 0.0, 3.0])]
+    df = spark.createDataFrame(vs, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id, r["rank"]) for r in search.nearest_of_many(df, df.where("vec_id % 20 = 0"), 3).collect()}
+    assert got == {(20, 20, 1), (20, 1, 2), (20, 3, 3), (40, 2, 1), (40, 40, 2), (40, 1, 3)}
