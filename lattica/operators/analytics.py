@@ -361,7 +361,12 @@ def betweenness(graph: Graph, pivots: int | None = None) -> DataFrame:
     n = names.count()
     chosen = names if pivots is None or pivots >= n else names.orderBy(F.xxhash64("id"), "id").limit(pivots)
     count = n if pivots is None else min(n, pivots)
-    batches = max(1, -(-n * count // PAIRS))
+    # a source reaches its component, not all nodes
+    comp = components(Graph(names.select(c("node").alias("id")), adj.toDF("src", "dst"))).withColumnRenamed("id", "node")
+    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    reached = chosen.join(comp, "node").groupBy("component").agg(F.count(F.lit(1)).alias("sources")).join(sizes, "component")
+    pairs = reached.agg(F.coalesce(F.sum(c("sources") * c("size")), F.lit(0))).first()[0]
+    batches = max(1, -(-pairs // PAIRS))
     chosen = table(chosen.select("node", F.pmod(F.xxhash64("node"), F.lit(batches)).alias("batch")))
     parts = []
     for batch in range(batches):

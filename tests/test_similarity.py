@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import text as T
-from lattica.operators import derive, duplicates, search
+from lattica.operators import analytics, derive, duplicates, search
+from lattica.schema import Graph
 
 
 def classes_by_force(rows, threshold, bands=16, count=64):
@@ -123,3 +124,15 @@ def test_nearest_of_vectors_of_two_lengths(spark, monkeypatch):
     df = spark.createDataFrame(vs, "vec_id long, embedding array<double>")
     got = {(r.query_id, r.vec_id, r["rank"]) for r in search.nearest_of_many(df, df.where("vec_id % 20 = 0"), 3).collect()}
     assert got == {(20, 20, 1), (20, 1, 2), (20, 3, 3), (40, 2, 1), (40, 40, 2), (40, 1, 3)}
+
+
+def test_betweenness_batches_by_component(spark, monkeypatch):
+    """Sixty chains of three nodes: sources reach their chain, so few batches do."""
+    made = []
+    kept = analytics.table
+    monkeypatch.setattr(analytics, "PAIRS", 100)
+    monkeypatch.setattr(analytics, "table", lambda df: (made.append(1), kept(df))[1])
+    edges = spark.createDataFrame([(f"{i}:{j}", f"{i}:{j + 1}") for i in range(60) for j in range(2)], "src string, dst string")
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    got = {r.id: r.score for r in analytics.betweenness(Graph(nodes, edges)).collect()}
+    assert got == {f"{i}:{j}": 2.0 * (j == 1) for i in range(60) for j in range(3)} and len(made) < 60
