@@ -120,14 +120,24 @@ CUT_EVERY = 4
 
 
 def pagerank(graph: Graph, seeds: list[str], alpha: float = 0.15, rounds: int = 40, tol: float = 1e-6) -> DataFrame:
-    """(seed, id, score): personalised PageRank of all seeds at once; dangling mass goes back to the seed."""
+    """(seed, id, score): personalised PageRank of all seeds at once; dangling mass goes back to the seed.
+
+    Nodes of a single link to one neighbour always have the same shares of what they have together, so they go as one.
+    """
     spark = graph.nodes.sparkSession
     ids = graph.nodes.select("id").distinct()
-    adj = weights(graph.edges)
+    adj = cut(weights(graph.edges))
+    # nodes of one link hang on its other end in a bundle, named by the least of them: each has its share of the bundle's score
+    alone = adj.groupBy("u").agg(F.count(F.lit(1)).alias("links"), F.min("v").alias("hub"), F.sum("w").alias("w")).where((F.col("links") == 1) & (F.col("w") > 0) & (F.col("hub") != F.col("u")) & ~F.col("u").isin(*seeds)).join(ids.withColumnRenamed("id", "u"), "u", "left_semi")
+    bundles = alone.groupBy("hub").agg(F.min("u").alias("bundle"), F.sum("w").alias("all"), F.count(F.lit(1)).alias("held")).where("held > 1")
+    leaves = cut(alone.join(bundles, "hub").select("u", "bundle", (F.col("w") / F.col("all")).alias("share")))
     strength = adj.groupBy("u").agg(F.sum("w").alias("total"))
-    step = cut(adj.join(strength, "u").join(ids.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v", (F.col("w") / F.col("total")).alias("p")))
+    to = leaves.select("u", "bundle")
+    every = adj.join(strength, "u").join(ids.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v", (F.col("w") / F.col("total")).alias("p"))
+    named = every.join(to, "u", "left").where("bundle is null or bundle = u").drop("bundle").join(to.withColumnsRenamed({"u": "v"}), "v", "left")
+    step = cut(named.groupBy("u", F.coalesce("bundle", "v").alias("v")).agg(F.sum("p").alias("p")))
     start = spark.createDataFrame([(s, s, 1.0) for s in seeds], "seed string, id string, score double").join(ids, "id", "left_semi").select("seed", "id", "score")
-    moving = strength.select(F.col("u").alias("id"))
+    moving = cut(strength.join(to.where("u <> bundle"), "u", "left_anti").select(F.col("u").alias("id")))
     score = cut(start)
     home = cut(start.select("seed", "id"))
     settled = score
@@ -143,7 +153,8 @@ def pagerank(graph: Graph, seeds: list[str], alpha: float = 0.15, rounds: int =
             if (change or 0.0) < tol:
                 break
             settled = score
-    return score
+    spread = score.join(leaves.withColumnRenamed("bundle", "id"), "id", "left")
+    return spread.select("seed", F.coalesce("u", "id").alias("id"), (F.col("score") * F.coalesce("share", F.lit(1.0))).alias("score"))
 
 
 def density(graph: Graph) -> DataFrame:

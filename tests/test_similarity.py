@@ -136,3 +136,26 @@ def test_betweenness_batches_by_component(spark, monkeypatch):
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     got = {r.id: r.score for r in analytics.betweenness(Graph(nodes, edges)).collect()}
     assert got == {f"{i}:{j}": 2.0 * (j == 1) for i in range(60) for j in range(3)} and len(made) < 60
+
+
+def test_pagerank_bundles_leaves(spark, monkeypatch):
+    """Two hubs with many leaves, one of them the seed: scores as by plain rounds, which carry one row for all other leaves of a hub."""
+    held = []
+    kept = analytics.cut
+    monkeypatch.setattr(analytics, "cut", lambda df: (held.append((made := kept(df)).count()), made)[1])
+    pairs = [("h0", "h1", 1.0), ("h1", "h2", 0.5), ("h2", "h0", 1.0)] + [(f"l{i:03}", f"h{i % 2}", 1.0 + i % 3) for i in range(60)]
+    nodes = sorted({x for a, b, _ in pairs for x in (a, b)})
+    graph = Graph(spark.createDataFrame([(x,) for x in nodes], "id string"), spark.createDataFrame(pairs, "src string, dst string, confidence double"))
+    got = {r.id: r.score for r in analytics.pagerank(graph, ["l000"], rounds=8).collect()}
+    near = collections.defaultdict(dict)
+    for a, b, w in pairs:
+        near[a][b] = near[b][a] = w
+    want = {"l000": 1.0}
+    for _ in range(8):
+        nxt = collections.Counter({"l000": 0.15})
+        for u, x in want.items():
+            for v, w in near[u].items():
+                nxt[v] += 0.85 * x * w / sum(near[u].values())
+        want = dict(nxt)
+    assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-12 for x in want)
+    assert max(held[-2:]) <= 6
