@@ -277,20 +277,21 @@ def _moves(w: DataFrame, state: DataFrame, m2: float, resolution: float, half: C
     A node stays unless another gains more than its own; of equal gains the least community counts.
     """
     c = F.col
-    totals = state.groupBy("comm").agg(F.sum("degree").alias("total"))
-    near = w.where("u <> v").join(state.where(half).select(c("node").alias("u")), "u", "left_semi").join(state.select(c("node").alias("v"), "comm"), "v").groupBy("u", "comm").agg(F.sum("w").alias("w"))
+    state = state.hint("merge")  # each round would send a table to the driver to broadcast it
+    totals = state.groupBy("comm").agg(F.sum("degree").alias("total")).hint("merge")
+    near = w.where("u <> v").join(state.where(half).select(c("node").alias("u")).hint("merge"), "u", "left_semi").join(state.select(c("node").alias("v"), "comm").hint("merge"), "v").groupBy("u", "comm").agg(F.sum("w").alias("w"))
     own = state.where(half).select(c("node").alias("u"), "degree", c("comm").alias("own"))
-    tried = near.unionByName(own.select("u", c("own").alias("comm"), F.lit(0.0).alias("w"))).groupBy("u", "comm").agg(F.sum("w").alias("w")).join(own, "u").join(totals, "comm")
+    tried = near.unionByName(own.select("u", c("own").alias("comm"), F.lit(0.0).alias("w"))).groupBy("u", "comm").agg(F.sum("w").alias("w")).join(own.hint("merge"), "u").join(totals, "comm")
     gain = c("w") - resolution * c("degree") * (c("total") - F.when(c("comm") == c("own"), c("degree")).otherwise(0.0)) / m2
     best = tried.withColumn("gain", gain).groupBy("u").agg(F.max(F.when(c("comm") == c("own"), c("gain"))).alias("stay"), F.max(F.struct("gain", (-c("comm")).alias("least"))).alias("best"))
     goes = best.where(c("best.gain") > c("stay") + 1e-12).select(c("u").alias("node"), (-c("best.least")).alias("to"))
-    return table(state.join(goes, "node", "left").select("node", "degree", F.coalesce("to", "comm").alias("comm"), c("to").isNotNull().alias("moved")))
+    return table(state.join(goes.hint("merge"), "node", "left").select("node", "degree", F.coalesce("to", "comm").alias("comm"), c("to").isNotNull().alias("moved")))
 
 
 def _quality(w: DataFrame, state: DataFrame, m2: float, resolution: float) -> float:
     """Modularity by communities: their inner weight and the square of their total degree."""
     c = F.col
-    at = lambda end: state.select(c("node").alias(end), c("comm").alias(f"c{end}"))
+    at = lambda end: state.select(c("node").alias(end), c("comm").alias(f"c{end}")).hint("merge")
     inner = w.join(at("u"), "u").join(at("v"), "v").where("cu = cv").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
     squares = state.groupBy("comm").agg(F.sum("degree").alias("t")).agg(F.coalesce(F.sum(c("t") * c("t")), F.lit(0.0))).first()[0]
     return inner / m2 - resolution * squares / (m2 * m2)
@@ -305,14 +306,14 @@ def louvain(graph: Graph, resolution: float = 1.0, sweeps: int = 10, levels: int
     """
     c = F.col
     ids = table(graph.nodes.select("id", "ord").distinct().withColumn("node", F.monotonically_increasing_id()))
-    at = lambda end: ids.select(c("id").alias(end), c("node").alias(f"n{end}"))
+    at = lambda end: ids.select(c("id").alias(end), c("node").alias(f"n{end}")).hint("merge")
     w = table(weights(graph.edges).join(at("u"), "u").join(at("v"), "v").select(c("nu").alias("u"), c("nv").alias("v"), "w"))
     m2 = w.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
     placed = ids.select("node", c("node").alias("comm"))
     for level in range(levels if m2 > 0 else 0):
         degree = w.groupBy(c("u").alias("node")).agg(F.sum("w").alias("degree"))
         own = placed.select(c("comm").alias("node")).distinct()
-        state = table(own.join(degree, "node", "left").select("node", F.coalesce("degree", F.lit(0.0)).alias("degree"), c("node").alias("comm")))
+        state = table(own.join(degree.hint("merge"), "node", "left").select("node", F.coalesce("degree", F.lit(0.0)).alias("degree"), c("node").alias("comm")))
         best, before = state, _quality(w, state, m2, resolution)
         found = before
         for n in range(sweeps):
@@ -326,14 +327,14 @@ def louvain(graph: Graph, resolution: float = 1.0, sweeps: int = 10, levels: int
             best, found = state, quality
         if found <= before + 1e-9:
             break
-        to = best.select(c("node").alias("comm"), c("comm").alias("to"))
+        to = best.select(c("node").alias("comm"), c("comm").alias("to")).hint("merge")
         placed = table(placed.join(to, "comm").select("node", c("to").alias("comm")))
-        into = lambda end, to=to: to.select(c("comm").alias(end), c("to").alias(f"t{end}"))
+        into = lambda end, to=to: to.select(c("comm").alias(end), c("to").alias(f"t{end}")).hint("merge")
         w = table(w.join(into("u"), "u").join(into("v"), "v").groupBy(c("tu").alias("u"), c("tv").alias("v")).agg(F.sum("w").alias("w")))
-    named = placed.join(ids, "node")
+    named = placed.join(ids.hint("merge"), "node")
     firsts = named.groupBy("comm").agg(F.min(F.struct("ord", "id")).alias("first"))
     names = numbered(firsts, "first", name="community", start=0)
-    return named.join(names.select("comm", "community"), "comm").select("id", F.col("community").cast("bigint").alias("community"))
+    return named.join(names.select("comm", "community").hint("merge"), "comm").select("id", F.col("community").cast("bigint").alias("community"))
 
 
 def label_propagation(graph: Graph, sweeps: int = 4) -> DataFrame:

@@ -159,3 +159,13 @@ def test_pagerank_bundles_leaves(spark, monkeypatch):
         want = dict(nxt)
     assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-12 for x in want)
     assert max(held[-2:]) <= 6
+
+
+def test_louvain_sends_no_table_to_the_driver(spark, monkeypatch):
+    plans = []
+    kept = analytics.table
+    monkeypatch.setattr(analytics, "table", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df))[1])
+    edges = spark.createDataFrame([(f"{i}:{j}", f"{i}:{j + 1}", 1.0) for i in range(3) for j in range(3)], "src string, dst string, confidence double")
+    ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().withColumn("ord", F.xxhash64("id"))
+    analytics.louvain(Graph(ids, edges), sweeps=1, levels=1).collect()
+    assert plans and not any("BroadcastExchange" in p for p in plans)
