@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lattica.iterate import cut, numbered
+from lattica.iterate import cut, numbered, table
 from lattica.schema import TIERS, Graph, given
 
 
@@ -48,10 +48,18 @@ def first_edges(edges: DataFrame, with_scope: bool = True) -> DataFrame:
     return picked.select("src", "rel", "dst", *[F.col(f"_row.{c}") for c in rest]).select(*edges.columns)
 
 
-def retract(edges: DataFrame, live: DataFrame) -> DataFrame:
-    """Edges whose document is among ``live`` (id), or that name none."""
-    kept = edges.where(F.col("doc").isNotNull()).join(live.select(F.col("id").alias("doc")).distinct(), "doc", "left_semi").select(*edges.columns)
-    return kept.unionByName(edges.where(F.col("doc").isNull()))
+#: Documents of more edges than this are looked up by a broadcast; there are at most edges / HOT of them.
+HOT = 1_000_000
+
+
+def retract(edges: DataFrame, live: DataFrame, hot: int = HOT) -> DataFrame:
+    """Edges whose document is among ``live`` (id), or that name none; no task holds the edges of a document of very many."""
+    ids = live.select(F.col("id").alias("doc")).distinct()
+    often = edges.where(F.col("doc").isNotNull()).groupBy("doc").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select("doc")
+    known = table(often.join(ids.withColumn("_live", F.lit(True)), "doc", "left").select("doc", F.coalesce("_live", F.lit(False)).alias("_live")))
+    marked = edges.join(F.broadcast(known), "doc", "left")
+    cold = marked.where(F.col("doc").isNotNull() & F.col("_live").isNull()).join(ids, "doc", "left_semi")
+    return cold.select(*edges.columns).unionByName(marked.where(F.col("doc").isNull() | F.col("_live")).select(*edges.columns))
 
 
 def drop_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:

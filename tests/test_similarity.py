@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import text as T
-from lattica.operators import analytics, derive, duplicates, search
+from lattica.operators import analytics, derive, duplicates, merge, search
 from lattica.schema import Graph
 
 
@@ -169,3 +169,12 @@ def test_louvain_sends_no_table_to_the_driver(spark, monkeypatch):
     ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().withColumn("ord", F.xxhash64("id"))
     analytics.louvain(Graph(ids, edges), sweeps=1, levels=1).collect()
     assert plans and not any("BroadcastExchange" in p for p in plans)
+
+
+@pytest.mark.parametrize("hot", [0, 2, 100])
+def test_retract_of_documents_of_many_edges(spark, hot):
+    docs = ["a"] * 5 + ["b"] * 4 + ["c", "d", None, None]
+    edges = spark.createDataFrame([(f"s{i}", "R", f"t{i}", d) for i, d in enumerate(docs)], "src string, rel string, dst string, doc string")
+    live = spark.createDataFrame([("a",), ("a",), ("c",), ("z",)], "id string")
+    kept = merge.retract(edges, live, hot=hot)
+    assert sorted(r.src for r in kept.collect()) == sorted(f"s{i}" for i, d in enumerate(docs) if d in ("a", "c", None)) and kept.columns == edges.columns
