@@ -93,9 +93,22 @@ def with_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def problems(nodes: DataFrame, edges: DataFrame, types: list[str], context_types: list[str] = (), context_relations: list[str] = ()) -> DataFrame:
     """(problem, subject): everything that a published graph must not hold."""
-    kinds = nodes.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("type").alias("type"))
-    named = edges.select(F.concat_ws(" ", "src", "rel", "dst").alias("subject"), "src", "rel", "dst", "doc", "tier")
-    ends = named.join(kinds.select(F.col("id").alias("src"), F.col("type").alias("s")), "src", "left").join(kinds.select(F.col("id").alias("dst"), F.col("type").alias("d")), "dst", "left")
+    subject = F.concat_ws(" ", "src", "rel", "dst").alias("subject")
+    # one pass over nodes and ends of edges; what is found wrong is kept
+    seen = nodes.select("id", "type", F.lit(1).alias("n"), F.lit(0).alias("end")).unionByName(endpoints(edges).where("id is not null").select("id", F.lit(None).cast("string").alias("type"), F.lit(0).alias("n"), F.lit(1).alias("end")))
+    kinds = seen.groupBy("id").agg(F.sum("n").alias("n"), F.min("type").alias("type"), F.max("end").alias("end"))
+    kinds = table(kinds.where((F.col("n") != 1) | (F.col("end") == 0) | F.col("type").isNull() | ~F.col("type").isin(*types)))
+    if context_types:
+        known = nodes.groupBy("id").agg(F.min("type").alias("type"))
+        named = edges.select(subject, "src", "rel", "dst", "doc", "tier")
+        ends = named.join(known.select(F.col("id").alias("src"), F.col("type").alias("s")), "src", "left").join(known.select(F.col("id").alias("dst"), F.col("type").alias("d")), "dst", "left")
+    else:
+        # of the ends only those are looked up that no node of a type has: mostly none, and a table so small is broadcast
+        missing = table(kinds.where((F.col("end") == 1) & F.col("type").isNull()).select("id"))
+        lost = lambda end, kind: missing.select(F.col("id").alias(end), F.lit(True).alias(kind))
+        both = edges.select("src", "rel", "dst", "doc", "tier").join(lost("src", "s"), "src", "left").join(lost("dst", "d"), "dst", "left")
+        there = lambda end, kind: F.when(F.col(end).isNotNull() & F.col(kind).isNull(), F.lit(""))
+        ends = both.select(subject, "rel", "doc", "tier", there("src", "s").alias("s"), there("dst", "d").alias("d"))
     flag = lambda cond, name: F.when(cond, F.lit(name))
     of_edges = ends.select(
         "subject",
@@ -110,8 +123,9 @@ def problems(nodes: DataFrame, edges: DataFrame, types: list[str], context_types
             )
         ).alias("problem"),
     )
+    kinds = kinds.where("n > 0")
     of_nodes = kinds.select(F.col("id").alias("subject"), F.explode(F.array_compact(F.array(flag(F.col("n") > 1, "duplicate id"), flag(~F.col("type").isin(*types), "unknown type")))).alias("problem"))
-    alone = kinds.select("id").join(endpoints(edges), "id", "left_anti").select(F.col("id").alias("subject"), F.lit("isolated node").alias("problem"))
+    alone = kinds.where(F.col("end") == 0).select(F.col("id").alias("subject"), F.lit("isolated node").alias("problem"))
     return of_edges.unionByName(of_nodes).unionByName(alone).select("problem", "subject")
 
 

@@ -178,3 +178,13 @@ def test_retract_of_documents_of_many_edges(spark, hot):
     live = spark.createDataFrame([("a",), ("a",), ("c",), ("z",)], "id string")
     kept = merge.retract(edges, live, hot=hot)
     assert sorted(r.src for r in kept.collect()) == sorted(f"s{i}" for i, d in enumerate(docs) if d in ("a", "c", None)) and kept.columns == edges.columns
+
+
+def test_problems_join_no_edges_that_are_fine(spark):
+    """All kinds of problems, null ends and ids included; edges themselves are not shuffled."""
+    nodes = spark.createDataFrame([("a", "T"), ("b", "T"), ("b", "T"), ("c", "X"), ("d", "T"), ("e", None), (None, "T")], "id string, type string")
+    edges = spark.createDataFrame([("a", "R", "b", "d1", "curated"), ("a", "R", "zz", "d1", "curated"), ("c", "R", "a", None, "odd"), (None, "R", "a", "d1", "curated"), ("e", "R", "a", "d1", None)], "src string, rel string, dst string, doc string, tier string")
+    found = merge.problems(nodes, edges, ["T"])
+    want = [("dangling edge", "R a"), ("dangling edge", "a R zz"), ("dangling edge", "e R a"), ("duplicate id", "b"), ("isolated node", None), ("isolated node", "d"), ("no document", "c R a"), ("unknown tier", "c R a"), ("unknown tier", "e R a"), ("unknown type", "c")]
+    assert sorted(((r.problem, r.subject) for r in found.collect()), key=str) == sorted(want, key=str)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString() and "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
