@@ -359,6 +359,27 @@ def test_sentencepiece_takes_the_library_where_they_differ(spark, monkeypatch):
         assert k == len(want) and digest == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
 
 
+def test_sentencepiece_rows_are_the_agendas(monkeypatch):
+    """Short segments have an agenda as long ones do, and the library's ids stand in for none."""
+    agenda = sentencepiece_bpe.Agenda(SP)
+    asked = []
+    right = agenda.encode_segment
+    monkeypatch.setattr(agenda, "encode_segment", lambda segment: asked.append(segment) or right(segment))
+    assert agenda.digests(pa.array(["a quick fox", "w" * 200]))[3] == [0, 0]
+    assert sorted(asked) == sorted(["▁a", "▁quick", "▁fox", "▁" + "w" * 200])
+    monkeypatch.setattr(agenda, "encode_segment", lambda segment: right(segment)[:-1])
+    with pytest.raises(ValueError, match="agenda and library differ"):
+        agenda.digests(pa.array(["never met"]))
+
+
+def test_sentencepiece_segments_at_random():
+    agenda = sentencepiece_bpe.Agenda(SP)
+    rng = random.Random(5)
+    letters = ["a", "e", "t", "th", "ing", "0", "1", "-", "=", "\n", "\t", "é", "ß", "中", "日本", "😀", "\u0301", "\x00", "<s>", "</s>", "<0x41>", "<unk>", "\u00a0", "\u200b", "\u3000", "Q", "."]
+    segments = ["▁" + "".join(rng.choices(letters, k=rng.randint(1, 70))) for _ in range(4000)]
+    assert agenda.encode_segments(segments) == agenda.library.encode([s[1:] for s in segments])
+
+
 def test_huffman_codes():
     rng = np.random.default_rng(0)
     counts = np.minimum(rng.zipf(1.2, 3000), 10**9)
