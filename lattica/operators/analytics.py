@@ -64,9 +64,14 @@ def undirected(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
 def weights(edges: DataFrame) -> DataFrame:
     """(u, v, w): confidences of parallel edges summed, in both directions; a loop counts twice."""
-    w = F.coalesce("confidence", F.lit(1.0)).alias("w")
-    both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), w).union(edges.select("dst", "src", w))
-    return both.groupBy("u", "v").agg(F.sum("w").alias("w"))
+    src, dst = F.col("src"), F.col("dst")
+    turned = F.coalesce(src > dst, dst.isNull() & src.isNotNull())
+    # each pair is summed once, and then stands both ways
+    pairs = edges.select(F.when(turned, dst).otherwise(src).alias("a"), F.when(turned, src).otherwise(dst).alias("b"), F.coalesce("confidence", F.lit(1.0)).alias("w"))
+    pairs = pairs.groupBy("a", "b").agg(F.sum("w").alias("w"))
+    way = lambda u, v, w: F.struct(F.col(u).alias("u"), F.col(v).alias("v"), w.alias("w"))
+    loop = F.col("a").eqNullSafe(F.col("b"))
+    return pairs.select(F.inline(F.when(loop, F.array(way("a", "b", 2 * F.col("w")))).otherwise(F.array(way("a", "b", F.col("w")), way("b", "a", F.col("w"))))))
 
 
 def components(graph: Graph) -> DataFrame:

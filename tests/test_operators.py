@@ -331,3 +331,12 @@ def test_merkle_root_in_blocks(spark, monkeypatch):
             hs = [sha(hs[i] + hs[min(i + 1, len(hs) - 1)]) for i in range(0, len(hs), 2)]
         df = spark.createDataFrame([(f"k{i:03}", f"v{i}") for i in range(n)], "key string, value string").repartition(3)
         assert merge.merkle_root(df).first()["root"] == (hs[0] if hs else None), n
+
+
+def test_weights_sum_each_pair_once(spark):
+    rows = [("a", "b", 0.5), ("b", "a", 0.25), ("a", "b", None), ("c", "c", 0.5), (None, "a", 1.0), ("a", None, 2.0), (None, None, 1.0)]
+    got = analytics.weights(spark.createDataFrame(rows, "src string, dst string, confidence double"))
+    assert {(r.u, r.v): r.w for r in got.collect()} == {("a", "b"): 1.75, ("b", "a"): 1.75, ("c", "c"): 1.0, (None, "a"): 3.0, ("a", None): 3.0, (None, None): 2.0}
+    assert got.count() == 6
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan  # rows of an edge are not doubled before the sum
