@@ -193,14 +193,14 @@ def with_numbers(links: DataFrame) -> tuple[DataFrame, DataFrame]:
 def articulation_points(graph: Graph) -> DataFrame:
     """(id) of nodes without which their component falls apart."""
     links, names = with_numbers(undirected(graph.edges, graph.nodes))
-    return connectivity.cut_nodes(connectivity.blocks(links)).join(names, "node").select("id")
+    return connectivity.cut_points(links).join(names, "node").select("id")
 
 
 def bridges(graph: Graph) -> DataFrame:
     """(a, b): unordered pairs without which their component falls apart; parallel edges count as one."""
     links, names = with_numbers(undirected(graph.edges, graph.nodes))
-    found = connectivity.bridge_nodes(connectivity.rooted(links)).join(names.withColumnRenamed("id", "x"), "node")
-    return found.join(names.select(F.col("node").alias("parent"), F.col("id").alias("y")), "parent").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    at = lambda end, name: names.select(F.col("node").alias(end), F.col("id").alias(name))
+    return connectivity.bridge_links(links).join(at("u", "x"), "u").join(at("v", "y"), "v").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def biconnected(graph: Graph) -> DataFrame:

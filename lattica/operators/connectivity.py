@@ -8,11 +8,13 @@ components of that relation.
 
 No step gathers a component or a node's neighbours in one task: neighbours are numbered over range
 partitions, intervals are read from blocks of ``BLOCK`` places over as many levels as it takes.
+Where only bridges or points are asked for, chains become single links and leaves go before that.
 Rounds grow with the logarithm of the number of nodes.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -160,6 +162,96 @@ def cut_nodes(found: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a <> b").select("node")
 
 
+def _along(neighbours: DataFrame) -> DataFrame:
+    """(node, n1, n2, e1, e2) of nodes with two neighbours n1 and n2: where the chain of such nodes ends either way; rings without an end are left out."""
+    c = F.col
+    # (x, node) is left towards y; the pointer is the arc last reached
+    state = neighbours.select(F.explode(F.array(F.struct(c("n1").alias("x"), "node", c("n2").alias("y")), F.struct(c("n2").alias("x"), "node", c("n1").alias("y")))).alias("a"))
+    state = cut(state.select("a.x", "a.node", c("a.node").alias("at"), c("a.y").alias("to"), F.lit(True).alias("open")))
+    for _ in range(neighbours.count().bit_length() + 1):
+        ahead = state.select(c("x").alias("at"), c("node").alias("to"), c("at").alias("at_"), c("to").alias("to_"))
+        state = cut(state.join(ahead, ["at", "to"], "left").select("x", "node", F.coalesce("at_", "at").alias("at"), F.coalesce("to_", "to").alias("to"), c("to_").isNotNull().alias("open")))
+        if state.where("open").isEmpty():
+            break
+    ends = state.where("not open").select("node", "x", c("to").alias("e"))
+    both = neighbours.join(ends.select("node", c("x").alias("n2"), c("e").alias("e1")), ["node", "n2"]).join(ends.select("node", c("x").alias("n1"), c("e").alias("e2")), ["node", "n1"])
+    return cut(both.select("node", "n1", "n2", "e1", "e2"))
+
+
+@dataclass
+class Reduced:
+    """What is left of undirected links when chains are single links and leaves have gone.
+
+    ``chained`` (node, n1, n2, e1, e2) are the nodes within chains, ``loops`` (node) those that a chain leaves and comes back to,
+    ``gone`` (u, v, k, direct) the links of leaves, ``joints`` (node) the nodes they hung on beside others, ``core`` the other links;
+    k counts parallel ways, and what has several is no bridge.
+    """
+
+    chained: DataFrame
+    loops: DataFrame
+    gone: DataFrame
+    joints: DataFrame
+    core: DataFrame
+
+
+def reduced(links: DataFrame) -> Reduced:
+    """Chains go in a logarithm of their length of rounds, then leaves, as long as a round takes a sixteenth of the links."""
+    c = F.col
+    every = cut(links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    arcs = every.union(every.select("v", "u")).toDF("node", "other")
+    two = cut(arcs.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("n1"), F.max("other").alias("n2")).where("n = 2").drop("n"))
+    chained = _along(two)
+    of = lambda end: two.select(c("node").alias(end))
+    direct = every.join(of("u"), "u", "left_anti").join(of("v"), "v", "left_anti").select("u", "v", F.lit(1).alias("k"), F.lit(True).alias("direct"))
+    loops = chained.where("e1 = e2").select(c("e1").alias("node")).distinct()
+    # a chain is counted at the node next to its lesser end
+    first = chained.where("(e1 = n1 and e1 < e2) or (e2 = n2 and e2 < e1)").select(F.least("e1", "e2").alias("u"), F.greatest("e1", "e2").alias("v"), F.lit(1).alias("k"), F.lit(False).alias("direct"))
+    left = cut(direct.unionByName(first).groupBy("u", "v").agg(F.sum("k").alias("k"), F.max("direct").alias("direct")))
+    gone, joints, size = [left.limit(0)], [loops.limit(0)], left.count()
+    while size:
+        degree = left.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+        at = lambda end, degree=degree: degree.select(c("node").alias(end), c("n").alias(f"{end}_n"))
+        seen = cut(left.join(at("u"), "u").join(at("v"), "v"))
+        left = seen.where("u_n > 1 and v_n > 1").select(*left.columns)
+        leaves = seen.where("u_n = 1 or v_n = 1")
+        gone.append(leaves.select(*left.columns))
+        joints.append(leaves.where("u_n > 1 or v_n > 1").select(F.when(c("u_n") > 1, c("u")).otherwise(c("v")).alias("node")))
+        before, size = size, left.count()
+        if (before - size) * 16 < before:
+            break
+    return Reduced(chained, loops, reduce(DataFrame.unionByName, gone), reduce(DataFrame.unionByName, joints), left)
+
+
+def _bridged(parts: Reduced, tree: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links (u, v) that are bridges between nodes outside chains, nodes of ``chained`` in chains that are)."""
+    c = F.col
+    of_core = bridge_nodes(tree).select(F.least("node", "parent").alias("u"), F.greatest("node", "parent").alias("v"))
+    found = cut(parts.gone.unionByName(parts.core.join(of_core, ["u", "v"], "left_semi")).where("k = 1"))
+    ways = found.where("not direct").select(c("u").alias("lo"), c("v").alias("hi"))
+    within = parts.chained.withColumns({"lo": F.least("e1", "e2"), "hi": F.greatest("e1", "e2")}).join(ways, ["lo", "hi"], "left_semi")
+    return found.where("direct").select("u", "v"), within
+
+
+def bridge_links(links: DataFrame) -> DataFrame:
+    """(u, v), u < v: undirected links without which their component falls apart."""
+    parts = reduced(links)
+    direct, within = _bridged(parts, rooted(parts.core.select("u", "v")))
+    steps = within.select("node", F.explode(F.array("n1", "n2")).alias("other"))
+    return direct.union(steps.select(F.least("node", "other"), F.greatest("node", "other")).distinct())
+
+
+def cut_points(links: DataFrame) -> DataFrame:
+    """(node) of undirected links without which its component falls apart."""
+    parts = reduced(links)
+    core = parts.core.select("u", "v")
+    tree = rooted(core)
+    _, within = _bridged(parts, tree)
+    found = [parts.loops, parts.joints, within.select("node")]
+    if not tree.isEmpty():
+        found.append(cut_nodes(blocks(core, tree)))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
 def _through(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges, chains (node, a, b), rings (node)): nodes with one way in and one out are taken out of chains a -> .. -> b."""
     c = F.col

@@ -63,6 +63,23 @@ def test_biconnectivity_by_removal(spark):
     assert {x for x, bs in ends.items() if len(bs) > 1} == points
 
 
+def test_reduced(spark):
+    """Chains and leaves go before the forest is built; parallel chains, loops, rings alone and pendant rings keep their cuts."""
+    ring = lambda a, n: {(a + i, a + (i + 1) % n) for i in range(n)}
+    path = lambda *xs: set(zip(xs, xs[1:]))
+    links = ring(0, 12) | ring(20, 5) | ring(40, 7) | {(40, 60)} | ring(60, 4) | {(60, 90)} | path(*range(100, 117)) | {(120, 121)}
+    links |= path(200, 201, 202, 203) | path(200, 204, 203) | {(203, 205), (200, 206), (200, 207), (205, 208), (205, 209)}  # parallel chains, leaves of leaves
+    links |= path(300, 301, 302, 300) | path(300, 303, 304, 300)  # two loops at a node
+    links |= path(400, 401, 402, 403) | {(400, 404), (400, 405), (403, 406), (403, 407), (404, 405), (406, 407)}  # a chain between triangles
+    links = {tuple(sorted((f"n{a:03}", f"n{b:03}"))) for a, b in links}
+    nodes = {x for e in links for x in e}
+    g, base = graph(spark, sorted(links)), pieces(nodes, links)
+    assert {(r.a, r.b) for r in analytics.bridges(g).collect()} == {x for x in links if pieces(nodes, links - {x}) > base}
+    assert {r.id for r in analytics.articulation_points(g).collect()} == {n for n in nodes if pieces(nodes - {n}, {x for x in links if n not in x}) > base}
+    numbers, _ = analytics.with_numbers(analytics.undirected(g.edges, g.nodes))
+    assert connectivity.reduced(numbers).core.count() == 0
+
+
 def test_intervals(spark):
     rng = random.Random(5)
     points = {p: (rng.randint(0, 10**6), rng.randint(0, 10**6)) for p in rng.sample(range(40_000), 20_000)}
