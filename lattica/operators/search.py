@@ -127,9 +127,9 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 10, threshold: floa
     return vectors.select(key, score.alias("score")).where(F.col("score") >= threshold).orderBy(F.desc("score"), key).limit(k)
 
 
-#: Vectors in a block; a task holds two blocks and the scores of ``SLICE_ROWS`` of one with all of the other.
+#: Vectors in a block; a task holds two blocks, and at most ``SLICE_SCORES`` scores of some rows of one with all of the other.
 BLOCK_ROWS = 16_384
-SLICE_ROWS = 256
+SLICE_SCORES = 1 << 20
 #: Pairs that are scored to the last digit at a time.
 EXACT_PAIRS = 250_000
 
@@ -151,6 +151,11 @@ def _block_pairs(left: DataFrame, right: DataFrame, lefts: str, rights: str) ->
     return one.unionByName(right.select("i", "j", F.lit(None).cast(kind(left, lefts)).alias(lefts), rights, "v"))
 
 
+def _slice_rows(others: int) -> int:
+    """Rows that are scored at a time with ``others`` vectors."""
+    return max(1, SLICE_SCORES // max(1, others))
+
+
 def _held(batches: Iterator[pa.RecordBatch], lefts: str, rights: str) -> tuple[pa.Array, np.ndarray, pa.Array, np.ndarray]:
     """(keys, vectors) of both sides of a pair of blocks, in order of key; shorter vectors end in zeros."""
     t = pa.Table.from_batches(list(batches))
@@ -168,6 +173,25 @@ def _held(batches: Iterator[pa.RecordBatch], lefts: str, rights: str) -> tuple[p
     return tuple(out)
 
 
+def _best(asked: pa.Array, a: np.ndarray, held: pa.Array, b: np.ndarray, k: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """(query_id, _key, score): of each query of ``a`` the ``k`` most similar vectors of ``b``, ties by place."""
+    norms = np.linalg.norm(b, axis=1)
+    size = _slice_rows(len(b))
+    for at in range(0, len(a) if len(b) else 0, size):
+        some = a[at : at + size]
+        both = np.outer(np.linalg.norm(some, axis=1), norms)
+        score = np.divide(some @ b.T, both, out=np.zeros_like(both), where=both > 0)
+        shown = np.round(score, 9, out=both)
+        least = np.partition(shown, len(b) - min(k, len(b)), axis=1)[:, len(b) - min(k, len(b))]
+        rows, cols = np.nonzero(shown >= least[:, None])
+        order = np.lexsort((cols, -shown[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        fine = (place < k) & (score[rows, cols] >= threshold)
+        rows, cols = rows[fine], cols[fine]
+        yield pa.RecordBatch.from_arrays([asked.take(pa.array(rows + at)), held.take(pa.array(cols)), pa.array(score[rows, cols])], ["query_id", "_key", "score"])
+
+
 def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.0, key: str = "vec_id", column: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, key, rank, score): of each query the ``k`` most similar vectors, ties (to 9 digits) by key.
 
@@ -182,21 +206,7 @@ def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int = 10, thresho
     met = _block_pairs(q.withColumn("j", every(nv)), v.withColumn("i", every(nq)), "query_id", "_key")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, a, held, b = _held(batches, "query_id", "_key")
-        norms = np.linalg.norm(b, axis=1)
-        for at in range(0, len(a) if len(b) else 0, SLICE_ROWS):
-            some = a[at : at + SLICE_ROWS]
-            both = np.outer(np.linalg.norm(some, axis=1), norms)
-            score = np.divide(some @ b.T, both, out=np.zeros_like(both), where=both > 0)
-            shown = np.round(score, 9)
-            least = np.partition(shown, len(b) - min(k, len(b)), axis=1)[:, len(b) - min(k, len(b))]
-            rows, cols = np.nonzero(shown >= least[:, None])
-            order = np.lexsort((cols, -shown[rows, cols], rows))
-            rows, cols = rows[order], cols[order]
-            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-            fine = (place < k) & (score[rows, cols] >= threshold)
-            rows, cols = rows[fine], cols[fine]
-            yield pa.RecordBatch.from_arrays([asked.take(pa.array(rows + at)), held.take(pa.array(cols)), pa.array(score[rows, cols])], ["query_id", "_key", "score"])
+        yield from _best(*_held(batches, "query_id", "_key"), k, threshold)
 
     kinds = [df.schema[n].dataType.simpleString() for df, n in ((q, "query_id"), (v, "_key"))]
 
@@ -230,9 +240,10 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.85, connected: DataFr
             u, v = ((m / s[:, None]).astype(np.float32) for m, s in zip((x, y), norms))
         lowest = threshold - (x.shape[1] + 8) * 2.0**-23
         some = norms[1] != 0
-        for at in range(0, len(x), SLICE_ROWS):
+        size = _slice_rows(len(y))
+        for at in range(0, len(x), size):
             with np.errstate(invalid="ignore"):
-                r, c = np.nonzero(~(u[at : at + SLICE_ROWS] @ v.T < lowest) & some & (norms[0][at : at + SLICE_ROWS] != 0)[:, None])
+                r, c = np.nonzero(~(u[at : at + size] @ v.T < lowest) & some & (norms[0][at : at + size] != 0)[:, None])
             for part in range(0, len(r), EXACT_PAIRS):
                 p, q = r[part : part + EXACT_PAIRS] + at, c[part : part + EXACT_PAIRS]
                 dot = np.zeros(len(p))

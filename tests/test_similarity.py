@@ -3,7 +3,10 @@
 import collections
 import itertools
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +83,18 @@ def test_nearest_of_many(spark):
     assert {(r.query_id, r.vec_id, r["rank"]) for r in got} == want
 
 
+def test_nearest_holds_few_scores_at_a_time():
+    """Two full blocks: what a task holds beside them does not grow with their pairs."""
+    rng = np.random.default_rng(5)
+    b = rng.normal(size=(search.BLOCK_ROWS, 8))
+    keys = pa.array(np.arange(len(b)))
+    tracemalloc.start()
+    rows = sum(len(x) for x in search._best(keys.slice(0, 512), b[:512], keys, b, 10, -1.0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 5120 and peak < 64e6
+
+
 @pytest.mark.parametrize("light", [1, 3, 8])
 def test_cooccurrence_of_light_and_heavy_documents(spark, light):
     """Pairs that meet in small documents, in large ones, and in both; three entities in nearly all."""
