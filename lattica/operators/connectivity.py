@@ -252,81 +252,98 @@ def cut_points(links: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def _through(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(edges, chains (node, a, b), rings (node)): nodes with one way in and one out are taken out of chains a -> .. -> b."""
+def _through(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(edges, chains (node, a, b), rings (node, component)): nodes with one way in and one out are taken out of chains a -> .. -> b.
+
+    Ways double in each round and keep their least node.  A node that is the least of its own way has gone round a ring,
+    and with it all nodes of the ring, so rounds grow with the logarithm of the longest chain or ring.  None without such nodes.
+    """
     c = F.col
     single = edges.groupBy(c("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("a")).where("n = 1").select("node", "a")
     out = edges.groupBy(c("src").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("b")).where("n = 1").select("node", "b")
     inner = cut(single.join(out, "node"))
-    ids, rounds = inner.select("node"), inner.count().bit_length() + 1
-    ends = []
-    for end in ("a", "b"):
-        state = inner.select("node", c(end).alias("to"), F.lit(True).alias("open"))
-        for _ in range(rounds):
-            ahead = state.select(c("node").alias("to"), c("to").alias("beyond"))
-            state = cut(state.join(ahead, "to", "left").select("node", F.coalesce("beyond", "to").alias("to"), c("beyond").isNotNull().alias("open")))
-            if state.where("open").isEmpty():
-                break
-        ends.append(state.select("node", c("to").alias(end), "open"))
-    rings = cut(ends[0].where("open").select("node"))  # ways that never end stay within a ring
-    chains = cut(ends[0].where("not open").select("node", "a").join(ends[1].select("node", "b"), "node"))
+    if inner.isEmpty():
+        return None
+    way = lambda back, end: F.struct(F.lit(back).alias("back"), c(end).alias("to"), c(end).alias("low"))
+    state = inner.select("node", F.inline(F.array(way(False, "b"), way(True, "a"))))
+    rings = [inner.select("node", c("node").alias("component")).limit(0)]
+    while True:
+        ahead = state.select("back", c("node").alias("to"), c("to").alias("beyond"), c("low").alias("more"))
+        moved = state.join(ahead, ["back", "to"], "left").select("node", "back", F.coalesce("beyond", "to").alias("to"), F.least("low", "more").alias("low"), c("beyond").isNotNull().alias("open"))
+        state = cut(moved)
+        closed = c("open") & ~c("back") & (c("low") == c("node"))
+        still, ringed = state.agg(F.coalesce(F.max("open"), F.lit(False)), F.coalesce(F.max(closed), F.lit(False))).first()
+        if ringed:
+            least = state.where(closed).select(c("node").alias("low"))
+            rings.append(cut(state.where("open and not back").join(least, "low").select("node", c("low").alias("component"))))
+            state = cut(state.join(rings[-1].select("node"), "node", "left_anti"))
+            still = not state.where("open").isEmpty()
+        if not still:
+            break
+    chains = cut(state.where("back").select("node", c("to").alias("a")).join(state.where("not back").select("node", c("to").alias("b")), "node"))
+    ids = inner.select("node")
     rest = edges.join(ids.withColumnRenamed("node", "src"), "src", "left_anti").join(ids.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
-    return cut(rest.unionByName(chains.select(c("a").alias("src"), c("b").alias("dst"))).distinct()), chains, rings
+    return cut(rest.unionByName(chains.select(c("a").alias("src"), c("b").alias("dst"))).distinct()), chains, reduce(DataFrame.unionByName, rings)
+
+
+def _coloured(left: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that reach, and are reached from, the greatest node that reaches them; components may be of one."""
+    c = F.col
+    colour = cut(left.select(c("src").alias("node")).union(left.select("dst")).distinct().withColumn("colour", c("node")))
+    while True:
+        over = left.join(colour.withColumnRenamed("node", "src"), "src").groupBy(c("dst").alias("node")).agg(F.max("colour").alias("over"))
+        moved = cut(colour.join(over, "node", "left").select("node", F.greatest("colour", "over").alias("colour"), F.coalesce(c("over") > c("colour"), F.lit(False)).alias("moved")))
+        colour = moved.select("node", "colour")
+        if moved.where("moved").isEmpty():
+            break
+    same = cut(left.join(colour.select(c("node").alias("src"), c("colour").alias("a")), "src").join(colour.select(c("node").alias("dst"), c("colour").alias("b")), "dst").where("a = b").select("src", "dst"))
+    front = colour.where("node = colour")
+    members = [front]
+    while True:  # backwards from the node that names the colour
+        front = same.join(front.withColumnRenamed("node", "dst"), "dst").select(c("src").alias("node"), "colour").distinct()
+        front = cut(front.join(reduce(DataFrame.unionByName, members), ["node", "colour"], "left_anti"))
+        if front.isEmpty():
+            break
+        members.append(front)
+    return cut(reduce(DataFrame.unionByName, members).select("node", c("colour").alias("component")))
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of directed edges (src, dst) that lie on a cycle; the component is named by one of them.
 
-    Chains of nodes with one way in and one out become single edges; nodes without a way in or out go.
-    Then colours: each node gets the greatest node that reaches it, and what reaches that node
-    within its colour is its component.  These go, and the rest is coloured anew.
+    Nodes without a way in or out go, and chains of nodes with one way in and one out become single edges, in turns until
+    neither is left; a ring of such nodes is a component.  Then colours: each node gets the greatest node that reaches it,
+    and what reaches that node within its colour is its component.  These go, and the rest begins anew.
     Each round's rows are linear in the edges.
     """
     c = F.col
     loops = edges.where("src = dst").select(c("src").alias("node"), c("src").alias("component")).distinct()
-    every = cut(edges.where("src <> dst").select("src", "dst").distinct())
-    left, chains, rings = _through(every)
-    # a ring is named by its least node, which is a component of the ring's own links
-    inside = every.join(rings.select(c("node").alias("src")), "src", "left_semi")
-    if not inside.isEmpty():
-        ringed = spanning_forest(inside.select(c("src").alias("u"), c("dst").alias("v")))[0].select("node", c("root").alias("component"))
-    else:
-        ringed = loops.limit(0)
-    found, core = [], left.where("src = dst").select(c("src").alias("node"), c("src").alias("component")).distinct()
-    left = cut(left.where("src <> dst"))
-    while not left.isEmpty():
-        # trimming
-        while True:
-            kept = left.join(left.select(c("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(c("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-            kept = cut(kept)
-            if kept.count() == left.count():
-                break
-            left = kept
-        if kept.isEmpty():
+    left = cut(edges.where("src <> dst").select("src", "dst").distinct())
+    # what was found, in order: (components, chains); a chain's ends are nodes of later graphs, or components of one named by a way that came back
+    steps: list[tuple[DataFrame, DataFrame | None, DataFrame | None]] = []
+    size = left.count()
+    while size:
+        kept = cut(left.join(left.select(c("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(c("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        before, left, size = size, kept, kept.count()
+        if not size:
             break
-        colour = cut(left.select(c("src").alias("node")).union(left.select("dst")).distinct().withColumn("colour", c("node")))
-        while True:
-            over = left.join(colour.withColumnRenamed("node", "src"), "src").groupBy(c("dst").alias("node")).agg(F.max("colour").alias("over"))
-            moved = cut(colour.join(over, "node", "left").select("node", F.greatest("colour", "over").alias("colour"), F.coalesce(c("over") > c("colour"), F.lit(False)).alias("moved")))
-            colour = moved.select("node", "colour")
-            if moved.where("moved").isEmpty():
-                break
-        same = cut(left.join(colour.select(c("node").alias("src"), c("colour").alias("a")), "src").join(colour.select(c("node").alias("dst"), c("colour").alias("b")), "dst").where("a = b").select("src", "dst"))
-        front = colour.where("node = colour")
-        members = [front]
-        while True:  # backwards from the node that names the colour
-            front = same.join(front.withColumnRenamed("node", "dst"), "dst").select(c("src").alias("node"), "colour").distinct()
-            front = cut(front.join(reduce(DataFrame.unionByName, members), ["node", "colour"], "left_anti"))
-            if front.isEmpty():
-                break
-            members.append(front)
-        members = cut(reduce(DataFrame.unionByName, members).select("node", c("colour").alias("component")))
-        found.append(members.join(members.groupBy("component").count().where("count > 1"), "component", "left_semi").select("node", "component"))
-        gone = members.select("node")
-        left = cut(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-    named = reduce(DataFrame.unionByName, found, core.limit(0))
-    # a node whose chain came back to itself names a component of one in ``core``
-    whole = cut(named.unionByName(core.join(named.select("node"), "node", "left_anti")))
-    inner = chains.join(whole.select(c("node").alias("a"), "component"), "a").join(whole.select(c("node").alias("b"), c("component").alias("other")), "b").where("component = other").select("node", "component")
-    cyclic = whole.unionByName(inner).unionByName(ringed)
-    return cyclic.unionByName(loops.join(cyclic.select("node"), "node", "left_anti"))
+        shorter = _through(left)
+        if shorter:
+            left, chains, rings = shorter
+            steps.append((rings, chains, left.where("src = dst").select(c("src").alias("node"), c("src").alias("component")).distinct()))
+            left = cut(left.where("src <> dst"))
+        elif size == before:
+            members = _coloured(left)
+            steps.append((members.join(members.groupBy("component").count().where("count > 1"), "component", "left_semi").select("node", "component"), None, None))
+            gone = members.select("node")
+            left = cut(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+        size = left.count()
+    whole = loops.limit(0)
+    for named, chains, back in reversed(steps):
+        if chains is not None:
+            whole = cut(whole.unionByName(back.join(whole.select("node"), "node", "left_anti")))
+            inner = chains.join(whole.select(c("node").alias("a"), "component"), "a").join(whole.select(c("node").alias("b"), c("component").alias("other")), "b").where("component = other").select("node", "component")
+            whole = whole.unionByName(inner)
+        whole = whole.unionByName(named)
+    whole = cut(whole)
+    return whole.unionByName(loops.join(whole.select("node"), "node", "left_anti"))

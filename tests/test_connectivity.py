@@ -1,5 +1,6 @@
 """Biconnectivity and strong components against removal and reachability, on random graphs and long paths."""
 
+import collections
 import itertools
 import random
 
@@ -109,3 +110,23 @@ def test_strong_components(spark):
     assert {r.id: r.component for r in analytics.cyclic_components(df).collect()} == strong_by_force(links)
     assert analytics.nodes_in_cycles(df.limit(0)).count() == 0
     assert analytics.nodes_in_cycles(df.where(F.col("src") < F.col("dst"))).count() == 0
+
+
+def test_strong_components_by_turns(spark, monkeypatch):
+    """A long ring behind trees that hang on it, rings on rings, and tails: no colours are needed, and rounds do not grow with the ring."""
+    links = {(i, (i + 1) % 60) for i in range(60)} | {(100 + i, i % 60) for i in range(80)} | {(200 + i, 100 + i % 80) for i in range(160)}
+    links |= {(400 + i, 400 + (i + 1) % 9) for i in range(9)} | {(403, 450), (450, 451), (451, 403), (451, 5), (30, 500), (500, 501)}
+    tables, coloured = [], []
+    made, colours = connectivity.cut, connectivity._coloured
+    monkeypatch.setattr(connectivity, "cut", lambda df: (tables.append(1), made(df))[1])
+    monkeypatch.setattr(connectivity, "_coloured", lambda df: (coloured.append(1), colours(df))[1])
+    df = spark.createDataFrame(sorted(links), "src long, dst long")
+    found = connectivity.strong_components(df).collect()
+    groups = collections.defaultdict(set)
+    for r in found:
+        groups[r.component].add(r.node)
+    want = collections.defaultdict(set)
+    for n, k in strong_by_force(links).items():
+        want[k].add(n)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values())) and len(found) == len(set(found))
+    assert not coloured and len(tables) < 50
