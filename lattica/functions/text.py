@@ -1,9 +1,12 @@
-"""Scalar text functions as Column expressions; nothing here leaves the JVM."""
+"""Scalar text functions as Column expressions; only the hashes of signatures leave the JVM, as Arrow data."""
 
 from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,14 +71,28 @@ def permutations(count: int = 64, seed: int = 42) -> list[tuple[int, int]]:
 
 
 def minhash(c: Column, k: int = 3, count: int = 64) -> Column:
-    """Signature of ``count`` least hash values over the text's shingles."""
-    hashes = F.transform(shingles(c, k), fnv1a)
-    signature = lambda hs: F.array(*[F.array_min(F.transform(hs, _permuted(a, b))) for a, b in permutations(count)])
-    return F.transform(F.array(hashes), signature)[0]
-
-
-def _permuted(a: int, b: int):
-    return lambda x: F.pmod(x * F.lit(a).cast("bigint") + F.lit(b).cast("bigint"), F.lit(2147483647).cast("bigint"))
+    """Signature of ``count`` least hash values over the text's shingles; a null text counts as empty."""
+    ab = permutations(count)
+
+    def signature(grams: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(grams), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        raw = pc.fill_null(pc.list_flatten(grams), "").cast(pa.large_binary())
+        lengths = pc.binary_length(raw).to_numpy(zero_copy_only=False)
+        data = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).astype(np.int64)
+        begin = np.cumsum(lengths) - lengths
+        h = np.full(len(lengths), 2166136261, np.int64)  # as ``fnv1a``
+        for j in range(int(lengths.max(initial=0))):
+            more = lengths > j
+            h[more] = ((h[more] ^ data[begin[more] + j]) * 16777619) & 0x7FFFFFFF
+        some = sizes > 0
+        starts = (np.cumsum(sizes) - sizes)[some]
+        least = np.zeros((len(sizes), len(ab)), np.int64)
+        for i, (a, b) in enumerate(ab if len(starts) else []):
+            least[some, i] = np.minimum.reduceat((h * a + b) % 2147483647, starts)
+        values = pa.array(least.ravel(), mask=np.repeat(~some, len(ab)))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * len(ab)), values)
+
+    return F.arrow_udf(signature, "array<bigint>")(shingles(c, k))
 
 
 def question_score(question: str, c: Column) -> Column:

@@ -3,7 +3,8 @@
 Nodes with one signature are one from the start.  Signatures that agree in a band share a
 bucket; two that share a bucket and are similar enough are linked, and a class is what links
 join.  In each turn one member of a bucket is compared with the members of other classes, so
-a bucket of near copies closes after a turn or two for as many comparisons as it has members.
+a bucket of near copies closes after a turn or two for as many comparisons as it has members; the first
+turns look at one band and at four, so that most nodes have their class before all bands are compared.
 Buckets that still hold several classes after ``TURNS`` are compared in full, but for pairs within their
 largest class, over a grid of cells.  No bucket is gathered, and no link between different classes is lost.
 """
@@ -22,6 +23,8 @@ from lattica.operators.search import signature_similarity
 from lattica.schema import Graph
 
 TURNS = 4
+#: Texts that a task signs.
+SIGNED = 25_000
 CELL_PAIRS = 4_000_000
 BUCKET = ["band", "h"]
 
@@ -57,18 +60,23 @@ def duplicate_classes(nodes: DataFrame, threshold: float = 0.6, bands: int = 16,
     """
     c = F.col
     text = F.concat_ws(" ", "label", F.array_join("aliases", " "))
-    signed = table(nodes.select("id", T.minhash(text, count=count).alias("sig")))
+    said = nodes.select("id", text.alias("text"))
+    # few large files would be few tasks
+    signed = table(said.repartition(-(-said.count() // SIGNED) or 1).select("id", T.minhash(c("text"), count=count).cast("array<int>").alias("sig")))
     reps = table(signed.groupBy("sig").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("held")).withColumn("node", F.monotonically_increasing_id()))
     buckets = _buckets(reps, bands, count)
     labels = table(reps.select("node", c("node").alias("comp")))
     for turn in range(TURNS + 1):
-        placed = buckets.join(labels, "node")
+        looked = min(bands, 4**turn) if turn < TURNS else bands  # most near copies meet in a few bands
+        placed = buckets.where(c("band") < looked).join(labels, "node")
         by_comp = placed.groupBy(*BUCKET, "comp").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("lead"))
         lead_order = F.xxhash64("lead", F.lit(turn))
         open_ = by_comp.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", "n").alias("largest"), F.max("n").alias("most"), F.min_by("lead", lead_order).alias("leader"), F.min_by("comp", lead_order).alias("leads")).where("comps > 1")
         open_ = table(open_.drop("comps"))
         if open_.isEmpty():
-            break
+            if looked == bands:
+                break
+            continue
         members = placed.join(open_, BUCKET)
         if turn < TURNS:
             pairs = members.where("comp <> leads").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))

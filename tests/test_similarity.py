@@ -203,3 +203,17 @@ def test_problems_join_no_edges_that_are_fine(spark):
     want = [("dangling edge", "R a"), ("dangling edge", "a R zz"), ("dangling edge", "e R a"), ("duplicate id", "b"), ("isolated node", None), ("isolated node", "d"), ("no document", "c R a"), ("unknown tier", "c R a"), ("unknown tier", "e R a"), ("unknown type", "c")]
     assert sorted(((r.problem, r.subject) for r in found.collect()), key=str) == sorted(want, key=str)
     assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString() and "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_duplicate_classes_spread_and_compare_little(spark, monkeypatch):
+    """A table of one task is signed by several, and near copies are not compared once for each band."""
+    compared = []
+    made = duplicates._linked
+    monkeypatch.setattr(duplicates, "_linked", lambda pairs, *rest: (compared.append(pairs.distinct().count()), made(pairs, *rest))[1])
+    monkeypatch.setattr(duplicates, "SIGNED", 100)
+    tasks = []
+    kept = duplicates.table
+    monkeypatch.setattr(duplicates, "table", lambda df: (tasks.append(df.rdd.getNumPartitions() if "sig" in df.columns and "id" in df.columns else 0), kept(df))[1])
+    df = spark.range(400).coalesce(1).select(F.concat(F.lit("c"), "id").alias("id"), F.format_string("Customer#%09d", "id").alias("label"), F.lit(None).cast("array<string>").alias("aliases"))
+    assert duplicates.duplicate_classes(df, 0.6).count() == 400
+    assert tasks[0] == 4 and sum(compared) < 1600
